@@ -13,7 +13,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibspark.operators import passk as PK
+from calibspark.operators.ordering import with_sort_position
+from calibspark.operators.paired import Comparison
 from calibspark.plans import reports as R
+from calibspark.plans import statistics as ST
 from calibspark.sources import fixtures as FX
 
 DIGITS = 9
@@ -36,6 +40,59 @@ def _report(spec):
     return run
 
 
+def _att(spark, sf_dir):
+    return FX.attempts_with_pass(spark, sf_dir)
+
+
+def q_contingency(spark, sf_dir):
+    cmps = [Comparison("16bit", q, first="other") for q, _ in FX.FIXTURE_THRESHOLDS if q != "16bit"]
+    return ST.contingency_table(_att(spark, sf_dir), cmps)
+
+
+def q_pass_at(k):
+    def run(spark, sf_dir):
+        return _round_doubles(PK.pass_at_k_table(_att(spark, sf_dir), [k]))
+    return run
+
+
+def q_pass_rate(spark, sf_dir):
+    return _round_doubles(PK.pass_rate(_att(spark, sf_dir)))
+
+
+def q_bh_adjust(spark, sf_dir):
+    return _round_doubles(ST.per_problem_tests(_att(spark, sf_dir), "16bit", "2bit"))
+
+
+def q_outcome_flag(spark, sf_dir):
+    return _att(spark, sf_dir)
+
+
+def q_path_dimensions(spark, sf_dir):
+    return ST.parse_result_paths(ST.result_paths(FX.attempts(spark, sf_dir)))
+
+
+def q_run_labels(spark, sf_dir):
+    return ST.run_labels(FX.attempts(spark, sf_dir))
+
+
+def q_custom_sort(spark, sf_dir):
+    from oracle import CUSTOM_SORT_SPEC
+    return _round_doubles(with_sort_position(PK.pass_rate(_att(spark, sf_dir)), CUSTOM_SORT_SPEC, "model"))
+
+
+def q_experiment_grid(spark, sf_dir):
+    return ST.experiment_grid(FX.attempts(spark, sf_dir), R.RQ2.comparisons)
+
+
+def q_completion_cap(spark, sf_dir):
+    return PK.cap_attempts(_att(spark, sf_dir), 10)
+
+
+def q_paired_labels(spark, sf_dir):
+    rep = R.column_pair_report(FX.labelled_documents(spark, sf_dir), "quality", "toxic", ["lang"], family=[])
+    return _round_doubles(rep)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the RQ1 paired report (16-bit vs 8/4/3/2-bit) at sf0.001."""
     return queries()["report_rq1"](spark, SF_SMOKE)
@@ -47,6 +104,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "report_rq1_finetuned": _report(R.RQ1_FINETUNED),
         "report_rq2": _report(R.RQ2),
         "report_rq3": _report(R.RQ3),
+        "contingency": q_contingency,
+        "pass_at_1": q_pass_at(1),
+        "pass_at_10": q_pass_at(10),
+        "pass_rate": q_pass_rate,
+        "bh_adjust": q_bh_adjust,
+        "outcome_flag": q_outcome_flag,
+        "path_dimensions": q_path_dimensions,
+        "run_labels": q_run_labels,
+        "custom_sort": q_custom_sort,
+        "experiment_grid": q_experiment_grid,
+        "completion_cap": q_completion_cap,
+        "paired_labels": q_paired_labels,
     }
 
 

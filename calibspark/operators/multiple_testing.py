@@ -18,8 +18,8 @@ def bh_adjust(df: DataFrame, p_col: str = "p_value", family: list[str] | None =
     if family is None:
         return df.withColumn(out_col, F.col(p_col))
     order = [F.col(p_col)] + [F.col(c) for c in (tiebreak or [])]
-    w_rank = Window.partitionBy(*family).orderBy(*order)
-    w_all = Window.partitionBy(*family)
+    w_rank = (Window.partitionBy(*family) if family else Window).orderBy(*order)
+    w_all = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(0))
     w_tail = w_rank.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     ranked = (df.withColumn("__rk", F.row_number().over(w_rank))
               .withColumn("__n", F.count(F.lit(1)).over(w_all)))

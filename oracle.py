@@ -120,4 +120,157 @@ def oracle_queries() -> dict[str, str]:
         "report_rq1_finetuned": report_sql(R.RQ1_FINETUNED),
         "report_rq2": report_sql(R.RQ2),
         "report_rq3": report_sql(R.RQ3),
+        **stats_queries(),
+    }
+
+
+CONFIG = "model, quantization, language"
+
+
+def _stats_cols(b="b", c="c") -> str:
+    return (f"round({exact_p_sql(b, c)}, {DIGITS}) AS p_value, round({odds_sql(b, c)}, {DIGITS}) AS odds_ratio, "
+            f"({c} = 0 AND {b} > 0) AS or_infinite")
+
+
+def contingency_sql() -> str:
+    others = [q for q, _ in FX.FIXTURE_THRESHOLDS if q != "16bit"]
+    cmps = _vals([(q,) for q in others])
+    return f"""WITH {attempts_cte()},
+cmp(other) AS (VALUES {cmps})
+SELECT f.model, f.language, '16bit' AS base_precision, cmp.other AS quant_precision, count(*) AS n_pairs,
+  cast(sum(CASE WHEN f.pass = 0 AND s.pass = 0 THEN 1 ELSE 0 END) as bigint) AS a,
+  cast(sum(CASE WHEN f.pass = 0 AND s.pass = 1 THEN 1 ELSE 0 END) as bigint) AS b,
+  cast(sum(CASE WHEN f.pass = 1 AND s.pass = 0 THEN 1 ELSE 0 END) as bigint) AS c,
+  cast(sum(CASE WHEN f.pass = 1 AND s.pass = 1 THEN 1 ELSE 0 END) as bigint) AS d
+FROM cmp JOIN attempts_pass f ON f.quantization = cmp.other
+JOIN attempts_pass s ON s.quantization = '16bit' AND s.model = f.model AND s.language = f.language
+  AND s.problem = f.problem AND s.attempt = f.attempt
+GROUP BY f.model, f.language, cmp.other"""
+
+
+def pass_at_k_sql(k: int) -> str:
+    est = (f"CASE WHEN n - c < {k} THEN 1.0 WHEN c = 0 THEN 0.0 ELSE 1.0 - list_aggregate("
+           f"list_transform(range(n - c + 1, n + 1), lambda i: 1.0 - {k}.0 / i), 'product') END")
+    return f"""WITH {attempts_cte()},
+pp AS (SELECT {CONFIG}, problem, cast(count(*) as bigint) AS n, cast(sum(pass) as bigint) AS c
+       FROM attempts_pass GROUP BY ALL)
+SELECT {CONFIG}, count(*) AS num_problems, cast(min(n) as integer) AS min_completions,
+       cast(max(n) as integer) AS max_completions, {k} AS k, round(avg({est}), {DIGITS}) AS pass_at_k
+FROM pp GROUP BY ALL HAVING min(n) >= {k}"""
+
+
+def pass_rate_sql() -> str:
+    return f"""WITH {attempts_cte()}
+SELECT {CONFIG}, count(*) AS n_attempts, cast(sum(pass) as bigint) AS n_pass,
+       round(avg(pass), {DIGITS}) AS pass_rate
+FROM attempts_pass GROUP BY ALL"""
+
+
+def bh_problems_sql(base="16bit", other="2bit") -> str:
+    return f"""WITH {attempts_cte()},
+t AS (
+  SELECT f.model, f.language, f.problem, count(*) AS n_pairs,
+    cast(sum(CASE WHEN f.pass = 0 AND s.pass = 1 THEN 1 ELSE 0 END) as bigint) AS b,
+    cast(sum(CASE WHEN f.pass = 1 AND s.pass = 0 THEN 1 ELSE 0 END) as bigint) AS c
+  FROM attempts_pass f JOIN attempts_pass s ON f.quantization = '{other}' AND s.quantization = '{base}'
+   AND s.model = f.model AND s.language = f.language AND s.problem = f.problem AND s.attempt = f.attempt
+  GROUP BY ALL),
+p AS (SELECT *, {exact_p_sql('b', 'c')} AS p_raw FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY model, language ORDER BY p_raw, problem) AS rk,
+             count(*) OVER (PARTITION BY model, language) AS n_fam FROM p)
+SELECT model, language, problem, n_pairs, b, c, {_stats_cols()},
+  round(least(1.0, min(p_raw * n_fam / rk) OVER (PARTITION BY model, language ORDER BY rk
+        ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), {DIGITS}) AS p_adj
+FROM r"""
+
+
+def outcome_flag_sql() -> str:
+    return f"WITH {attempts_cte()} SELECT {CONFIG}, problem, attempt, status, exit_code, pass FROM attempts_pass"
+
+
+def path_dimensions_sql() -> str:
+    return f"""WITH {attempts_cte()},
+f AS (SELECT DISTINCT {CONFIG}, problem FROM attempts),
+p AS (SELECT CASE WHEN cast(regexp_extract(problem, '(\\d+)$', 1) as bigint) % 3 = 0 THEN 'converted-' ELSE '' END
+             || model || '-' || quantization || '/' || language || '_benchmark_temperature_0.2_x/' || problem
+             || '.results.json.gz' AS rel_path FROM f)
+SELECT rel_path,
+  replace(split_part(split_part(rel_path, '/', 1), 'b-', 1) || 'b', 'converted-', '') AS model,
+  split_part(split_part(rel_path, '/', 1), 'b-', 2) AS quantization,
+  split_part(split_part(rel_path, '/', 2), '_', 1) AS language
+FROM p"""
+
+
+def run_labels_sql() -> str:
+    return f"""WITH {attempts_cte()},
+f AS (SELECT DISTINCT {CONFIG}, problem,
+        CASE WHEN starts_with(model, 'codellama') THEN 'org/' || model ELSE model END AS hub_name FROM attempts),
+g AS (SELECT *, CASE WHEN strpos(hub_name, '/') = 0 THEN hub_name ELSE split_part(hub_name, '/', 2) END AS label,
+             translate(hub_name, '/-', '__') AS safe_name FROM f),
+h AS (SELECT *, language || '_benchmark_temperature_0.2_' || label AS run_dir FROM g),
+i AS (SELECT *, 'out/' || safe_name || '/' || run_dir || '/' || problem || '.json.gz' AS completion_path FROM h)
+SELECT model, quantization, language, problem, hub_name, label, safe_name, run_dir, completion_path,
+  'out/' || safe_name || '/' || run_dir || '_cleaned/' || problem || '.json.gz' AS cleaned_path,
+  'pass_result_temp_0_2_' || language || '_' || label || '.csv' AS pass_report
+FROM i"""
+
+
+CUSTOM_SORT_SPEC = [("rank", "model", ["deepseekcoder-1_3b", "codellama-7b", "deepseekcoder-7b",
+                                       "codellama-13b", "deepseekcoder-33b", "codellama-34b"]),
+                    ("text", "language"),
+                    ("rank", "quantization", [q for q, _ in FX.FIXTURE_THRESHOLDS])]
+
+
+def custom_sort_sql() -> str:
+    return f"""WITH {attempts_cte()},
+pr AS (SELECT {CONFIG}, count(*) AS n_attempts, cast(sum(pass) as bigint) AS n_pass,
+       round(avg(pass), {DIGITS}) AS pass_rate FROM attempts_pass GROUP BY ALL)
+SELECT *, row_number() OVER (ORDER BY {_sort_sql(CUSTOM_SORT_SPEC)}, model) AS report_pos FROM pr"""
+
+
+def experiment_grid_sql() -> str:
+    cmps = _vals([(c.base, c.other) for c in R.RQ2.comparisons])
+    cfgs = _vals(sorted({x for c in R.RQ2.comparisons for x in (c.base, c.other)}))
+    return f"""WITH {attempts_cte()},
+cells AS (SELECT model, language, list(DISTINCT quantization) AS cfgs FROM attempts
+          WHERE quantization IN ({cfgs}) GROUP BY ALL),
+cmp(base_precision, quant_precision) AS (VALUES {cmps})
+SELECT model, language, base_precision, quant_precision,
+       list_contains(cfgs, base_precision) AND list_contains(cfgs, quant_precision) AS testable
+FROM cells, cmp"""
+
+
+def completion_cap_sql(n=10) -> str:
+    return f"WITH {attempts_cte()} SELECT * FROM attempts_pass WHERE attempt < {n}"
+
+
+def paired_labels_sql() -> str:
+    return f"""WITH t AS (
+  SELECT d.lang, count(*) AS n_pairs,
+    cast(sum(CASE WHEN quality = 0 AND toxic = 0 THEN 1 ELSE 0 END) as bigint) AS a,
+    cast(sum(CASE WHEN quality = 0 AND toxic = 1 THEN 1 ELSE 0 END) as bigint) AS b,
+    cast(sum(CASE WHEN quality = 1 AND toxic = 0 THEN 1 ELSE 0 END) as bigint) AS c,
+    cast(sum(CASE WHEN quality = 1 AND toxic = 1 THEN 1 ELSE 0 END) as bigint) AS d
+  FROM labels l JOIN documents d ON l.doc_id = d.doc_id GROUP BY d.lang),
+p AS (SELECT *, {exact_p_sql('b', 'c')} AS p_raw FROM t),
+r AS (SELECT *, row_number() OVER (ORDER BY p_raw, lang) AS rk, count(*) OVER () AS n_fam FROM p)
+SELECT lang, n_pairs, a, b, c, d, {_stats_cols()},
+  round(least(1.0, min(p_raw * n_fam / rk) OVER (ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), {DIGITS}) AS p_adj
+FROM r"""
+
+
+def stats_queries() -> dict[str, str]:
+    return {
+        "contingency": contingency_sql(),
+        "pass_at_1": pass_at_k_sql(1),
+        "pass_at_10": pass_at_k_sql(10),
+        "pass_rate": pass_rate_sql(),
+        "bh_adjust": bh_problems_sql(),
+        "outcome_flag": outcome_flag_sql(),
+        "path_dimensions": path_dimensions_sql(),
+        "run_labels": run_labels_sql(),
+        "custom_sort": custom_sort_sql(),
+        "experiment_grid": experiment_grid_sql(),
+        "completion_cap": completion_cap_sql(),
+        "paired_labels": paired_labels_sql(),
     }
