@@ -13,7 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibspark.functions import meta as MT
+from calibspark.functions import tokens as TK
 from calibspark.operators import passk as PK
+from calibspark.operators import sampling as S
+from calibspark.operators import split as SP
+from calibspark.sources import corpus as CP
 from calibspark.operators.ordering import with_sort_position
 from calibspark.operators.paired import Comparison
 from calibspark.plans import reports as R
@@ -93,6 +98,100 @@ def q_paired_labels(spark, sf_dir):
     return _round_doubles(rep)
 
 
+# ---------------------------------------------------------------- corpus side
+SEQLEN = 64
+
+
+def _docs_corpus(spark, sf_dir):
+    return CP.document_corpus(spark, sf_dir)
+
+
+def q_meta_parse(spark, sf_dir):
+    m = MT.parse_meta(F.col("meta"))
+    return FX.code_corpus(spark, sf_dir).select(
+        "pos", m.isNotNull().alias("meta_valid"), m["source"].alias("source"),
+        m["repo_name"].alias("repo_name"), m["path"].alias("path"),
+        MT.has_key(m, "path").alias("has_path"))
+
+
+def q_meta_filters(spark, sf_dir):
+    return S.code_candidates(FX.code_corpus(spark, sf_dir), -1).select("pos", "repo", "language")
+
+
+def q_qa_filters(spark, sf_dir):
+    return S.qa_candidates(FX.qa_corpus(spark, sf_dir), -1)
+
+
+def q_token_counts(spark, sf_dir):
+    d = FX.table(spark, sf_dir, "documents", "doc_id", "text")
+    return d.select("doc_id", TK.token_count(F.col("text")).alias("n_tokens"),
+                    (TK.decode(TK.tokenize(F.col("text"))) == F.regexp_replace("text", r"\s+$", ""))
+                    .alias("lossless"))
+
+
+def q_length_gate(strict):
+    def run(spark, sf_dir):
+        d = FX.table(spark, sf_dir, "documents", "doc_id", "text")
+        return S.length_gate(S.with_token_count(d).select("doc_id", "n_tokens"), 512, strict)
+    return run
+
+
+def q_head_tokens(spark, sf_dir):
+    d = S.length_gate(S.with_token_count(FX.table(spark, sf_dir, "documents", "doc_id", "text")), SEQLEN)
+    head = TK.head_tokens(TK.tokenize(F.col("text")), SEQLEN)
+    return d.select("doc_id", TK.decode(head).alias("raw_data"), F.size(head).alias("num_tokens"))
+
+
+def q_random_windows(spark, sf_dir):
+    return S.random_windows(_docs_corpus(spark, sf_dir), 40, SEQLEN, seed=0, strict=True)
+
+
+def q_random_windows_c4(spark, sf_dir):
+    return S.random_windows(_docs_corpus(spark, sf_dir), 40, SEQLEN, seed=1, strict=False)
+
+
+def q_validation_windows(spark, sf_dir):
+    return S.validation_windows(_docs_corpus(spark, sf_dir), SEQLEN, n=256, seed=0)
+
+
+def q_quota_sample(spark, sf_dir):
+    return S.quota_sample(FX.code_corpus(spark, sf_dir), 40, SEQLEN)
+
+
+def q_qa_head(spark, sf_dir):
+    return S.qa_head(FX.qa_corpus(spark, sf_dir), 20, SEQLEN)
+
+
+def q_mixed_sample(spark, sf_dir):
+    return S.mixed_sample(FX.qa_corpus(spark, sf_dir), FX.code_corpus(spark, sf_dir), 40, SEQLEN)
+
+
+def q_stratum_counts(spark, sf_dir):
+    return S.stratum_counts(S.quota_sample(FX.code_corpus(spark, sf_dir), 40, SEQLEN))
+
+
+def q_shortage(spark, sf_dir):
+    sample = S.quota_sample(FX.code_corpus(spark, sf_dir), 80, SEQLEN, quota=40)
+    return S.shortage(sample, 40, ["java", "python"])
+
+
+def _split(spark, sf_dir):
+    return SP.split_train_val(S.quota_sample(FX.code_corpus(spark, sf_dir), 40, SEQLEN), 8, seed=0)
+
+
+def q_train_val_split(spark, sf_dir):
+    return _split(spark, sf_dir)
+
+
+def q_split_token_totals(spark, sf_dir):
+    return SP.split_token_totals(_split(spark, sf_dir))
+
+
+def q_pretokenized_head(spark, sf_dir):
+    return SP.pretokenized_head(FX.token_rows(spark, sf_dir), 100, "doc_id").select(
+        "doc_id", F.size("ids").alias("n_ids"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the RQ1 paired report (16-bit vs 8/4/3/2-bit) at sf0.001."""
     return queries()["report_rq1"](spark, SF_SMOKE)
@@ -116,6 +215,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "experiment_grid": q_experiment_grid,
         "completion_cap": q_completion_cap,
         "paired_labels": q_paired_labels,
+        "meta_parse": q_meta_parse,
+        "meta_filters": q_meta_filters,
+        "qa_filters": q_qa_filters,
+        "token_counts": q_token_counts,
+        "length_gate": q_length_gate(True),
+        "length_gate_inclusive": q_length_gate(False),
+        "head_tokens": q_head_tokens,
+        "random_windows": q_random_windows,
+        "random_windows_c4": q_random_windows_c4,
+        "validation_windows": q_validation_windows,
+        "quota_sample": q_quota_sample,
+        "qa_head": q_qa_head,
+        "mixed_sample": q_mixed_sample,
+        "stratum_counts": q_stratum_counts,
+        "shortage": q_shortage,
+        "train_val_split": q_train_val_split,
+        "split_token_totals": q_split_token_totals,
+        "pretokenized_head": q_pretokenized_head,
     }
 
 

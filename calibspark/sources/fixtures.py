@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from calibspark.functions.hashing import h48
 from calibspark.functions.outcomes import pass_flag
-from calibspark.sources.tables import table
+from calibspark.sources.tables import table  # noqa: F401  (re-exported)
 
 # ---- fixed values of the attempts fixture (FIXTURES.md view A) -------------
 FIXTURE_MODELS = ["deepseekcoder-1b", "codellama-7b", "deepseekcoder-7b",

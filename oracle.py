@@ -121,6 +121,7 @@ def oracle_queries() -> dict[str, str]:
         "report_rq2": report_sql(R.RQ2),
         "report_rq3": report_sql(R.RQ3),
         **stats_queries(),
+        **corpus_queries(),
     }
 
 
@@ -274,3 +275,223 @@ def stats_queries() -> dict[str, str]:
         "completion_cap": completion_cap_sql(),
         "paired_labels": paired_labels_sql(),
     }
+
+
+# ---------------------------------------------------------------- corpus views
+CODE_CORPUS = r"""code AS (
+  SELECT doc_id AS pos, text,
+    CASE WHEN doc_id % 13 = 0 THEN 'not a dict' ELSE
+      '{''source'': ''' || CASE WHEN doc_id % 11 = 0 THEN 'wiki' ELSE 'github' END
+      || ''', ''repo_name'': ''repo' || cast((doc_id * 7) % 61 as varchar) || ''''
+      || CASE doc_id % 5 WHEN 0 THEN ', ''path'': ''src/A' || cast(doc_id as varchar) || '.java'''
+                         WHEN 1 THEN ', ''path'': ''lib/m' || cast(doc_id as varchar) || '.py'''
+                         WHEN 2 THEN ', ''path'': ''x' || cast(doc_id as varchar) || '.js'''
+                         WHEN 3 THEN ''
+                         ELSE CASE WHEN doc_id % 25 = 4 THEN ', ''path'': ''py''' ELSE ', ''path'': ''T.JAVA''' END END
+      || '}' END AS meta
+  FROM documents)"""
+
+QA_CORPUS = r"""qa AS (
+  SELECT doc_id AS pos,
+    text || CASE WHEN doc_id % 3 = 0 THEN ' python' WHEN doc_id % 7 = 0 THEN ' JavaScript' ELSE '' END AS text,
+    '{''source'': ''' || CASE WHEN doc_id % 17 = 0 THEN 'wiki' ELSE 'stackexchange' END
+    || ''', ''language'': ''' || lang || ''', ''url'': ''https://'
+    || CASE WHEN doc_id % 4 = 0 THEN 'math.example' ELSE 'stackoverflow.com' END
+    || '/questions/' || cast(doc_id as varchar) || ''''
+    || CASE WHEN doc_id % 9 = 0 THEN '' ELSE ', ''question_score'': ''' || cast((doc_id * 37) % 41 as varchar) || '''' END
+    || '}' AS meta
+  FROM documents)"""
+
+NTOK = r"len(regexp_extract_all({t}, '\S+'))"
+TOKS = r"regexp_extract_all({t}, '\s*\S+')"
+
+
+def ntok(t="text"):
+    return NTOK.format(t=t)
+
+
+def toks(t="text"):
+    return TOKS.format(t=t)
+
+
+CODE_ELIGIBLE = r"""codep AS (SELECT pos, text, meta, replace(meta, '''', '"') AS js FROM code),
+code_e0 AS (
+  SELECT pos, text, json_extract_string(js, '$.source') AS source, json_extract_string(js, '$.path') AS path,
+         json_extract_string(js, '$.repo_name') AS repo, json_exists(js, '$.path') AS has_path
+  FROM codep WHERE json_valid(js)),
+code_e AS (
+  SELECT row_number() OVER (ORDER BY pos) AS i, pos, repo,
+         CASE WHEN ends_with(path, '.java') THEN 'java' ELSE 'python' END AS language
+  FROM code_e0
+  WHERE source = 'github' AND has_path AND repo IS NOT NULL AND string_split(path, '.')[-1] IN ('java', 'py')
+    AND """ + NTOK.format(t="text") + """ > {seqlen})"""
+
+
+def greedy_quota_cte(seqlen: int, quota: int) -> str:
+    """The reference's greedy loop, one row per recursion step."""
+    acc = (f"(NOT list_contains(g.seen, e.repo) AND CASE WHEN e.language = 'java' "
+           f"THEN g.nj < {quota} ELSE g.np < {quota} END)")
+    return CODE_ELIGIBLE.format(seqlen=seqlen) + f""",
+greedy(i, pos, acc, seen, nj, np) AS (
+  SELECT 0, CAST(NULL AS BIGINT), false, CAST([] AS VARCHAR[]), 0, 0
+  UNION ALL
+  SELECT e.i, e.pos, {acc}, CASE WHEN {acc} THEN list_append(g.seen, e.repo) ELSE g.seen END,
+         g.nj + CASE WHEN {acc} AND e.language = 'java' THEN 1 ELSE 0 END,
+         g.np + CASE WHEN {acc} AND e.language = 'python' THEN 1 ELSE 0 END
+  FROM greedy g JOIN code_e e ON e.i = g.i + 1),
+chosen AS (SELECT e.pos, e.repo, e.language FROM greedy g JOIN code_e e ON e.i = g.i WHERE g.acc)"""
+
+
+def heads_select(src: str, chosen: str, seqlen: int, extra: str = "") -> str:
+    return f"""SELECT row_number() OVER (ORDER BY c.pos) - 1 AS sample_id, c.pos AS doc_pos, 0 AS start,
+       len(list_slice({toks('s.text')}, 1, {seqlen})) AS num_tokens,
+       array_to_string(list_slice({toks('s.text')}, 1, {seqlen}), '') AS raw_data, s.meta{extra}
+FROM {chosen} c JOIN {src} s ON s.pos = c.pos"""
+
+
+def quota_sample_sql(seqlen=64, quota=20) -> str:
+    return (f"WITH RECURSIVE {CODE_CORPUS},\n{greedy_quota_cte(seqlen, quota)}\n"
+            + heads_select("code", "chosen", seqlen, ", c.language, c.repo"))
+
+
+def stratum_counts_sql(seqlen=64, quota=20) -> str:
+    return (f"WITH RECURSIVE {CODE_CORPUS},\n{greedy_quota_cte(seqlen, quota)}\n"
+            "SELECT language, count(*) AS n FROM chosen GROUP BY language")
+
+
+def shortage_sql(seqlen=64, quota=40) -> str:
+    return (f"WITH RECURSIVE {CODE_CORPUS},\n{greedy_quota_cte(seqlen, quota)},\n"
+            "req(language) AS (VALUES ('java'), ('python')),\n"
+            "got AS (SELECT language, count(*) AS n FROM chosen GROUP BY language)\n"
+            f"SELECT r.language, {quota} AS requested, coalesce(g.n, 0) AS obtained, "
+            f"{quota} - coalesce(g.n, 0) AS missing FROM req r LEFT JOIN got g USING (language)")
+
+
+QA_FILTERED = r"""qap AS (SELECT pos, text, meta, replace(meta, '''', '"') AS js FROM qa WHERE contains(meta, 'stackoverflow')),
+qa_f AS (
+  SELECT pos, text, meta FROM qap
+  WHERE json_valid(js) AND json_extract_string(js, '$.source') = 'stackexchange'
+    AND json_extract_string(js, '$.language') = 'en'
+    AND try_cast(json_extract_string(js, '$.question_score') as integer) >= 10
+    AND (contains(text, 'Python') OR contains(text, 'Java') OR contains(text, 'python') OR contains(text, 'java')))"""
+
+
+def qa_head_sql(k=20, seqlen=64) -> str:
+    return (f"WITH {QA_CORPUS},\n{QA_FILTERED},\n"
+            f"top AS (SELECT pos FROM qa_f WHERE {ntok()} > {seqlen} ORDER BY pos LIMIT {k})\n"
+            + heads_select("qa", "top", seqlen))
+
+
+def mixed_sample_sql(nsamples=40, seqlen=64) -> str:
+    n_qa = nsamples // 2
+    return (f"WITH RECURSIVE {CODE_CORPUS},\n{QA_CORPUS},\n{QA_FILTERED},\n"
+            f"{greedy_quota_cte(seqlen, nsamples // 4)},\n"
+            f"top AS (SELECT pos FROM qa_f WHERE {ntok()} > {seqlen} ORDER BY pos LIMIT {n_qa}),\n"
+            f"a AS ({heads_select('qa', 'top', seqlen)}),\n"
+            f"b AS ({heads_select('code', 'chosen', seqlen)})\n"
+            f"SELECT *, 'qa' AS part FROM a UNION ALL "
+            f"SELECT sample_id + {n_qa} AS sample_id, doc_pos, start, num_tokens, raw_data, meta, 'code' AS part FROM b")
+
+
+def meta_parse_sql() -> str:
+    return f"""WITH {CODE_CORPUS},
+p0 AS (SELECT pos, replace(meta, '''', '"') AS js FROM code),
+p AS (SELECT pos, CASE WHEN json_valid(js) THEN js END AS jv FROM p0)
+SELECT pos, jv IS NOT NULL AS meta_valid, json_extract_string(jv, '$.source') AS source,
+  json_extract_string(jv, '$.repo_name') AS repo_name, json_extract_string(jv, '$.path') AS path,
+  coalesce(json_exists(jv, '$.path'), false) AS has_path
+FROM p"""
+
+
+def meta_filters_sql() -> str:
+    return f"""WITH {CODE_CORPUS}, {CODE_ELIGIBLE.format(seqlen=-1)}
+SELECT pos, repo, language FROM code_e"""
+
+
+def qa_filters_sql() -> str:
+    return f"""WITH {QA_CORPUS}, {QA_FILTERED}
+SELECT pos, {ntok()} AS n_tokens FROM qa_f"""
+
+
+def token_counts_sql() -> str:
+    return rf"""SELECT doc_id, {ntok()} AS n_tokens,
+  array_to_string({toks()}, '') = regexp_replace(text, '\s+$', '') AS lossless
+FROM documents"""
+
+
+def length_gate_sql(seqlen=512, strict=True) -> str:
+    op = ">" if strict else ">="
+    return f"SELECT doc_id, {ntok()} AS n_tokens FROM documents WHERE {ntok()} {op} {seqlen}"
+
+
+def head_tokens_sql(seqlen=64) -> str:
+    return f"""SELECT doc_id, array_to_string(list_slice({toks()}, 1, {seqlen}), '') AS raw_data,
+  len(list_slice({toks()}, 1, {seqlen})) AS num_tokens
+FROM documents WHERE {ntok()} > {seqlen}"""
+
+
+def random_windows_sql(nsamples=40, seqlen=64, seed=0, strict=True, n_buckets=256) -> str:
+    op = ">" if strict else ">="
+    start = f"{h48(f'concat_ws(chr(124), {seed}, k, ' + chr(39) + 'off' + chr(39) + ')')} % (n_tokens - {seqlen})"
+    if not strict:
+        start = f"CASE WHEN n_tokens = {seqlen} THEN 0 ELSE {start} END"
+    return f"""WITH e AS (SELECT doc_id AS pos, {ntok()} AS n_tokens FROM documents WHERE {ntok()} {op} {seqlen}),
+eb AS (SELECT *, {h48('cast(pos as varchar)')} % {n_buckets} AS bucket FROM e),
+c AS (SELECT bucket, count(*) AS cnt FROM eb GROUP BY bucket),
+o AS (SELECT bucket, coalesce(sum(cnt) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c),
+g AS (SELECT eb.pos, eb.n_tokens, o.off + row_number() OVER (PARTITION BY eb.bucket ORDER BY eb.pos) - 1 AS gidx
+      FROM eb JOIN o USING (bucket)),
+n AS (SELECT count(*) AS total FROM e),
+d AS (SELECT k, {h48(f"concat_ws(chr(124), {seed}, k, 'doc')")} % total AS gidx FROM range(0, {nsamples}) t(k), n),
+p AS (SELECT d.k, g.pos, g.n_tokens, {start} AS st FROM d JOIN g USING (gidx)),
+w AS (SELECT p.k, p.pos, p.st, list_slice({toks('x.text')}, p.st + 1, p.st + {seqlen}) AS win, x.source AS meta
+      FROM p JOIN documents x ON x.doc_id = p.pos)
+SELECT k AS sample_id, pos AS doc_pos, cast(st as integer) AS start, len(win) AS num_tokens,
+       array_to_string(win, '') AS raw_data, meta FROM w"""
+
+
+def validation_windows_sql(seqlen=64, n=256, seed=0) -> str:
+    base = random_windows_sql(n, seqlen, seed, strict=False)
+    return f"SELECT *, sample_id * {seqlen} AS offset FROM ({base})"
+
+
+def train_val_sql(seqlen=64, quota=20, val_size=8, seed=0) -> str:
+    key = h48(f"concat_ws(chr(124), {seed}, sample_id)")
+    return (f"WITH RECURSIVE {CODE_CORPUS},\n{greedy_quota_cte(seqlen, quota)},\n"
+            f"s AS ({heads_select('code', 'chosen', seqlen, ', c.language, c.repo')}),\n"
+            f"v AS (SELECT sample_id FROM s ORDER BY {key}, sample_id LIMIT {val_size})\n"
+            "SELECT s.*, CASE WHEN v.sample_id IS NULL THEN 'train' ELSE 'val' END AS split "
+            "FROM s LEFT JOIN v USING (sample_id)")
+
+
+def split_totals_sql() -> str:
+    return (f"SELECT split, count(*) AS n_sequences, cast(sum(num_tokens) as bigint) AS total_tokens "
+            f"FROM ({train_val_sql()}) GROUP BY split")
+
+
+def pretokenized_head_sql(n=100) -> str:
+    return f"""SELECT doc_id, len(regexp_extract_all(text, '\\S+')) + doc_id % 4 + 1 AS n_ids
+FROM documents ORDER BY doc_id LIMIT {n}"""
+
+
+def corpus_queries() -> dict[str, str]:
+    return {
+        "meta_parse": meta_parse_sql(),
+        "meta_filters": meta_filters_sql(),
+        "qa_filters": qa_filters_sql(),
+        "token_counts": token_counts_sql(),
+        "length_gate": length_gate_sql(512, True),
+        "length_gate_inclusive": length_gate_sql(512, False),
+        "head_tokens": head_tokens_sql(),
+        "random_windows": random_windows_sql(40, 64, 0, True),
+        "random_windows_c4": random_windows_sql(40, 64, 1, False),
+        "validation_windows": validation_windows_sql(),
+        "quota_sample": quota_sample_sql(),
+        "qa_head": qa_head_sql(),
+        "mixed_sample": mixed_sample_sql(),
+        "stratum_counts": stratum_counts_sql(),
+        "shortage": shortage_sql(),
+        "train_val_split": train_val_sql(),
+        "split_token_totals": split_totals_sql(),
+        "pretokenized_head": pretokenized_head_sql(),
+    }
