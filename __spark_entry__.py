@@ -18,6 +18,7 @@ from calibspark.functions import tokens as TK
 from calibspark.operators import passk as PK
 from calibspark.operators import sampling as S
 from calibspark.operators import split as SP
+from calibspark.operators import stream_windows as SW
 from calibspark.sources import corpus as CP
 from calibspark.operators.ordering import with_sort_position
 from calibspark.operators.paired import Comparison
@@ -192,6 +193,26 @@ def q_pretokenized_head(spark, sf_dir):
         "doc_id", F.size("ids").alias("n_ids"))
 
 
+def _plain_corpus(spark, sf_dir):
+    return FX.table(spark, sf_dir, "documents", "doc_id", "text").select(F.col("doc_id").alias("pos"), "text")
+
+
+def q_stream_offsets(spark, sf_dir):
+    return SW.stream_offsets(_plain_corpus(spark, sf_dir))
+
+
+def q_stream_windows(spark, sf_dir):
+    return SW.stream_windows(_plain_corpus(spark, sf_dir), 40, SEQLEN, sep="\n\n", seed=0)
+
+
+def q_stream_chunks(spark, sf_dir):
+    return SW.encode_stream(_plain_corpus(spark, sf_dir), SEQLEN, sep="\n\n")
+
+
+def q_token_budget(spark, sf_dir):
+    return SW.token_budget(_plain_corpus(spark, sf_dir), SEQLEN, ndocs=1100, n_chunks=256, sep=" ")
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the RQ1 paired report (16-bit vs 8/4/3/2-bit) at sf0.001."""
     return queries()["report_rq1"](spark, SF_SMOKE)
@@ -233,6 +254,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "train_val_split": q_train_val_split,
         "split_token_totals": q_split_token_totals,
         "pretokenized_head": q_pretokenized_head,
+        "stream_offsets": q_stream_offsets,
+        "stream_windows": q_stream_windows,
+        "stream_chunks": q_stream_chunks,
+        "token_budget": q_token_budget,
     }
 
 

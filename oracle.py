@@ -122,6 +122,7 @@ def oracle_queries() -> dict[str, str]:
         "report_rq3": report_sql(R.RQ3),
         **stats_queries(),
         **corpus_queries(),
+        **stream_queries(),
     }
 
 
@@ -495,3 +496,53 @@ def corpus_queries() -> dict[str, str]:
         "split_token_totals": split_totals_sql(),
         "pretokenized_head": pretokenized_head_sql(),
     }
+
+
+# ---------------------------------------------------------------- stream recipes
+def _stream_cte(sep_sql: str, src: str = "documents", ndocs: int | None = None) -> str:
+    head = f"(SELECT * FROM {src} ORDER BY doc_id LIMIT {ndocs})" if ndocs else src
+    return f"""st AS (SELECT {toks(f"string_agg(text, {sep_sql} ORDER BY doc_id)")} AS t FROM {head} d)"""
+
+
+NL2 = "chr(10) || chr(10)"
+
+
+def stream_offsets_sql() -> str:
+    return f"""SELECT doc_id AS pos, {ntok()} AS n_tokens,
+  cast(coalesce(sum({ntok()}) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) as bigint) AS offset
+FROM documents"""
+
+
+def stream_windows_sql(nsamples=40, seqlen=64, seed=0) -> str:
+    s = f"{h48(f'concat_ws(chr(124), {seed}, k, ' + chr(39) + 'off' + chr(39) + ')')} % (len(t) - {seqlen})"
+    return f"""WITH {_stream_cte(NL2)},
+w AS (SELECT k AS sample_id, {s} AS start, t FROM range(0, {nsamples}) r(k), st)
+SELECT sample_id, start, {seqlen} AS num_tokens,
+       array_to_string(list_slice(t, start + 1, start + {seqlen}), '') AS raw_data FROM w"""
+
+
+def stream_chunks_sql(seqlen=64) -> str:
+    return f"""WITH {_stream_cte(NL2)},
+u AS (SELECT unnest(t) AS tok, generate_subscripts(t, 1) AS i FROM st)
+SELECT (i - 1) // {seqlen} AS chunk_id, cast(count(*) as integer) AS num_tokens,
+       string_agg(tok, '' ORDER BY i) AS raw_data
+FROM u GROUP BY ALL"""
+
+
+def token_budget_sql(seqlen=64, ndocs=1100, n_chunks=256) -> str:
+    budget = n_chunks * seqlen
+    return f"""WITH {_stream_cte("' '", ndocs=ndocs)},
+b AS (SELECT list_slice(t, 1, {budget}) AS t FROM st),
+c AS (SELECT unnest(range(0, (len(t) + {seqlen} - 1) // {seqlen})) AS chunk_id, t FROM b)
+SELECT chunk_id, len(list_slice(t, chunk_id * {seqlen} + 1, chunk_id * {seqlen} + {seqlen})) AS num_tokens,
+       array_to_string(list_slice(t, chunk_id * {seqlen} + 1, chunk_id * {seqlen} + {seqlen}), '') AS raw_data
+FROM c"""
+
+
+def stream_queries() -> dict[str, str]:
+    return {
+        "stream_offsets": stream_offsets_sql(),
+        "stream_windows": stream_windows_sql(),
+        "stream_chunks": stream_chunks_sql(),
+        "token_budget": token_budget_sql(),
+    }
