@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calibspark.functions import meta as MT
+from calibspark.functions import text as TX
 from calibspark.functions import tokens as TK
+from calibspark.operators import completions as CM
+from calibspark.operators import validation as VL
 from calibspark.operators import passk as PK
 from calibspark.operators import sampling as S
 from calibspark.operators import split as SP
@@ -213,6 +216,83 @@ def q_token_budget(spark, sf_dir):
     return SW.token_budget(_plain_corpus(spark, sf_dir), SEQLEN, ndocs=1100, n_chunks=256, sep=" ")
 
 
+# ---------------------------------------------------------------- completions
+STOPS = [".\n", ", "]
+
+
+def _reply(spark, sf_dir):
+    return FX.reply_completions(spark, sf_dir)
+
+
+def q_strip_prompt(spark, sf_dir):
+    return _reply(spark, sf_dir).select("conv_id", "turn", TX.strip_text(F.col("prompt")).alias("prompt_stripped"))
+
+
+def q_prompt_removal(spark, sf_dir):
+    r = _reply(spark, sf_dir).withColumn("p", TX.strip_text(F.col("prompt")))
+    return r.select("conv_id", "turn", TX.drop_prefix_chars(F.concat("p", "completion"), F.col("p")).alias("generated"))
+
+
+def q_stop_truncate(spark, sf_dir):
+    return _reply(spark, sf_dir).select("conv_id", "turn", TX.stop_at(F.col("completion"), STOPS).alias("truncated"))
+
+
+def q_left_pad(spark, sf_dir):
+    tr = FX.token_rows(spark, sf_dir)
+    w = F.max(F.size("ids")).over(Window.partitionBy(F.floor(F.col("doc_id") / 8)))
+    tr = tr.withColumn("width", w)
+    return tr.select("doc_id", "width", F.array_join(TK.left_pad(F.col("ids"), 0, F.col("width")), ",").alias("padded"))
+
+
+def q_trim_special_ids(spark, sf_dir):
+    tr = FX.token_rows(spark, sf_dir)
+    kept = TK.trim_generated(F.col("ids"), pad_id=0, bos_id=1, specials=[0, 1, 2])
+    return tr.select("doc_id", F.size(TK.truncate_ids(F.col("ids"), 1024)).alias("n_truncated"),
+                     F.array_join(kept, ",").alias("kept"))
+
+
+def _cut(spark, sf_dir, strict=False):
+    cc = FX.code_completions(spark, sf_dir)
+    return cc.select("item_id", "attempt", CM.cut_first_function(
+        F.col("prompt"), F.col("completion"), F.lit("python"), strict=strict).alias("cleaned"))
+
+
+def q_cut_first_function(spark, sf_dir):
+    return _cut(spark, sf_dir)
+
+
+def q_cut_first_function_strict(spark, sf_dir):
+    return _cut(spark, sf_dir, strict=True)
+
+
+def q_strip_comments(spark, sf_dir):
+    cc = FX.code_completions(spark, sf_dir)
+    code = TX.prompt_code(F.col("prompt"), F.col("completion"))
+    return cc.select("item_id", "attempt", CM.strip_comments(code, F.lit("python")).alias("stripped"))
+
+
+def q_split_doc(spark, sf_dir):
+    cc = FX.code_completions(spark, sf_dir)
+    code = F.concat(F.lit("# "), F.col("prompt"), F.col("completion"))
+    code = F.when(F.col("attempt") == 0, code).otherwise(TX.prompt_code(F.col("prompt"), F.col("completion")))
+    parts = CM.split_doc(code, F.lit("python"))
+    return cc.select("item_id", "attempt", parts["doc"].alias("doc"), parts["func"].alias("func"))
+
+
+def q_regroup_completions(spark, sf_dir):
+    g = CM.regroup_completions(_cut(spark, sf_dir).withColumnRenamed("cleaned", "completion"), ["item_id"])
+    return g.select("item_id", F.size("completions").cast("long").alias("n_completions"),
+                    F.array_join("completions", "\u001e").alias("completions_joined"))
+
+
+def q_validate_names(spark, sf_dir):
+    return VL.validate_names(FX.attempts(spark, sf_dir))
+
+
+def q_tokenizer_checks(spark, sf_dir):
+    return VL.tokenizer_checks(VL.tokenizer_configs(FX.attempts(spark, sf_dir)))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the RQ1 paired report (16-bit vs 8/4/3/2-bit) at sf0.001."""
     return queries()["report_rq1"](spark, SF_SMOKE)
@@ -258,6 +338,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_windows": q_stream_windows,
         "stream_chunks": q_stream_chunks,
         "token_budget": q_token_budget,
+        "strip_prompt": q_strip_prompt,
+        "prompt_removal": q_prompt_removal,
+        "stop_truncate": q_stop_truncate,
+        "left_pad": q_left_pad,
+        "trim_special_ids": q_trim_special_ids,
+        "cut_first_function": q_cut_first_function,
+        "cut_first_function_strict": q_cut_first_function_strict,
+        "strip_comments": q_strip_comments,
+        "split_doc": q_split_doc,
+        "regroup_completions": q_regroup_completions,
+        "validate_names": q_validate_names,
+        "tokenizer_checks": q_tokenizer_checks,
     }
 
 

@@ -1,0 +1,254 @@
+"""Small lexical scanners for Python and Java source (helpers of X2-X4).
+
+They run inside Arrow-batched UDFs (``operators/completions.py``), one call
+per completion.  Each scanner classifies characters as code, string,
+comment or white space; nothing here builds a syntax tree.
+"""
+
+from __future__ import annotations
+
+import re
+
+_PY_DEF = re.compile(r"[ \t]*(async[ \t]+)?def[ \t]+\w")
+_PY_PREFIX = re.compile(r"[rRbBuUfF]{0,2}$")
+_JAVA_NOT_TYPE = {"return", "new", "throw", "else", "case", "assert", "yield", "if", "for",
+                  "while", "switch", "catch", "synchronized", "do", "try", "finally", "super", "this"}
+_JAVA_NOT_NAME = {"if", "for", "while", "switch", "catch", "synchronized", "return", "new",
+                  "else", "try", "do", "super", "this", "throw"}
+
+
+# ---------------------------------------------------------------- Python
+def _py_spans(code: str):
+    """Yield (kind, start, end) for strings, comments; code elsewhere.
+    kind in {'str', 'doc', 'comment'}; also tracks bracket depth per char."""
+    i, n = 0, len(code)
+    depth = 0
+    line_start_code = True  # only white space since the line start
+    spans = []
+    depth_at = [0] * (n + 1)
+    while i < n:
+        ch = code[i]
+        depth_at[i] = depth
+        if ch == "#":
+            j = code.find("\n", i)
+            j = n if j < 0 else j
+            spans.append(("comment", i, j))
+            for k in range(i, j):
+                depth_at[k] = depth
+            i = j
+            continue
+        if ch in "'\"":
+            # string prefix letters directly before the quote belong to it
+            q3 = code[i:i + 3]
+            triple = q3 in ("'''", '"""')
+            quote = q3 if triple else ch
+            j = i + len(quote)
+            while j < n:
+                if code[j] == "\\":
+                    j += 2
+                    continue
+                if code.startswith(quote, j):
+                    j += len(quote)
+                    break
+                if not triple and code[j] == "\n":
+                    break
+                j += 1
+            j = min(j, n)
+            kind = "doc" if (triple and line_start_code) else "str"
+            spans.append((kind, i, j))
+            for k in range(i, j):
+                depth_at[k] = depth
+            line_start_code = False
+            i = j
+            continue
+        if ch in "([{":
+            depth += 1
+        elif ch in ")]}":
+            depth = max(0, depth - 1)
+        if ch == "\n":
+            line_start_code = True
+        elif not ch.isspace() and not (ch.isalpha() and _PY_PREFIX.match(
+                code[max(0, i - 1):i + 1]) and i + 1 < n and code[i + 1] in "'\""):
+            line_start_code = False
+        i += 1
+    depth_at[n] = depth
+    return spans, depth_at
+
+
+def _mask(code: str, spans) -> list[str]:
+    """Per-character class: 'c' code, 's' string, 'd' docstring, '#' comment."""
+    m = ["c"] * len(code)
+    for kind, a, b in spans:
+        ch = {"str": "s", "doc": "d", "comment": "#"}[kind]
+        for k in range(a, b):
+            m[k] = ch
+    return m
+
+
+def py_first_function_end(code: str) -> int | None:
+    """Character offset just past the first function definition, or None."""
+    spans, depth = _py_spans(code)
+    mask = _mask(code, spans)
+    offs, pos = [], 0
+    lines = code.split("\n")
+    for ln in lines:
+        offs.append(pos)
+        pos += len(ln) + 1
+    d_line = None
+    for li, ln in enumerate(lines):
+        a = offs[li]
+        if depth[a] != 0 or (a < len(mask) and mask[a] in "sd" and a > 0 and mask[a - 1] in "sd"):
+            continue
+        if _PY_DEF.match(ln) and mask[a + len(ln) - len(ln.lstrip())] == "c":
+            d_line = li
+            break
+    if d_line is None:
+        return None
+    ind = len(lines[d_line]) - len(lines[d_line].lstrip(" \t"))
+    stop = len(code)
+    for li in range(d_line + 1, len(lines)):
+        a, ln = offs[li], lines[li]
+        body = ln.strip()
+        if not body:
+            continue
+        first = a + len(ln) - len(ln.lstrip())
+        if depth[a] != 0 or mask[first] != "c" or (a > 0 and mask[a - 1] in "sd" and mask[a] in "sd"):
+            continue
+        if (len(ln) - len(ln.lstrip(" \t"))) <= ind:
+            stop = a
+            break
+    end = stop
+    while end > 0 and (code[end - 1].isspace() or mask[end - 1] == "#"):
+        end -= 1
+    return end
+
+
+def py_strip_comments(code: str) -> str:
+    """X3 (Python): drop comments and docstrings, keeping their newlines."""
+    text = code.strip("\n")
+    spans, _ = _py_spans(text)
+    out, last = [], 0
+    for kind, a, b in spans:
+        if kind in ("comment", "doc"):
+            out.append(text[last:a])
+            out.append("\n" * text.count("\n", a, b))
+            last = b
+    out.append(text[last:])
+    return "".join(out).strip()
+
+
+# ---------------------------------------------------------------- Java
+_JAVA_TOKEN = re.compile(
+    r'(?P<ws>\s+)|(?P<lc>//[^\n]*\n?)|(?P<bc>/\*.*?(\*/|\Z))|(?P<tb>""".*?("""|\Z))'
+    r'|(?P<str>"(\\.|[^"\\\n])*"?)|(?P<chr>\'(\\.|[^\'\\\n])*\'?)|(?P<id>[A-Za-z_$][\w$]*)'
+    r'|(?P<num>\d[\w.]*)|(?P<op>.)', re.S)
+
+
+def java_tokens(code: str):
+    """(kind, text, start, end) with kind in ws, lc, bc, tb, str, chr, id, num, op."""
+    return [(m.lastgroup, m.group(), m.start(), m.end()) for m in _JAVA_TOKEN.finditer(code)]
+
+
+def java_first_method_end(code: str) -> int | None:
+    """Offset just past the first method declaration (header with a return
+    type, a name and a parameter list, then a balanced body or ``;``)."""
+    toks = [t for t in java_tokens(code) if t[0] not in ("ws", "lc", "bc")]
+    n = len(toks)
+    for i in range(1, n - 1):
+        kind, name = toks[i][0], toks[i][1]
+        if kind != "id" or toks[i + 1][1] != "(" or name in _JAVA_NOT_NAME:
+            continue
+        pk, pt = toks[i - 1][0], toks[i - 1][1]
+        if not ((pk == "id" and pt not in _JAVA_NOT_TYPE) or pt in (">", "]")):
+            continue
+        if i >= 2 and toks[i - 2][1] == ".":
+            continue
+        # balanced parameter list
+        j, depth = i + 1, 0
+        while j < n:
+            if toks[j][1] == "(":
+                depth += 1
+            elif toks[j][1] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            j += 1
+        if j >= n:
+            return None
+        j += 1
+        if j < n and toks[j][1] == "throws":
+            j += 1
+            while j < n and (toks[j][0] == "id" or toks[j][1] in (".", ",", "<", ">")):
+                j += 1
+        if j < n and toks[j][1] == ";":
+            return toks[j][3]
+        if j >= n or toks[j][1] != "{":
+            continue
+        depth = 0
+        while j < n:
+            if toks[j][1] == "{":
+                depth += 1
+            elif toks[j][1] == "}":
+                depth -= 1
+                if depth == 0:
+                    return toks[j][3]
+            j += 1
+        return None
+    return None
+
+
+def java_strip_comments(code: str) -> str:
+    """X3 (Java): drop comments and char literals, keeping their newlines."""
+    text = code.strip("\n")
+    out = []
+    for kind, t, _, _ in java_tokens(text):
+        out.append("\n" * t.count("\n") if kind in ("lc", "bc", "chr") else t)
+    return "".join(out).strip()
+
+
+# ---------------------------------------------------------------- common
+def first_function_end(code: str, language: str) -> int | None:
+    return java_first_method_end(code) if language == "java" else py_first_function_end(code)
+
+
+def cut_first_function(prompt: str, completion: str, language: str) -> str:
+    """X2 strict: keep ``prompt + completion`` up to the end of the first
+    function, minus the prompt's length; unchanged when there is none."""
+    code = prompt + completion
+    end = first_function_end(code, language)
+    if end is None:
+        return completion
+    return code[:end][len(prompt):]
+
+
+def strip_comments(code: str, language: str) -> str:
+    return java_strip_comments(code) if language == "java" else py_strip_comments(code)
+
+
+def split_doc(function: str, language: str) -> tuple[str, str]:
+    """(leading comment block, rest).  The input is stripped of
+    surrounding newlines and ends with one newline, as a lexer would see it;
+    without a leading comment: ('', input unchanged)."""
+    text = function.strip("\n") + "\n"
+    if language == "java":
+        toks = java_tokens(text)
+        if not toks or toks[0][0] not in ("lc", "bc"):
+            return "", function
+        k = 0
+        while k < len(toks) and toks[k][0] in ("lc", "bc", "ws"):
+            k += 1
+        cut = toks[k][2] if k < len(toks) else len(text)
+        return text[:cut], text[cut:]
+    spans, _ = _py_spans(text)
+    if not text.startswith("#"):
+        return "", function
+    pos = 0
+    comments = {a: b for kind, a, b in spans if kind == "comment"}
+    while pos < len(text):
+        if pos in comments:
+            pos = comments[pos]
+        elif text[pos].isspace():
+            pos += 1
+        else:
+            break
+    return text[:pos], text[pos:]

@@ -123,6 +123,7 @@ def oracle_queries() -> dict[str, str]:
         **stats_queries(),
         **corpus_queries(),
         **stream_queries(),
+        **completion_queries(),
     }
 
 
@@ -546,3 +547,118 @@ def stream_queries() -> dict[str, str]:
         "stream_chunks": stream_chunks_sql(),
         "token_budget": token_budget_sql(),
     }
+
+
+# ---------------------------------------------------------------- completions
+REPLY = """reply AS (
+  SELECT a.conv_id, a.turn, u.text AS prompt, a.text AS completion
+  FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1
+  WHERE a.role = 'assistant' AND u.role = 'user')"""
+
+CODE_COMPLETIONS = """cc AS (
+  SELECT item_id, cast(a.attempt as integer) AS attempt,
+    CASE WHEN item_id % 4 = 3 THEN 'x = ' || cast(item_id as varchar) || chr(10)
+         ELSE 'def f' || cast(item_id as varchar) || '(x):' || chr(10) || '    "doc"' || chr(10) END AS prompt,
+    '    y = x + ' || cast(a.attempt as varchar) || chr(10) || chr(10) || '    return y' || chr(10)
+    || CASE (item_id + a.attempt) % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'def extra():' || chr(10) || '    pass' || chr(10)
+       ELSE 'print(1)' || chr(10) END AS completion
+  FROM benchmark, range(0, 3) a(attempt))"""
+
+TOKEN_ROWS = r"""tr AS (
+  SELECT doc_id, list_concat(list_transform(range(doc_id % 4), lambda x: 0), [1],
+         list_transform(regexp_extract_all(text, '\S+'), lambda w: cast(length(w) as integer))) AS ids
+  FROM documents)"""
+
+STRIP = r"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+
+
+def strip_prompt_sql() -> str:
+    return f"WITH {REPLY} SELECT conv_id, turn, {STRIP.format(x='prompt')} AS prompt_stripped FROM reply"
+
+
+def prompt_removal_sql() -> str:
+    p = STRIP.format(x="prompt")
+    return (f"WITH {REPLY}, r AS (SELECT conv_id, turn, {p} AS p, completion FROM reply) "
+            f"SELECT conv_id, turn, substring(p || completion, length(p) + 1) AS generated FROM r")
+
+
+def stop_truncate_sql() -> str:
+    stops = ["chr(46) || chr(10)", "', '"]
+    hits = ", ".join(f"instr(completion, {s})" for s in stops)
+    return f"""WITH {REPLY},
+h AS (SELECT conv_id, turn, completion, list_min(list_filter([{hits}], lambda i: i > 0)) AS first FROM reply)
+SELECT conv_id, turn, CASE WHEN first IS NULL THEN completion ELSE substring(completion, 1, first - 1) END AS truncated
+FROM h"""
+
+
+def left_pad_sql(batch=8) -> str:
+    return f"""WITH {TOKEN_ROWS},
+b AS (SELECT *, max(len(ids)) OVER (PARTITION BY doc_id // {batch}) AS width FROM tr)
+SELECT doc_id, width, array_to_string(list_concat(list_transform(range(width - len(ids)), lambda x: 0), ids), ',') AS padded
+FROM b"""
+
+
+def trim_ids_sql(max_length=1024) -> str:
+    return f"""WITH {TOKEN_ROWS},
+a AS (SELECT doc_id, ids, coalesce(list_position(list_transform(ids, lambda x: x NOT IN (0, 1)), true), 0) AS f FROM tr),
+b AS (SELECT doc_id, ids, CASE WHEN f = 0 THEN []::INTEGER[] ELSE list_slice(ids, f, len(ids)) END AS rest FROM a),
+c AS (SELECT *, coalesce(list_position(list_transform(rest, lambda x: x IN (0, 1, 2)), true), 0) AS s FROM b)
+SELECT doc_id, len(list_slice(ids, 1, {max_length - 1})) AS n_truncated,
+       array_to_string(CASE WHEN s = 0 THEN rest ELSE list_slice(rest, 1, s - 1) END, ',') AS kept
+FROM c"""
+
+
+def cut_fast_sql() -> str:
+    return rf"""WITH {CODE_COMPLETIONS},
+l AS (SELECT item_id, attempt, prompt, completion, string_split(prompt || completion, chr(10)) AS lines FROM cc),
+d AS (SELECT *, coalesce(list_position(list_transform(lines, lambda x: regexp_matches(x, '^\s*(async\s+)?def\s+\w+')), true), 0) AS d FROM l),
+i AS (SELECT *, length(regexp_extract(lines[greatest(d, 1)], '^(\s*)', 1)) AS dind FROM d),
+s AS (SELECT *, list_min(list_filter(range(1, len(lines) + 1), lambda k: k > d AND regexp_matches(lines[k], '\S')
+                 AND length(regexp_extract(lines[k], '^(\s*)', 1)) <= dind)) AS stop FROM i),
+k AS (SELECT *, CASE WHEN stop IS NULL THEN lines ELSE list_slice(lines, 1, stop - 1) END AS kept FROM s)
+SELECT item_id, attempt,
+  CASE WHEN d = 0 THEN completion
+       ELSE substring(regexp_replace(array_to_string(kept, chr(10)), '\s+$', ''), length(prompt) + 1) END AS cleaned
+FROM k"""
+
+
+def regroup_sql() -> str:
+    return (f"WITH c AS ({cut_fast_sql()}) SELECT item_id, count(*) AS n_completions, "
+            f"array_to_string(list(cleaned ORDER BY attempt), chr(30)) AS completions_joined FROM c GROUP BY item_id")
+
+
+def validate_names_sql() -> str:
+    return f"""WITH {attempts_cte()},
+v AS (SELECT DISTINCT 'language' AS field, language AS value FROM attempts
+      UNION SELECT DISTINCT 'recipe' AS field,
+        CASE WHEN ends_with(quantization, '-rnd') THEN 'pajama' WHEN ends_with(quantization, '-mixed') THEN 'code_technical_language'
+             WHEN ends_with(quantization, '-code') THEN 'github_code' ELSE 'none' END AS value FROM attempts)
+SELECT field, value,
+  CASE WHEN field = 'language' THEN value IN ('java', 'py') ELSE value IN ('pajama', 'github_code', 'code_technical_language') END AS valid
+FROM v"""
+
+
+def tokenizer_checks_sql() -> str:
+    h = h48("model")
+    return f"""WITH {attempts_cte()},
+m AS (SELECT DISTINCT model FROM attempts),
+t AS (SELECT model, CASE WHEN starts_with(model, 'codellama') THEN NULL ELSE {h} % 7 END AS pad_raw,
+             2 + {h} % 5 AS eos_id, [0, 1, 2, 3, 4, 5, 6] AS specials FROM m)
+SELECT model, cast(coalesce(pad_raw, eos_id) as bigint) AS pad_id, cast(eos_id as bigint) AS eos_id,
+  len(specials) >= 1 AS has_specials, list_contains(specials, coalesce(pad_raw, eos_id)) AS pad_is_special,
+  list_contains(specials, eos_id) AS eos_is_special
+FROM t"""
+
+
+def completion_queries() -> dict[str, str]:
+    return {
+        "strip_prompt": strip_prompt_sql(),
+        "prompt_removal": prompt_removal_sql(),
+        "stop_truncate": stop_truncate_sql(),
+        "left_pad": left_pad_sql(),
+        "trim_special_ids": trim_ids_sql(),
+        "cut_first_function": cut_fast_sql(),
+        "regroup_completions": regroup_sql(),
+        "validate_names": validate_names_sql(),
+        "tokenizer_checks": tokenizer_checks_sql(),
+    }
