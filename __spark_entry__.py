@@ -25,7 +25,10 @@ from calibspark.operators import stream_windows as SW
 from calibspark.sources import corpus as CP
 from calibspark.operators.ordering import with_sort_position
 from calibspark.operators.paired import Comparison
+from calibspark.plans import cleaning as CL
+from calibspark.plans import ingest as IG
 from calibspark.plans import reports as R
+from calibspark.session import scratch_path
 from calibspark.plans import statistics as ST
 from calibspark.sources import fixtures as FX
 
@@ -293,6 +296,26 @@ def q_tokenizer_checks(spark, sf_dir):
     return VL.tokenizer_checks(VL.tokenizer_configs(FX.attempts(spark, sf_dir)))
 
 
+# ---------------------------------------------------------------- file jobs
+def _fresh(spark, name):
+    import uuid
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+def q_ingest_results(spark, sf_dir):
+    root = _fresh(spark, "results")
+    IG.write_result_tree(FX.attempts(spark, sf_dir), root)
+    return IG.ingest_results(spark, root)
+
+
+def q_clean_completions_job(spark, sf_dir):
+    root = _fresh(spark, "completions")
+    CL.write_completion_tree(FX.code_completions(spark, sf_dir), root)
+    out = CL.clean_completion_files(spark, root, "py")
+    return out.select("rel_path", "name", F.size("completions").cast("long").alias("n_completions"),
+                      F.array_join("completions", "\u001e").alias("completions_joined"))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the RQ1 paired report (16-bit vs 8/4/3/2-bit) at sf0.001."""
     return queries()["report_rq1"](spark, SF_SMOKE)
@@ -350,6 +373,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "regroup_completions": q_regroup_completions,
         "validate_names": q_validate_names,
         "tokenizer_checks": q_tokenizer_checks,
+        "ingest_results": q_ingest_results,
+        "clean_completions_job": q_clean_completions_job,
     }
 
 

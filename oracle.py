@@ -124,6 +124,7 @@ def oracle_queries() -> dict[str, str]:
         **corpus_queries(),
         **stream_queries(),
         **completion_queries(),
+        **job_queries(),
     }
 
 
@@ -662,3 +663,17 @@ def completion_queries() -> dict[str, str]:
         "validate_names": validate_names_sql(),
         "tokenizer_checks": tokenizer_checks_sql(),
     }
+
+
+def clean_job_sql() -> str:
+    return (f"WITH c AS ({cut_fast_sql()}) SELECT CASE WHEN item_id % 2 = 0 THEN 'runA' ELSE 'runB' END "
+            f"|| '/py_benchmark/P_' || cast(item_id as varchar) || '.json.gz' AS rel_path, "
+            f"'P_' || cast(item_id as varchar) AS name, count(*) AS n_completions, "
+            f"array_to_string(list(cleaned ORDER BY attempt), chr(30)) AS completions_joined FROM c GROUP BY item_id")
+
+
+def job_queries() -> dict[str, str]:
+    return {
+        "ingest_results": outcome_flag_sql(),
+        "clean_completions_job": clean_job_sql(),
+    }
