@@ -29,6 +29,7 @@ from calibspark.plans import cleaning as CL
 from calibspark.plans import ingest as IG
 from calibspark.plans import reports as R
 from calibspark.session import scratch_path
+from calibspark.streaming import streams as ST_
 from calibspark.plans import statistics as ST
 from calibspark.sources import fixtures as FX
 
@@ -316,6 +317,40 @@ def q_clean_completions_job(spark, sf_dir):
                       F.array_join("completions", "\u001e").alias("completions_joined"))
 
 
+# ---------------------------------------------------------------- streaming
+def _stream_src(spark, df, name, n_files=5):
+    src = _fresh(spark, name)
+    ST_.write_ordered_files(df, src, "pos", n_files)
+    return src
+
+
+def q_stream_filter(spark, sf_dir):
+    code = FX.code_corpus(spark, sf_dir)
+    src = _stream_src(spark, code, "code-src")
+    out = ST_.stream_code_candidates(spark, src, code.schema, SEQLEN, _fresh(spark, "t1-out"), _fresh(spark, "t1-ck"))
+    return out.select("pos", "repo", "language", "n_tokens")
+
+
+def q_stream_quota(spark, sf_dir):
+    code = FX.code_corpus(spark, sf_dir)
+    src = _stream_src(spark, code, "code-src")
+    return ST_.stream_quota(spark, src, code.schema, SEQLEN, 20, ["java", "python"],
+                            _fresh(spark, "t2-state"), _fresh(spark, "t2-ck"))
+
+
+def q_stream_head(spark, sf_dir):
+    qa = FX.qa_corpus(spark, sf_dir)
+    src = _stream_src(spark, qa, "qa-src")
+    return ST_.stream_head(spark, src, qa.schema, 20, SEQLEN, _fresh(spark, "t3-state"), _fresh(spark, "t3-ck"))
+
+
+def q_stream_pass_rate(spark, sf_dir):
+    root = _fresh(spark, "results")
+    IG.write_result_tree(FX.attempts(spark, sf_dir), root)
+    out = ST_.stream_pass_rate(spark, root, _fresh(spark, "t4-out"), _fresh(spark, "t4-ck"))
+    return _round_doubles(out)
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the RQ1 paired report (16-bit vs 8/4/3/2-bit) at sf0.001."""
     return queries()["report_rq1"](spark, SF_SMOKE)
@@ -375,6 +410,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tokenizer_checks": q_tokenizer_checks,
         "ingest_results": q_ingest_results,
         "clean_completions_job": q_clean_completions_job,
+        "stream_filter": q_stream_filter,
+        "stream_quota": q_stream_quota,
+        "stream_head": q_stream_head,
+        "stream_pass_rate": q_stream_pass_rate,
     }
 
 

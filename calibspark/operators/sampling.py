@@ -106,7 +106,9 @@ def code_candidates(corpus: DataFrame, seqlen: int) -> DataFrame:
 
 
 def quota_select(eligible: DataFrame, quota: int, strata: list[str], key: str = "repo",
-                 stratum: str = "language", order: str = "pos") -> DataFrame:
+                 stratum: str = "language", order: str = "pos",
+                 prior_keys: DataFrame | None = None,
+                 prior_counts: dict[str, int] | None = None) -> DataFrame:
     """C2 selection: greedy arrival-order sampling with at most ``quota`` rows
     per stratum and one row per key, in set form.
 
@@ -116,12 +118,17 @@ def quota_select(eligible: DataFrame, quota: int, strata: list[str], key: str =
     (a partial aggregate by key, a ``row_number() <= quota`` group limit per
     stratum), and only the scalar ``T_i`` reaches the driver.
 
+    ``prior_keys`` / ``prior_counts`` resume from an earlier selection over
+    rows that all precede ``eligible`` (the incremental form).
+
     Returns (order, key, stratum, phase).
     """
     skinny = eligible.select(order, key, stratum).persist(StorageLevel.MEMORY_AND_DISK)
     spark = eligible.sparkSession
     accepted = None
-    counts = {s: 0 for s in strata}
+    counts = {s: (prior_counts or {}).get(s, 0) for s in strata}
+    if prior_keys is not None:
+        skinny = skinny.join(F.broadcast(prior_keys.select(key)), key, "left_anti")
     t_prev = None
     for phase in range(len(strata)):
         open_strata = [s for s in strata if counts[s] < quota]

@@ -125,6 +125,7 @@ def oracle_queries() -> dict[str, str]:
         **stream_queries(),
         **completion_queries(),
         **job_queries(),
+        **stream_queries_sql(),
     }
 
 
@@ -677,3 +678,16 @@ def job_queries() -> dict[str, str]:
         "ingest_results": outcome_flag_sql(),
         "clean_completions_job": clean_job_sql(),
     }
+
+
+def stream_queries_sql() -> dict[str, str]:
+    return {
+        "stream_filter": (f"WITH {CODE_CORPUS}, {CODE_ELIGIBLE.format(seqlen=64)} "
+                          f"SELECT e.pos, e.repo, e.language, {ntok('c.text')} AS n_tokens "
+                          f"FROM code_e e JOIN code c ON c.pos = e.pos"),
+        "stream_quota": (f"WITH RECURSIVE {CODE_CORPUS},\n{greedy_quota_cte(64, 20)}\n"
+                         "SELECT pos, repo, language FROM chosen"),
+        "stream_head": (f"WITH {QA_CORPUS},\n{QA_FILTERED}\n"
+                        f"SELECT pos FROM qa_f WHERE {ntok()} > 64 ORDER BY pos LIMIT 20"),
+        "stream_pass_rate": pass_rate_sql(),
+    }
