@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,8 +78,6 @@ def encoder_udf(make_encoder: Callable[[], Callable[[list[str]], list[list[int]]
                 add_bos: int | None = None):
     """A vectorised (Arrow) UDF ``text -> array<int>`` from a factory of a
     batch encoder.  The encoder is built once per Python worker."""
-    import pandas as pd
-
     cache: dict = {}
 
     @F.pandas_udf("array<int>")
@@ -96,8 +95,6 @@ def encoder_udf(make_encoder: Callable[[], Callable[[list[str]], list[list[int]]
 
 def decoder_udf(make_decoder: Callable[[], Callable[[list[list[int]]], list[str]]]):
     """A vectorised UDF ``array<int> -> string``."""
-    import pandas as pd
-
     cache: dict = {}
 
     @F.pandas_udf("string")
