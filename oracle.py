@@ -110,7 +110,7 @@ adj AS ({bh})
 SELECT row_id, base_precision, quant_precision, lng, model, cast(n_pairs as bigint) AS n_pairs,
        cast(b as bigint) AS b, cast(c as bigint) AS c, round(p_value, {DIGITS}) AS p_value,
        round(p_adj, {DIGITS}) AS p_adj, round(odds_ratio, {DIGITS}) AS odds_ratio, or_infinite,
-       row_number() OVER (ORDER BY {_sort_sql(spec.sort)}, row_id) AS report_pos
+       cast(row_number() OVER (ORDER BY {_sort_sql(spec.sort)}, row_id) as integer) AS report_pos
 FROM adj"""
 
 
@@ -230,7 +230,7 @@ def custom_sort_sql() -> str:
     return f"""WITH {attempts_cte()},
 pr AS (SELECT {CONFIG}, count(*) AS n_attempts, cast(sum(pass) as bigint) AS n_pass,
        round(avg(pass), {DIGITS}) AS pass_rate FROM attempts_pass GROUP BY ALL)
-SELECT *, row_number() OVER (ORDER BY {_sort_sql(CUSTOM_SORT_SPEC)}, model) AS report_pos FROM pr"""
+SELECT *, cast(row_number() OVER (ORDER BY {_sort_sql(CUSTOM_SORT_SPEC)}, model) as integer) AS report_pos FROM pr"""
 
 
 def experiment_grid_sql() -> str:
@@ -306,7 +306,7 @@ QA_CORPUS = r"""qa AS (
     || '}' AS meta
   FROM documents)"""
 
-NTOK = r"len(regexp_extract_all({t}, '\S+'))"
+NTOK = r"cast(len(regexp_extract_all({t}, '\S+')) as integer)"
 TOKS = r"regexp_extract_all({t}, '\s*\S+')"
 
 
@@ -348,7 +348,7 @@ chosen AS (SELECT e.pos, e.repo, e.language FROM greedy g JOIN code_e e ON e.i =
 
 def heads_select(src: str, chosen: str, seqlen: int, extra: str = "") -> str:
     return f"""SELECT row_number() OVER (ORDER BY c.pos) - 1 AS sample_id, c.pos AS doc_pos, 0 AS start,
-       len(list_slice({toks('s.text')}, 1, {seqlen})) AS num_tokens,
+       cast(len(list_slice({toks('s.text')}, 1, {seqlen})) as integer) AS num_tokens,
        array_to_string(list_slice({toks('s.text')}, 1, {seqlen}), '') AS raw_data, s.meta{extra}
 FROM {chosen} c JOIN {src} s ON s.pos = c.pos"""
 
@@ -430,7 +430,7 @@ def length_gate_sql(seqlen=512, strict=True) -> str:
 
 def head_tokens_sql(seqlen=64) -> str:
     return f"""SELECT doc_id, array_to_string(list_slice({toks()}, 1, {seqlen}), '') AS raw_data,
-  len(list_slice({toks()}, 1, {seqlen})) AS num_tokens
+  cast(len(list_slice({toks()}, 1, {seqlen})) as integer) AS num_tokens
 FROM documents WHERE {ntok()} > {seqlen}"""
 
 
@@ -450,7 +450,7 @@ d AS (SELECT k, {h48(f"concat_ws(chr(124), {seed}, k, 'doc')")} % total AS gidx
 p AS (SELECT d.k, g.pos, g.n_tokens, {start} AS st FROM d JOIN g USING (gidx)),
 w AS (SELECT p.k, p.pos, p.st, list_slice({toks('x.text')}, p.st + 1, p.st + {seqlen}) AS win, x.source AS meta
       FROM p JOIN documents x ON x.doc_id = p.pos)
-SELECT k AS sample_id, pos AS doc_pos, cast(st as integer) AS start, len(win) AS num_tokens,
+SELECT k AS sample_id, pos AS doc_pos, cast(st as integer) AS start, cast(len(win) as integer) AS num_tokens,
        array_to_string(win, '') AS raw_data, meta FROM w"""
 
 
@@ -474,7 +474,7 @@ def split_totals_sql() -> str:
 
 
 def pretokenized_head_sql(n=100) -> str:
-    return f"""SELECT doc_id, len(regexp_extract_all(text, '\\S+')) + doc_id % 4 + 1 AS n_ids
+    return f"""SELECT doc_id, cast(len(regexp_extract_all(text, '\\S+')) + doc_id % 4 + 1 as integer) AS n_ids
 FROM documents ORDER BY doc_id LIMIT {n}"""
 
 
@@ -537,7 +537,7 @@ def token_budget_sql(seqlen=64, ndocs=1100, n_chunks=256) -> str:
     return f"""WITH {_stream_cte("' '", ndocs=ndocs)},
 b AS (SELECT list_slice(t, 1, {budget}) AS t FROM st),
 c AS (SELECT unnest(range(0, (len(t) + {seqlen} - 1) // {seqlen})) AS chunk_id, t FROM b)
-SELECT chunk_id, len(list_slice(t, chunk_id * {seqlen} + 1, chunk_id * {seqlen} + {seqlen})) AS num_tokens,
+SELECT chunk_id, cast(len(list_slice(t, chunk_id * {seqlen} + 1, chunk_id * {seqlen} + {seqlen})) as integer) AS num_tokens,
        array_to_string(list_slice(t, chunk_id * {seqlen} + 1, chunk_id * {seqlen} + {seqlen}), '') AS raw_data
 FROM c"""
 
@@ -595,7 +595,7 @@ FROM h"""
 
 def left_pad_sql(batch=8) -> str:
     return f"""WITH {TOKEN_ROWS},
-b AS (SELECT *, max(len(ids)) OVER (PARTITION BY doc_id // {batch}) AS width FROM tr)
+b AS (SELECT *, cast(max(len(ids)) OVER (PARTITION BY doc_id // {batch}) as integer) AS width FROM tr)
 SELECT doc_id, width, array_to_string(list_concat(list_transform(range(width - len(ids)), lambda x: 0), ids), ',') AS padded
 FROM b"""
 
@@ -605,7 +605,7 @@ def trim_ids_sql(max_length=1024) -> str:
 a AS (SELECT doc_id, ids, coalesce(list_position(list_transform(ids, lambda x: x NOT IN (0, 1)), true), 0) AS f FROM tr),
 b AS (SELECT doc_id, ids, CASE WHEN f = 0 THEN []::INTEGER[] ELSE list_slice(ids, f, len(ids)) END AS rest FROM a),
 c AS (SELECT *, coalesce(list_position(list_transform(rest, lambda x: x IN (0, 1, 2)), true), 0) AS s FROM b)
-SELECT doc_id, len(list_slice(ids, 1, {max_length - 1})) AS n_truncated,
+SELECT doc_id, cast(len(list_slice(ids, 1, {max_length - 1})) as integer) AS n_truncated,
        array_to_string(CASE WHEN s = 0 THEN rest ELSE list_slice(rest, 1, s - 1) END, ',') AS kept
 FROM c"""
 
