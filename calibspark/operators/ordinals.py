@@ -39,7 +39,10 @@ def hash_bucket(col: Column, n_buckets: int) -> Column:
     return F.pmod(h48(col), F.lit(n_buckets)).cast("int")
 
 
-def dense_index(df: DataFrame, order_col: str, n_buckets: int = 256) -> DenseIndex:
+DEFAULT_BUCKETS = 4096
+
+
+def dense_index(df: DataFrame, order_col: str, n_buckets: int = DEFAULT_BUCKETS) -> DenseIndex:
     """Dense 0-based ordinal of every row.
 
     Buckets are hashes of the order column, so a hot range of keys spreads
@@ -56,25 +59,3 @@ def dense_index(df: DataFrame, order_col: str, n_buckets: int = 256) -> DenseInd
     w = Window.partitionBy("bucket").orderBy(order_col)
     rows = with_b.withColumn("local", (F.row_number().over(w) - 1).cast("bigint"))
     return DenseIndex(rows, buckets, offsets, total)
-
-
-def running_offset(df: DataFrame, order_col: str, value_col: str, bucket_width: int,
-                   out_col: str = "offset") -> DataFrame:
-    """Exclusive running sum of ``value_col`` in ``order_col`` order.
-
-    Buckets are integer ranges of the order column (``order div width``);
-    inside a bucket a windowed running sum, across buckets an exclusive
-    prefix over per-bucket totals (one row per bucket, joined by broadcast
-    since it is far smaller than the rows: width is chosen by the caller).
-    """
-    b = F.floor(F.col(order_col) / F.lit(bucket_width)).cast("bigint")
-    with_b = df.withColumn("__rb", b)
-    w_in = (Window.partitionBy("__rb").orderBy(order_col)
-            .rowsBetween(Window.unboundedPreceding, -1))
-    inner = with_b.withColumn("__in", F.coalesce(F.sum(value_col).over(w_in), F.lit(0)))
-    totals = with_b.groupBy("__rb").agg(F.sum(value_col).alias("__tot"))
-    w_b = Window.orderBy("__rb").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("__rb", F.coalesce(F.sum("__tot").over(w_b), F.lit(0)).alias("__base"))
-    return (inner.join(F.broadcast(base), "__rb")
-            .withColumn(out_col, (F.col("__base") + F.col("__in")).cast("bigint"))
-            .drop("__rb", "__in", "__base"))

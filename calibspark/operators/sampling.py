@@ -15,7 +15,7 @@ from calibspark.functions.hashing import h48, hkey
 from calibspark.functions.meta import (contains_any, extension, has_key, key_equals,
                                        key_int_at_least, language_from_path, parse_meta)
 from calibspark.functions.tokens import decode, head_tokens, token_count, tokenize, window_tokens
-from calibspark.operators.ordinals import dense_index
+from calibspark.operators.ordinals import DEFAULT_BUCKETS, dense_index
 
 # broadcast only selections whose row count is bounded by a parameter below this
 MAX_BROADCAST_ROWS = 2_000_000
@@ -48,7 +48,7 @@ def with_token_count(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 # ---------------------------------------------------------------- C1 / C7 / C8
 def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
-                   strict: bool = True, n_buckets: int = 256) -> DataFrame:
+                   strict: bool = True, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """C1 (strict) / C7 (inclusive): ``nsamples`` draws with replacement from
     the eligible documents, each cut at a uniform start in
     ``[0, n - seqlen - 1]`` (``0`` when n == seqlen, inclusive mode only).
@@ -80,7 +80,7 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
 
 
 def validation_windows(corpus: DataFrame, seqlen: int, n: int = 256, seed: int = 0,
-                       n_buckets: int = 256) -> DataFrame:
+                       n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
     """``n`` inclusive windows with a fixed seed, laid end to end in draw
     order: ``offset`` is each window's position in the concatenation."""
     w = random_windows(corpus, n, seqlen, seed, strict=False, n_buckets=n_buckets)

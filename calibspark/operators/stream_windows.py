@@ -30,20 +30,43 @@ from calibspark.functions.tokens import token_count, tokenize
 MAX_BROADCAST_ROWS = 2_000_000
 
 
-def running_offset(df: DataFrame, order_col: str, value_col: str, n_buckets: int = 64,
+ROWS_PER_BUCKET = 2_000_000
+
+
+def bucket_by_bounds(df: DataFrame, col: str, bounds: list, out_col: str) -> DataFrame:
+    """Number of ``bounds`` (sorted) that are <= ``col``: a binary search
+    unrolled into one projected column per level -- O(log B) per row."""
+    if not bounds:
+        return df.withColumn(out_col, F.lit(0))
+    arr = F.array(*[F.lit(b) for b in bounds])
+    step = 1
+    while step * 2 <= len(bounds):
+        step *= 2
+    x = F.col(col)
+    df = df.withColumn(out_col, F.lit(0))
+    while step >= 1:
+        probe = F.col(out_col) + step
+        ok = (probe <= len(bounds)) & (F.element_at(arr, F.least(probe, F.lit(len(bounds)))) <= x)
+        df = df.withColumn(out_col, F.when(ok, probe).otherwise(F.col(out_col)))
+        step //= 2
+    return df
+
+
+def running_offset(df: DataFrame, order_col: str, value_col: str, n_buckets: int | None = None,
                    out_col: str = "offset", rel_err: float = 0.001) -> DataFrame:
     """Exclusive running sum of ``value_col`` in ``order_col`` order.
 
     Buckets are approximate quantiles of the order column (balanced whatever
-    the key distribution); a window runs inside each bucket, and the bucket
-    bases come from a table of one row per bucket, broadcast.  Exact: the
-    bucket boundaries only decide where the work is split.
+    the key distribution; about ``ROWS_PER_BUCKET`` rows each unless given);
+    a window runs inside each bucket, and the bucket bases come from a table
+    of one row per bucket, broadcast.  Exact: the boundaries only decide
+    where the work is split.
     """
+    if n_buckets is None:
+        n_buckets = max(1, min(16384, df.count() // ROWS_PER_BUCKET + 1))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = sorted(set(df.approxQuantile(order_col, probs, rel_err))) if n_buckets > 1 else []
-    arr = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
-    bucket = F.size(F.filter(arr, lambda b: b <= F.col(order_col).cast("double")))
-    with_b = df.withColumn("__rb", bucket)
+    with_b = bucket_by_bounds(df, order_col, bounds, "__rb")
     w_in = Window.partitionBy("__rb").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     inner = with_b.withColumn("__in", F.coalesce(F.sum(value_col).over(w_in), F.lit(0)))
     totals = with_b.groupBy("__rb").agg(F.sum(value_col).alias("__tot"))
@@ -61,12 +84,13 @@ class TokenStream:
     ``pieces``: (pos, w, cum) persisted; ``total``: tokens in the stream.
     """
 
-    def __init__(self, corpus: DataFrame, sep: str, n_buckets: int = 64):
+    def __init__(self, corpus: DataFrame, sep: str, n_buckets: int | None = None):
         self.corpus = corpus.select("pos", "text")
         self.sep = sep
-        first = self.corpus.agg(F.min("pos")).first()[0]
-        self.first_pos = first
-        skinny = self.corpus.select("pos", token_count(F.col("text")).alias("w"))
+        # one pass over the text: token counts of every piece, kept skinny
+        skinny = self.corpus.select("pos", token_count(F.col("text")).alias("w")).persist(
+            StorageLevel.MEMORY_AND_DISK)
+        self.first_pos = skinny.agg(F.min("pos")).first()[0]
         self.pieces = running_offset(skinny, "pos", "w", n_buckets, "cum").persist(
             StorageLevel.MEMORY_AND_DISK)
         tot = self.pieces.agg(F.sum("w")).first()[0]
@@ -124,7 +148,7 @@ def windows_over(stream: TokenStream, windows: DataFrame, key: str, bin_size: in
 
 
 def stream_windows(corpus: DataFrame, nsamples: int, seqlen: int, sep: str = "\n\n",
-                   seed: int = 0, n_buckets: int = 64) -> DataFrame:
+                   seed: int = 0, n_buckets: int | None = None) -> DataFrame:
     """``nsamples`` random windows of ``seqlen`` tokens over the whole
     separator-joined corpus; start uniform in ``[0, total - seqlen - 1]``."""
     stream = TokenStream(corpus, sep, n_buckets)
@@ -168,7 +192,7 @@ def _chunks(stream: TokenStream, seqlen: int, limit_tokens: int) -> DataFrame:
     return _assemble(frags, "chunk_id")
 
 
-def encode_stream(corpus: DataFrame, seqlen: int, sep: str = "\n\n", n_buckets: int = 64) -> DataFrame:
+def encode_stream(corpus: DataFrame, seqlen: int, sep: str = "\n\n", n_buckets: int | None = None) -> DataFrame:
     """The whole stream as consecutive ``seqlen``-token chunks (last one
     may be shorter): (chunk_id, num_tokens, raw_data)."""
     stream = TokenStream(corpus, sep, n_buckets)
@@ -177,7 +201,7 @@ def encode_stream(corpus: DataFrame, seqlen: int, sep: str = "\n\n", n_buckets:
 
 
 def token_budget(corpus: DataFrame, seqlen: int, ndocs: int = 1100, n_chunks: int = 256,
-                 sep: str = " ", n_buckets: int = 8) -> DataFrame:
+                 sep: str = " ", n_buckets: int | None = None) -> DataFrame:
     """The first ``ndocs`` documents joined by ``sep``, cut to the first
     ``n_chunks * seqlen`` tokens, as chunks (chunk_id, num_tokens, raw_data).
     The head is a top-k (bounded by ``ndocs``)."""
@@ -187,7 +211,7 @@ def token_budget(corpus: DataFrame, seqlen: int, ndocs: int = 1100, n_chunks: in
     return out.select("chunk_id", F.size(tokenize(F.col("raw_data"))).alias("num_tokens"), "raw_data")
 
 
-def stream_offsets(corpus: DataFrame, n_buckets: int = 64) -> DataFrame:
+def stream_offsets(corpus: DataFrame, n_buckets: int | None = None) -> DataFrame:
     """W3 as a table: (pos, n_tokens, offset) -- offset = tokens before the piece."""
     skinny = corpus.select("pos", token_count(F.col("text")).alias("n_tokens"))
     return running_offset(skinny, "pos", "n_tokens", n_buckets, "offset")

@@ -434,7 +434,7 @@ def head_tokens_sql(seqlen=64) -> str:
 FROM documents WHERE {ntok()} > {seqlen}"""
 
 
-def random_windows_sql(nsamples=40, seqlen=64, seed=0, strict=True, n_buckets=256) -> str:
+def random_windows_sql(nsamples=40, seqlen=64, seed=0, strict=True, n_buckets=4096) -> str:
     op = ">" if strict else ">="
     start = f"{h48(f'concat_ws(chr(124), {seed}, k, ' + chr(39) + 'off' + chr(39) + ')')} % (n_tokens - {seqlen})"
     if not strict:

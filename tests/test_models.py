@@ -81,3 +81,31 @@ def test_pass_at_k_against_comb(spark):
         for (n, c), g in zip(rows, got):
             want = 1.0 if n - c < k else 1 - math.comb(n - c, k) / math.comb(n, k)
             assert g == pytest.approx(want, abs=1e-12)
+
+
+def test_bucket_by_bounds_is_bisect(spark):
+    import bisect
+    from calibspark.operators.stream_windows import bucket_by_bounds
+    rnd = random.Random(11)
+    for nb in (1, 2, 3, 7, 64, 100):
+        bounds = sorted(rnd.sample(range(10_000), nb))
+        xs = [rnd.randint(-5, 10_005) for _ in range(200)] + bounds
+        df = spark.createDataFrame([(x,) for x in xs], "x long")
+        got = [r.b for r in bucket_by_bounds(df, "x", bounds, "b").collect()]
+        assert got == [bisect.bisect_right(bounds, x) for x in xs]
+
+
+@pytest.mark.parametrize("n_buckets", [1, 5, 64])
+def test_running_offset_on_skewed_keys(spark, n_buckets):
+    from calibspark.operators.stream_windows import running_offset
+    rnd = random.Random(n_buckets)
+    # a third of the keys packed into a narrow range, the rest spread out
+    keys = sorted(set(list(range(5000, 5700)) + rnd.sample(range(1_000_000), 1400)))
+    vals = [rnd.randint(0, 50) for _ in keys]
+    df = spark.createDataFrame(list(zip(keys, vals)), "pos long, w long")
+    got = {r.pos: r.offset for r in running_offset(df, "pos", "w", n_buckets, "offset").collect()}
+    acc, want = 0, {}
+    for k, v in zip(keys, vals):
+        want[k] = acc
+        acc += v
+    assert got == want
