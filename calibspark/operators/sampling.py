@@ -7,6 +7,8 @@ a broadcast join -- late materialisation instead of shuffling text.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -163,15 +165,58 @@ def quota_select(eligible: DataFrame, quota: int, strata: list[str], key: str =
     return accepted
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def pos_ranges(corpus: DataFrame, first_span: int | None = None, growth: int = 4,
+               min_span: int = 1_000_000):
+    """Geometric ``[lo, hi)`` ranges over the corpus order column.  Range
+    filters on ``pos`` reach the Parquet scan, so a round reads only the row
+    groups of its range when the corpus is stored in arrival order."""
+    lo, hi = corpus.agg(F.min("pos"), F.max("pos")).first()
+    if lo is None:
+        return
+    span = first_span or max((hi - lo + 1) // 1024, min_span)
+    start = lo
+    while start <= hi:
+        yield start, start + span
+        start += span
+        span *= growth
+
+
 def quota_sample(corpus: DataFrame, nsamples: int, seqlen: int, quota: int | None = None,
-                 strata: list[str] | None = None) -> DataFrame:
+                 strata: list[str] | None = None, first_span: int | None = None,
+                 growth: int = 4) -> DataFrame:
     """Code recipe.  ``quota`` defaults to ``nsamples // 2`` per language.
-    Output ``SAMPLE_COLUMNS + [language, repo]``; sample_id = acceptance order."""
+    Output ``SAMPLE_COLUMNS + [language, repo]``; sample_id = acceptance order.
+
+    Like the reference's lazy iterator, reading stops once every stratum is
+    full: the corpus is consumed in growing ``pos`` ranges, each resuming the
+    selection from the keys and counts accepted so far (exact, since every
+    row of a range follows every row of the earlier ones).
+    """
     quota = nsamples // 2 if quota is None else quota
     strata = strata or ["java", "python"]
-    sel = quota_select(code_candidates(corpus, seqlen), quota, strata)
-    return _materialise_heads(corpus, sel.select("pos", "repo", "language"), seqlen,
-                              bound_rows=quota * len(strata), extra=["language", "repo"])
+    parts, counts = [], {s: 0 for s in strata}
+    for lo, hi in pos_ranges(corpus, first_span, growth):
+        chunk = corpus.where((F.col("pos") >= lo) & (F.col("pos") < hi))
+        prior = _union(parts) if parts else None
+        sel = quota_select(code_candidates(chunk, seqlen), quota, strata,
+                           prior_keys=prior, prior_counts=counts).select("pos", "repo", "language")
+        # the selection is bounded by quota x strata rows
+        sel = sel.persist(StorageLevel.MEMORY_AND_DISK)
+        for r in sel.groupBy("language").count().collect():
+            counts[r[0]] += r[1]
+        parts.append(sel)
+        if all(counts[s] >= quota for s in strata):
+            break
+    if not parts:
+        sel = corpus.sparkSession.createDataFrame([], "pos long, repo string, language string")
+    else:
+        sel = _union(parts)
+    return _materialise_heads(corpus, sel, seqlen, bound_rows=quota * len(strata),
+                              extra=["language", "repo"])
 
 
 def _materialise_heads(corpus: DataFrame, sel: DataFrame, seqlen: int, bound_rows: int,
@@ -217,10 +262,24 @@ def qa_candidates(corpus: DataFrame, seqlen: int) -> DataFrame:
     return length_gate(filt.select("pos", token_count(F.col("text")).alias("n_tokens")), seqlen)
 
 
-def qa_head(corpus: DataFrame, k: int, seqlen: int) -> DataFrame:
-    """The first ``k`` eligible rows in arrival order (top-k, no global
-    sort), each cut to its first ``seqlen`` tokens."""
-    sel = qa_candidates(corpus, seqlen).orderBy("pos").limit(k).select("pos")
+def qa_head(corpus: DataFrame, k: int, seqlen: int, first_span: int | None = None,
+            growth: int = 4) -> DataFrame:
+    """The first ``k`` eligible rows in arrival order, each cut to its first
+    ``seqlen`` tokens.  Growing ``pos`` ranges, a top-k per range (no global
+    sort); reading stops once ``k`` rows are found."""
+    parts, found = [], 0
+    for lo, hi in pos_ranges(corpus, first_span, growth):
+        chunk = corpus.where((F.col("pos") >= lo) & (F.col("pos") < hi))
+        top = qa_candidates(chunk, seqlen).orderBy("pos").limit(k - found).select("pos")
+        top = top.persist(StorageLevel.MEMORY_AND_DISK)
+        found += top.count()
+        parts.append(top)
+        if found >= k:
+            break
+    if not parts:
+        sel = corpus.sparkSession.createDataFrame([], "pos long")
+    else:
+        sel = _union(parts)
     return _materialise_heads(corpus, sel, seqlen, bound_rows=k, extra=[])
 
 

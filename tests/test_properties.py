@@ -70,3 +70,15 @@ def test_empty_inputs(spark):
     assert S.quota_sample(empty, 4, 8).count() == 0
     sh = S.shortage(S.quota_sample(empty, 4, 8), 2, ["java", "python"]).collect()
     assert sorted((r.language, r.missing) for r in sh) == [("java", 2), ("python", 2)]
+
+
+def test_progressive_scan_equals_single_pass(spark):
+    code = FX.code_corpus(spark, SF_MID)
+    qa = FX.qa_corpus(spark, SF_MID)
+    one = sorted(map(tuple, S.quota_sample(code, 40, 64).select("doc_pos", "raw_data").collect()))
+    many = sorted(map(tuple, S.quota_sample(code, 40, 64, first_span=7, growth=2)
+                      .select("doc_pos", "raw_data").collect()))
+    assert one == many
+    h1 = sorted(r.doc_pos for r in S.qa_head(qa, 20, 64).collect())
+    h2 = sorted(r.doc_pos for r in S.qa_head(qa, 20, 64, first_span=5, growth=3).collect())
+    assert h1 == h2 and len(h1) == 20
