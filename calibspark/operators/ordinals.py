@@ -1,61 +1,30 @@
-"""Global ordinals and running offsets without a single-partition window
-(W2, W3).
+"""Global ordinals without a single-partition window.
 
-Both are two-level: a window inside buckets, plus a per-bucket offset from a
-table with one row per bucket (bounded by the bucket count, a parameter).
+The ordinal is the 0-based rank in order-column order.  Dense keys need no
+work; otherwise it is a two-level running count (quantile buckets with a
+window inside each, plus a broadcast table of bucket bases).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calibspark.functions.hashing import h48
-
-
-@dataclass
-class DenseIndex:
-    """Rows with ``bucket`` and ``local`` (0-based rank inside the bucket).
-
-    The global ordinal is ``offset(bucket) + local``; bucket-major, then by
-    the order column.  ``total`` is the row count.
-    """
-    rows: DataFrame
-    buckets: list[int]
-    offsets: list[int]
-    total: int
-
-    def bucket_of(self, idx: Column) -> tuple[Column, Column]:
-        """Map a global ordinal to (bucket, local) with literal arrays -- no join."""
-        offs = F.array(*[F.lit(o).cast("bigint") for o in self.offsets])
-        bids = F.array(*[F.lit(b) for b in self.buckets])
-        slot = F.size(F.filter(offs, lambda o: o <= idx))
-        return F.element_at(bids, slot), idx - F.element_at(offs, slot)
-
-
-def hash_bucket(col: Column, n_buckets: int) -> Column:
-    return F.pmod(h48(col), F.lit(n_buckets)).cast("int")
-
-
-DEFAULT_BUCKETS = 4096
-
 
-def dense_index(df: DataFrame, order_col: str, n_buckets: int = DEFAULT_BUCKETS) -> DenseIndex:
-    """Dense 0-based ordinal of every row.
+def pos_ordinals(df: DataFrame, order_col: str = "pos") -> tuple[DataFrame, int, bool]:
+    """W2 in order-column order: ``ord`` = 0-based rank by ``order_col``.
 
-    Buckets are hashes of the order column, so a hot range of keys spreads
-    evenly; the per-bucket counts (``n_buckets`` rows) are the only data
-    brought to the driver.
+    Dense keys (max - min + 1 == rows, the usual arrival ordinal) need no
+    window at all: ``ord = pos - min``.  Otherwise a two-level running count
+    (quantile buckets, see ``stream_windows.running_offset``).
+    Returns (rows with ``ord``, row count, dense flag).
     """
-    with_b = df.withColumn("bucket", hash_bucket(F.col(order_col), n_buckets))
-    counts = sorted((r[0], r[1]) for r in with_b.groupBy("bucket").count().collect())
-    buckets, offsets, total = [], [], 0
-    for b, c in counts:
-        buckets.append(b)
-        offsets.append(total)
-        total += c
-    w = Window.partitionBy("bucket").orderBy(order_col)
-    rows = with_b.withColumn("local", (F.row_number().over(w) - 1).cast("bigint"))
-    return DenseIndex(rows, buckets, offsets, total)
+    from calibspark.operators.stream_windows import running_offset
+    lo, hi, n = df.agg(F.min(order_col), F.max(order_col), F.count(F.lit(1))).first()
+    if not n:
+        return df.withColumn("ord", F.lit(None).cast("bigint")), 0, True
+    if hi - lo + 1 == n:
+        return df.withColumn("ord", (F.col(order_col) - F.lit(lo)).cast("bigint")), int(n), True
+    ranked = running_offset(df.select(order_col).withColumn("__one", F.lit(1)), order_col, "__one",
+                            out_col="ord").drop("__one")
+    return ranked, int(n), False

@@ -17,7 +17,7 @@ from calibspark.functions.hashing import h48, hkey
 from calibspark.functions.meta import (contains_any, extension, has_key, key_equals,
                                        key_int_at_least, language_from_path, parse_meta)
 from calibspark.functions.tokens import decode, head_tokens, token_count, tokenize, window_tokens
-from calibspark.operators.ordinals import DEFAULT_BUCKETS, dense_index
+from calibspark.operators.ordinals import pos_ordinals
 
 # broadcast only selections whose row count is bounded by a parameter below this
 MAX_BROADCAST_ROWS = 2_000_000
@@ -49,43 +49,99 @@ def with_token_count(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 # ---------------------------------------------------------------- C1 / C7 / C8
+MAX_TRIES = 4096  # rejection tries per draw before the exact full-scan fallback
+
+
+def _fetch(corpus: DataFrame, positions: list, cols: list) -> DataFrame:
+    """Rows of the given positions (bounded list): an IN filter evaluated
+    before any text work, so only these rows are tokenized."""
+    return corpus.where(F.col("pos").isin(positions)).select("pos", *cols)
+
+
 def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
-                   strict: bool = True, n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """C1 (strict) / C7 (inclusive): ``nsamples`` draws with replacement from
-    the eligible documents, each cut at a uniform start in
+                   strict: bool = True, first_tries: int = 4) -> DataFrame:
+    """C1 (strict) / C7 (inclusive): ``nsamples`` draws with replacement,
+    uniform over the eligible documents, each cut at a uniform start in
     ``[0, n - seqlen - 1]`` (``0`` when n == seqlen, inclusive mode only).
 
+    Rejection sampling as in the reference, made deterministic: try ``j`` of
+    draw ``k`` is the document of ordinal ``h48(seed|k|j|doc) mod N`` over
+    *all* documents; the draw takes its first eligible try.  Tries run in
+    rounds of growing size; only the tried documents are read with text and
+    tokenized, so the work does not grow with the corpus.
+
     corpus: (pos, text, meta).  Output ``SAMPLE_COLUMNS``.
     """
     spark = corpus.sparkSession
-    skinny = length_gate(with_token_count(corpus.select("pos", "text")).select("pos", "n_tokens"),
-                         seqlen, strict).persist(StorageLevel.MEMORY_AND_DISK)
-    idx = dense_index(skinny, "pos", n_buckets)
-    if idx.total == 0:
-        return spark.createDataFrame([], "sample_id long, doc_pos long, start int, num_tokens int, "
-                                         "raw_data string, meta string")
-    k = F.col("id")
-    g = F.pmod(h48(hkey(F.lit(seed), k, F.lit("doc"))), F.lit(idx.total))
-    bucket, local = idx.bucket_of(g)
-    draws = spark.range(nsamples).select(k.alias("sample_id"), bucket.alias("bucket"), local.alias("local"))
-    picked = idx.rows.join(_maybe_broadcast(draws, nsamples), ["bucket", "local"]).select(
-        "sample_id", F.col("pos").alias("doc_pos"), "n_tokens")
+    empty = spark.createDataFrame([], "sample_id long, doc_pos long, start int, num_tokens int, "
+                                      "raw_data string, meta string")
+    ords, total, dense = pos_ordinals(corpus.select("pos"))
+    if total == 0:
+        return empty
+    lo = ords.agg(F.min("pos")).first()[0] if dense else None
+    gate = (F.col("n_tokens") > seqlen) if strict else (F.col("n_tokens") >= seqlen)
+    found, resolved, j0, tries = None, 0, 0, first_tries
+    while resolved < nsamples and j0 < MAX_TRIES:
+        k, j = F.col("id") % nsamples, F.lit(j0) + (F.col("id") / nsamples).cast("long")
+        cand = spark.range(nsamples * tries).select(k.alias("sample_id"), j.alias("j"))
+        if found is not None:
+            cand = cand.join(F.broadcast(found.select("sample_id")), "sample_id", "left_anti")
+        o = F.pmod(h48(hkey(F.lit(seed), F.col("sample_id"), F.col("j"), F.lit("doc"))), F.lit(total))
+        cand = cand.withColumn("ord", o)
+        if dense:
+            cpos = cand.withColumn("pos", F.col("ord") + F.lit(lo))
+        else:
+            cpos = ords.join(_maybe_broadcast(cand, nsamples * tries), "ord")
+        cpos = cpos.select("sample_id", "j", "pos").persist(StorageLevel.MEMORY_AND_DISK)
+        positions = [r[0] for r in cpos.select("pos").distinct().collect()]
+        counts = _fetch(corpus, positions, [token_count(F.col("text")).alias("n_tokens")])
+        ok = cpos.join(F.broadcast(counts), "pos").where(gate)
+        best = ok.groupBy("sample_id").agg(F.min(F.struct("j", "pos", "n_tokens")).alias("b")).select(
+            "sample_id", F.col("b.pos").alias("doc_pos"), F.col("b.n_tokens").alias("n_tokens"))
+        best = best.persist(StorageLevel.MEMORY_AND_DISK)
+        found = best if found is None else found.unionByName(best)
+        resolved += best.count()
+        j0 += tries
+        tries *= 2
+    if resolved < nsamples:
+        # rare: eligible documents are too sparse for rejection; draw the rest
+        # exactly by a full scan, uniform over the eligible set
+        rest = _full_scan_draws(corpus, nsamples, seqlen, seed, gate, found)
+        found = rest if found is None else found.unionByName(rest)
     span = F.col("n_tokens") - seqlen
     off = F.pmod(h48(hkey(F.lit(seed), F.col("sample_id"), F.lit("off"))), span)
     start = off if strict else F.when(span == 0, F.lit(0)).otherwise(off)
-    picked = picked.withColumn("start", start.cast("int"))
-    docs = corpus.select(F.col("pos").alias("doc_pos"), "text", "meta")
+    picked = found.withColumn("start", start.cast("int"))
+    positions = [r[0] for r in picked.select("doc_pos").distinct().collect()]
+    docs = _fetch(corpus, positions, ["text", "meta"]).withColumnRenamed("pos", "doc_pos")
     joined = docs.join(_maybe_broadcast(picked, nsamples), "doc_pos")
     win = window_tokens(tokenize(F.col("text")), F.col("start"), seqlen)
     return joined.select("sample_id", "doc_pos", "start", F.size(win).alias("num_tokens"),
                          decode(win).alias("raw_data"), "meta")
 
 
-def validation_windows(corpus: DataFrame, seqlen: int, n: int = 256, seed: int = 0,
-                       n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def _full_scan_draws(corpus: DataFrame, nsamples: int, seqlen: int, seed: int, gate,
+                     found: DataFrame | None) -> DataFrame:
+    """Draws not resolved by rejection: ordinal over the eligible documents."""
+    spark = corpus.sparkSession
+    elig = corpus.select("pos", token_count(F.col("text")).alias("n_tokens")).where(gate)
+    ords, n_elig, _ = pos_ordinals(elig)
+    todo = spark.range(nsamples).select(F.col("id").alias("sample_id"))
+    if found is not None:
+        todo = todo.join(F.broadcast(found.select("sample_id")), "sample_id", "left_anti")
+    if n_elig == 0:
+        return spark.createDataFrame([], "sample_id long, doc_pos long, n_tokens int")
+    o = F.pmod(h48(hkey(F.lit(seed), F.col("sample_id"), F.lit("fallback"))), F.lit(n_elig))
+    draws = todo.withColumn("ord", o)
+    pos_n = ords.join(elig.select("pos", "n_tokens"), "pos") if "n_tokens" not in ords.columns else ords
+    return pos_n.join(_maybe_broadcast(draws, nsamples), "ord").select(
+        "sample_id", F.col("pos").alias("doc_pos"), "n_tokens")
+
+
+def validation_windows(corpus: DataFrame, seqlen: int, n: int = 256, seed: int = 0) -> DataFrame:
     """``n`` inclusive windows with a fixed seed, laid end to end in draw
     order: ``offset`` is each window's position in the concatenation."""
-    w = random_windows(corpus, n, seqlen, seed, strict=False, n_buckets=n_buckets)
+    w = random_windows(corpus, n, seqlen, seed, strict=False)
     return w.withColumn("offset", (F.col("sample_id") * seqlen).cast("long"))
 
 

@@ -434,24 +434,23 @@ def head_tokens_sql(seqlen=64) -> str:
 FROM documents WHERE {ntok()} > {seqlen}"""
 
 
-def random_windows_sql(nsamples=40, seqlen=64, seed=0, strict=True, n_buckets=4096) -> str:
+def random_windows_sql(nsamples=40, seqlen=64, seed=0, strict=True, max_tries=64) -> str:
+    """Brute force: every try of every draw, first eligible try wins."""
     op = ">" if strict else ">="
     start = f"{h48(f'concat_ws(chr(124), {seed}, k, ' + chr(39) + 'off' + chr(39) + ')')} % (n_tokens - {seqlen})"
     if not strict:
         start = f"CASE WHEN n_tokens = {seqlen} THEN 0 ELSE {start} END"
-    return f"""WITH e AS (SELECT doc_id AS pos, {ntok()} AS n_tokens FROM documents WHERE {ntok()} {op} {seqlen}),
-eb AS (SELECT *, {h48('cast(pos as varchar)')} % {n_buckets} AS bucket FROM e),
-c AS (SELECT bucket, count(*) AS cnt FROM eb GROUP BY bucket),
-o AS (SELECT bucket, coalesce(sum(cnt) OVER (ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c),
-g AS (SELECT eb.pos, eb.n_tokens, o.off + row_number() OVER (PARTITION BY eb.bucket ORDER BY eb.pos) - 1 AS gidx
-      FROM eb JOIN o USING (bucket)),
-n AS (SELECT count(*) AS total FROM e),
-d AS (SELECT k, {h48(f"concat_ws(chr(124), {seed}, k, 'doc')")} % total AS gidx FROM range(0, {nsamples}) t(k), n),
-p AS (SELECT d.k, g.pos, g.n_tokens, {start} AS st FROM d JOIN g USING (gidx)),
-w AS (SELECT p.k, p.pos, p.st, list_slice({toks('x.text')}, p.st + 1, p.st + {seqlen}) AS win, x.source AS meta
-      FROM p JOIN documents x ON x.doc_id = p.pos)
-SELECT k AS sample_id, pos AS doc_pos, cast(st as integer) AS start, cast(len(win) as integer) AS num_tokens,
-       array_to_string(win, '') AS raw_data, meta FROM w"""
+    return f"""WITH o AS (SELECT doc_id AS pos, row_number() OVER (ORDER BY doc_id) - 1 AS ord, {ntok()} AS n_tokens,
+                    text, source FROM documents),
+n AS (SELECT count(*) AS total FROM documents),
+t AS (SELECT k, j, {h48(f"concat_ws(chr(124), {seed}, k, j, 'doc')")} % total AS ord
+      FROM range(0, {nsamples}) a(k), range(0, {max_tries}) b(j), n),
+e AS (SELECT t.k, t.j, o.pos, o.n_tokens, o.text, o.source FROM t JOIN o USING (ord) WHERE o.n_tokens {op} {seqlen}),
+p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY j) AS r FROM e),
+w AS (SELECT k, pos, {start} AS st, text, source FROM p WHERE r = 1)
+SELECT k AS sample_id, pos AS doc_pos, cast(st as integer) AS start,
+       cast(len(list_slice({toks()}, st + 1, st + {seqlen})) as integer) AS num_tokens,
+       array_to_string(list_slice({toks()}, st + 1, st + {seqlen}), '') AS raw_data, source AS meta FROM w"""
 
 
 def validation_windows_sql(seqlen=64, n=256, seed=0) -> str:

@@ -109,3 +109,47 @@ def test_running_offset_on_skewed_keys(spark, n_buckets):
         want[k] = acc
         acc += v
     assert got == want
+
+
+def _h48(s):
+    import hashlib
+    return int(hashlib.md5(s.encode()).hexdigest()[:12], 16)
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_random_windows_sparse_positions_against_python(spark, strict):
+    import re
+    from calibspark.operators import sampling as S
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    # sparse, uneven positions (gaps), so the windowed ordinal path is used
+    rows = [(d.doc_id * 3 + (d.doc_id % 7) * 1000, d.text, "m") for d in docs]
+    corpus = spark.createDataFrame(rows, "pos long, text string, meta string")
+    seqlen, n, seed = 40, 30, 5
+    got = {r.sample_id: (r.doc_pos, r.start, r.raw_data)
+           for r in S.random_windows(corpus, n, seqlen, seed=seed, strict=strict).collect()}
+    by_ord = sorted(rows)
+    toks = {p: re.findall(r"\s*\S+", t) for p, t, _ in rows}
+    total = len(by_ord)
+    for k in range(n):
+        j = 0
+        while True:
+            p = by_ord[_h48(f"{seed}|{k}|{j}|doc") % total][0]
+            m = len(toks[p])
+            if (m > seqlen) if strict else (m >= seqlen):
+                break
+            j += 1
+        span = m - seqlen
+        st = 0 if span == 0 else _h48(f"{seed}|{k}|off") % span
+        assert got[k] == (p, st, "".join(toks[p][st:st + seqlen]))
+
+
+def test_random_windows_fallback_keeps_every_draw(spark, monkeypatch):
+    from calibspark.operators import sampling as S
+    monkeypatch.setattr(S, "MAX_TRIES", 2)
+    corpus = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        F.col("doc_id").alias("pos"), "text", F.lit("m").alias("meta"))
+    n_tok = {r.pos: r.n for r in corpus.select("pos", F.size(F.split(F.trim("text"), r"\s+")).alias("n")).collect()}
+    seqlen = sorted(n_tok.values())[-5]  # only a handful of documents qualify
+    out = S.random_windows(corpus, 25, seqlen, seed=2, strict=False, first_tries=1).collect()
+    assert sorted(r.sample_id for r in out) == list(range(25))
+    assert all(r.num_tokens == seqlen for r in out)
