@@ -279,7 +279,8 @@ def _materialise_heads(corpus: DataFrame, sel: DataFrame, seqlen: int, bound_row
                        extra: list[str]) -> DataFrame:
     """Join selected positions back to their text (broadcast of the bounded
     selection), cut the first ``seqlen`` tokens (C11) and number by order."""
-    docs = corpus.select("pos", "text", "meta")
+    positions = [r[0] for r in sel.select("pos").collect()]  # bounded by the quota
+    docs = _fetch(corpus, positions, ["text", "meta"])
     joined = docs.join(_maybe_broadcast(sel, bound_rows), "pos")
     head = head_tokens(tokenize(F.col("text")), seqlen)
     # selection is bounded by the quota, so a global row number is cheap

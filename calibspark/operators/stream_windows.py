@@ -204,8 +204,10 @@ def token_budget(corpus: DataFrame, seqlen: int, ndocs: int = 1100, n_chunks: in
                  sep: str = " ", n_buckets: int | None = None) -> DataFrame:
     """The first ``ndocs`` documents joined by ``sep``, cut to the first
     ``n_chunks * seqlen`` tokens, as chunks (chunk_id, num_tokens, raw_data).
-    The head is a top-k (bounded by ``ndocs``)."""
-    head = corpus.orderBy("pos").limit(ndocs)
+    The head is found on the ``pos`` column alone (a top-k); its text is then
+    read through a range filter that reaches the scan."""
+    cut = corpus.select("pos").orderBy("pos").limit(ndocs).agg(F.max("pos")).first()[0]
+    head = corpus.where(F.col("pos") <= F.lit(cut)) if cut is not None else corpus.limit(0)
     stream = TokenStream(head, sep, n_buckets)
     out = _chunks(stream, seqlen, n_chunks * seqlen)
     return out.select("chunk_id", F.size(tokenize(F.col("raw_data"))).alias("num_tokens"), "raw_data")
