@@ -54,15 +54,14 @@ def pair_outcomes(df: DataFrame, key_cols: list[str], group_cols: list[str],
     A duplicated (key, configuration) raises at run time instead of being
     merged silently.
     """
-    aggs = []
-    for i, cfg in enumerate(configs):
-        hit = F.col(config_col) == F.lit(cfg)
-        n = F.count(F.when(hit, 1))
-        val = F.max(F.when(hit, F.col(outcome_col)))
-        aggs.append(F.when(n > 1, F.raise_error(F.lit(f"duplicate outcome for configuration {cfg}")))
-                    .otherwise(val).cast("int").alias(_cfg_col(i)))
-    return (df.where(F.col(config_col).isin(configs))
-            .groupBy(*group_cols, *key_cols).agg(*aggs))
+    vals = [F.max(F.when(F.col(config_col) == F.lit(cfg), F.col(outcome_col))).cast("int")
+            .alias(_cfg_col(i)) for i, cfg in enumerate(configs)]
+    wide = (df.where(F.col(config_col).isin(configs))
+            .groupBy(*group_cols, *key_cols).agg(F.count(F.lit(1)).alias("__n"), *vals))
+    # more rows than configurations present <=> a duplicated (key, configuration)
+    present = sum((F.col(_cfg_col(i)).isNotNull().cast("int") for i in range(len(configs))), F.lit(0))
+    check = F.when(F.col("__n") > present, F.raise_error(F.lit("duplicate outcome for a configuration")))
+    return wide.where(check.isNull()).drop("__n")
 
 
 def paired_contingency(df: DataFrame, key_cols: list[str], group_cols: list[str],

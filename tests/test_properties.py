@@ -82,3 +82,27 @@ def test_progressive_scan_equals_single_pass(spark):
     h1 = sorted(r.doc_pos for r in S.qa_head(qa, 20, 64).collect())
     h2 = sorted(r.doc_pos for r in S.qa_head(qa, 20, 64, first_span=5, growth=3).collect())
     assert h1 == h2 and len(h1) == 20
+
+
+def _att(spark, rows):
+    return spark.createDataFrame(rows, "model string, language string, problem string, attempt int, "
+                                       "quantization string, pass int")
+
+
+def test_pairing_rejects_duplicates_and_unpaired(spark):
+    import pytest
+    from calibspark.operators.paired import Comparison, paired_contingency
+    ok = [("m", "py", "P1", 0, "a", 1), ("m", "py", "P1", 0, "b", 0)]
+    cmp = [Comparison("a", "b")]
+    rows = paired_contingency(_att(spark, ok), ["problem", "attempt"], ["model", "language"],
+                              "quantization", "pass", cmp).collect()
+    assert (rows[0].n_pairs, rows[0].b, rows[0].c) == (1, 0, 1)
+    with pytest.raises(Exception, match="duplicate"):
+        paired_contingency(_att(spark, ok + [("m", "py", "P1", 0, "a", 0)]), ["problem", "attempt"],
+                           ["model", "language"], "quantization", "pass", cmp).collect()
+    with pytest.raises(Exception, match="unpaired"):
+        paired_contingency(_att(spark, ok + [("m", "py", "P2", 0, "a", 0)]), ["problem", "attempt"],
+                           ["model", "language"], "quantization", "pass", cmp).collect()
+    dropped = paired_contingency(_att(spark, ok + [("m", "py", "P2", 0, "a", 0)]), ["problem", "attempt"],
+                                 ["model", "language"], "quantization", "pass", cmp, on_unpaired="drop").collect()
+    assert dropped[0].n_pairs == 1
