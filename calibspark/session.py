@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "calibspark",
-              shuffle_partitions: int | None = None) -> SparkSession:
+              shuffle_partitions: int | None = None, extra_conf: dict | None = None) -> SparkSession:
     """Build (or reuse) a session with the settings this library assumes."""
     master = master or f"local[{os.environ.get('BENCH_CPUS', '8')}]"
     builder = (
@@ -29,6 +29,8 @@ def get_spark(master: str | None = None, app: str = "calibspark",
     )
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    for k, v in (extra_conf or {}).items():
+        builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
