@@ -17,10 +17,9 @@ from calibspark.functions.hashing import h48, hkey
 from calibspark.functions.meta import (contains_any, extension, has_key, key_equals,
                                        key_int_at_least, language_from_path, parse_meta)
 from calibspark.functions.tokens import decode, head_tokens, token_count, tokenize, window_tokens
+from calibspark.operators.bounded import broadcast_if_bounded, rows_with_keys
 from calibspark.operators.ordinals import pos_ordinals
 
-# broadcast only selections whose row count is bounded by a parameter below this
-MAX_BROADCAST_ROWS = 2_000_000
 
 # ---- fixed values: eligibility rules of the code and Q&A recipes ----------
 CODE_SOURCE = "github"
@@ -34,8 +33,7 @@ QA_TOPICS = ["Python", "Java", "python", "java"]
 SAMPLE_COLUMNS = ["sample_id", "doc_pos", "start", "num_tokens", "raw_data", "meta"]
 
 
-def _maybe_broadcast(df: DataFrame, bound_rows: int) -> DataFrame:
-    return F.broadcast(df) if bound_rows <= MAX_BROADCAST_ROWS else df
+_maybe_broadcast = broadcast_if_bounded
 
 
 def length_gate(df: DataFrame, seqlen: int, strict: bool = True, n_col: str = "n_tokens") -> DataFrame:
@@ -52,10 +50,10 @@ def with_token_count(df: DataFrame, text_col: str = "text") -> DataFrame:
 MAX_TRIES = 4096  # rejection tries per draw before the exact full-scan fallback
 
 
-def _fetch(corpus: DataFrame, positions: list, cols: list) -> DataFrame:
-    """Rows of the given positions (bounded list): an IN filter evaluated
-    before any text work, so only these rows are tokenized."""
-    return corpus.where(F.col("pos").isin(positions)).select("pos", *cols)
+def _fetch(corpus: DataFrame, keys: DataFrame, cols: list, bound_rows: int) -> DataFrame:
+    """Rows at the selected positions (a bounded selection), filtered before
+    any text work so only these rows are tokenized."""
+    return rows_with_keys(corpus, keys.select("pos"), "pos", bound_rows).select("pos", *cols)
 
 
 def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
@@ -85,7 +83,7 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
         k, j = F.col("id") % nsamples, F.lit(j0) + (F.col("id") / nsamples).cast("long")
         cand = spark.range(nsamples * tries).select(k.alias("sample_id"), j.alias("j"))
         if found is not None:
-            cand = cand.join(F.broadcast(found.select("sample_id")), "sample_id", "left_anti")
+            cand = cand.join(_maybe_broadcast(found.select("sample_id"), nsamples), "sample_id", "left_anti")
         o = F.pmod(h48(hkey(F.lit(seed), F.col("sample_id"), F.col("j"), F.lit("doc"))), F.lit(total))
         cand = cand.withColumn("ord", o)
         if dense:
@@ -93,9 +91,8 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
         else:
             cpos = ords.join(_maybe_broadcast(cand, nsamples * tries), "ord")
         cpos = cpos.select("sample_id", "j", "pos").persist(StorageLevel.MEMORY_AND_DISK)
-        positions = [r[0] for r in cpos.select("pos").distinct().collect()]
-        counts = _fetch(corpus, positions, [token_count(F.col("text")).alias("n_tokens")])
-        ok = cpos.join(F.broadcast(counts), "pos").where(gate)
+        counts = _fetch(corpus, cpos, [token_count(F.col("text")).alias("n_tokens")], nsamples * tries)
+        ok = cpos.join(_maybe_broadcast(counts, nsamples * tries), "pos").where(gate)
         best = ok.groupBy("sample_id").agg(F.min(F.struct("j", "pos", "n_tokens")).alias("b")).select(
             "sample_id", F.col("b.pos").alias("doc_pos"), F.col("b.n_tokens").alias("n_tokens"))
         best = best.persist(StorageLevel.MEMORY_AND_DISK)
@@ -112,8 +109,8 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
     off = F.pmod(h48(hkey(F.lit(seed), F.col("sample_id"), F.lit("off"))), span)
     start = off if strict else F.when(span == 0, F.lit(0)).otherwise(off)
     picked = found.withColumn("start", start.cast("int"))
-    positions = [r[0] for r in picked.select("doc_pos").distinct().collect()]
-    docs = _fetch(corpus, positions, ["text", "meta"]).withColumnRenamed("pos", "doc_pos")
+    docs = _fetch(corpus, picked.select(F.col("doc_pos").alias("pos")), ["text", "meta"], nsamples) \
+        .withColumnRenamed("pos", "doc_pos")
     joined = docs.join(_maybe_broadcast(picked, nsamples), "doc_pos")
     win = window_tokens(tokenize(F.col("text")), F.col("start"), seqlen)
     return joined.select("sample_id", "doc_pos", "start", F.size(win).alias("num_tokens"),
@@ -128,7 +125,7 @@ def _full_scan_draws(corpus: DataFrame, nsamples: int, seqlen: int, seed: int, g
     ords, n_elig, _ = pos_ordinals(elig)
     todo = spark.range(nsamples).select(F.col("id").alias("sample_id"))
     if found is not None:
-        todo = todo.join(F.broadcast(found.select("sample_id")), "sample_id", "left_anti")
+        todo = todo.join(_maybe_broadcast(found.select("sample_id"), nsamples), "sample_id", "left_anti")
     if n_elig == 0:
         return spark.createDataFrame([], "sample_id long, doc_pos long, n_tokens int")
     o = F.pmod(h48(hkey(F.lit(seed), F.col("sample_id"), F.lit("fallback"))), F.lit(n_elig))
@@ -186,7 +183,7 @@ def quota_select(eligible: DataFrame, quota: int, strata: list[str], key: str =
     accepted = None
     counts = {s: (prior_counts or {}).get(s, 0) for s in strata}
     if prior_keys is not None:
-        skinny = skinny.join(F.broadcast(prior_keys.select(key)), key, "left_anti")
+        skinny = skinny.join(_maybe_broadcast(prior_keys.select(key), quota * len(strata)), key, "left_anti")
     t_prev = None
     for phase in range(len(strata)):
         open_strata = [s for s in strata if counts[s] < quota]
@@ -196,7 +193,7 @@ def quota_select(eligible: DataFrame, quota: int, strata: list[str], key: str =
         if t_prev is not None:
             cand = cand.where(F.col(order) > F.lit(t_prev))
         if accepted is not None:
-            cand = cand.join(F.broadcast(accepted.select(key)), key, "left_anti")
+            cand = cand.join(_maybe_broadcast(accepted.select(key), quota * len(strata)), key, "left_anti")
         first = cand.groupBy(key).agg(F.min(F.struct(order, stratum)).alias("f")).select(
             key, F.col("f")[order].alias(order), F.col("f")[stratum].alias(stratum))
         rn = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
@@ -279,8 +276,7 @@ def _materialise_heads(corpus: DataFrame, sel: DataFrame, seqlen: int, bound_row
                        extra: list[str]) -> DataFrame:
     """Join selected positions back to their text (broadcast of the bounded
     selection), cut the first ``seqlen`` tokens (C11) and number by order."""
-    positions = [r[0] for r in sel.select("pos").collect()]  # bounded by the quota
-    docs = _fetch(corpus, positions, ["text", "meta"])
+    docs = _fetch(corpus, sel, ["text", "meta"], bound_rows)
     joined = docs.join(_maybe_broadcast(sel, bound_rows), "pos")
     head = head_tokens(tokenize(F.col("text")), seqlen)
     # selection is bounded by the quota, so a global row number is cheap

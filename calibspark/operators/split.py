@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from calibspark.functions.hashing import h48, hkey
+from calibspark.operators.bounded import broadcast_if_bounded
 
 
 def split_train_val(sample: DataFrame, val_size: int, seed: int = 0,
@@ -17,7 +18,7 @@ def split_train_val(sample: DataFrame, val_size: int, seed: int = 0,
     val_ids = (sample.select(id_col, rank_key.alias("__r"))
                .orderBy("__r", id_col).limit(val_size)
                .select(id_col, F.lit("val").alias("split")))
-    return (sample.join(F.broadcast(val_ids), id_col, "left")
+    return (sample.join(broadcast_if_bounded(val_ids, val_size), id_col, "left")
             .withColumn("split", F.coalesce(F.col("split"), F.lit("train"))))
 
 

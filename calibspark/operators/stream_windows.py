@@ -24,10 +24,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibspark.functions.hashing import h48, hkey
+from calibspark.operators.bounded import broadcast_if_bounded
 from calibspark.functions.tokens import token_count, tokenize
 
-# broadcast the window table only when its row count is bounded below this
-MAX_BROADCAST_ROWS = 2_000_000
 
 
 ROWS_PER_BUCKET = 2_000_000
@@ -73,7 +72,8 @@ def running_offset(df: DataFrame, order_col: str, value_col: str, n_buckets: int
     # one row per bucket: a global window over n_buckets rows
     w_b = Window.orderBy("__rb").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("__rb", F.coalesce(F.sum("__tot").over(w_b), F.lit(0)).alias("__base"))
-    return (inner.join(F.broadcast(base), "__rb")
+    # one row per bucket (at most 16384)
+    return (inner.join(broadcast_if_bounded(base, n_buckets), "__rb")
             .withColumn(out_col, (F.col("__base") + F.col("__in")).cast("bigint"))
             .drop("__rb", "__in", "__base"))
 
@@ -132,7 +132,7 @@ def windows_over(stream: TokenStream, windows: DataFrame, key: str, bin_size: in
     docs = stream.pieces.withColumn("__b", F.explode(F.sequence(
         F.floor(F.col("cum") / bin_size).cast("long"),
         F.floor((F.col("cum") + F.col("w")) / bin_size).cast("long"))))
-    wins_j = F.broadcast(wins) if bound_rows <= MAX_BROADCAST_ROWS else wins
+    wins_j = broadcast_if_bounded(wins, bound_rows)
     pairs = docs.join(wins_j, "__b").where(
         (F.col("cum") <= F.col("e")) & (F.col("cum") + F.col("w") >= F.col("s"))
         # each (window, piece) pair once: on the first bin both share
@@ -160,7 +160,7 @@ def stream_windows(corpus: DataFrame, nsamples: int, seqlen: int, sep: str = "\n
     s = F.pmod(h48(hkey(F.lit(seed), k, F.lit("off"))), F.lit(span))
     wins = spark.range(nsamples).select(k.alias("sample_id"), s.alias("s"), (s + seqlen - 1).alias("e"))
     out = windows_over(stream, wins, "sample_id", max(seqlen, 1), nsamples * 3)
-    return (out.join(F.broadcast(wins) if nsamples <= MAX_BROADCAST_ROWS else wins, "sample_id")
+    return (out.join(broadcast_if_bounded(wins, nsamples), "sample_id")
             .select("sample_id", F.col("s").alias("start"),
                     F.size(tokenize(F.col("raw_data"))).alias("num_tokens"), "raw_data"))
 

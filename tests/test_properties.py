@@ -106,3 +106,14 @@ def test_pairing_rejects_duplicates_and_unpaired(spark):
     dropped = paired_contingency(_att(spark, ok + [("m", "py", "P2", 0, "a", 0)]), ["problem", "attempt"],
                                  ["model", "language"], "quantization", "pass", cmp, on_unpaired="drop").collect()
     assert dropped[0].n_pairs == 1
+
+
+def test_key_fetch_join_path_equals_inline_path(spark, monkeypatch):
+    from calibspark.operators import bounded
+    corpus = document_corpus(spark, SF_SMALL)
+    a = sorted(map(tuple, S.random_windows(corpus, 12, 16, seed=4).collect()))
+    q1 = sorted(map(tuple, S.quota_sample(FX.code_corpus(spark, SF_SMALL), 12, 16).collect()))
+    monkeypatch.setattr(bounded, "MAX_INLINE_KEYS", 0)
+    b = sorted(map(tuple, S.random_windows(corpus, 12, 16, seed=4).collect()))
+    q2 = sorted(map(tuple, S.quota_sample(FX.code_corpus(spark, SF_SMALL), 12, 16).collect()))
+    assert a == b and q1 == q2
