@@ -29,6 +29,7 @@ from calibspark.plans import cleaning as CL
 from calibspark.plans import ingest as IG
 from calibspark.plans import reports as R
 from calibspark.session import scratch_path
+from calibspark.sources import files as IO
 from calibspark.streaming import streams as ST_
 from calibspark.plans import statistics as ST
 from calibspark.sources import fixtures as FX
@@ -317,6 +318,41 @@ def q_clean_completions_job(spark, sf_dir):
                       F.array_join("completions", "\u001e").alias("completions_joined"))
 
 
+def q_results_csv(spark, sf_dir):
+    """S14 then S8: results table through CSV."""
+    path = _fresh(spark, "results-csv")
+    IO.write_results_csv(_att(spark, sf_dir), path)
+    return IO.read_results_csv(spark, path)
+
+
+def q_calibration_csv(spark, sf_dir):
+    """Calibration rows through CSV with backslash escapes (multi-line text)."""
+    path = _fresh(spark, "calib-csv")
+    IO.write_calibration(S.quota_sample(FX.code_corpus(spark, sf_dir), 40, SEQLEN), path, "csv")
+    schema = ("sample_id long, doc_pos long, start int, num_tokens int, raw_data string, meta string, "
+              "language string, repo string")
+    return (spark.read.schema(schema).option("header", True).option("escape", "\\")
+            .option("multiLine", True).csv(path))
+
+
+def q_split_files(spark, sf_dir):
+    """Split sample and decoded text, read back from their folders."""
+    path = _fresh(spark, "split")
+    IO.write_split(_split(spark, sf_dir), f"{path}/bin")
+    IO.write_decoded(spark.read.parquet(f"{path}/bin"), f"{path}/decoded")
+    return spark.read.schema("sample_id long, raw_data string, split string").json(f"{path}/decoded")
+
+
+def q_report_csv(spark, sf_dir):
+    """The RQ1 report as one ordered CSV, read back."""
+    path = _fresh(spark, "report")
+    IO.write_report(_report(R.RQ1)(spark, sf_dir), path)
+    schema = ("row_id int, base_precision string, quant_precision string, lng string, model string, "
+              "n_pairs long, b long, c long, p_value double, p_adj double, odds_ratio double, "
+              "or_infinite boolean, report_pos int")
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 # ---------------------------------------------------------------- streaming
 def _stream_src(spark, df, name, n_files=5):
     src = _fresh(spark, name)
@@ -410,6 +446,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tokenizer_checks": q_tokenizer_checks,
         "ingest_results": q_ingest_results,
         "clean_completions_job": q_clean_completions_job,
+        "results_csv": q_results_csv,
+        "calibration_csv": q_calibration_csv,
+        "split_files": q_split_files,
+        "report_csv": q_report_csv,
         "stream_filter": q_stream_filter,
         "stream_quota": q_stream_quota,
         "stream_head": q_stream_head,

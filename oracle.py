@@ -674,6 +674,10 @@ def clean_job_sql() -> str:
 
 def job_queries() -> dict[str, str]:
     return {
+        "results_csv": f"WITH {attempts_cte()} SELECT model, quantization, language, problem, pass FROM attempts_pass",
+        "calibration_csv": quota_sample_sql(),
+        "split_files": f"SELECT sample_id, raw_data, split FROM ({train_val_sql()})",
+        "report_csv": report_sql(R.RQ1),
         "ingest_results": outcome_flag_sql(),
         "clean_completions_job": clean_job_sql(),
     }
