@@ -105,3 +105,29 @@ def decoder_udf(make_decoder: Callable[[], Callable[[list[list[int]]], list[str]
         return pd.Series(d([list(x) for x in ids]))
 
     return dec
+
+
+class Tokenizer:
+    """Column-level tokenizer used by the sampling recipes.
+
+    ``encode``: text -> array column; ``decode``: array -> text;
+    ``count``: text -> token count (defaults to ``size(encode(text))``).
+    """
+
+    def __init__(self, encode, decode, count=None, name: str = "custom"):
+        self.encode = encode
+        self.decode = decode
+        self.count = count or (lambda text: F.size(encode(text)))
+        self.name = name
+
+
+WORDS = Tokenizer(tokenize, decode, token_count, name="words")
+
+
+def udf_tokenizer(make_encoder, make_decoder, add_bos: int | None = None) -> Tokenizer:
+    """A model tokenizer behind Arrow UDFs (one instance per Python
+    worker).  ``add_bos`` prepends the BOS id as the reference's tokenizer
+    calls do, so length gates and windows count it."""
+    enc = encoder_udf(make_encoder, add_bos)
+    dec = decoder_udf(make_decoder)
+    return Tokenizer(lambda text: enc(text), lambda ids: dec(ids), name="udf")

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from calibspark.functions.hashing import h48, hkey
 from calibspark.functions.meta import (contains_any, extension, has_key, key_equals,
                                        key_int_at_least, language_from_path, parse_meta)
-from calibspark.functions.tokens import decode, head_tokens, token_count, tokenize, window_tokens
+from calibspark.functions.tokens import WORDS, Tokenizer, head_tokens, window_tokens
 from calibspark.operators.bounded import broadcast_if_bounded, rows_with_keys
 from calibspark.operators.ordinals import pos_ordinals
 
@@ -42,8 +42,8 @@ def length_gate(df: DataFrame, seqlen: int, strict: bool = True, n_col: str = "n
     return df.where(n > seqlen) if strict else df.where(n >= seqlen)
 
 
-def with_token_count(df: DataFrame, text_col: str = "text") -> DataFrame:
-    return df.withColumn("n_tokens", token_count(F.col(text_col)))
+def with_token_count(df: DataFrame, text_col: str = "text", tok: Tokenizer = WORDS) -> DataFrame:
+    return df.withColumn("n_tokens", tok.count(F.col(text_col)))
 
 
 # ---------------------------------------------------------------- C1 / C7 / C8
@@ -57,7 +57,7 @@ def _fetch(corpus: DataFrame, keys: DataFrame, cols: list, bound_rows: int) -> D
 
 
 def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
-                   strict: bool = True, first_tries: int = 4) -> DataFrame:
+                   strict: bool = True, first_tries: int = 4, tok: Tokenizer = WORDS) -> DataFrame:
     """C1 (strict) / C7 (inclusive): ``nsamples`` draws with replacement,
     uniform over the eligible documents, each cut at a uniform start in
     ``[0, n - seqlen - 1]`` (``0`` when n == seqlen, inclusive mode only).
@@ -91,7 +91,7 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
         else:
             cpos = ords.join(_maybe_broadcast(cand, nsamples * tries), "ord")
         cpos = cpos.select("sample_id", "j", "pos").persist(StorageLevel.MEMORY_AND_DISK)
-        counts = _fetch(corpus, cpos, [token_count(F.col("text")).alias("n_tokens")], nsamples * tries)
+        counts = _fetch(corpus, cpos, [tok.count(F.col("text")).alias("n_tokens")], nsamples * tries)
         ok = cpos.join(_maybe_broadcast(counts, nsamples * tries), "pos").where(gate)
         best = ok.groupBy("sample_id").agg(F.min(F.struct("j", "pos", "n_tokens")).alias("b")).select(
             "sample_id", F.col("b.pos").alias("doc_pos"), F.col("b.n_tokens").alias("n_tokens"))
@@ -103,7 +103,7 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
     if resolved < nsamples:
         # rare: eligible documents are too sparse for rejection; draw the rest
         # exactly by a full scan, uniform over the eligible set
-        rest = _full_scan_draws(corpus, nsamples, seqlen, seed, gate, found)
+        rest = _full_scan_draws(corpus, nsamples, seqlen, seed, gate, found, tok)
         found = rest if found is None else found.unionByName(rest)
     span = F.col("n_tokens") - seqlen
     off = F.pmod(h48(hkey(F.lit(seed), F.col("sample_id"), F.lit("off"))), span)
@@ -112,16 +112,16 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
     docs = _fetch(corpus, picked.select(F.col("doc_pos").alias("pos")), ["text", "meta"], nsamples) \
         .withColumnRenamed("pos", "doc_pos")
     joined = docs.join(_maybe_broadcast(picked, nsamples), "doc_pos")
-    win = window_tokens(tokenize(F.col("text")), F.col("start"), seqlen)
+    win = window_tokens(tok.encode(F.col("text")), F.col("start"), seqlen)
     return joined.select("sample_id", "doc_pos", "start", F.size(win).alias("num_tokens"),
-                         decode(win).alias("raw_data"), "meta")
+                         tok.decode(win).alias("raw_data"), "meta")
 
 
 def _full_scan_draws(corpus: DataFrame, nsamples: int, seqlen: int, seed: int, gate,
-                     found: DataFrame | None) -> DataFrame:
+                     found: DataFrame | None, tok: Tokenizer = WORDS) -> DataFrame:
     """Draws not resolved by rejection: ordinal over the eligible documents."""
     spark = corpus.sparkSession
-    elig = corpus.select("pos", token_count(F.col("text")).alias("n_tokens")).where(gate)
+    elig = corpus.select("pos", tok.count(F.col("text")).alias("n_tokens")).where(gate)
     ords, n_elig, _ = pos_ordinals(elig)
     todo = spark.range(nsamples).select(F.col("id").alias("sample_id"))
     if found is not None:
@@ -135,15 +135,16 @@ def _full_scan_draws(corpus: DataFrame, nsamples: int, seqlen: int, seed: int, g
         "sample_id", F.col("pos").alias("doc_pos"), "n_tokens")
 
 
-def validation_windows(corpus: DataFrame, seqlen: int, n: int = 256, seed: int = 0) -> DataFrame:
+def validation_windows(corpus: DataFrame, seqlen: int, n: int = 256, seed: int = 0,
+                       tok: Tokenizer = WORDS) -> DataFrame:
     """``n`` inclusive windows with a fixed seed, laid end to end in draw
     order: ``offset`` is each window's position in the concatenation."""
-    w = random_windows(corpus, n, seqlen, seed, strict=False)
+    w = random_windows(corpus, n, seqlen, seed, strict=False, tok=tok)
     return w.withColumn("offset", (F.col("sample_id") * seqlen).cast("long"))
 
 
 # ---------------------------------------------------------------- code recipe
-def code_candidates(corpus: DataFrame, seqlen: int) -> DataFrame:
+def code_candidates(corpus: DataFrame, seqlen: int, tok: Tokenizer = WORDS) -> DataFrame:
     """P4-P7 + repo present + P1 on a code corpus (pos, text, meta):
     (pos, repo, language, n_tokens)."""
     m = parse_meta(F.col("meta"))
@@ -156,7 +157,7 @@ def code_candidates(corpus: DataFrame, seqlen: int) -> DataFrame:
             .where(extension(path).isin(*CODE_EXTENSIONS)))
     skinny = filt.select("pos", F.col("m")["repo_name"].alias("repo"),
                          language_from_path(path).alias("language"),
-                         token_count(F.col("text")).alias("n_tokens"))
+                         tok.count(F.col("text")).alias("n_tokens"))
     return length_gate(skinny, seqlen, strict=True)
 
 
@@ -240,7 +241,7 @@ def pos_ranges(corpus: DataFrame, first_span: int | None = None, growth: int = 4
 
 def quota_sample(corpus: DataFrame, nsamples: int, seqlen: int, quota: int | None = None,
                  strata: list[str] | None = None, first_span: int | None = None,
-                 growth: int = 4) -> DataFrame:
+                 growth: int = 4, tok: Tokenizer = WORDS) -> DataFrame:
     """Code recipe.  ``quota`` defaults to ``nsamples // 2`` per language.
     Output ``SAMPLE_COLUMNS + [language, repo]``; sample_id = acceptance order.
 
@@ -255,7 +256,7 @@ def quota_sample(corpus: DataFrame, nsamples: int, seqlen: int, quota: int | Non
     for lo, hi in pos_ranges(corpus, first_span, growth):
         chunk = corpus.where((F.col("pos") >= lo) & (F.col("pos") < hi))
         prior = _union(parts) if parts else None
-        sel = quota_select(code_candidates(chunk, seqlen), quota, strata,
+        sel = quota_select(code_candidates(chunk, seqlen, tok), quota, strata,
                            prior_keys=prior, prior_counts=counts).select("pos", "repo", "language")
         # the selection is bounded by quota x strata rows
         sel = sel.persist(StorageLevel.MEMORY_AND_DISK)
@@ -269,20 +270,20 @@ def quota_sample(corpus: DataFrame, nsamples: int, seqlen: int, quota: int | Non
     else:
         sel = _union(parts)
     return _materialise_heads(corpus, sel, seqlen, bound_rows=quota * len(strata),
-                              extra=["language", "repo"])
+                              extra=["language", "repo"], tok=tok)
 
 
 def _materialise_heads(corpus: DataFrame, sel: DataFrame, seqlen: int, bound_rows: int,
-                       extra: list[str]) -> DataFrame:
+                       extra: list[str], tok: Tokenizer = WORDS) -> DataFrame:
     """Join selected positions back to their text (broadcast of the bounded
     selection), cut the first ``seqlen`` tokens (C11) and number by order."""
     docs = _fetch(corpus, sel, ["text", "meta"], bound_rows)
     joined = docs.join(_maybe_broadcast(sel, bound_rows), "pos")
-    head = head_tokens(tokenize(F.col("text")), seqlen)
+    head = head_tokens(tok.encode(F.col("text")), seqlen)
     # selection is bounded by the quota, so a global row number is cheap
     sid = (F.row_number().over(Window.orderBy("pos")) - 1).cast("long")
     return joined.select(sid.alias("sample_id"), F.col("pos").alias("doc_pos"), F.lit(0).alias("start"),
-                         F.size(head).alias("num_tokens"), decode(head).alias("raw_data"), "meta", *extra)
+                         F.size(head).alias("num_tokens"), tok.decode(head).alias("raw_data"), "meta", *extra)
 
 
 def stratum_counts(sample: DataFrame, stratum: str = "language") -> DataFrame:
@@ -302,7 +303,7 @@ def shortage(sample: DataFrame, quota: int, strata: list[str], stratum: str = "l
 
 
 # ---------------------------------------------------------------- Q&A recipe
-def qa_candidates(corpus: DataFrame, seqlen: int) -> DataFrame:
+def qa_candidates(corpus: DataFrame, seqlen: int, tok: Tokenizer = WORDS) -> DataFrame:
     """P3, P4, P5, P8, P9, P10, P1 on a Q&A corpus: (pos, n_tokens)."""
     m = parse_meta(F.col("meta"))
     base = corpus.where(F.col("meta").contains(QA_RAW_MARKER)).select("pos", "text", m.alias("m"))
@@ -312,18 +313,18 @@ def qa_candidates(corpus: DataFrame, seqlen: int) -> DataFrame:
             .where(key_equals(mm, "language", QA_LANGUAGE))
             .where(key_int_at_least(mm, "question_score", QA_MIN_SCORE))
             .where(contains_any(F.col("text"), QA_TOPICS)))
-    return length_gate(filt.select("pos", token_count(F.col("text")).alias("n_tokens")), seqlen)
+    return length_gate(filt.select("pos", tok.count(F.col("text")).alias("n_tokens")), seqlen)
 
 
 def qa_head(corpus: DataFrame, k: int, seqlen: int, first_span: int | None = None,
-            growth: int = 4) -> DataFrame:
+            growth: int = 4, tok: Tokenizer = WORDS) -> DataFrame:
     """The first ``k`` eligible rows in arrival order, each cut to its first
     ``seqlen`` tokens.  Growing ``pos`` ranges, a top-k per range (no global
     sort); reading stops once ``k`` rows are found."""
     parts, found = [], 0
     for lo, hi in pos_ranges(corpus, first_span, growth):
         chunk = corpus.where((F.col("pos") >= lo) & (F.col("pos") < hi))
-        top = qa_candidates(chunk, seqlen).orderBy("pos").limit(k - found).select("pos")
+        top = qa_candidates(chunk, seqlen, tok).orderBy("pos").limit(k - found).select("pos")
         top = top.persist(StorageLevel.MEMORY_AND_DISK)
         found += top.count()
         parts.append(top)
@@ -333,15 +334,16 @@ def qa_head(corpus: DataFrame, k: int, seqlen: int, first_span: int | None = Non
         sel = corpus.sparkSession.createDataFrame([], "pos long")
     else:
         sel = _union(parts)
-    return _materialise_heads(corpus, sel, seqlen, bound_rows=k, extra=[])
+    return _materialise_heads(corpus, sel, seqlen, bound_rows=k, extra=[], tok=tok)
 
 
-def mixed_sample(qa: DataFrame, code: DataFrame, nsamples: int, seqlen: int) -> DataFrame:
+def mixed_sample(qa: DataFrame, code: DataFrame, nsamples: int, seqlen: int,
+                 tok: Tokenizer = WORDS) -> DataFrame:
     """C4: ``nsamples // 2`` Q&A heads, then the code recipe with
     ``nsamples // 4`` per language; sample ids continue across parts."""
     n_qa = nsamples // 2
-    a = qa_head(qa, n_qa, seqlen).withColumn("part", F.lit("qa"))
-    b = quota_sample(code, nsamples // 2, seqlen, quota=nsamples // 4).drop("language", "repo")
+    a = qa_head(qa, n_qa, seqlen, tok=tok).withColumn("part", F.lit("qa"))
+    b = quota_sample(code, nsamples // 2, seqlen, quota=nsamples // 4, tok=tok).drop("language", "repo")
     n_a = F.lit(n_qa).cast("long")
     b = b.withColumn("sample_id", F.col("sample_id") + n_a).withColumn("part", F.lit("code"))
     return a.unionByName(b)

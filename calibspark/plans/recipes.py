@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibspark.functions.tokens import WORDS, Tokenizer
 from calibspark.operators import sampling as S
 from calibspark.operators import stream_windows as SW
 from calibspark.operators.split import pretokenized_head, split_token_totals, split_train_val
@@ -19,12 +20,15 @@ JOB_RECIPES = ["pajama", "github_code", "code_technical_language"]
 
 def load_calibration(spark: SparkSession, name: str, corpus: DataFrame | None = None,
                      qa: DataFrame | None = None, nsamples: int = 128, seed: int = 0,
-                     seqlen: int = 2048, eval_mode: bool = False) -> DataFrame | None:
+                     seqlen: int = 2048, eval_mode: bool = False,
+                     tok: Tokenizer = WORDS) -> DataFrame | None:
     """Dispatch a recipe by name (case-insensitive).
 
     ``corpus``: (pos, text, meta) -- the code corpus for the code recipes;
     ``qa``: the Q&A corpus of the mixed recipe.  ``'none'`` gives None; an
-    existing path is a pre-tokenized table (first ``nsamples``).
+    existing path is a pre-tokenized table (first ``nsamples``).  ``tok``
+    applies to the document recipes; the stream recipes use the word
+    tokenizer, whose tokens of a concatenation are the concatenated tokens.
     """
     key = name.lower()
     if key == "none":
@@ -34,11 +38,11 @@ def load_calibration(spark: SparkSession, name: str, corpus: DataFrame | None =
     if key in TRAIN_ONLY and eval_mode:
         raise ValueError(f"{name}: only the train split is supported")
     if key == "pajama":
-        return S.random_windows(corpus, nsamples, seqlen, seed, strict=True)
+        return S.random_windows(corpus, nsamples, seqlen, seed, strict=True, tok=tok)
     if key == "github_code":
-        return S.quota_sample(corpus, nsamples, seqlen)
+        return S.quota_sample(corpus, nsamples, seqlen, tok=tok)
     if key == "code_technical_language":
-        return S.mixed_sample(qa, corpus, nsamples, seqlen)
+        return S.mixed_sample(qa, corpus, nsamples, seqlen, tok=tok)
     if key in STREAM_SEPARATORS:
         sep = STREAM_SEPARATORS[key]
         if eval_mode:
@@ -46,12 +50,12 @@ def load_calibration(spark: SparkSession, name: str, corpus: DataFrame | None =
         return SW.stream_windows(corpus, nsamples, seqlen, sep, seed)
     if key == "c4":
         if eval_mode:
-            return S.validation_windows(corpus, seqlen, n=256, seed=0)
-        return S.random_windows(corpus, nsamples, seqlen, seed, strict=False)
+            return S.validation_windows(corpus, seqlen, n=256, seed=0, tok=tok)
+        return S.random_windows(corpus, nsamples, seqlen, seed, strict=False, tok=tok)
     if key == "c4_new":
         if eval_mode:
             return SW.token_budget(corpus, seqlen, ndocs=1100, n_chunks=256, sep=" ")
-        return S.random_windows(corpus, nsamples, seqlen, seed, strict=False)
+        return S.random_windows(corpus, nsamples, seqlen, seed, strict=False, tok=tok)
     raise ValueError(f"Failed to load data from {name}: unknown recipe or path")
 
 

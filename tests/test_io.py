@@ -87,3 +87,21 @@ def test_encoder_udf(spark):
     enc = TK.encoder_udf(make, add_bos=1)
     rows = spark.createDataFrame([("ab cde",), ("",)], "t string").select(enc(F.col("t")).alias("ids")).collect()
     assert [list(r.ids) for r in rows] == [[1, 2, 3], [1]]
+
+
+def test_recipes_with_model_tokenizer(spark):
+    """X1 through the recipes: ids from a toy batch encoder with BOS."""
+    from calibspark.operators import sampling as S
+    from calibspark.sources.corpus import document_corpus
+
+    def make_enc():
+        return lambda texts: [[len(w) for w in t.split()] for t in texts]
+
+    def make_dec():
+        return lambda rows: [" ".join("x" * i for i in r) for r in rows]
+
+    tok = TK.udf_tokenizer(make_enc, make_dec, add_bos=1)
+    w = S.random_windows(document_corpus(spark, SF_SMALL), 6, 12, seed=3, tok=tok).collect()
+    assert len(w) == 6 and all(r.num_tokens == 12 for r in w)
+    q = S.quota_sample(FX.code_corpus(spark, SF_SMALL), 8, 12, tok=tok).collect()
+    assert len(q) == 8 and all(r.num_tokens == 12 and r.raw_data.startswith("x ") for r in q)
