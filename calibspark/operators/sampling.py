@@ -293,12 +293,12 @@ def stratum_counts(sample: DataFrame, stratum: str = "language") -> DataFrame:
 
 def shortage(sample: DataFrame, quota: int, strata: list[str], stratum: str = "language") -> DataFrame:
     """Requested vs obtained per stratum (replaces the reference's
-    exhausted-iterator error)."""
-    req = sample.sparkSession.createDataFrame([(s,) for s in strata], f"{stratum} string")
-    got = stratum_counts(sample, stratum)
-    return (req.join(got, stratum, "left")
-            .select(stratum, F.lit(quota).alias("requested"),
-                    F.coalesce(F.col("n"), F.lit(0)).alias("obtained"))
+    exhausted-iterator error).  One conditional aggregate, one row per
+    stratum via ``inline`` -- no join."""
+    got = sample.agg(*[F.count(F.when(F.col(stratum) == s, 1)).alias(f"n{i}") for i, s in enumerate(strata)])
+    rows = F.array(*[F.struct(F.lit(s).alias(stratum), F.lit(quota).alias("requested"),
+                              F.col(f"n{i}").alias("obtained")) for i, s in enumerate(strata)])
+    return (got.select(F.inline(rows))
             .withColumn("missing", F.col("requested") - F.col("obtained")))
 
 

@@ -65,6 +65,10 @@ def running_offset(df: DataFrame, order_col: str, value_col: str, n_buckets: int
         n_buckets = max(1, min(16384, df.count() // ROWS_PER_BUCKET + 1))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = sorted(set(df.approxQuantile(order_col, probs, rel_err))) if n_buckets > 1 else []
+    if not bounds:
+        # one bucket (fewer than ROWS_PER_BUCKET rows): a plain running sum
+        w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+        return df.withColumn(out_col, F.coalesce(F.sum(value_col).over(w), F.lit(0)).cast("bigint"))
     with_b = bucket_by_bounds(df, order_col, bounds, "__rb")
     w_in = Window.partitionBy("__rb").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     inner = with_b.withColumn("__in", F.coalesce(F.sum(value_col).over(w_in), F.lit(0)))
