@@ -82,7 +82,7 @@ def split_doc(code: Column, language: Column) -> Column:
 def language_name(code: Column) -> Column:
     """CLI language code -> lexer language (java -> java, py -> python)."""
     m = F.create_map(*[x for k, v in LANGUAGE_NAMES.items() for x in (F.lit(k), F.lit(v))])
-    return F.element_at(m, code)
+    return F.try_element_at(m, code)
 
 
 def clean_completions(df: DataFrame, keys: list[str], language: Column, strict: bool = False) -> DataFrame:

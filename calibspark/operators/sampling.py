@@ -199,11 +199,11 @@ def quota_select(eligible: DataFrame, quota: int, strata: list[str], key: str =
             key, F.col("f")[order].alias(order), F.col("f")[stratum].alias(stratum))
         rn = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
         ranked = first.withColumn("__rn", rn).where(F.col("__rn") <= quota)
-        rem = F.element_at(F.create_map(*[x for s in open_strata
+        rem = F.try_element_at(F.create_map(*[x for s in open_strata
                                           for x in (F.lit(s), F.lit(quota - counts[s]))]), F.col(stratum))
         kept = ranked.where(F.col("__rn") <= rem).persist(StorageLevel.MEMORY_AND_DISK)
         fill = kept.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("last"))
-        fill = fill.where(F.col("n") == F.element_at(F.create_map(
+        fill = fill.where(F.col("n") == F.try_element_at(F.create_map(
             *[x for s in open_strata for x in (F.lit(s), F.lit(quota - counts[s]))]), F.col(stratum)))
         t = fill.agg(F.min("last")).first()[0]
         take = kept if t is None else kept.where(F.col(order) <= F.lit(t))
