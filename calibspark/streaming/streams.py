@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from calibspark.operators.sampling import code_candidates, qa_candidates, quota_select
-from calibspark.plans.ingest import ingest_results  # noqa: F401  (batch twin of T4)
-from calibspark.sources.files import RESULTS_SCHEMA, path_exists
+from calibspark.sources.files import RESULTS_SCHEMA, path_exists, relative_path
 from calibspark.functions.outcomes import pass_flag, path_dimensions
 
 
@@ -87,7 +86,6 @@ def stream_pass_rate(spark: SparkSession, root: str, out: str, checkpoint: str,
     s = (spark.readStream.schema(RESULTS_SCHEMA).option("multiLine", True)
          .option("recursiveFileLookup", True).option("pathGlobFilter", "*.results.json.gz")
          .option("maxFilesPerTrigger", files_per_trigger).json(root))
-    from calibspark.sources.files import relative_path
     model, quant, lang = path_dimensions(relative_path(spark, root))
     rows = s.select(model.alias("model"), quant.alias("quantization"), lang.alias("language"),
                     F.explode("results").alias("r"))

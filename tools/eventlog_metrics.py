@@ -1,9 +1,8 @@
 """Per-query metrics from a Spark event log (no UI needed).
 
 Jobs are attributed to queries by ``spark.job.description``; task metrics
-are summed per query: input records, shuffle bytes written, output rows of
-the final stage are not in the log, so the driver-side row count is taken
-by bench.py instead.
+are summed per query: input records read by scans, shuffle bytes written
+and the number of tasks.
 """
 
 from __future__ import annotations
@@ -32,21 +31,20 @@ def metrics(log_dir: str) -> dict[str, dict[str, int]]:
     stage_query: dict[int, str] = {}
     out: dict[str, dict[str, int]] = defaultdict(lambda: defaultdict(int))
     for path in files:
-        if True:
-            for line in _lines(path):
-                ev = json.loads(line)
-                kind = ev.get("Event")
-                if kind == "SparkListenerJobStart":
-                    desc = (ev.get("Properties") or {}).get("spark.job.description")
-                    if desc:
-                        for sid in ev.get("Stage IDs", []):
-                            stage_query[sid] = desc
-                elif kind == "SparkListenerTaskEnd":
-                    q = stage_query.get(ev.get("Stage ID"))
-                    tm = ev.get("Task Metrics") or {}
-                    if q is None or not tm:
-                        continue
-                    out[q]["input_records"] += (tm.get("Input Metrics") or {}).get("Records Read", 0)
-                    out[q]["shuffle_bytes"] += (tm.get("Shuffle Write Metrics") or {}).get("Shuffle Bytes Written", 0)
-                    out[q]["tasks"] += 1
+        for line in _lines(path):
+            ev = json.loads(line)
+            kind = ev.get("Event")
+            if kind == "SparkListenerJobStart":
+                desc = (ev.get("Properties") or {}).get("spark.job.description")
+                if desc:
+                    for sid in ev.get("Stage IDs", []):
+                        stage_query[sid] = desc
+            elif kind == "SparkListenerTaskEnd":
+                q = stage_query.get(ev.get("Stage ID"))
+                tm = ev.get("Task Metrics") or {}
+                if q is None or not tm:
+                    continue
+                out[q]["input_records"] += (tm.get("Input Metrics") or {}).get("Records Read", 0)
+                out[q]["shuffle_bytes"] += (tm.get("Shuffle Write Metrics") or {}).get("Shuffle Bytes Written", 0)
+                out[q]["tasks"] += 1
     return {k: dict(v) for k, v in out.items()}
