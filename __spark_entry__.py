@@ -354,7 +354,7 @@ def q_report_csv(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streaming
-def _stream_src(spark, df, name, n_files=5):
+def _stream_src(spark, df, name, n_files=3):
     src = _fresh(spark, name)
     ST_.write_ordered_files(df, src, "pos", n_files)
     return src
