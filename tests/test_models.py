@@ -153,3 +153,25 @@ def test_random_windows_fallback_keeps_every_draw(spark, monkeypatch):
     out = S.random_windows(corpus, 25, seqlen, seed=2, strict=False, first_tries=1).collect()
     assert sorted(r.sample_id for r in out) == list(range(25))
     assert all(r.num_tokens == seqlen for r in out)
+
+
+@pytest.mark.parametrize("n_buckets", [1, 3, 16])
+def test_bh_two_level_equals_window(spark, n_buckets):
+    from calibspark.operators.multiple_testing import bh_adjust_two_level
+    rnd = random.Random(n_buckets)
+    rows = []
+    for fam in range(4):
+        for i in range(150 if fam else 400):
+            p = rnd.choice([1.0, 0.5, 0.05]) if rnd.random() < 0.3 else rnd.random() ** 4
+            rows.append((f"f{fam}", i, p))
+    df = spark.createDataFrame(rows, "fam string, i int, p_value double")
+    a = {(r.fam, r.i): r.p_adj for r in bh_adjust(df, family=["fam"], tiebreak=["i"]).collect()}
+    b = {(r.fam, r.i): r.p_adj for r in bh_adjust_two_level(df, family=["fam"], n_buckets=n_buckets).collect()}
+    assert a.keys() == b.keys()
+    for k in a:
+        assert b[k] == pytest.approx(a[k], rel=1e-12)
+    for fam in ("f0", "f1"):
+        ps = [p for f, _, p in rows if f == fam]
+        want = bh_textbook(ps)
+        got = [b[(fam, i)] for i in range(len(ps))]
+        assert got == pytest.approx(want, rel=1e-12)
