@@ -119,3 +119,27 @@ def test_fixture_known_counts(spark):
     assert a.count() == 192000
     assert a.where("status = 'OK'").count() == 61543
     assert a.where("pass = 1").count() == 60202
+
+
+def test_keep_until(spark):
+    from calibspark.functions.text import keep_until
+    rows = [("a\nbcd\nefg\n", 1, 2), ("abc", 0, 1), ("x\ny", 1, 5)]
+    got = one(spark, keep_until(F.col("c"), F.col("l"), F.col("k")), rows, "c string, l int, k int")
+    assert got == ["a\nbc", "a", "x\ny"]
+
+
+def test_run_labels(spark):
+    rows = [("org/codellama-7b", "java", "0.2"), ("deepseekcoder-7b", "py", "0.8")]
+    df = spark.createDataFrame(rows, "hub string, lang string, t string")
+    label = O.model_label(F.col("hub"))
+    out = df.select(label.alias("label"), O.safe_name(F.col("hub")).alias("safe"),
+                    O.safe_name(F.col("hub"), F.lit("")).alias("safe_empty_override"),
+                    O.run_dir_label(F.col("lang"), F.col("t"), label).alias("run"),
+                    O.cleaned_path(F.concat_ws("/", F.lit("out"), O.safe_name(F.col("hub")),
+                                               O.run_dir_label(F.col("lang"), F.col("t"), label))).alias("clean"),
+                    O.pass_report_name(label, F.col("lang"), F.col("t")).alias("report")).collect()
+    assert tuple(out[0]) == ("codellama-7b", "org_codellama_7b", "org_codellama_7b",
+                             "java_benchmark_temperature_0.2_codellama-7b",
+                             "out/org_codellama_7b/java_benchmark_temperature_0.2_codellama-7b_cleaned",
+                             "pass_result_temp_0_2_java_codellama-7b.csv")
+    assert out[1].label == "deepseekcoder-7b" and out[1].report == "pass_result_temp_0_8_py_deepseekcoder-7b.csv"
