@@ -105,3 +105,18 @@ def test_recipes_with_model_tokenizer(spark):
     assert len(w) == 6 and all(r.num_tokens == 12 for r in w)
     q = S.quota_sample(FX.code_corpus(spark, SF_SMALL), 8, 12, tok=tok).collect()
     assert len(q) == 8 and all(r.num_tokens == 12 and r.raw_data.startswith("x ") for r in q)
+
+
+def test_read_corpus_json_shards_subset_split(spark):
+    from calibspark.sources.corpus import read_corpus
+    path = fresh(spark, "corpus-json")
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    (docs.select(F.col("doc_id").alias("pos"), "text", F.col("source").alias("meta"),
+                 F.when(F.col("doc_id") % 2 == 0, "github").otherwise("stackexchange").alias("subset"),
+                 F.when(F.col("doc_id") % 5 == 0, "validation").otherwise("train").alias("split"))
+     .repartition(4).write.option("compression", "gzip").json(path))
+    c = read_corpus(spark, path, fmt="json", subset="github", split="train")
+    got = sorted(r.pos for r in c.collect())
+    want = sorted(r.doc_id for r in docs.where("doc_id % 2 = 0 AND doc_id % 5 <> 0").collect())
+    assert got == want
+    assert c.columns == ["pos", "text", "meta"]
