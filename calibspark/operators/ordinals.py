@@ -11,20 +11,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def pos_ordinals(df: DataFrame, order_col: str = "pos") -> tuple[DataFrame, int, bool]:
+def pos_ordinals(df: DataFrame, order_col: str = "pos") -> tuple[DataFrame, int, bool, int | None]:
     """W2 in order-column order: ``ord`` = 0-based rank by ``order_col``.
 
     Dense keys (max - min + 1 == rows, the usual arrival ordinal) need no
     window at all: ``ord = pos - min``.  Otherwise a two-level running count
     (quantile buckets, see ``stream_windows.running_offset``).
-    Returns (rows with ``ord``, row count, dense flag).
+    Returns (rows with ``ord``, row count, dense flag, smallest key).
     """
     from calibspark.operators.stream_windows import running_offset
     lo, hi, n = df.agg(F.min(order_col), F.max(order_col), F.count(F.lit(1))).first()
     if not n:
-        return df.withColumn("ord", F.lit(None).cast("bigint")), 0, True
+        return df.withColumn("ord", F.lit(None).cast("bigint")), 0, True, None
     if hi - lo + 1 == n:
-        return df.withColumn("ord", (F.col(order_col) - F.lit(lo)).cast("bigint")), int(n), True
+        return df.withColumn("ord", (F.col(order_col) - F.lit(lo)).cast("bigint")), int(n), True, lo
     ranked = running_offset(df.select(order_col).withColumn("__one", F.lit(1)), order_col, "__one",
                             out_col="ord").drop("__one")
-    return ranked, int(n), False
+    return ranked, int(n), False, lo

@@ -73,10 +73,9 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
     spark = corpus.sparkSession
     empty = spark.createDataFrame([], "sample_id long, doc_pos long, start int, num_tokens int, "
                                       "raw_data string, meta string")
-    ords, total, dense = pos_ordinals(corpus.select("pos"))
+    ords, total, dense, lo = pos_ordinals(corpus.select("pos"))
     if total == 0:
         return empty
-    lo = ords.agg(F.min("pos")).first()[0] if dense else None
     gate = (F.col("n_tokens") > seqlen) if strict else (F.col("n_tokens") >= seqlen)
     found, resolved, j0, tries = None, 0, 0, first_tries
     while resolved < nsamples and j0 < MAX_TRIES:
@@ -122,7 +121,7 @@ def _full_scan_draws(corpus: DataFrame, nsamples: int, seqlen: int, seed: int, g
     """Draws not resolved by rejection: ordinal over the eligible documents."""
     spark = corpus.sparkSession
     elig = corpus.select("pos", tok.count(F.col("text")).alias("n_tokens")).where(gate)
-    ords, n_elig, _ = pos_ordinals(elig)
+    ords, n_elig, _, _ = pos_ordinals(elig)
     todo = spark.range(nsamples).select(F.col("id").alias("sample_id"))
     if found is not None:
         todo = todo.join(_maybe_broadcast(found.select("sample_id"), nsamples), "sample_id", "left_anti")

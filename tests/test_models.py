@@ -175,3 +175,26 @@ def test_bh_two_level_equals_window(spark, n_buckets):
         want = bh_textbook(ps)
         got = [b[(fam, i)] for i in range(len(ps))]
         assert got == pytest.approx(want, rel=1e-12)
+
+
+def greedy_k(rows, q, strata):
+    seen, counts, out = set(), {s: 0 for s in strata}, []
+    for pos, repo, lang in sorted(rows):
+        if repo in seen or counts[lang] >= q:
+            continue
+        counts[lang] += 1
+        seen.add(repo)
+        out.append(pos)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_quota_three_strata_equals_greedy(spark, seed):
+    rnd = random.Random(100 + seed)
+    strata = ["java", "python", "go"]
+    n = rnd.randint(10, 80)
+    rows = [(p, f"r{rnd.randint(0, n // 4)}", rnd.choice(strata)) for p in rnd.sample(range(2000), n)]
+    q = rnd.randint(1, 6)
+    df = spark.createDataFrame(rows, "pos long, repo string, language string")
+    got = sorted(r.pos for r in quota_select(df, q, strata).collect())
+    assert got == sorted(greedy_k(rows, q, strata))
