@@ -21,6 +21,17 @@ def ingest_results(spark: SparkSession, root: str) -> DataFrame:
         pass_flag(F.col("r.status"), F.col("r.exit_code")).alias("pass"))
 
 
+def compact_results(spark: SparkSession, root: str, out: str) -> DataFrame:
+    """R1 once: ingest the small gz files and keep the attempts as Parquet
+    (partitioned by configuration); later calls read the Parquet table."""
+    from calibspark.sources.files import reuse_or_build
+
+    def build():
+        return ingest_results(spark, root).repartition("model", "quantization", "language")
+
+    return reuse_or_build(spark, out, build)
+
+
 def write_result_tree(attempts: DataFrame, root: str, converted_every: int = 3) -> None:
     """Lay down ``attempts`` as result files (FIXTURES view H): one object per
     (configuration, problem) with its results in attempt order, some model

@@ -59,12 +59,16 @@ def read_results(spark: SparkSession, root: str) -> DataFrame:
     return df.select(relative_path(spark, root).alias("rel_path"), "name", "results")
 
 
-def read_completions(spark: SparkSession, root: str, schema: StructType | None = None) -> DataFrame:
+def read_completions(spark: SparkSession, root: str, schema: StructType | str | None = None) -> DataFrame:
     """Every ``*.gz`` below ``root`` except result files:
-    (rel_path, <object fields>)."""
+    (rel_path, <object fields>).  ``schema='infer'`` keeps every field the
+    files carry (one extra pass to infer it); the default schema reads the
+    known fields only."""
     reader = (spark.read.option("multiLine", True).option("recursiveFileLookup", True)
               .option("pathGlobFilter", "*.gz"))
-    df = reader.schema(schema or COMPLETIONS_SCHEMA).json(root)
+    if schema != "infer":
+        reader = reader.schema(schema or COMPLETIONS_SCHEMA)
+    df = reader.json(root)
     df = df.where(~F.col("_metadata.file_name").endswith("results.json.gz"))
     return df.select(relative_path(spark, root).alias("rel_path"), *df.columns)
 

@@ -120,3 +120,17 @@ def test_read_corpus_json_shards_subset_split(spark):
     want = sorted(r.doc_id for r in docs.where("doc_id % 2 = 0 AND doc_id % 5 <> 0").collect())
     assert got == want
     assert c.columns == ["pos", "text", "meta"]
+
+
+def test_completions_keep_unknown_fields_and_compaction(spark):
+    from calibspark.plans import cleaning as CL
+    from calibspark.plans import ingest as IG
+    root = fresh(spark, "cc")
+    CL.write_completion_tree(FX.code_completions(spark, SF_SMALL), root)
+    df = IO.read_completions(spark, root, schema="infer")
+    assert {"name", "prompt", "completions", "language", "stop_tokens", "rel_path"} <= set(df.columns)
+    assert df.count() == 40
+    rroot, out = fresh(spark, "rr"), fresh(spark, "compact")
+    IG.write_result_tree(FX.attempts(spark, SF_SMALL).where("model = 'codellama-7b'"), rroot)
+    a = IG.compact_results(spark, rroot, out).count()
+    assert a == IG.compact_results(spark, rroot, out).count() == 40 * 2 * 20 * 20
