@@ -165,25 +165,36 @@ def quota_select(eligible: DataFrame, quota: int, strata: list[str], key: str =
                  prior_keys: DataFrame | None = None,
                  prior_counts: dict[str, int] | None = None) -> DataFrame:
     """C2 selection: greedy arrival-order sampling with at most ``quota`` rows
-    per stratum and one row per key, in set form.
+    per stratum and one row per key, in set form.  See ``quota_select_counts``."""
+    return quota_select_counts(eligible, quota, strata, key, stratum, order, prior_keys, prior_counts)[0]
+
+
+def quota_select_counts(eligible: DataFrame, quota: int, strata: list[str], key: str = "repo",
+                        stratum: str = "language", order: str = "pos",
+                        prior_keys: DataFrame | None = None,
+                        prior_counts: dict[str, int] | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """C2 selection and the rows it accepted per stratum.
 
     Phase i accepts the first row of every key not yet taken, in the strata
     not yet full, up to the order value ``T_i`` at which the next stratum
     fills.  k strata need at most k phases; each phase is one fixed plan
     (a partial aggregate by key, a ``row_number() <= quota`` group limit per
-    stratum), and only the scalar ``T_i`` reaches the driver.
+    stratum).  The candidate rows of a phase are bounded by the quota, so
+    one collect of their (order, stratum) gives ``T_i`` and the counts.
 
     ``prior_keys`` / ``prior_counts`` resume from an earlier selection over
     rows that all precede ``eligible`` (the incremental form).
 
-    Returns (order, key, stratum, phase).
+    Returns ((order, key, stratum, phase), {stratum: accepted in this call}).
     """
     skinny = eligible.select(order, key, stratum).persist(StorageLevel.MEMORY_AND_DISK)
     spark = eligible.sparkSession
     accepted = None
-    counts = {s: (prior_counts or {}).get(s, 0) for s in strata}
+    start = {s: (prior_counts or {}).get(s, 0) for s in strata}
+    counts = dict(start)
+    bound = quota * len(strata)
     if prior_keys is not None:
-        skinny = skinny.join(_maybe_broadcast(prior_keys.select(key), quota * len(strata)), key, "left_anti")
+        skinny = skinny.join(_maybe_broadcast(prior_keys.select(key), bound), key, "left_anti")
     t_prev = None
     for phase in range(len(strata)):
         open_strata = [s for s in strata if counts[s] < quota]
@@ -193,29 +204,31 @@ def quota_select(eligible: DataFrame, quota: int, strata: list[str], key: str =
         if t_prev is not None:
             cand = cand.where(F.col(order) > F.lit(t_prev))
         if accepted is not None:
-            cand = cand.join(_maybe_broadcast(accepted.select(key), quota * len(strata)), key, "left_anti")
+            cand = cand.join(_maybe_broadcast(accepted.select(key), bound), key, "left_anti")
         first = cand.groupBy(key).agg(F.min(F.struct(order, stratum)).alias("f")).select(
             key, F.col("f")[order].alias(order), F.col("f")[stratum].alias(stratum))
         rn = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
         ranked = first.withColumn("__rn", rn).where(F.col("__rn") <= quota)
         rem = F.try_element_at(F.create_map(*[x for s in open_strata
-                                          for x in (F.lit(s), F.lit(quota - counts[s]))]), F.col(stratum))
+                                              for x in (F.lit(s), F.lit(quota - counts[s]))]), F.col(stratum))
         kept = ranked.where(F.col("__rn") <= rem).persist(StorageLevel.MEMORY_AND_DISK)
-        fill = kept.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("last"))
-        fill = fill.where(F.col("n") == F.try_element_at(F.create_map(
-            *[x for s in open_strata for x in (F.lit(s), F.lit(quota - counts[s]))]), F.col(stratum)))
-        t = fill.agg(F.min("last")).first()[0]
+        rows = kept.select(order, stratum).collect()      # at most quota x strata rows
+        by_stratum: dict[str, list] = {}
+        for r in rows:
+            by_stratum.setdefault(r[1], []).append(r[0])
+        fills = [max(v) for s, v in by_stratum.items() if len(v) == quota - counts[s]]
+        t = min(fills) if fills else None
+        for s, v in by_stratum.items():
+            counts[s] += sum(1 for x in v if t is None or x <= t)
         take = kept if t is None else kept.where(F.col(order) <= F.lit(t))
         take = take.select(order, key, stratum, F.lit(phase).alias("phase"))
-        for r in take.groupBy(stratum).count().collect():
-            counts[r[0]] += r[1]
         accepted = take if accepted is None else accepted.unionByName(take)
         if t is None:
             break
         t_prev = t
     if accepted is None:
-        return spark.createDataFrame([], f"{order} long, {key} string, {stratum} string, phase int")
-    return accepted
+        accepted = spark.createDataFrame([], f"{order} long, {key} string, {stratum} string, phase int")
+    return accepted, {s: counts[s] - start[s] for s in strata}
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -255,12 +268,12 @@ def quota_sample(corpus: DataFrame, nsamples: int, seqlen: int, quota: int | Non
     for lo, hi in pos_ranges(corpus, first_span, growth):
         chunk = corpus.where((F.col("pos") >= lo) & (F.col("pos") < hi))
         prior = _union(parts) if parts else None
-        sel = quota_select(code_candidates(chunk, seqlen, tok), quota, strata,
-                           prior_keys=prior, prior_counts=counts).select("pos", "repo", "language")
+        sel, got = quota_select_counts(code_candidates(chunk, seqlen, tok), quota, strata,
+                                       prior_keys=prior, prior_counts=counts)
         # the selection is bounded by quota x strata rows
-        sel = sel.persist(StorageLevel.MEMORY_AND_DISK)
-        for r in sel.groupBy("language").count().collect():
-            counts[r[0]] += r[1]
+        sel = sel.select("pos", "repo", "language").persist(StorageLevel.MEMORY_AND_DISK)
+        for s_, n_ in got.items():
+            counts[s_] += n_
         parts.append(sel)
         if all(counts[s] >= quota for s in strata):
             break
