@@ -73,6 +73,8 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
     spark = corpus.sparkSession
     empty = spark.createDataFrame([], "sample_id long, doc_pos long, start int, num_tokens int, "
                                       "raw_data string, meta string")
+    if nsamples <= 0:
+        return empty
     ords, total, dense, lo = pos_ordinals(corpus.select("pos"))
     if total == 0:
         return empty
@@ -104,6 +106,8 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
         # exactly by a full scan, uniform over the eligible set
         rest = _full_scan_draws(corpus, nsamples, seqlen, seed, gate, found, tok)
         found = rest if found is None else found.unionByName(rest)
+    if found is None:
+        return empty
     span = F.col("n_tokens") - seqlen
     off = F.pmod(h48(hkey(F.lit(seed), F.col("sample_id"), F.lit("off"))), span)
     start = off if strict else F.when(span == 0, F.lit(0)).otherwise(off)

@@ -117,3 +117,21 @@ def test_key_fetch_join_path_equals_inline_path(spark, monkeypatch):
     b = sorted(map(tuple, S.random_windows(corpus, 12, 16, seed=4).collect()))
     q2 = sorted(map(tuple, S.quota_sample(FX.code_corpus(spark, SF_SMALL), 12, 16).collect()))
     assert a == b and q1 == q2
+
+
+def test_more_empty_and_degenerate_inputs(spark):
+    from calibspark.operators import stream_windows as SW
+    from calibspark.operators.multiple_testing import bh_adjust_two_level
+    empty = spark.createDataFrame([], "pos long, text string, meta string")
+    corpus = document_corpus(spark, SF_SMALL)
+    assert S.random_windows(corpus, 0, 8).count() == 0
+    assert S.qa_head(empty, 5, 8).count() == 0
+    assert SW.stream_windows(empty.select("pos", "text"), 3, 8).count() == 0
+    assert SW.encode_stream(empty.select("pos", "text"), 8).count() == 0
+    assert SW.token_budget(empty.select("pos", "text"), 8, ndocs=10, n_chunks=2).count() == 0
+    none = spark.createDataFrame([], "fam string, p_value double")
+    assert bh_adjust_two_level(none, family=["fam"]).count() == 0
+    # quota larger than the data: everything eligible and unique per repo is taken
+    small = spark.createDataFrame([(0, "r1", "java"), (1, "r1", "python"), (2, "r2", "python")],
+                                  "pos long, repo string, language string")
+    assert sorted(r.pos for r in S.quota_select(small, 50, ["java", "python"]).collect()) == [0, 2]
