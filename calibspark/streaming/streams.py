@@ -80,12 +80,18 @@ def stream_head(spark: SparkSession, src: str, schema: StructType | str, k: int,
 
 
 def stream_pass_rate(spark: SparkSession, root: str, out: str, checkpoint: str,
-                     files_per_trigger: int = 20000) -> DataFrame:
+                     files_per_trigger: int = 20000, archive_dir: str | None = None) -> DataFrame:
     """T4: result files as they appear -> running pass rate per configuration
-    (complete mode; each batch overwrites the result table)."""
-    s = (spark.readStream.schema(RESULTS_SCHEMA).option("multiLine", True)
-         .option("recursiveFileLookup", True).option("pathGlobFilter", "*.results.json.gz")
-         .option("maxFilesPerTrigger", files_per_trigger).json(root))
+    (complete mode; each batch overwrites the result table, whose state is
+    one row per configuration).  ``archive_dir`` moves processed files out of
+    the watched tree (``cleanSource=archive``) so listings stay small when the
+    tree keeps growing."""
+    reader = (spark.readStream.schema(RESULTS_SCHEMA).option("multiLine", True)
+              .option("recursiveFileLookup", True).option("pathGlobFilter", "*.results.json.gz")
+              .option("maxFilesPerTrigger", files_per_trigger))
+    if archive_dir:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
+    s = reader.json(root)
     model, quant, lang = path_dimensions(relative_path(spark, root))
     rows = s.select(model.alias("model"), quant.alias("quantization"), lang.alias("language"),
                     F.explode("results").alias("r"))
