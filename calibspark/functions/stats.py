@@ -31,12 +31,60 @@ def binom_half_cdf(k: Column, n: Column) -> Column:
     return F.aggregate(_ones_to(k), start, step)["s"]
 
 
+LARGE_M = 1000  # above this, the saddle-point form (bounded work per row, more accurate)
+
+
+def _stirlerr(n: Column) -> Column:
+    """log(n!) - log(sqrt(2 pi n) (n/e)^n) for n > 15 (series form)."""
+    nn = n * n
+    s0, s1, s2, s3, s4 = 1 / 12, 1 / 360, 1 / 1260, 1 / 1680, 1 / 1188
+    return (F.when(n > 500, (s0 - s1 / nn) / n)
+            .when(n > 80, (s0 - (s1 - s2 / nn) / nn) / n)
+            .when(n > 35, (s0 - (s1 - (s2 - s3 / nn) / nn) / nn) / n)
+            .otherwise((s0 - (s1 - (s2 - (s3 - s4 / nn) / nn) / nn) / nn) / n))
+
+
+def _bd0(x: Column, np_: Column) -> Column:
+    """x log(x / np) + np - x, computed without cancellation near x = np."""
+    v = (x - np_) / (x + np_)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(12)),
+                         F.struct(((x - np_) * v).alias("s"), (F.lit(2.0) * x * v).alias("ej")),
+                         lambda acc, j: F.struct(
+                             (acc["s"] + acc["ej"] * v * v / (2 * j + 1)).alias("s"),
+                             (acc["ej"] * v * v).alias("ej")))["s"]
+    direct = x * F.log(x / np_) + np_ - x
+    return F.when(F.abs(x - np_) < 0.1 * (x + np_), series).otherwise(direct)
+
+
+def binom_half_cdf_large(m: Column, n: Column) -> Column:
+    """P(Bin(n, 1/2) <= m) for m <= n/2 and m > 15: the density at m by the
+    saddle-point (stirlerr / bd0) form, times the sum of the ratios
+    term(m - d) / term(m) over d <= 10 sqrt(n) + 100; the omitted terms are
+    below exp(-200) of the sum."""
+    nd, md = n.cast("double"), m.cast("double")
+    half = nd / 2
+    lc = (_stirlerr(nd) - _stirlerr(md) - _stirlerr(nd - md)
+          - _bd0(md, half) - _bd0(nd - md, half))
+    lf = F.log(F.lit(2 * math.pi) * md * (nd - md) / nd)
+    dens = F.exp(lc - lf / 2)
+    k = F.least(m, (F.lit(10.0) * F.sqrt(nd) + 100).cast("long")).cast("int")
+    ratios = F.aggregate(F.sequence(F.lit(0), k - 1), F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("s")),
+                         lambda acc, d: F.struct(
+                             (acc["r"] * (md - d) / (nd - md + d + 1)).alias("r"),
+                             (acc["s"] + acc["r"] * (md - d) / (nd - md + d + 1)).alias("s")))["s"]
+    return dens * ratios
+
+
 def mcnemar_exact_p(b: Column, c: Column) -> Column:
     """Two-sided exact McNemar p-value: min(1, 2 P(Bin(b+c, 1/2) <= min(b, c)));
-    1 when there are no discordant pairs."""
+    1 when there are no discordant pairs.  Up to ``LARGE_M`` the tail is summed
+    term by term; above it the saddle-point form keeps the work per row at
+    O(sqrt(b + c)) whatever the counts."""
     n = b + c
+    m = F.least(b, c)
+    tail = F.when(m <= LARGE_M, binom_half_cdf(m, n)).otherwise(binom_half_cdf_large(m, n))
     return (F.when(n == 0, F.lit(1.0))
-            .otherwise(F.least(F.lit(1.0), F.lit(2.0) * binom_half_cdf(F.least(b, c), n))))
+            .otherwise(F.least(F.lit(1.0), F.lit(2.0) * tail)))
 
 
 def paired_odds_ratio(b: Column, c: Column) -> Column:

@@ -198,3 +198,25 @@ def test_quota_three_strata_equals_greedy(spark, seed):
     df = spark.createDataFrame(rows, "pos long, repo string, language string")
     got = sorted(r.pos for r in quota_select(df, q, strata).collect())
     assert got == sorted(greedy_k(rows, q, strata))
+
+
+def _exact_tail(m, n):
+    tot, c = 0, 1
+    for i in range(0, m + 1):
+        if i > 0:
+            c = c * (n - i + 1) // i
+        tot += c
+    return float(Fraction(tot, 2 ** n))
+
+
+def test_exact_p_large_counts(spark):
+    rows = [(1200, 1500), (20000, 20100), (49000, 51000), (10**8, 10**8 + 20000), (10**9, 10**9 + 10**5)]
+    got = {(r.b, r.c): r.p for r in spark.createDataFrame(rows, "b long, c long")
+           .select("b", "c", ST.mcnemar_exact_p(F.col("b"), F.col("c")).alias("p")).collect()}
+    for b, c in rows[:3]:
+        assert got[(b, c)] == pytest.approx(min(1.0, 2 * _exact_tail(min(b, c), b + c)), rel=1e-12)
+    # huge counts: bounded work per row, close to the normal limit
+    for b, c in rows[3:]:
+        z = abs(c - b) / math.sqrt(b + c)
+        normal = math.erfc(z / math.sqrt(2))
+        assert 0 < got[(b, c)] <= 1 and got[(b, c)] == pytest.approx(normal, rel=1e-2)
