@@ -98,9 +98,10 @@ def or_infinite(b: Column, c: Column) -> Column:
 
 
 def pass_at_k(n: Column, c: Column, k: int) -> Column:
-    """Unbiased pass@k for one problem: 1 - C(n-c, k) / C(n, k)."""
-    prod = F.aggregate(F.sequence(n - c + 1, n), F.lit(1.0),
-                       lambda acc, i: acc * (F.lit(1.0) - F.lit(float(k)) / i))
+    """Unbiased pass@k for one problem: 1 - C(n-c, k) / C(n, k), as the
+    product of k ratios (n-c-j) / (n-j) -- work bounded by k, not by n or c."""
+    prod = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), F.lit(1.0),
+                       lambda acc, j: acc * (n - c - j).cast("double") / (n - j))
     return (F.when(n - c < k, F.lit(1.0))
             .when(c == 0, F.lit(0.0))
             .otherwise(F.lit(1.0) - prod))
