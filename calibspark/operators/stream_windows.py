@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibspark.functions.hashing import h48, hkey
-from calibspark.operators.bounded import broadcast_if_bounded
+from calibspark.operators.bounded import broadcast_if_bounded, rows_with_keys
 from calibspark.functions.tokens import token_count, tokenize
 
 
@@ -94,7 +94,8 @@ class TokenStream:
         # one pass over the text: token counts of every piece, kept skinny
         skinny = self.corpus.select("pos", token_count(F.col("text")).alias("w")).persist(
             StorageLevel.MEMORY_AND_DISK)
-        self.first_pos = skinny.agg(F.min("pos")).first()[0]
+        stats = skinny.agg(F.min("pos"), F.count(F.lit(1))).first()
+        self.first_pos, self.n_pieces = stats[0], int(stats[1])
         self.pieces = running_offset(skinny, "pos", "w", n_buckets, "cum").persist(
             StorageLevel.MEMORY_AND_DISK)
         tot = self.pieces.agg(F.sum("w")).first()[0]
@@ -141,8 +142,12 @@ def windows_over(stream: TokenStream, windows: DataFrame, key: str, bin_size: in
         (F.col("cum") <= F.col("e")) & (F.col("cum") + F.col("w") >= F.col("s"))
         # each (window, piece) pair once: on the first bin both share
         & (F.col("__b") == F.greatest(F.floor(F.col("s") / bin_size), F.floor(F.col("cum") / bin_size))))
-    pairs = pairs.select(key, "s", "e", "pos", "cum", "w")
-    text = stream.corpus.join(pairs, "pos")
+    pairs = pairs.select(key, "s", "e", "pos", "cum", "w").persist(StorageLevel.MEMORY_AND_DISK)
+    # only the pieces under some window are read with text (IN filter or semi
+    # join), never a join that would shuffle the whole corpus
+    n_pairs = pairs.count()
+    text = rows_with_keys(stream.corpus, pairs, "pos", n_pairs).join(
+        broadcast_if_bounded(pairs, n_pairs), "pos")
     piece = stream.piece(F.col("text"), F.col("pos"))
     t = text.select(key, "pos", "cum", "w", "s", "e", piece.alias("piece")).withColumn(
         "toks", tokenize(F.col("piece")))
@@ -179,7 +184,9 @@ def _chunks(stream: TokenStream, seqlen: int, limit_tokens: int) -> DataFrame:
     p = stream.pieces.where(F.col("cum") <= F.lit(total - 1))
     c0 = F.floor(F.col("cum") / seqlen).cast("long")
     c1 = F.least(F.floor((F.col("cum") + F.col("w")) / seqlen), F.lit(last)).cast("long")
-    text = stream.corpus.join(p, "pos")
+    # the skinny piece table is broadcast while its row count is within the
+    # bound, so the text is moved only once, by the chunk assembly
+    text = stream.corpus.join(broadcast_if_bounded(p, stream.n_pieces), "pos")
     piece = stream.piece(F.col("text"), F.col("pos"))
     # tokenize each piece once, then cut one fragment per chunk it touches
     per_piece = (text.select("pos", "cum", "w", c0.alias("c0"), c1.alias("c1"), piece.alias("piece"))
