@@ -12,6 +12,7 @@ per problem).
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +51,16 @@ def bh_adjust_two_level(df: DataFrame, p_col: str = "p_value", family: list[str]
     if family is None:
         return df.withColumn(out_col, F.col(p_col))
     fam = list(family)
+    # the tests table feeds the count, the distinct p-values and the final
+    # join: compute its upstream once
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     d = df.groupBy(*fam, p_col).agg(F.count(F.lit(1)).alias("__c"))
     if n_buckets is None:
-        n_buckets = max(1, min(16384, d.count() // rows_per_bucket + 1))
+        n_rows = d.count()
+        if n_rows <= rows_per_bucket:
+            # every family fits one task comfortably: the window form is cheaper
+            return bh_adjust(df, p_col, fam, out_col)
+        n_buckets = max(1, min(16384, n_rows // rows_per_bucket + 1))
     probs = [i / n_buckets for i in range(1, n_buckets)]
     bounds = sorted(set(d.approxQuantile(p_col, probs, 0.001))) if n_buckets > 1 else []
     d = bucket_by_bounds(d, p_col, bounds, "__b")
