@@ -9,9 +9,6 @@ split -- many small files are bundled per task by ``maxPartitionBytes`` /
 
 from __future__ import annotations
 
-import gzip
-import json
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,19 +140,30 @@ def reuse_or_build(spark: SparkSession, path: str, build, fmt: str = "parquet")
 
 # ---------------------------------------------------------------- fixture trees
 def _write_json_gz(rows) -> None:
+    """Write each row's body as one gzipped file through ``pyarrow.fs``
+    (local paths, ``file:``, ``s3://`` and ``hdfs://`` URIs alike)."""
+    from pyarrow import fs as pafs
+    cache: dict = {}
     for r in rows:
-        os.makedirs(os.path.dirname(r.path), exist_ok=True)
-        with gzip.open(r.path, "wb") as f:
-            f.write(r.body.encode("utf-8"))
+        scheme = r.path.split("://", 1)[0] if "://" in r.path else "file"
+        if scheme not in cache:
+            cache[scheme] = pafs.FileSystem.from_uri(r.path)[0]
+        filesystem = cache[scheme]
+        target = pafs.FileSystem.from_uri(r.path)[1] if "://" in r.path else r.path
+        filesystem.create_dir(target.rsplit("/", 1)[0], recursive=True)
+        with filesystem.open_output_stream(target, compression="gzip") as out:
+            out.write(r.body.encode("utf-8"))
 
 
 def write_object_tree(df: DataFrame, root: str, rel_path_col: str, body_col: str) -> None:
     """Write one gzipped JSON object per row at ``root/<rel_path>``.
 
     Used to lay down input trees in the shape the evaluation tools produce;
-    each task writes its own files, so it needs a POSIX-mounted shared folder.
+    each task writes its own files (rewritten as a whole on retry).
     """
-    local_root = root[len("file:"):] if root.startswith("file:") else root
+    local_root = root[len("file:"):] if root.startswith("file:") and not root.startswith("file://") else root
+    if local_root.startswith("file://"):
+        local_root = local_root[len("file://"):]
     (df.select(F.concat(F.lit(local_root.rstrip("/") + "/"), F.col(rel_path_col)).alias("path"),
                F.col(body_col).alias("body"))
      .foreachPartition(_write_json_gz))
