@@ -143,3 +143,30 @@ def test_run_labels(spark):
                              "out/org_codellama_7b/java_benchmark_temperature_0.2_codellama-7b_cleaned",
                              "pass_result_temp_0_2_java_codellama-7b.csv")
     assert out[1].label == "deepseekcoder-7b" and out[1].report == "pass_result_temp_0_8_py_deepseekcoder-7b.csv"
+
+
+def test_cut_fast_equals_strict_on_random_plain_code(spark):
+    """Code without strings or brackets: both X2 paths agree."""
+    import random
+    from calibspark.functions.text import cut_first_function_fast
+    rnd = random.Random(7)
+    stmts = ["x = 1", "y = x + 2", "return y", "pass", "z = y * 3"]
+    cases = []
+    for _ in range(60):
+        lines, depth = [], 0
+        for _ in range(rnd.randint(1, 12)):
+            kind = rnd.random()
+            if kind < 0.25:
+                lines.append("    " * depth + f"def f{rnd.randint(0, 9)}:")
+                depth = min(depth + 1, 3)
+            elif kind < 0.35:
+                lines.append("")
+            else:
+                depth = rnd.randint(0, depth)
+                lines.append("    " * depth + rnd.choice(stmts))
+        code = "\n".join(lines) + rnd.choice(["", "\n", "\n\n"])
+        cut = rnd.randint(0, len(code))
+        cases.append((code[:cut], code[cut:]))
+    fast = one(spark, cut_first_function_fast(F.col("p"), F.col("c")), cases, "p string, c string")
+    strict = [code_scan.cut_first_function(p, c, "python") for p, c in cases]
+    assert fast == strict
