@@ -134,3 +134,15 @@ def test_completions_keep_unknown_fields_and_compaction(spark):
     IG.write_result_tree(FX.attempts(spark, SF_SMALL).where("model = 'codellama-7b'"), rroot)
     a = IG.compact_results(spark, rroot, out).count()
     assert a == IG.compact_results(spark, rroot, out).count() == 40 * 2 * 20 * 20
+
+
+def test_clean_job_end_to_end(spark):
+    from calibspark.plans import cleaning as CL
+    root, out = fresh(spark, "cj-in"), fresh(spark, "cj-out")
+    CL.write_completion_tree(FX.code_completions(spark, SF_SMALL), root)
+    CL.clean_job(spark, root, out, language="py")
+    back = spark.read.json(out)
+    assert back.count() == 40
+    assert sorted(r.run for r in back.select("run").distinct().collect()) == ["runA/py_benchmark", "runB/py_benchmark"]
+    row = back.where("name = 'P_3'").first()
+    assert len(row.completions) == 3 and row.prompt.startswith("x = 3")
