@@ -34,6 +34,12 @@ from calibspark.streaming import streams as ST_
 from calibspark.plans import statistics as ST
 from calibspark.sources import fixtures as FX
 
+try:  # the training-data operators are an optional part
+    import corpus_pipeline as PIPE
+    from calibspark.llm import registry as LLM
+except ImportError:
+    LLM = PIPE = None
+
 DIGITS = 9
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -454,9 +460,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_quota": q_stream_quota,
         "stream_head": q_stream_head,
         "stream_pass_rate": q_stream_pass_rate,
+        **(LLM.queries() | {"pipeline": PIPE.run} if LLM else {}),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     from oracle import oracle_queries
-    return oracle_queries()
+    piped = {"pipeline": PIPE.ORACLE_SQL} if LLM and PIPE.ORACLE_SQL else {}
+    return oracle_queries() | (LLM.oracle_sql() | piped if LLM else {})
