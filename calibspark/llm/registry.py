@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
-from calibspark.llm import licenses, mixing, quality, url_filter
+from calibspark.llm import decontaminate, licenses, mixing, order_minhash, quality, repeats, token_counts, toxicity, url_filter, warc
 
 
 def queries() -> dict:
     return {
+        "op1_warc_segments": warc.op1_warc_segments,
         "op2_license_digests": licenses.op2_license_digests,
+        "op3_toxicity_chain": toxicity.op3_toxicity_chain,
+        "op4_order_minhash": order_minhash.op4_order_minhash,
         "op5_quality_rules": quality.op5_quality_rules,
         "op6_url_filter": url_filter.op6_url_filter,
         "op7_temperature_mix": mixing.op7_temperature_mix,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_token_counts": token_counts.op9_token_counts,
+        "op10_repeated_passages": repeats.op10_repeated_passages,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc_segments": warc.op1_warc_segments,
         "op2_license_digests": licenses.oracle(),
         "op5_quality_rules": quality.oracle(),
     }
