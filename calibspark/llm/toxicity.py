@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows to train on at most, the folds, and the documents that must hold a word to be a feature.
 SAMPLE, FOLDS, MIN_DOCS = 6_000, 4, 5
-#: L2 penalty on the scaled weights, and gradient steps.
-REG, STEPS = 0.3, 150
+#: Least deviation of a feature, L2 penalty on the scaled weights, and gradient steps.
+MIN_Z, REG, STEPS = 4.0, 0.3, 150
 WORD = re.compile(r"\w+")
 
 #: Categories in chain order, from the columns of ``labels``: badly formed text,
@@ -42,8 +42,10 @@ CATEGORIES = {
 }
 
 
-def distinct_words(text: str | None) -> set[str]:
-    return set(WORD.findall(text.lower())) if text else set()
+def features(text: str | None) -> set[str]:
+    """The distinct words of a text and their beginnings of 4 and 5 characters, which inflected forms share."""
+    words = set(WORD.findall(text.lower())) if text else set()
+    return words | {w[:n] + "*" for n in (4, 5) for w in words if len(w) >= n}
 
 
 def sigmoid(z):
@@ -66,6 +68,11 @@ class Sparse:
         out.row, out.col, out.n = place[self.row[hit]], self.col[hit], len(of)
         return out
 
+    def columns(self, keep: np.ndarray) -> "Sparse":
+        out = Sparse([], self.n_words)
+        out.row, out.col, out.n = self.row[keep], self.col[keep], self.n
+        return out
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], self.n)
 
@@ -79,13 +86,21 @@ def log_ratio(x: Sparse, y: np.ndarray) -> np.ndarray:
     return np.log(pos / (y.sum() + 1)) - np.log(neg / ((1 - y).sum() + 1))
 
 
+def telling(x: Sparse, y: np.ndarray) -> np.ndarray:
+    """Words whose documents' classes differ from the mean by MIN_Z standard errors."""
+    found, share = x.tdot(np.ones(len(y))), y.mean()
+    return np.abs(x.tdot(y) - found * share) >= MIN_Z * np.sqrt(np.maximum(found, 1) * share * (1 - share))
+
+
 def fit_logistic(x: Sparse, dense: np.ndarray, y: np.ndarray, reg: float = REG, steps: int = STEPS):
     """(word weights, dense weights, intercept) of an L2-regularised logistic
     regression on words scaled by their log ratio; accelerated gradient steps."""
     if not 0 < y.sum() < len(y):
         return np.zeros(x.n_words), np.zeros(dense.shape[1]), 6.0 if len(y) and y.all() else -6.0
-    scale = log_ratio(x, y)
+    scale = np.where(telling(x, y), log_ratio(x, y), 0)
     scale = scale / max(np.abs(scale).max(), 1e-9)
+    used = scale[x.col] != 0
+    x = x.columns(used)
     v = np.ones(x.n_words + dense.shape[1] + 1)
     for _ in range(20):  # the largest curvature, by power iteration
         v /= np.linalg.norm(v)
@@ -148,7 +163,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, str]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "words": [sorted(distinct_words(t)) for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "words": [sorted(features(t)) for t in b["text"]]})
 
     return texts.select("r.*").mapInPandas(run, "doc_id long, y array<double>, words array<string>")
 
@@ -191,7 +206,7 @@ def score_chain(docs: DataFrame, model: list[tuple[int, str, float]], categories
         for b in batches:
             z = np.tile(bias, (len(b), 1))
             for i, t in enumerate(b["text"]):
-                if found := known & distinct_words(t):
+                if found := known & features(t):
                     z[i] += weight[sorted(index[w] for w in found)].sum(0)
             p = np.zeros_like(z)
             for c in range(k):
