@@ -20,6 +20,7 @@ than id, text and labels are not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Labelled rows to train on at most, the folds, and the documents that must hold a word to be a feature.
-SAMPLE, FOLDS, MIN_DOCS = 6_000, 4, 5
+SAMPLE, FOLDS, MIN_DOCS = 6_000, 4, 3
 #: Least deviation of a feature, L2 penalty on the scaled weights, and gradient steps.
-MIN_Z, REG, STEPS = 4.0, 0.3, 150
+MIN_Z, REG, STEPS = 4.0, 0.1, 150
 WORD = re.compile(r"\w+")
 
 #: Categories in chain order, from the columns of ``labels``: badly formed text,
@@ -131,9 +132,7 @@ def fit_chain(words: list[list[str]], labels: np.ndarray, fold: np.ndarray, min_
     """Model rows (category, feature, weight) of a chain over the columns of
     ``labels``.  A feature is ``w:`` and a word, ``p:`` and the number of an
     earlier category, or ``bias``."""
-    vocabulary, found = np.unique(np.array([w for r in words for w in r], dtype=object), return_counts=True) \
-        if any(len(r) for r in words) else (np.array([], dtype=object), np.array([]))
-    vocabulary = vocabulary[found >= min_docs] if len(vocabulary) else vocabulary
+    vocabulary = sorted(w for w, n in Counter(w for r in words for w in r).items() if n >= min_docs)
     index = {w: i for i, w in enumerate(vocabulary)}
     x = Sparse([np.array([index[w] for w in r if w in index], np.int64) for r in words], len(vocabulary))
     earlier, out = np.zeros((len(words), 0)), []
