@@ -53,9 +53,9 @@ LENGTH = 100
 #: Bytes of an anchor.
 ANCHOR = 32
 #: Runs of one anchor that meet in one part of a block; different runs of an anchor in a batch that go on unsalted.
-GROUP, PLAIN = 512, 4
+GROUP, PLAIN = 8192, 4
 #: Bytes scanned together (positions fit in 20 bits), and bytes of runs in one suffix array.
-CHUNK, BLOCK = 1_000_000, 1_500_000
+CHUNK, BLOCK = 1_000_000, 1_000_000
 #: Bytes of runs handed on together.
 FETCH = 4 << 20
 
@@ -228,12 +228,12 @@ class SuffixArray:
         ranks = []
         for step in self.STEPS:
             order = np.argsort(key, kind="stable")
-            rank = np.zeros(n + 256, np.int64)
-            new = np.ones(n, np.int64)
+            rank = np.zeros(n + 256, np.int32)
+            new = np.ones(n, np.int32)
             new[1:] = key[order][1:] != key[order][:-1]
             rank[order] = np.cumsum(new)
             ranks.append(rank)
-            key = rank[:n] * (n + 2) + rank[step:n + step]
+            key = rank[:n].astype(np.int64) * (n + 2) + rank[step:n + step]
         order = np.argsort(key, kind="stable")
         self.text = np.repeat(np.arange(len(texts)), sizes + 1)
         left = (self.begin + sizes)[self.text] - np.arange(n)

@@ -8,28 +8,26 @@ difference, brought to position 0 with the inverse power.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 
-BASE = 0x9E3779B97F4A7C15 | 1
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 MIX_A, MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P**i and P**-i modulo 2**64 for i < n."""
-    base, inverse = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-    base[:1] = inverse[:1] = 1
-    return np.cumprod(base, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
+def powers(n: int, base: int) -> np.ndarray:
+    """base**i modulo 2**64 for i < n.  Not kept between calls: these helpers
+    are shipped to the executors by value, with all that they hold."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
-@lru_cache(maxsize=1)
 def _table() -> np.ndarray:
     return np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-@lru_cache(maxsize=1)
 def _in_word() -> np.ndarray:
     """ASCII letters and digits, and every byte of other characters."""
     ok = np.zeros(256, bool)
@@ -38,11 +36,6 @@ def _in_word() -> np.ndarray:
     return ok
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n).bit_length())
-    return _powers(size)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * MIX_A
@@ -54,13 +47,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 def prefix_sums(data: np.ndarray) -> np.ndarray:
     """Prefix sums, one longer than the uint8 array ``data``."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_table()[data] * powers(len(data))[0][:len(data)], out=out[1:])
+    np.cumsum(_table()[data] * powers(len(data), BASE), out=out[1:])
     return out
 
 
 def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hashes of the spans [start, end); equal bytes have equal hashes at any place."""
-    return (sums[end] - sums[start]) * powers(len(sums))[1][start]
+    return (sums[end] - sums[start]) * powers(len(sums), INVERSE)[start]
 
 
 def text_groups(texts: list, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
