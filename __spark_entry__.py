@@ -262,18 +262,19 @@ def q_trim_special_ids(spark, sf_dir):
                      F.array_join(kept, ",").alias("kept"))
 
 
-def _cut(spark, sf_dir, strict=False):
-    cc = FX.code_completions(spark, sf_dir)
-    return cc.select("item_id", "attempt", CM.cut_first_function(
-        F.col("prompt"), F.col("completion"), F.lit("python"), strict=strict).alias("cleaned"))
+def _cut(spark, sf_dir, language="py"):
+    cc = FX.code_completions(spark, sf_dir, language)
+    return cc.select("item_id", "attempt", "language", CM.cut_first_function(
+        F.col("prompt"), F.col("completion"), CM.language_name(F.col("language"))).alias("cleaned"))
 
 
 def q_cut_first_function(spark, sf_dir):
-    return _cut(spark, sf_dir)
+    return _cut(spark, sf_dir).drop("language")
 
 
 def q_cut_first_function_strict(spark, sf_dir):
-    return _cut(spark, sf_dir, strict=True)
+    """Both languages, told apart by their column."""
+    return _cut(spark, sf_dir).unionByName(_cut(spark, sf_dir, "java"))
 
 
 def q_strip_comments(spark, sf_dir):
@@ -284,9 +285,8 @@ def q_strip_comments(spark, sf_dir):
 
 def q_split_doc(spark, sf_dir):
     cc = FX.code_completions(spark, sf_dir)
-    code = F.concat(F.lit("# "), F.col("prompt"), F.col("completion"))
-    code = F.when(F.col("attempt") == 0, code).otherwise(TX.prompt_code(F.col("prompt"), F.col("completion")))
-    parts = CM.split_doc(code, F.lit("python"))
+    code = TX.prompt_code(F.col("prompt"), F.col("completion"))
+    parts = CM.split_doc(F.when(F.col("attempt") == 0, F.concat(F.lit("# "), code)).otherwise(code), F.lit("python"))
     return cc.select("item_id", "attempt", parts["doc"].alias("doc"), parts["func"].alias("func"))
 
 
@@ -316,12 +316,27 @@ def q_ingest_results(spark, sf_dir):
     return IG.ingest_results(spark, root)
 
 
-def q_clean_completions_job(spark, sf_dir):
-    root = _fresh(spark, "completions")
-    CL.write_completion_tree(FX.code_completions(spark, sf_dir), root)
-    out = CL.clean_completion_files(spark, root, "py")
-    return out.select("rel_path", "name", F.size("completions").cast("long").alias("n_completions"),
-                      F.array_join("completions", "\u001e").alias("completions_joined"))
+def q_clean_completions(language):
+    """X7 through files: the cleaned objects are written (S13) and read back whole."""
+    def run(spark, sf_dir):
+        root, out = _fresh(spark, "completions"), _fresh(spark, "cleaned")
+        CL.write_completion_tree(FX.code_completions(spark, sf_dir, language), root)
+        CL.clean_job(spark, root, out, language)
+        schema = ("name string, completions array<string>, language string, temperature double, top_p double, tests string, "
+                  "extra struct<b: array<boolean>>")
+        back = spark.read.schema(schema + ", run string").json(out)
+        return back.select(F.concat("run", F.lit("/"), "name", F.lit(".json.gz")).alias("rel_path"), "name",
+                           F.size("completions").cast("long").alias("n_completions"),
+                           F.array_join("completions", "\u001e").alias("completions_joined"),
+                           "language", "temperature", "top_p", "tests", F.col("extra.b")[0].alias("extra_b"))
+    return run
+
+
+def q_report_from_csv(spark, sf_dir):
+    """The report computed from the results CSV."""
+    path = _fresh(spark, "results-report")
+    IO.write_results_csv(_att(spark, sf_dir), path)
+    return _round_doubles(R.paired_report(IO.read_results_csv(spark, path), R.RQ1))
 
 
 def q_results_csv(spark, sf_dir):
@@ -451,7 +466,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "validate_names": q_validate_names,
         "tokenizer_checks": q_tokenizer_checks,
         "ingest_results": q_ingest_results,
-        "clean_completions_job": q_clean_completions_job,
+        "clean_completions_job": q_clean_completions("py"),
+        "clean_completions_java": q_clean_completions("java"),
+        "report_from_csv": q_report_from_csv,
         "results_csv": q_results_csv,
         "calibration_csv": q_calibration_csv,
         "split_files": q_split_files,

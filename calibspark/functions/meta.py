@@ -5,17 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Python literals written bare in value position; rewritten to JSON words
-_BARE = r"([:,\[(]\s*)(None|True|False)(?=\s*[,}\])])"
+# one token of a Python literal: a string (quotes and escapes whole), a bracket,
+# a comma, a bare word or number, white space, or any other character
+_TOKEN = r'''"[^"\\]*+(?:\\.[^"\\]*+)*+"|'[^'\\]*+(?:\\.[^'\\]*+)*+'|[\[\](){},:]|[A-Za-z0-9_.+-]++|\s++|(?s:.)'''
+_WORDS = {"None": "null", "True": "true", "False": "false"}
+
+
+def _json_token(t: Column) -> Column:
+    """A token as JSON: strings in double quotes, bare words and tuples by their JSON twins."""
+    inner = F.substr(t, F.lit(2), F.length(t) - 2)
+    single = F.replace(F.replace(inner, F.lit("\\'"), F.lit("'")), F.lit('"'), F.lit('\\"'))
+    out = (F.when(t.startswith("'") & (F.length(t) > 1), F.concat(F.lit('"'), single, F.lit('"')))
+           .when(t.startswith('"') & (F.length(t) > 1), F.replace(t, F.lit("\\'"), F.lit("'")))
+           .when(t == "(", "[").when(t == ")", "]"))
+    for word, twin in _WORDS.items():
+        out = out.when(t == word, twin)
+    return out.otherwise(t)
 
 
 def parse_meta(meta: Column) -> Column:
-    """Python dict literal (single quotes allowed) -> ``map<string,string>``;
-    malformed input -> null.  Nested values come back as JSON text."""
-    marked = F.regexp_replace(meta, _BARE, "$1\u0000$2")
-    js = F.regexp_replace(F.regexp_replace(F.regexp_replace(
-        marked, "\u0000None", "null"), "\u0000True", "true"), "\u0000False", "false")
-    return F.from_json(js, "map<string,string>")
+    """Python dict literal -> ``map<string,string>``; malformed input ->
+    null.  Strings keep what they hold; ``None``, ``True`` and ``False`` are
+    read as values only; tuples are arrays; trailing commas are allowed.
+    Nested values come back as JSON text."""
+    tokens = F.filter(F.regexp_extract_all(meta, F.lit(_TOKEN), F.lit(0)), lambda t: ~t.rlike(r"\A\s+\z"))
+    json = F.transform(tokens, _json_token)
+    # a comma before a closing bracket goes
+    kept = F.transform(F.arrays_zip(json.alias("t"), F.concat(F.slice(json, 2, F.greatest(F.size(json) - 1, F.lit(0))), F.array(F.lit(""))).alias("next")),
+                       lambda x: F.when((x["t"] == ",") & x["next"].isin("]", "}"), "").otherwise(x["t"]))
+    return F.from_json(F.array_join(kept, ""), "map<string,string>")
 
 
 def has_key(m: Column, key: str) -> Column:

@@ -1,14 +1,11 @@
-"""Completion text functions as built-in expressions (F17, F22, F23, F26,
-F27, X2 fast path)."""
+"""Completion text functions as built-in expressions."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-BIG = 1 << 30
 NL = "\n"
-PY_DEF = r"^\s*(async\s+)?def\s+\w+"
 
 
 def strip_text(x: Column) -> Column:
@@ -22,7 +19,7 @@ def rstrip_text(x: Column) -> Column:
 
 def drop_prefix_chars(x: Column, prefix: Column) -> Column:
     """drop ``length(prefix)`` characters from the front."""
-    return F.substring(x, F.length(prefix) + 1, F.lit(BIG))
+    return F.substr(x, F.length(prefix) + 1)
 
 
 def stop_at(x: Column, stops: list[str]) -> Column:
@@ -45,25 +42,3 @@ def keep_until(code: Column, end_line: Column, end_col: Column) -> Column:
     last = F.substring(F.element_at(lines, -1), F.lit(1), end_col)
     head = F.slice(lines, 1, F.size(lines) - 1)
     return F.array_join(F.concat(head, F.array(last)), NL)
-
-
-def _indent(line: Column) -> Column:
-    return F.length(F.regexp_extract(line, r"^(\s*)", 1))
-
-
-def cut_first_function_fast(prompt: Column, completion: Column) -> Column:
-    """X2 fast path (Python): cut ``prompt + completion`` after the first
-    ``def`` block -- the block ends before the first later non-blank line
-    indented no deeper than the ``def`` line; trailing white space dropped;
-    then the prompt's length is removed.  No ``def`` -> completion unchanged.
-    Strings and brackets are not tracked (the strict UDF path does)."""
-    lines = F.split(prompt_code(prompt, completion), NL, -1)
-    d = F.array_position(F.transform(lines, lambda l: l.rlike(PY_DEF)), F.lit(True))
-    d_ind = _indent(F.element_at(lines, F.greatest(d, F.lit(1)).cast("int")))
-    idx = F.sequence(F.lit(1), F.size(lines))
-    stop = F.array_min(F.filter(idx, lambda i: (i > d)
-                                & F.element_at(lines, i).rlike(r"\S")
-                                & (_indent(F.element_at(lines, i)) <= d_ind)))
-    kept = F.when(stop.isNull(), lines).otherwise(F.slice(lines, 1, stop - 1))
-    cut = drop_prefix_chars(rstrip_text(F.array_join(kept, NL)), prompt)
-    return F.when(d == 0, completion).otherwise(cut)

@@ -1,94 +1,40 @@
 """Completion cleaning operators (X2-X7, A5, F17-F23 applied to tables).
 
-Completions live one row per attempt: ``posexplode`` of the per-problem
-array (X6), a column expression or Arrow UDF per row, then the array is
-rebuilt in attempt order (A5).  A problem holds a bounded number of
-completions (the sampling budget), so the regrouping never gathers
-unbounded data in one group.
+Cleaning maps the per-problem array in place.  Where one row per attempt is
+wanted, ``posexplode`` (X6) and the regrouping in attempt order (A5) do it; a
+problem holds a bounded number of completions (the sampling budget).
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from calibspark.functions import code_scan
-from calibspark.functions.text import cut_first_function_fast
+from calibspark.functions.code import cut_first_function, split_doc, strip_comments  # noqa: F401
 
 LANGUAGE_NAMES = {"java": "java", "py": "python"}  # fixed values: CLI language codes
 
 
 def explode_completions(df: DataFrame, array_col: str = "completions") -> DataFrame:
-    """One row per completion with its 0-based ``attempt``."""
+    """One row per completion with its 0-based ``attempt``; a problem
+    without completions keeps one row with null attempt and completion."""
     others = [c for c in df.columns if c != array_col]
-    return df.select(*others, F.posexplode(array_col).alias("attempt", "completion"))
+    return df.select(*others, F.posexplode_outer(array_col).alias("attempt", "completion"))
 
 
 def regroup_completions(df: DataFrame, keys: list[str], attempt_col: str = "attempt",
                         text_col: str = "completion") -> DataFrame:
-    """A5: rebuild the per-problem array in attempt order."""
-    parts = F.array_sort(F.collect_list(F.struct(attempt_col, text_col)))
+    """A5: rebuild the per-problem array in attempt order (empty for a null attempt)."""
+    parts = F.array_sort(F.collect_list(F.when(F.col(attempt_col).isNotNull(), F.struct(attempt_col, text_col))))
     return df.groupBy(*keys).agg(F.transform(parts, lambda x: x[text_col]).alias("completions"))
 
 
-def _cut_strict_fn(prompt: pd.Series, completion: pd.Series, language: pd.Series) -> pd.Series:
-    return pd.Series([code_scan.cut_first_function(p or "", c or "", lang or "python")
-                      for p, c, lang in zip(prompt, completion, language)])
-
-
-def _strip_comments_fn(code: pd.Series, language: pd.Series) -> pd.Series:
-    return pd.Series([code_scan.strip_comments(c or "", lang or "python")
-                      for c, lang in zip(code, language)])
-
-
-def _split_doc_fn(code: pd.Series, language: pd.Series) -> pd.DataFrame:
-    pairs = [code_scan.split_doc(c or "", lang or "python") for c, lang in zip(code, language)]
-    return pd.DataFrame({"doc": [p[0] for p in pairs], "func": [p[1] for p in pairs]})
-
-
-_UDFS: dict = {}
-
-
-def _udf(name: str):
-    """Arrow UDFs are created on first use (a session must exist)."""
-    if name not in _UDFS:
-        fn, rtype = {"cut": (_cut_strict_fn, "string"), "strip": (_strip_comments_fn, "string"),
-                     "split": (_split_doc_fn, "doc string, func string")}[name]
-        _UDFS[name] = F.pandas_udf(fn, rtype)
-    return _UDFS[name]
-
-
-def cut_first_function(prompt: Column, completion: Column, language: Column | None = None,
-                       strict: bool = False) -> Column:
-    """X2.  ``strict=False``: native expression (Python indentation rule).
-    ``strict=True``: Arrow UDF with a lexical scanner (strings, brackets,
-    Java braces)."""
-    if not strict:
-        return cut_first_function_fast(prompt, completion)
-    return _udf("cut")(prompt, completion, language if language is not None else F.lit("python"))
-
-
-def strip_comments(code: Column, language: Column) -> Column:
-    """Comments, docstrings and char literals removed (newlines kept), stripped."""
-    return _udf("strip")(code, language)
-
-
-def split_doc(code: Column, language: Column) -> Column:
-    """struct(doc, func) -- the leading comment block and the rest."""
-    return _udf("split")(code, language)
-
-
 def language_name(code: Column) -> Column:
     """CLI language code -> lexer language (java -> java, py -> python)."""
     m = F.create_map(*[x for k, v in LANGUAGE_NAMES.items() for x in (F.lit(k), F.lit(v))])
     return F.try_element_at(m, code)
 
 
-def clean_completions(df: DataFrame, keys: list[str], language: Column, strict: bool = False) -> DataFrame:
-    """X7 core: (keys, prompt, completions[]) -> same with cleaned completions."""
-    rows = explode_completions(df)
-    cleaned = rows.withColumn("completion", cut_first_function(F.col("prompt"), F.col("completion"),
-                                                               language, strict))
-    grouped = regroup_completions(cleaned, keys + ["prompt"])
-    return grouped
+def clean_array(prompt: Column, completions: Column, language: Column) -> Column:
+    """X7 core: every completion of the array cut in place (an empty array stays)."""
+    return F.transform(completions, lambda c: cut_first_function(prompt, c, language))

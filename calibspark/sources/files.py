@@ -45,7 +45,7 @@ def relative_path(spark: SparkSession, root: str) -> Column:
     import re
     prefix = re.sub(_SCHEME, "", _root_uri(spark, root))
     full = F.regexp_replace(F.col("_metadata.file_path"), _SCHEME, "")
-    return F.when(full.startswith(prefix), F.substring(full, len(prefix) + 1, 1 << 30)).otherwise(full)
+    return F.when(full.startswith(prefix), F.substr(full, F.lit(len(prefix) + 1))).otherwise(full)
 
 
 def read_results(spark: SparkSession, root: str) -> DataFrame:
@@ -70,23 +70,34 @@ def read_completions(spark: SparkSession, root: str, schema: StructType | str |
     return df.select(relative_path(spark, root).alias("rel_path"), *df.columns)
 
 
-def write_completions(df: DataFrame, path: str, partition_cols: list[str] | None = None) -> None:
-    """Gzipped JSON lines, other fields untouched, partitioned by run."""
-    w = df.write.mode("overwrite").option("compression", "gzip")
+def read_completion_objects(spark: SparkSession, root: str) -> DataFrame:
+    """S6, every field kept: (rel_path, fields), ``fields`` the object of each
+    completion file as ``map<string, variant>``.  No schema, no inference pass."""
+    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+          .option("pathGlobFilter", "*.gz").text(root))
+    df = df.where(~F.col("_metadata.file_name").endswith("results.json.gz"))
+    return df.select(relative_path(spark, root).alias("rel_path"),
+                     F.from_json("value", "map<string, variant>").alias("fields"))
+
+
+def write_completion_objects(df: DataFrame, path: str, partition_cols: list[str] | None = None) -> None:
+    """One object per line (column ``object``, JSON text with every field
+    it was read with), gzipped, partitioned by run."""
+    w = df.select("object", *(partition_cols or [])).write.mode("overwrite").option("compression", "gzip")
     if partition_cols:
         w = w.partitionBy(*partition_cols)
-    w.json(path)
+    w.text(path)
 
 
 def read_results_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Results table with header."""
-    schema = "model string, quantization string, language string, problem string, pass int"
+    """Results table with header; ``attempt`` is the pairing key of the reports."""
+    schema = "model string, quantization string, language string, problem string, attempt int, pass int"
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
 def write_results_csv(df: DataFrame, path: str) -> None:
     """Results table as CSV with header (quoted)."""
-    (df.select("model", "quantization", "language", "problem", "pass")
+    (df.select("model", "quantization", "language", "problem", "attempt", "pass")
      .write.mode("overwrite").option("header", True).csv(path))
 
 

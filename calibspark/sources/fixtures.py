@@ -122,20 +122,32 @@ def token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         d, ids.cast("array<int>").alias("ids"))
 
 
-def code_completions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """View E: (item_id, attempt, prompt, completion) with Python snippets."""
-    i = F.col("item_id")
-    a = F.col("attempt")
-    prompt = F.when(i % 4 == 3, F.concat(F.lit("x = "), _s(i), F.lit(NL))).otherwise(
-        F.concat(F.lit("def f"), _s(i), F.lit("(x):" + NL + '    "doc"' + NL)))
-    tail = (F.when((i + a) % 3 == 0, F.lit(""))
-            .when((i + a) % 3 == 1, F.lit(NL + "def extra():" + NL + "    pass" + NL))
-            .otherwise(F.lit("print(1)" + NL)))
-    completion = F.concat(F.lit("    y = x + "), _s(a), F.lit(NL + NL + "    return y" + NL), tail)
-    return (table(spark, sf_dir, "benchmark", "item_id")
+def code_completions(spark: SparkSession, sf_dir: str, language: str = "py") -> DataFrame:
+    """View E: (item_id, attempt, language, prompt, completion), code around the
+    whole text of each benchmark item: signatures closed at the margin, strings
+    and comments that hold line ends, brackets and braces, code after the first
+    function; every fourth problem has no function in its prompt."""
+    i, a = F.col("item_id"), F.col("attempt")
+    text = F.translate("text", "\"'\\", "")
+    line = F.split_part(text, F.lit(NL), F.lit(1))
+    fill = lambda s: F.concat(*[{"I": _s(i), "A": _s(a), "T": text, "L": line}.get(p, F.lit(p)) for p in s.split("$")])
+    bare, kind = i % 4 == 3, (i + a) % 3
+    if language == "py":
+        prompt = F.when(bare, fill("x = $I$  # $L$\n")).otherwise(fill('def f$I$(\n    x,  # $L$)\n):\n    """$T$\n    """\n'))
+        body = F.when(bare, fill("y = x\n# def no():\n")).otherwise(
+            fill('    y = """$T$\ndef no():\n"""  # "not the end\n    z = [\n$A$\n]\n# a note at the margin\n    return y, z\n'))
+        tail = F.when(kind == 0, "").when(kind == 1, "\ndef extra():\n    pass\n").otherwise('# after\nprint("""\ndef no(): pass\n""")\n')
+    else:
+        prompt = F.when(bare, fill("class P$I$ {\n    int v = $I$;\n")).otherwise(
+            fill('class P$I$ {\n    // $L$ {\n    static final String A = "} {";\n    P$I$() { this(1); }\n'
+                 "    public static <T> String f(\n        int x, char c\n    ) throws Exception {\n"))
+        body = F.when(bare, fill("    int w = $A$;")).otherwise(
+            fill('        /* } $T$ */\n        String s = "}" + \'}\';\n        if (x > $A$) { return s; }\n        return "";\n    }'))
+        tail = F.when(kind == 0, "\n}\n").when(kind == 1, "\n\n    static int g() { return 1; }\n}\n").otherwise("\n    // more }\n}\n")
+    return (table(spark, sf_dir, "benchmark", "item_id", "text")
             .withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(2))))
-            .select("item_id", F.col("attempt").cast("int").alias("attempt"),
-                    prompt.alias("prompt"), completion.alias("completion")))
+            .select("item_id", F.col("attempt").cast("int").alias("attempt"), F.lit(language).alias("language"),
+                    prompt.alias("prompt"), F.concat(body, tail).alias("completion")))
 
 
 def reply_completions(spark: SparkSession, sf_dir: str) -> DataFrame:

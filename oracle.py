@@ -556,14 +556,57 @@ REPLY = """reply AS (
   FROM conversations a JOIN conversations u ON u.conv_id = a.conv_id AND u.turn = a.turn - 1
   WHERE a.role = 'assistant' AND u.role = 'user')"""
 
-CODE_COMPLETIONS = """cc AS (
-  SELECT item_id, cast(a.attempt as integer) AS attempt,
-    CASE WHEN item_id % 4 = 3 THEN 'x = ' || cast(item_id as varchar) || chr(10)
-         ELSE 'def f' || cast(item_id as varchar) || '(x):' || chr(10) || '    "doc"' || chr(10) END AS prompt,
-    '    y = x + ' || cast(a.attempt as varchar) || chr(10) || chr(10) || '    return y' || chr(10)
-    || CASE (item_id + a.attempt) % 3 WHEN 0 THEN '' WHEN 1 THEN chr(10) || 'def extra():' || chr(10) || '    pass' || chr(10)
-       ELSE 'print(1)' || chr(10) END AS completion
-  FROM benchmark, range(0, 3) a(attempt))"""
+def _pieces(x: str) -> str:
+    """SQL for a text with $I$, $A$, $T$ and $L$ for the item, the attempt, its text and its first line."""
+    columns = {"I": "i", "A": "a", "T": "t", "L": "l"}
+    parts = []
+    for n, t in enumerate(x.split("$")):
+        parts.append(columns[t] if n % 2 else "'" + t.replace("'", "''").replace("\n", "' || chr(10) || '") + "'")
+    return " || ".join(parts)
+
+
+def _by_kind(texts) -> str:
+    return f"CASE kind WHEN 0 THEN {texts[0]} WHEN 1 THEN {texts[1]} ELSE {texts[2]} END"
+
+
+def _code(language: str) -> str:
+    """Completions with what is right for each by construction: cleaned, stripped, doc."""
+    texts = ("SELECT item_id, cast(a.attempt as integer) AS attempt, cast(item_id as varchar) AS i, cast(a.attempt as varchar) AS a, "
+             "translate(text, '\"''\\', '') AS t, split_part(translate(text, '\"''\\', ''), chr(10), 1) AS l, "
+             f"item_id % 4 = 3 AS bare, (item_id + a.attempt) % 3 AS kind, '{language}' AS language FROM benchmark, range(0, 3) a(attempt)")
+    if language == "py":
+        head = 'def f$I$(\n    x,  # $L$)\n):\n    """$T$\n    """\n'
+        body = '    y = """$T$\ndef no():\n"""  # "not the end\n    z = [\n$A$\n]\n# a note at the margin\n    return y, z'
+        tails = ["\n", "\n\ndef extra():\n    pass\n", '\n# after\nprint("""\ndef no(): pass\n""")\n']
+        bare, bare_body = "x = $I$  # $L$\n", "y = x\n# def no():"
+        bare_clean = [bare_body + tails[0], bare_body + "\n\ndef extra():\n    pass", bare_body + tails[2]]
+        doc_lines = "repeat(chr(10), length(t) - length(replace(t, chr(10), '')) + 1)"
+        plain = [tails[0], tails[1], '\n\nprint("""\ndef no(): pass\n""")\n']
+        rest = '\n    y = """$T$\ndef no():\n"""  \n    z = [\n$A$\n]\n\n    return y, z'
+        front = _pieces("def f$I$(\n    x,  \n):\n    ")
+        stripped = ["CASE WHEN bare THEN " + _pieces("x = $I$  \ny = x\n" + x) + f" ELSE {front} || {doc_lines} || " + _pieces(rest + x) + " END"
+                    for x in plain]
+    else:
+        head = ('class P$I$ {\n    // $L$ {\n    static final String A = "} {";\n    P$I$() { this(1); }\n'
+                "    public static <T> String f(\n        int x, char c\n    ) throws Exception {\n")
+        body = ('        /* } $T$ */\n        String s = "}" + \'}\';\n        if (x > $A$) { return s; }\n'
+                '        return "";\n    }')
+        tails = ["\n}\n", "\n\n    static int g() { return 1; }\n}\n", "\n    // more }\n}\n"]
+        bare, bare_body = "class P$I$ {\n    int v = $I$;\n", "    int w = $A$;"
+        # the second function is the first one where the prompt has none
+        bare_clean = [bare_body + tails[0], bare_body + "\n\n    static int g() { return 1; }", bare_body + tails[2]]
+        stripped = ["''"] * 3
+    bare_doc, doc = _pieces("# x = $I$  # $L$\n"), _pieces("# def f$I$(\n    ")
+    return f"""cc_{language} AS (
+  SELECT item_id, attempt, language, CASE WHEN bare THEN {_pieces(bare)} ELSE {_pieces(head)} END AS prompt,
+    CASE WHEN bare THEN {_pieces(bare_body)} ELSE {_pieces(body)} END || {_by_kind([_pieces(x) for x in tails])} AS completion,
+    CASE WHEN bare THEN {_by_kind([_pieces(x) for x in bare_clean])} ELSE {_pieces(body)} END AS cleaned,
+    {_by_kind(stripped)} AS stripped,
+    CASE WHEN attempt > 0 THEN '' WHEN bare THEN {bare_doc} ELSE {doc} END AS doc
+  FROM ({texts}))"""
+
+
+CODE_COMPLETIONS = _code("py")
 
 TOKEN_ROWS = r"""tr AS (
   SELECT doc_id, list_concat(list_transform(range(doc_id % 4), lambda x: 0), [1],
@@ -609,22 +652,26 @@ SELECT doc_id, cast(len(list_slice(ids, 1, {max_length - 1})) as integer) AS n_t
 FROM c"""
 
 
-def cut_fast_sql() -> str:
-    return rf"""WITH {CODE_COMPLETIONS},
-l AS (SELECT item_id, attempt, prompt, completion, string_split(prompt || completion, chr(10)) AS lines FROM cc),
-d AS (SELECT *, coalesce(list_position(list_transform(lines, lambda x: regexp_matches(x, '^\s*(async\s+)?def\s+\w+')), true), 0) AS d FROM l),
-i AS (SELECT *, length(regexp_extract(lines[greatest(d, 1)], '^(\s*)', 1)) AS dind FROM d),
-s AS (SELECT *, list_min(list_filter(range(1, len(lines) + 1), lambda k: k > d AND regexp_matches(lines[k], '\S')
-                 AND length(regexp_extract(lines[k], '^(\s*)', 1)) <= dind)) AS stop FROM i),
-k AS (SELECT *, CASE WHEN stop IS NULL THEN lines ELSE list_slice(lines, 1, stop - 1) END AS kept FROM s)
-SELECT item_id, attempt,
-  CASE WHEN d = 0 THEN completion
-       ELSE substring(regexp_replace(array_to_string(kept, chr(10)), '\s+$', ''), length(prompt) + 1) END AS cleaned
-FROM k"""
+def cut_python_sql() -> str:
+    return f"WITH {CODE_COMPLETIONS} SELECT item_id, attempt, cleaned FROM cc_py"
+
+
+def cut_both_sql() -> str:
+    return (f"WITH {CODE_COMPLETIONS}, {_code('java')} SELECT item_id, attempt, language, cleaned FROM cc_py "
+            "UNION ALL SELECT item_id, attempt, language, cleaned FROM cc_java")
+
+
+def strip_comments_sql() -> str:
+    return f"WITH {CODE_COMPLETIONS} SELECT item_id, attempt, {STRIP.format(x='stripped')} AS stripped FROM cc_py"
+
+
+def split_doc_sql() -> str:
+    return (f"WITH {CODE_COMPLETIONS}, c AS (SELECT *, CASE WHEN attempt = 0 THEN '# ' ELSE '' END || prompt || completion AS code FROM cc_py) "
+            "SELECT item_id, attempt, doc, substring(code, length(doc) + 1) AS func FROM c")
 
 
 def regroup_sql() -> str:
-    return (f"WITH c AS ({cut_fast_sql()}) SELECT item_id, count(*) AS n_completions, "
+    return (f"WITH c AS ({cut_python_sql()}) SELECT item_id, count(*) AS n_completions, "
             f"array_to_string(list(cleaned ORDER BY attempt), chr(30)) AS completions_joined FROM c GROUP BY item_id")
 
 
@@ -658,28 +705,35 @@ def completion_queries() -> dict[str, str]:
         "stop_truncate": stop_truncate_sql(),
         "left_pad": left_pad_sql(),
         "trim_special_ids": trim_ids_sql(),
-        "cut_first_function": cut_fast_sql(),
+        "cut_first_function": cut_python_sql(),
+        "cut_first_function_strict": cut_both_sql(),
+        "strip_comments": strip_comments_sql(),
+        "split_doc": split_doc_sql(),
         "regroup_completions": regroup_sql(),
         "validate_names": validate_names_sql(),
         "tokenizer_checks": tokenizer_checks_sql(),
     }
 
 
-def clean_job_sql() -> str:
-    return (f"WITH c AS ({cut_fast_sql()}) SELECT CASE WHEN item_id % 2 = 0 THEN 'runA' ELSE 'runB' END "
-            f"|| '/py_benchmark/P_' || cast(item_id as varchar) || '.json.gz' AS rel_path, "
-            f"'P_' || cast(item_id as varchar) AS name, count(*) AS n_completions, "
-            f"array_to_string(list(cleaned ORDER BY attempt), chr(30)) AS completions_joined FROM c GROUP BY item_id")
+def clean_job_sql(language: str = "py") -> str:
+    return (f"WITH {_code(language)} SELECT CASE WHEN item_id % 2 = 0 THEN 'runA' ELSE 'runB' END "
+            f"|| '/{language}_benchmark/P_' || cast(item_id as varchar) || '.json.gz' AS rel_path, "
+            f"'P_' || cast(item_id as varchar) AS name, count(*) FILTER (item_id % 5 <> 4) AS n_completions, "
+            f"coalesce(array_to_string(list(cleaned ORDER BY attempt) FILTER (item_id % 5 <> 4), chr(30)), '') AS completions_joined, "
+            f"'{language}' AS language, 0.2::DOUBLE AS temperature, 0.95::DOUBLE AS top_p, 'assert f(1)' AS tests, true AS extra_b "
+            f"FROM cc_{language} GROUP BY item_id")
 
 
 def job_queries() -> dict[str, str]:
     return {
-        "results_csv": f"WITH {attempts_cte()} SELECT model, quantization, language, problem, pass FROM attempts_pass",
+        "results_csv": f"WITH {attempts_cte()} SELECT model, quantization, language, problem, attempt, pass FROM attempts_pass",
+        "report_from_csv": report_sql(R.RQ1),
         "calibration_csv": quota_sample_sql(),
         "split_files": f"SELECT sample_id, raw_data, split FROM ({train_val_sql()})",
         "report_csv": report_sql(R.RQ1),
         "ingest_results": outcome_flag_sql(),
         "clean_completions_job": clean_job_sql(),
+        "clean_completions_java": clean_job_sql("java"),
     }
 
 

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from calibspark.functions import code_scan
+from calibspark.functions import code as CODE
 from calibspark.functions import meta as MT
 from calibspark.functions import outcomes as O
 from calibspark.functions import stats as ST
@@ -86,30 +86,44 @@ def test_safe_name(spark):
     assert one(spark, O.safe_name(F.col("n")), [("org/model-7b",)], "n string") == ["org_model_7b"]
 
 
-def test_cut_python():
-    assert code_scan.cut_first_function("def f():\n", "    return 1\n\nprint(f())\n", "python") == "    return 1"
-    assert code_scan.cut_first_function("x = 1\n", "y = 2\n", "python") == "y = 2\n"
-    assert code_scan.cut_first_function("def f():\n    return 1\n\n", "x = 2\n", "python") == ""
+def cut(spark, cases, language):
+    return one(spark, CODE.cut_first_function(F.col("p"), F.col("c"), F.lit(language)), cases, "p string, c string")
 
 
-def test_cut_java():
-    got = code_scan.cut_first_function("class A { static int f() {\n", "return 1; }\nstatic void g() {} }", "java")
-    assert got == "return 1; }"
+def test_cut_python(spark):
+    cases = [("def f():\n", "    return 1\n\nprint(f())\n", "    return 1"), ("x = 1\n", "y = 2\n", "y = 2\n"),
+             ("def f():\n    return 1\n\n", "x = 2\n", ""), ("x = 3\n", "def g():\n    pass\n\nz = 1\n", "def g():\n    pass"),
+             ("def f(\n    x\n):\n", "    return x\n\nprint(1)", "    return x"),
+             ('def f():\n    """doc\nat margin\n    """\n', "    return 2\ny = 1", "    return 2"),
+             ("def f():\n", "    a = 1\n# note\n    return a\n# tail\nx = 1", "    a = 1\n# note\n    return a"),
+             ("def f():\n", "    s = """\nx\n"""\n    t = \\\n1\n    return '#(['\nz", "    s = """\nx\n"""\n    t = \\\n1\n    return '#(['"),
+             ("def f():\n", "    return (1,\n2", "    return (1,\n2")]
+    assert cut(spark, [c[:2] for c in cases], "python") == [c[2] for c in cases]
 
 
-def test_cut_fast_matches_strict_on_simple_code(spark):
-    from calibspark.functions.text import cut_first_function_fast
-    cases = [("def f():\n", "    return 1\n\nprint(f())\n"), ("x = 1\n", "y = 2\n"),
-             ("def f():\n    return 1\n\n", "x = 2\n"), ("x = 3\n", "def g():\n    pass\n\nz = 1\n")]
-    fast = one(spark, cut_first_function_fast(F.col("p"), F.col("c")), cases, "p string, c string")
-    strict = [code_scan.cut_first_function(p, c, "python") for p, c in cases]
-    assert fast == strict
+def test_cut_java(spark):
+    cases = [("class A { static int f() {\n", "return 1; }\nstatic void g() {} }", "return 1; }"),
+             ("class A {\n", "int x;\n}", "int x;\n}"),
+             ("class A { A(int x) { y(); }\n public <T> List<T> f(Map<K, V> m) throws E {", "if (a) { b('}', \"}\"); /* } */ }\n}}", "if (a) { b('}', \"}\"); /* } */ }\n}"),
+             ("class A { int f() {", "while (true) { x();", "while (true) { x();")]
+    assert cut(spark, [c[:2] for c in cases], "java") == [c[2] for c in cases]
 
 
-def test_comments_and_doc_split():
-    assert code_scan.strip_comments("x = 1  # c\ny = 2", "python") == "x = 1  \ny = 2"
-    assert code_scan.split_doc("// d\nint f(){}", "java") == ("// d\n", "int f(){}\n")
-    assert code_scan.split_doc("int f(){}", "java") == ("", "int f(){}")
+def test_comments_and_doc_split(spark):
+    code = [("x = 1  # c\ny = 2",), ('def f():\n    """doc\n  x"""\n    s = """keep\n"""  # gone\n    t = "# no"\n',)]
+    assert one(spark, CODE.strip_comments(F.col("c"), F.lit("python")), code, "c string") == [
+        "x = 1  \ny = 2", 'def f():\n    \n\n    s = """keep\n"""  \n    t = "# no"']
+    rows = [("// d\nint f(){}",), ("int f(){}",), ("\n/* a\n*/ // b\n\nint g(){}\n",)]
+    assert [tuple(r) for r in one(spark, CODE.split_doc(F.col("c"), F.lit("java")), rows, "c string")] == [
+        ("// d\n", "int f(){}\n"), ("", "int f(){}"), ("/* a\n*/ // b\n\n", "int g(){}\n")]
+
+
+def test_meta_literals(spark):
+    rows = [("{'a': 'x, None, y'}",), ("{'a': ('b','c')}",), ("{'a': 1,}",), ("{'a': None, 'b': True, \"c\": \"it's\", 'd': 'say \"hi\"', 'e': 'it\\'s'}",),
+            ("{}",), ("{'l': [1, (2, 3,), {'k': False}]}",)]
+    assert one(spark, MT.parse_meta(F.col("m")), rows, "m string") == [
+        {"a": "x, None, y"}, {"a": '["b","c"]'}, {"a": "1"}, {"a": None, "b": "true", "c": "it's", "d": 'say "hi"', "e": "it's"},
+        {}, {"l": '[1,[2,3],{"k":false}]'}]
 
 
 def test_fixture_known_counts(spark):
@@ -145,10 +159,10 @@ def test_run_labels(spark):
     assert out[1].label == "deepseekcoder-7b" and out[1].report == "pass_result_temp_0_8_py_deepseekcoder-7b.csv"
 
 
-def test_cut_fast_equals_strict_on_random_plain_code(spark):
-    """Code without strings or brackets: both X2 paths agree."""
+def test_cut_equals_the_indentation_rule_on_random_plain_code(spark):
+    """Code without strings or brackets: the plain line rule holds."""
     import random
-    from calibspark.functions.text import cut_first_function_fast
+    import re
     rnd = random.Random(7)
     stmts = ["x = 1", "y = x + 2", "return y", "pass", "z = y * 3"]
     cases = []
@@ -167,6 +181,12 @@ def test_cut_fast_equals_strict_on_random_plain_code(spark):
         code = "\n".join(lines) + rnd.choice(["", "\n", "\n\n"])
         cut = rnd.randint(0, len(code))
         cases.append((code[:cut], code[cut:]))
-    fast = one(spark, cut_first_function_fast(F.col("p"), F.col("c")), cases, "p string, c string")
-    strict = [code_scan.cut_first_function(p, c, "python") for p, c in cases]
-    assert fast == strict
+    def rule(prompt, completion):
+        lines = (prompt + completion).split("\n")
+        ind = [len(x) - len(x.lstrip()) for x in lines]
+        first = next((k for k, x in enumerate(lines) if re.match(r"\s*def\s+\w+", x)), None)
+        if first is None:
+            return completion
+        end = next((k for k in range(first + 1, len(lines)) if lines[k].strip() and ind[k] <= ind[first]), len(lines))
+        return "\n".join(lines[:end]).rstrip()[len(prompt):]
+    assert cut(spark, cases, "python") == [rule(*c) for c in cases]

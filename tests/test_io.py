@@ -123,13 +123,18 @@ def test_read_corpus_json_shards_subset_split(spark):
 
 
 def test_completions_keep_unknown_fields_and_compaction(spark):
+    import json
     from calibspark.plans import cleaning as CL
     from calibspark.plans import ingest as IG
     root = fresh(spark, "cc")
     CL.write_completion_tree(FX.code_completions(spark, SF_SMALL), root)
     df = IO.read_completions(spark, root, schema="infer")
-    assert {"name", "prompt", "completions", "language", "stop_tokens", "rel_path"} <= set(df.columns)
+    assert {"name", "prompt", "completions", "language", "stop_tokens", "rel_path", "tests", "extra"} <= set(df.columns)
     assert df.count() == 40
+    objects = CL.clean_completion_files(spark, root, "py")
+    assert objects.count() == 40 and objects.where("size(completions) = 0").count() == 8
+    got = [json.loads(r.object) for r in objects.collect()]
+    assert all(x["extra"] == {"a": 1, "b": [True]} and x["temperature"] == 0.2 and len(x) == 9 for x in got)
     rroot, out = fresh(spark, "rr"), fresh(spark, "compact")
     IG.write_result_tree(FX.attempts(spark, SF_SMALL).where("model = 'codellama-7b'"), rroot)
     a = IG.compact_results(spark, rroot, out).count()
