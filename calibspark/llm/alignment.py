@@ -1,9 +1,9 @@
 """Banded alignment of word sequences, many pairs at a time.
 
-``edit_distances`` gives the exact edit distance of each pair where it is
-within the pair's limit.  Common ends are trimmed, a bound on the shared words
-drops hopeless pairs, and the rest is aligned in a band around the diagonal,
-which is doubled until it holds the distance or passes the limit.
+``within`` tells exactly which pairs have an edit distance within their limit.
+Common ends are trimmed, a bound on the shared words drops hopeless pairs, and
+the rest is aligned in a band around the diagonal, which is widened until a
+cost within the limit is found or the band passes the limit.
 """
 
 from __future__ import annotations
@@ -68,17 +68,22 @@ def banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray:
     return out
 
 
-def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]) -> np.ndarray:
-    """Edit distance of each pair, -1 where it is over the pair's limit."""
-    out = np.full(len(pairs), -1, np.int64)
+def within(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]) -> np.ndarray:
+    """Whether each pair's edit distance is at most its limit.
+
+    The cost found in a band is never below the distance, so a cost within the
+    limit accepts at once; a pair is rejected by the bound on shared words, or
+    when the band is as wide as the limit, where the cost is exact.
+    """
+    out = np.zeros(len(pairs), bool)
     todo = []
     for k, ((a, b), limit) in enumerate(zip(pairs, limits)):
         if abs(len(a) - len(b)) > limit:
             continue
         a, b = trim(a, b)
-        if not len(a) or not len(b):
-            out[k] = max(len(a), len(b))
-        elif least_distance(a, b) <= limit:
+        if max(len(a), len(b)) <= limit:
+            out[k] = True
+        elif len(a) and len(b) and least_distance(a, b) <= limit:
             todo.append((max(len(a), len(b)), k, a, b))
     band = 8
     while todo:
@@ -87,9 +92,9 @@ def edit_distances(pairs: list[tuple[np.ndarray, np.ndarray]], limits: list[int]
         while at < len(todo):
             size = max(1, min(PAIRS, CELLS // (2 * band + 1)))
             part, at = todo[at:at + size], at + size
-            for (n, k, a, b), d in zip(part, banded([(a, b) for _, _, a, b in part], band)):
-                if d <= min(band, limits[k]):
-                    out[k] = d
+            for (n, k, a, b), cost in zip(part, banded([(a, b) for _, _, a, b in part], band)):
+                if cost <= limits[k]:
+                    out[k] = True
                 elif band < limits[k]:
                     later.append((n, k, a, b))
         todo, band = later, band * 3

@@ -8,8 +8,8 @@ share a value of one function are in one bucket.
 
 In a bucket, members are aligned with one pivot, not with each other.  Members
 that the alignment doesn't put into the pivot's class go on: their bucket is
-refined by the next sketch value and gets a new pivot, again and again until no
-bucket holds two texts of different classes.  Members of one class need no
+refined by the next sketch values (one, two, four ...) and gets a new pivot,
+again and again until no bucket holds two texts of different classes.  Members of one class need no
 further comparison in the bucket.  So candidates grow with rows, not with the
 square of a bucket, and no bucket is collected or capped.
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from calibspark.llm.alignment import edit_distances
+from calibspark.llm.alignment import within
 from calibspark.llm.components import components
 from calibspark.llm.scratch import materialise
 from calibspark.llm.wordhash import BASE, mix, shingles, text_groups, word_hashes
@@ -126,7 +126,7 @@ def verify(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
                     both.append(np.split(words, np.cumsum(per_text)[:-1]))
                 sizes = [max(len(x), len(y)) for x, y in zip(*both)]
                 limits = [int(n - np.ceil(similarity * n - 1e-9)) for n in sizes]
-                ok = edit_distances(list(zip(*both)), limits) >= 0
+                ok = within(list(zip(*both)), limits)
                 rows = pa.array(lo + np.flatnonzero(ok))
                 yield pa.RecordBatch.from_arrays([b.column("a").take(rows), b.column("b").take(rows)], ["a", "b"])
 
@@ -143,32 +143,50 @@ def near_duplicate_labels(docs: DataFrame, m: int = SKETCHES, similarity: float
     # a bucket's members: texts in it, its key (the value so far), and the sketch to refine it by
     members = sketch.select("key", "n_words", F.posexplode("sketch").alias("i", "value"))
     members = members.withColumn("bucket", F.xxhash64("i", "value"))
-    edges, depth = None, 0
+    labels, used = None, 1
     while True:
-        order = F.struct(F.xxhash64("key", "bucket").alias("h"), F.col("key").alias("key"), F.col("n_words").alias("n"))
-        pivots = (members.groupBy("bucket").agg(F.min(order).alias("p"), F.min("key").alias("lo"), F.max("key").alias("hi"))
-                  .where("lo <> hi").select("bucket", F.col("p.key").alias("pivot"), F.col("p.n").alias("pivot_words")))
+        # the smallest key is the pivot: texts of one class meet the same pivot in most of their buckets
+        pivots = (members.groupBy("bucket").agg(F.min(F.struct("key", "n_words")).alias("p"), F.max("key").alias("hi"))
+                  .where("p.key <> hi").select("bucket", F.col("p.key").alias("pivot"), F.col("p.n_words").alias("pivot_words")))
         pivots = materialise(pivots, "pivots")
-        met = members.join(pivots, "bucket").where("key <> pivot")
-        met = materialise(met.select("bucket", "i", "key", "n_words", "pivot", "pivot_words").distinct(), "met")
+        met = members.hint("merge").join(pivots, "bucket").where("key <> pivot")
+        met = materialise(met.select("bucket", "i", "key", "n_words", "pivot", "pivot_words"), "met")
         fits = F.least("n_words", "pivot_words") >= F.ceil(F.lit(similarity) * F.greatest("n_words", "pivot_words") - 1e-9)
         pairs = materialise(met.where(fits).select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-        found = verify(with_texts(pairs, docs, nodes), similarity)
-        edges = materialise(found if edges is None else edges.unionByName(found), "edges")
-        labels = components(edges)
-        depth += 1
+        found = materialise(verify(with_texts(pairs, docs, nodes), similarity), "found")
+        labels = merged_labels(labels, found)
         own, of = labels.select(F.col("node").alias("key"), F.col("label").alias("own")), labels.select(
             F.col("node").alias("pivot"), F.col("label").alias("of"))
         open_ = (met.join(own, "key", "left").join(of, "pivot", "left")
                  .where(F.coalesce("own", "key") != F.coalesce("of", "pivot")).select("bucket", "i", "key", "n_words"))
         # two at least must be left in a bucket; once all values are used only the pivot changes
-        if depth < m:
+        if used < m:
+            more = range(used, min(m, 2 * used))  # twice as many values each time
             open_ = (open_.join(sketch.select("key", "sketch"), "key")
-                     .withColumn("bucket", F.xxhash64("bucket", F.get("sketch", F.pmod(F.col("i") + depth, F.lit(m))))).drop("sketch"))
-        members = materialise(open_, "members")
-        again = members.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+                     .withColumn("bucket", F.xxhash64("bucket", *[F.get("sketch", F.pmod(F.col("i") + j, F.lit(m))) for j in more]))
+                     .drop("sketch"))
+            used = min(m, 2 * used)
+        open_ = materialise(open_, "open")
+        again = materialise(open_.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("bucket"), "again")
         if again.isEmpty():
             return nodes, labels
+        members = open_.join(again, "bucket", "left_semi")
+
+
+def merged_labels(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Labels (node, label) after more links: only links between different
+    labels are looked at, and only nodes in links have a row."""
+    if labels is None:
+        return components(found)
+    a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in "ab")
+    links = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    links = materialise(links.where("a <> b").distinct(), "new-links")
+    if links.isEmpty():
+        return labels
+    moved = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
+    old = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    fresh = moved.select(F.col("label").alias("node"), F.col("to").alias("label")).join(labels.select("node"), "node", "left_anti")
+    return materialise(old.unionByName(fresh), "labels")
 
 
 def with_texts(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -176,12 +194,12 @@ def with_texts(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     none = F.lit(-(1 << 63))
     wanted = materialise(wanted.join(nodes, "key").select("key", F.coalesce("id", none).alias("id")), "wanted")
-    # one row of each text: that with the node's id
-    rows = docs.select("key", F.coalesce("id", none).alias("id"), "text").join(wanted, ["key", "id"]).select("key", "text")
+    # one row of each text: that with the node's id; a plain shuffle at every size
+    rows = docs.select("key", F.coalesce("id", none).alias("id"), "text").hint("merge").join(wanted, ["key", "id"]).select("key", "text")
     texts = materialise(rows, "texts")
     a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(a, "a").join(b, "b")
+    return pairs.hint("merge").join(a, "a").hint("merge").join(b, "b")
 
 
 def class_table(docs: DataFrame, m: int = SKETCHES, similarity: float = SIMILARITY) -> DataFrame:
