@@ -392,13 +392,13 @@ def q_stream_quota(spark, sf_dir):
     code = FX.code_corpus(spark, sf_dir)
     src = _stream_src(spark, code, "code-src")
     return ST_.stream_quota(spark, src, code.schema, SEQLEN, 20, ["java", "python"],
-                            _fresh(spark, "t2-state"), _fresh(spark, "t2-ck"))
+                            _fresh(spark, "t2-state"), _fresh(spark, "t2-ck"), files_per_trigger=4)
 
 
 def q_stream_head(spark, sf_dir):
     qa = FX.qa_corpus(spark, sf_dir)
     src = _stream_src(spark, qa, "qa-src")
-    return ST_.stream_head(spark, src, qa.schema, 20, SEQLEN, _fresh(spark, "t3-state"), _fresh(spark, "t3-ck"))
+    return ST_.stream_head(spark, src, qa.schema, 20, SEQLEN, _fresh(spark, "t3-state"), _fresh(spark, "t3-ck"), files_per_trigger=4)
 
 
 def q_stream_pass_rate(spark, sf_dir):

@@ -11,80 +11,48 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LN2 = math.log(2.0)
+#: ln(x!) - ((x + 1/2) ln x - x + ln(2 pi) / 2) for x = 1 .. 24, from the factorials themselves
+_REST = [math.log(math.factorial(x)) - ((x + 0.5) * math.log(x) - x + 0.5 * math.log(2 * math.pi)) for x in range(1, 25)]
 
 
-def _ones_to(m: Column) -> Column:
-    """[1, 2, ..., m]; empty for m = 0 (``sequence(1, 0)`` would count down)."""
-    return F.slice(F.sequence(F.lit(0), m.cast("int")), 2, m.cast("int"))
+def _factorial_rest(x: Column) -> Column:
+    """What ln(x!) has beyond its leading term, x >= 1: a table up to 24, then four terms of its series in 1/x."""
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * x * x)) / (x * x)) / (x * x)) / x
+    table = F.element_at(F.array(*[F.lit(v) for v in _REST]), F.least(x, F.lit(len(_REST))).cast("int"))
+    return F.when(x <= len(_REST), table).otherwise(series)
 
 
-def binom_half_cdf(k: Column, n: Column) -> Column:
-    """P(Bin(n, 1/2) <= k), summed in log space term by term."""
-    start = F.struct((-n.cast("double") * F.lit(LN2)).alias("lt"),
-                     F.exp(-n.cast("double") * F.lit(LN2)).alias("s"))
+def binom_half_point(m: Column, n: Column) -> Column:
+    """P(Bin(n, 1/2) = m).  With d = (n - 2 m) / n the leading terms are
+    n / 2 ((1 - d) ln(1 - d) + (1 + d) ln(1 + d)), which doesn't cancel."""
+    md, nd = m.cast("double"), n.cast("double")
+    d = (nd - 2 * md) / nd
+    lead = nd / 2 * ((1 - d) * F.log1p(-d) + (1 + d) * F.log1p(d))
+    rest = _factorial_rest(nd) - _factorial_rest(md) - _factorial_rest(nd - md)
+    inner = F.exp(rest - lead - F.log(F.lit(2 * math.pi) * md * (nd - md) / nd) / 2)
+    return F.when((m == 0) | (m == n), F.pow(F.lit(0.5), nd)).otherwise(inner)
 
-    def step(acc, i):
-        lt = acc["lt"] + F.log(n - i + 1) - F.log(i)
-        return F.struct(lt.alias("lt"), (acc["s"] + F.exp(lt)).alias("s"))
 
-    return F.aggregate(_ones_to(k), start, step)["s"]
-
-
-LARGE_M = 1000  # above this, the saddle-point form (bounded work per row, more accurate)
-
-
-def _stirlerr(n: Column) -> Column:
-    """log(n!) - log(sqrt(2 pi n) (n/e)^n) for n > 15 (series form)."""
-    nn = n * n
-    s0, s1, s2, s3, s4 = 1 / 12, 1 / 360, 1 / 1260, 1 / 1680, 1 / 1188
-    return (F.when(n > 500, (s0 - s1 / nn) / n)
-            .when(n > 80, (s0 - (s1 - s2 / nn) / nn) / n)
-            .when(n > 35, (s0 - (s1 - (s2 - s3 / nn) / nn) / nn) / n)
-            .otherwise((s0 - (s1 - (s2 - (s3 - s4 / nn) / nn) / nn) / nn) / n))
-
-
-def _bd0(x: Column, np_: Column) -> Column:
-    """x log(x / np) + np - x, computed without cancellation near x = np."""
-    v = (x - np_) / (x + np_)
-    series = F.aggregate(F.sequence(F.lit(1), F.lit(12)),
-                         F.struct(((x - np_) * v).alias("s"), (F.lit(2.0) * x * v).alias("ej")),
-                         lambda acc, j: F.struct(
-                             (acc["s"] + acc["ej"] * v * v / (2 * j + 1)).alias("s"),
-                             (acc["ej"] * v * v).alias("ej")))["s"]
-    direct = x * F.log(x / np_) + np_ - x
-    return F.when(F.abs(x - np_) < 0.1 * (x + np_), series).otherwise(direct)
-
-
-def binom_half_cdf_large(m: Column, n: Column) -> Column:
-    """P(Bin(n, 1/2) <= m) for m <= n/2 and m > 15: the density at m by the
-    saddle-point (stirlerr / bd0) form, times the sum of the ratios
-    term(m - d) / term(m) over d <= 10 sqrt(n) + 100; the omitted terms are
-    below exp(-200) of the sum."""
+def binom_half_cdf(m: Column, n: Column) -> Column:
+    """P(Bin(n, 1/2) <= m) for m <= n / 2: the last term times the sum of the
+    terms' ratios to it.  Ratios beyond 10 sqrt(n) + 100 steps are below
+    exp(-200) of the sum, far under what a double holds, for every n."""
     nd, md = n.cast("double"), m.cast("double")
-    half = nd / 2
-    lc = (_stirlerr(nd) - _stirlerr(md) - _stirlerr(nd - md)
-          - _bd0(md, half) - _bd0(nd - md, half))
-    lf = F.log(F.lit(2 * math.pi) * md * (nd - md) / nd)
-    dens = F.exp(lc - lf / 2)
-    k = F.least(m, (F.lit(10.0) * F.sqrt(nd) + 100).cast("long")).cast("int")
-    ratios = F.aggregate(F.sequence(F.lit(0), k - 1), F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("s")),
-                         lambda acc, d: F.struct(
-                             (acc["r"] * (md - d) / (nd - md + d + 1)).alias("r"),
-                             (acc["s"] + acc["r"] * (md - d) / (nd - md + d + 1)).alias("s")))["s"]
-    return dens * ratios
+    steps = F.least(m.cast("double"), F.lit(10.0) * F.sqrt(nd) + 100).cast("int")
+    count = F.slice(F.sequence(F.lit(0), steps), 1, steps)  # 0 .. steps - 1, empty for 0
+    ratios = F.aggregate(count, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("s")),
+                         lambda a, i: F.struct((a["r"] * (md - i) / (nd - md + i + 1)).alias("r"),
+                                               (a["s"] + a["r"] * (md - i) / (nd - md + i + 1)).alias("s")))["s"]
+    return binom_half_point(m, n) * ratios
 
 
 def mcnemar_exact_p(b: Column, c: Column) -> Column:
     """Two-sided exact McNemar p-value: min(1, 2 P(Bin(b+c, 1/2) <= min(b, c)));
-    1 when there are no discordant pairs.  Up to ``LARGE_M`` the tail is summed
-    term by term; above it the saddle-point form keeps the work per row at
-    O(sqrt(b + c)) whatever the counts."""
+    1 when there are no discordant pairs.  One formula for all counts; the work
+    per row is O(sqrt(b + c))."""
     n = b + c
-    m = F.least(b, c)
-    tail = F.when(m <= LARGE_M, binom_half_cdf(m, n)).otherwise(binom_half_cdf_large(m, n))
     return (F.when(n == 0, F.lit(1.0))
-            .otherwise(F.least(F.lit(1.0), F.lit(2.0) * tail)))
+            .otherwise(F.least(F.lit(1.0), F.lit(2.0) * binom_half_cdf(F.least(b, c), n))))
 
 
 def paired_odds_ratio(b: Column, c: Column) -> Column:

@@ -12,7 +12,6 @@ per problem).
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,36 +33,28 @@ def bh_adjust(df: DataFrame, p_col: str = "p_value", family: list[str] | None =
 
 
 def bh_adjust_two_level(df: DataFrame, p_col: str = "p_value", family: list[str] | None = None,
-                        out_col: str = "p_adj", n_buckets: int | None = None,
-                        rows_per_bucket: int = 2_000_000) -> DataFrame:
+                        out_col: str = "p_adj", n_buckets: int | None = None) -> DataFrame:
     """BH for families of any size, without a family-wide window.
 
     Tie-invariant form: with R(p) = number of tests of the family whose
     p-value is <= p, p_adj(p) = min(1, min over distinct p' >= p of
     p' * n / R(p')).  Tests are first reduced to distinct (family, p) with
     counts (ties collapse map-side); R is a two-level running count and the
-    suffix minimum a two-level running minimum over quantile buckets of p
-    (a window inside each (family, bucket), plus a table of one row per
-    (family, bucket)).  Equal to ``bh_adjust`` (checked in tests).
+    suffix minimum a two-level running minimum over ranges of (family, p)
+    (a window inside each (family, range), plus a table of one row per
+    (family, range)).  One path at every size; equal to ``bh_adjust``
+    (checked in tests).
     """
-    from calibspark.operators.stream_windows import bucket_by_bounds
+    from calibspark.operators.stream_windows import range_buckets
+    from calibspark.session import written
 
     if family is None:
         return df.withColumn(out_col, F.col(p_col))
     fam = list(family)
-    # the tests table feeds the count, the distinct p-values and the final
-    # join: compute its upstream once
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    # the tests table feeds the ranges and the final join: compute it once
+    df = written(df, "tests")
     d = df.groupBy(*fam, p_col).agg(F.count(F.lit(1)).alias("__c"))
-    if n_buckets is None:
-        n_rows = d.count()
-        if n_rows <= rows_per_bucket:
-            # every family fits one task comfortably: the window form is cheaper
-            return bh_adjust(df, p_col, fam, out_col)
-        n_buckets = max(1, min(16384, n_rows // rows_per_bucket + 1))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = sorted(set(d.approxQuantile(p_col, probs, 0.001))) if n_buckets > 1 else []
-    d = bucket_by_bounds(d, p_col, bounds, "__b")
+    d = range_buckets(d, [*fam, p_col], "__b", n_buckets)
     # n per family and running count R inside (family, bucket)
     w_in = Window.partitionBy(*fam, "__b").orderBy(p_col).rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("__r_in", F.sum("__c").over(w_in))

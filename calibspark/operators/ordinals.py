@@ -1,8 +1,8 @@
 """Global ordinals without a single-partition window.
 
 The ordinal is the 0-based rank in order-column order.  Dense keys need no
-work; otherwise it is a two-level running count (quantile buckets with a
-window inside each, plus a broadcast table of bucket bases).
+work; otherwise it is a two-level running count (ranges with a window inside
+each, plus a table of range bases).  Duplicate positions are an error.
 """
 
 from __future__ import annotations
@@ -10,21 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calibspark.session import written
+
 
 def pos_ordinals(df: DataFrame, order_col: str = "pos") -> tuple[DataFrame, int, bool, int | None]:
     """W2 in order-column order: ``ord`` = 0-based rank by ``order_col``.
 
     Dense keys (max - min + 1 == rows, the usual arrival ordinal) need no
     window at all: ``ord = pos - min``.  Otherwise a two-level running count
-    (quantile buckets, see ``stream_windows.running_offset``).
+    (see ``stream_windows.running_offset``).
     Returns (rows with ``ord``, row count, dense flag, smallest key).
     """
     from calibspark.operators.stream_windows import running_offset
-    lo, hi, n = df.agg(F.min(order_col), F.max(order_col), F.count(F.lit(1))).first()
+    lo, hi, n, distinct = df.agg(F.min(order_col), F.max(order_col), F.count(F.lit(1)), F.countDistinct(order_col)).first()
+    if distinct != n:
+        raise ValueError(f"{order_col} must be unique and not null: {n} rows, {distinct} values")
     if not n:
         return df.withColumn("ord", F.lit(None).cast("bigint")), 0, True, None
     if hi - lo + 1 == n:
         return df.withColumn("ord", (F.col(order_col) - F.lit(lo)).cast("bigint")), int(n), True, lo
-    ranked = running_offset(df.select(order_col).withColumn("__one", F.lit(1)), order_col, "__one",
-                            out_col="ord").drop("__one")
+    ranked = written(running_offset(df.select(order_col).withColumn("__one", F.lit(1)), order_col, "__one",
+                                    out_col="ord").drop("__one"), "ordinals")
     return ranked, int(n), False, lo

@@ -19,6 +19,7 @@ from calibspark.functions.meta import (contains_any, extension, has_key, key_equ
 from calibspark.functions.tokens import WORDS, Tokenizer, head_tokens, window_tokens
 from calibspark.operators.bounded import broadcast_if_bounded, rows_with_keys
 from calibspark.operators.ordinals import pos_ordinals
+from calibspark.session import written
 
 
 # ---- fixed values: eligibility rules of the code and Q&A recipes ----------
@@ -47,7 +48,6 @@ def with_token_count(df: DataFrame, text_col: str = "text", tok: Tokenizer = WOR
 
 
 # ---------------------------------------------------------------- C1 / C7 / C8
-MAX_TRIES = 4096  # rejection tries per draw before the exact full-scan fallback
 
 
 def _fetch(corpus: DataFrame, keys: DataFrame, cols: list, bound_rows: int) -> DataFrame:
@@ -64,9 +64,10 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
 
     Rejection sampling as in the reference, made deterministic: try ``j`` of
     draw ``k`` is the document of ordinal ``h48(seed|k|j|doc) mod N`` over
-    *all* documents; the draw takes its first eligible try.  Tries run in
-    rounds of growing size; only the tried documents are read with text and
-    tokenized, so the work does not grow with the corpus.
+    *all* documents; the draw takes its first eligible try, however late.
+    Tries run in rounds of growing size; the tried documents' texts are read
+    behind a pushed-down filter, and once tries outnumber the documents, all
+    texts are counted in one scan instead.
 
     corpus: (pos, text, meta).  Output ``SAMPLE_COLUMNS``.
     """
@@ -79,8 +80,13 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
     if total == 0:
         return empty
     gate = (F.col("n_tokens") > seqlen) if strict else (F.col("n_tokens") >= seqlen)
-    found, resolved, j0, tries = None, 0, 0, first_tries
-    while resolved < nsamples and j0 < MAX_TRIES:
+    found, resolved, j0, tries, eligible = None, 0, 0, first_tries, None
+    while resolved < nsamples:
+        if eligible is None and nsamples * tries > total:
+            # tries outnumber the documents: count the tokens of all of them once
+            eligible = written(corpus.select("pos", tok.count(F.col("text")).alias("n_tokens")).where(gate), "eligible")
+            if eligible.isEmpty():
+                break
         k, j = F.col("id") % nsamples, F.lit(j0) + (F.col("id") / nsamples).cast("long")
         cand = spark.range(nsamples * tries).select(k.alias("sample_id"), j.alias("j"))
         if found is not None:
@@ -92,8 +98,9 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
         else:
             cpos = ords.join(_maybe_broadcast(cand, nsamples * tries), "ord")
         cpos = cpos.select("sample_id", "j", "pos").persist(StorageLevel.MEMORY_AND_DISK)
-        counts = _fetch(corpus, cpos, [tok.count(F.col("text")).alias("n_tokens")], nsamples * tries)
-        ok = cpos.join(_maybe_broadcast(counts, nsamples * tries), "pos").where(gate)
+        counts = eligible if eligible is not None else _fetch(
+            corpus, cpos, [tok.count(F.col("text")).alias("n_tokens")], nsamples * tries)
+        ok = counts.join(_maybe_broadcast(cpos, nsamples * tries), "pos").where(gate)
         best = ok.groupBy("sample_id").agg(F.min(F.struct("j", "pos", "n_tokens")).alias("b")).select(
             "sample_id", F.col("b.pos").alias("doc_pos"), F.col("b.n_tokens").alias("n_tokens"))
         best = best.persist(StorageLevel.MEMORY_AND_DISK)
@@ -101,11 +108,6 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
         resolved += best.count()
         j0 += tries
         tries *= 2
-    if resolved < nsamples:
-        # rare: eligible documents are too sparse for rejection; draw the rest
-        # exactly by a full scan, uniform over the eligible set
-        rest = _full_scan_draws(corpus, nsamples, seqlen, seed, gate, found, tok)
-        found = rest if found is None else found.unionByName(rest)
     if found is None:
         return empty
     span = F.col("n_tokens") - seqlen
@@ -120,24 +122,6 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
                          tok.decode(win).alias("raw_data"), "meta")
 
 
-def _full_scan_draws(corpus: DataFrame, nsamples: int, seqlen: int, seed: int, gate,
-                     found: DataFrame | None, tok: Tokenizer = WORDS) -> DataFrame:
-    """Draws not resolved by rejection: ordinal over the eligible documents."""
-    spark = corpus.sparkSession
-    elig = corpus.select("pos", tok.count(F.col("text")).alias("n_tokens")).where(gate)
-    ords, n_elig, _, _ = pos_ordinals(elig)
-    todo = spark.range(nsamples).select(F.col("id").alias("sample_id"))
-    if found is not None:
-        todo = todo.join(_maybe_broadcast(found.select("sample_id"), nsamples), "sample_id", "left_anti")
-    if n_elig == 0:
-        return spark.createDataFrame([], "sample_id long, doc_pos long, n_tokens int")
-    o = F.pmod(h48(hkey(F.lit(seed), F.col("sample_id"), F.lit("fallback"))), F.lit(n_elig))
-    draws = todo.withColumn("ord", o)
-    pos_n = ords.join(elig.select("pos", "n_tokens"), "pos") if "n_tokens" not in ords.columns else ords
-    return pos_n.join(_maybe_broadcast(draws, nsamples), "ord").select(
-        "sample_id", F.col("pos").alias("doc_pos"), "n_tokens")
-
-
 def validation_windows(corpus: DataFrame, seqlen: int, n: int = 256, seed: int = 0,
                        tok: Tokenizer = WORDS) -> DataFrame:
     """``n`` inclusive windows with a fixed seed, laid end to end in draw

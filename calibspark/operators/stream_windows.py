@@ -10,8 +10,7 @@ belongs to the next token of the stream.  A window of global tokens
 of the piece tokens inside ``[s, e]`` plus the piece tail when the next
 global token lies inside ``[s, e]``.
 
-Global token offsets are a two-level prefix sum (quantile buckets of
-``pos``).  Random windows are matched to pieces by an equi-join on
+Global token offsets are a two-level prefix sum (ranges of ``pos``).  Random windows are matched to pieces by an equi-join on
 token-position bins plus a range predicate (binned range join); regular
 chunks are computed from the piece side directly.  Text is never shuffled
 whole: only per-window fragments are grouped, each bounded by the window.
@@ -26,58 +25,42 @@ from pyspark.sql import functions as F
 from calibspark.functions.hashing import h48, hkey
 from calibspark.operators.bounded import broadcast_if_bounded, rows_with_keys
 from calibspark.functions.tokens import token_count, tokenize
+from calibspark.session import written
 
 
 
 ROWS_PER_BUCKET = 2_000_000
 
 
-def bucket_by_bounds(df: DataFrame, col: str, bounds: list, out_col: str) -> DataFrame:
-    """Number of ``bounds`` (sorted) that are <= ``col``: a binary search
-    unrolled into one projected column per level -- O(log B) per row."""
-    if not bounds:
-        return df.withColumn(out_col, F.lit(0))
-    arr = F.array(*[F.lit(b) for b in bounds])
-    step = 1
-    while step * 2 <= len(bounds):
-        step *= 2
-    x = F.col(col)
-    df = df.withColumn(out_col, F.lit(0))
-    while step >= 1:
-        probe = F.col(out_col) + step
-        ok = (probe <= len(bounds)) & (F.element_at(arr, F.least(probe, F.lit(len(bounds)))) <= x)
-        df = df.withColumn(out_col, F.when(ok, probe).otherwise(F.col(out_col)))
-        step //= 2
-    return df
+def range_buckets(df: DataFrame, order: list, out_col: str, n_buckets: int | None = None, rows: int | None = None) -> DataFrame:
+    """``df`` cut into ranges of ``order`` of about equal row counts, numbered
+    in order by ``out_col``; written to the shared folder, so that every reader
+    sees the same cut.  At least one range for each ``ROWS_PER_BUCKET`` rows and
+    for each shuffle partition."""
+    if n_buckets is None:
+        rows = df.count() if rows is None else rows
+        n_buckets = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_BUCKET))
+    # a plain shuffle into exactly these ranges, each sorted, numbered by its partition
+    ranged = df.repartitionByRange(n_buckets, *order).withColumn(out_col, F.spark_partition_id())
+    return written(ranged, "ranges")
 
 
 def running_offset(df: DataFrame, order_col: str, value_col: str, n_buckets: int | None = None,
-                   out_col: str = "offset", rel_err: float = 0.001) -> DataFrame:
+                   out_col: str = "offset") -> DataFrame:
     """Exclusive running sum of ``value_col`` in ``order_col`` order.
 
-    Buckets are approximate quantiles of the order column (balanced whatever
-    the key distribution; about ``ROWS_PER_BUCKET`` rows each unless given);
-    a window runs inside each bucket, and the bucket bases come from a table
-    of one row per bucket, broadcast.  Exact: the boundaries only decide
-    where the work is split.
+    The rows are cut into ranges of the order column; a window runs inside
+    each range, and the base of a range is the running sum over the table of
+    range totals (one row per range).  One path at every size.
     """
-    if n_buckets is None:
-        n_buckets = max(1, min(16384, df.count() // ROWS_PER_BUCKET + 1))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = sorted(set(df.approxQuantile(order_col, probs, rel_err))) if n_buckets > 1 else []
-    if not bounds:
-        # one bucket (fewer than ROWS_PER_BUCKET rows): a plain running sum
-        w = Window.orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-        return df.withColumn(out_col, F.coalesce(F.sum(value_col).over(w), F.lit(0)).cast("bigint"))
-    with_b = bucket_by_bounds(df, order_col, bounds, "__rb")
+    with_b = range_buckets(df, [order_col], "__rb", n_buckets)
     w_in = Window.partitionBy("__rb").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
     inner = with_b.withColumn("__in", F.coalesce(F.sum(value_col).over(w_in), F.lit(0)))
     totals = with_b.groupBy("__rb").agg(F.sum(value_col).alias("__tot"))
-    # one row per bucket: a global window over n_buckets rows
+    # one row per range
     w_b = Window.orderBy("__rb").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select("__rb", F.coalesce(F.sum("__tot").over(w_b), F.lit(0)).alias("__base"))
-    # one row per bucket (at most 16384)
-    return (inner.join(broadcast_if_bounded(base, n_buckets), "__rb")
+    return (inner.join(base, "__rb")
             .withColumn(out_col, (F.col("__base") + F.col("__in")).cast("bigint"))
             .drop("__rb", "__in", "__base"))
 
@@ -109,7 +92,7 @@ class TokenStream:
 
 def _tail(tokens: Column, piece: Column) -> Column:
     """White space after the piece's last token (the whole piece if wordless)."""
-    return F.substring(piece, (F.length(F.array_join(tokens, "")) + 1).cast("int"), 1 << 30)
+    return F.substr(piece, (F.length(F.array_join(tokens, "")) + 1).cast("int"))
 
 
 def _fragment(tokens: Column, tail: Column, cum: Column, w: Column, s: Column, e: Column) -> Column:
@@ -168,7 +151,8 @@ def stream_windows(corpus: DataFrame, nsamples: int, seqlen: int, sep: str = "\n
     k = F.col("id")
     s = F.pmod(h48(hkey(F.lit(seed), k, F.lit("off"))), F.lit(span))
     wins = spark.range(nsamples).select(k.alias("sample_id"), s.alias("s"), (s + seqlen - 1).alias("e"))
-    out = windows_over(stream, wins, "sample_id", max(seqlen, 1), nsamples * 3)
+    # bins as wide as the windows lie apart: a piece lies in few of them
+    out = windows_over(stream, wins, "sample_id", max(seqlen, stream.total // max(nsamples, 1), 1), nsamples * 2)
     return (out.join(broadcast_if_bounded(wins, nsamples), "sample_id")
             .select("sample_id", F.col("s").alias("start"),
                     F.size(tokenize(F.col("raw_data"))).alias("num_tokens"), "raw_data"))

@@ -1,7 +1,9 @@
 """Incremental operators on Structured Streaming.
 
-Sources are file streams (one file per micro-batch, arriving in corpus
-order).  Stateful selection uses ``foreachBatch`` with an explicit state
+Sources are file streams.  The stateful selections need their batches in
+corpus order; file times alone don't promise that, so a batch that holds a
+position below one already seen is refused with an error instead of giving
+another selection.  Stateful selection uses ``foreachBatch`` with an explicit state
 table in the shared checkpoint folder: each batch writes its accepted rows
 under ``batch=<id>`` with overwrite, so a retried batch rewrites the same
 folder (idempotent), and a restarted query resumes from the state.
@@ -29,22 +31,37 @@ def _state(spark: SparkSession, state_dir: str, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def _in_order(spark: SparkSession, state_dir: str, batch: DataFrame, batch_id: int) -> None:
+    """Refuse a batch that starts before the end of an earlier one; note this batch's end."""
+    lo, hi = batch.agg(F.min("pos"), F.max("pos")).first()
+    if lo is None:
+        return
+    seen_dir = state_dir.rstrip("/") + "-seen"
+    seen = _state(spark, seen_dir, "hi long")
+    seen = seen.where(F.col("batch") < batch_id) if "batch" in seen.columns else seen
+    last = seen.agg(F.max("hi")).first()[0]
+    if last is not None and lo <= last:
+        raise ValueError(f"batch {batch_id} starts at position {lo}, but {last} was already seen: files must arrive in corpus order")
+    spark.createDataFrame([(hi,)], "hi long").write.mode("overwrite").parquet(f"{seen_dir}/batch={batch_id}")
+
+
 def stream_code_candidates(spark: SparkSession, src: str, schema: StructType | str, seqlen: int,
-                           out: str, checkpoint: str) -> DataFrame:
-    """Stateless filter + token count over a corpus file stream."""
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+                           out: str, checkpoint: str, files_per_trigger: int = 1000) -> DataFrame:
+    """Stateless filter + token count over a corpus file stream, in any order."""
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
     cands = code_candidates(s, seqlen)
     _run(cands.writeStream.format("parquet").option("path", out).outputMode("append"), checkpoint)
     return spark.read.parquet(out)
 
 
 def stream_quota(spark: SparkSession, src: str, schema: StructType | str, seqlen: int, quota: int,
-                 strata: list[str], state_dir: str, checkpoint: str) -> DataFrame:
+                 strata: list[str], state_dir: str, checkpoint: str, files_per_trigger: int = 1) -> DataFrame:
     """Incremental quota sampling; equals the batch selection when files
     arrive in corpus order.  Stops accepting once every stratum is full."""
     sch = "pos long, repo string, language string"
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
+        _in_order(spark, state_dir, batch, batch_id)
         prior = _state(spark, state_dir, sch)
         prior = prior.where(F.col("batch") < batch_id) if "batch" in prior.columns else prior
         counts = {r[0]: r[1] for r in prior.groupBy("language").count().collect()}
@@ -55,17 +72,18 @@ def stream_quota(spark: SparkSession, src: str, schema: StructType | str, seqlen
         (sel.select("pos", "repo", "language").write.mode("overwrite")
          .parquet(f"{state_dir}/batch={batch_id}"))
 
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
     _run(s.writeStream.foreachBatch(on_batch), checkpoint)
     return _state(spark, state_dir, sch).select("pos", "repo", "language")
 
 
 def stream_head(spark: SparkSession, src: str, schema: StructType | str, k: int, seqlen: int,
-                state_dir: str, checkpoint: str) -> DataFrame:
+                state_dir: str, checkpoint: str, files_per_trigger: int = 1) -> DataFrame:
     """First ``k`` eligible Q&A rows, incrementally (remaining-count state)."""
     sch = "pos long"
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
+        _in_order(spark, state_dir, batch, batch_id)
         prior = _state(spark, state_dir, sch)
         prior = prior.where(F.col("batch") < batch_id) if "batch" in prior.columns else prior
         remaining = k - prior.count()
@@ -74,7 +92,7 @@ def stream_head(spark: SparkSession, src: str, schema: StructType | str, k: int,
         top = qa_candidates(batch, seqlen).orderBy("pos").limit(remaining).select("pos")
         top.write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
 
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
     _run(s.writeStream.foreachBatch(on_batch), checkpoint)
     return _state(spark, state_dir, sch).select("pos")
 
@@ -107,17 +125,17 @@ def stream_pass_rate(spark: SparkSession, root: str, out: str, checkpoint: str,
     return spark.read.parquet(out)
 
 
-def write_ordered_files(df: DataFrame, dest: str, order_col: str, n_files: int) -> None:
-    """Lay a table down as ``n_files`` parquet files in ``order_col`` order,
-    written one after another so a file stream sees them in that order."""
+def write_ordered_files(df: DataFrame, dest: str, order_col: str, n_steps: int, files: int = 4) -> None:
+    """Lay a table down in ``n_steps`` steps of ``order_col`` order, each of
+    ``files`` parquet files written by as many tasks, one step after another:
+    a file stream of ``files`` files per trigger sees a step per batch."""
     import time
-    lo_hi = df.agg(F.min(order_col), F.max(order_col)).first()
-    lo, hi = lo_hi[0], lo_hi[1]
+    lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
     if lo is None:
         return
-    width = (hi - lo) // n_files + 1
-    for i in range(n_files):
+    width = (hi - lo) // n_steps + 1
+    for i in range(n_steps):
         a = lo + i * width
         part = df.where((F.col(order_col) >= a) & (F.col(order_col) < a + width))
-        part.coalesce(1).write.mode("append").parquet(dest)
+        part.repartition(files).write.mode("append").parquet(dest)
         time.sleep(0.05)

@@ -434,7 +434,7 @@ def head_tokens_sql(seqlen=64) -> str:
 FROM documents WHERE {ntok()} > {seqlen}"""
 
 
-def random_windows_sql(nsamples=40, seqlen=64, seed=0, strict=True, max_tries=64) -> str:
+def random_windows_sql(nsamples=40, seqlen=64, seed=0, strict=True, max_tries=4096) -> str:
     """Brute force: every try of every draw, first eligible try wins."""
     op = ">" if strict else ">="
     start = f"{h48(f'concat_ws(chr(124), {seed}, k, ' + chr(39) + 'off' + chr(39) + ')')} % (n_tokens - {seqlen})"

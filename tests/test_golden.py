@@ -86,6 +86,9 @@ def test_safe_name(spark):
     assert one(spark, O.safe_name(F.col("n")), [("org/model-7b",)], "n string") == ["org_model_7b"]
 
 
+Q = '"' * 3
+
+
 def cut(spark, cases, language):
     return one(spark, CODE.cut_first_function(F.col("p"), F.col("c"), F.lit(language)), cases, "p string, c string")
 
@@ -96,7 +99,7 @@ def test_cut_python(spark):
              ("def f(\n    x\n):\n", "    return x\n\nprint(1)", "    return x"),
              ('def f():\n    """doc\nat margin\n    """\n', "    return 2\ny = 1", "    return 2"),
              ("def f():\n", "    a = 1\n# note\n    return a\n# tail\nx = 1", "    a = 1\n# note\n    return a"),
-             ("def f():\n", "    s = """\nx\n"""\n    t = \\\n1\n    return '#(['\nz", "    s = """\nx\n"""\n    t = \\\n1\n    return '#(['"),
+             ("def f():\n", "    s = " + Q + "\nx\n" + Q + "\n    t = \\\n1\n    return '#(['\nz", "    s = " + Q + "\nx\n" + Q + "\n    t = \\\n1\n    return '#(['"),
              ("def f():\n", "    return (1,\n2", "    return (1,\n2")]
     assert cut(spark, [c[:2] for c in cases], "python") == [c[2] for c in cases]
 
@@ -179,8 +182,8 @@ def test_cut_equals_the_indentation_rule_on_random_plain_code(spark):
                 depth = rnd.randint(0, depth)
                 lines.append("    " * depth + rnd.choice(stmts))
         code = "\n".join(lines) + rnd.choice(["", "\n", "\n\n"])
-        cut = rnd.randint(0, len(code))
-        cases.append((code[:cut], code[cut:]))
+        at = rnd.randint(0, len(code))
+        cases.append((code[:at], code[at:]))
     def rule(prompt, completion):
         lines = (prompt + completion).split("\n")
         ind = [len(x) - len(x.lstrip()) for x in lines]

@@ -83,16 +83,18 @@ def test_pass_at_k_against_comb(spark):
             assert g == pytest.approx(want, abs=1e-12)
 
 
-def test_bucket_by_bounds_is_bisect(spark):
-    import bisect
-    from calibspark.operators.stream_windows import bucket_by_bounds
+def test_range_buckets_are_balanced_and_ordered(spark):
+    from calibspark.operators.stream_windows import range_buckets
     rnd = random.Random(11)
-    for nb in (1, 2, 3, 7, 64, 100):
-        bounds = sorted(rnd.sample(range(10_000), nb))
-        xs = [rnd.randint(-5, 10_005) for _ in range(200)] + bounds
-        df = spark.createDataFrame([(x,) for x in xs], "x long")
-        got = [r.b for r in bucket_by_bounds(df, "x", bounds, "b").collect()]
-        assert got == [bisect.bisect_right(bounds, x) for x in xs]
+    xs = rnd.sample(range(10 ** 6), 8000)
+    rows = range_buckets(spark.createDataFrame([(x,) for x in xs], "x long"), ["x"], "b", 40).collect()
+    assert sorted(r.x for r in rows) == sorted(xs)
+    by = {}
+    for r in rows:
+        by.setdefault(r.b, []).append(r.x)
+    ends = [(min(v), max(v)) for _, v in sorted(by.items())]
+    assert all(a[1] < b[0] for a, b in zip(ends, ends[1:])) and len(by) > 30
+    assert max(map(len, by.values())) < 3 * 8000 / 40
 
 
 @pytest.mark.parametrize("n_buckets", [1, 5, 64])
@@ -143,9 +145,8 @@ def test_random_windows_sparse_positions_against_python(spark, strict):
         assert got[k] == (p, st, "".join(toks[p][st:st + seqlen]))
 
 
-def test_random_windows_fallback_keeps_every_draw(spark, monkeypatch):
+def test_random_windows_rare_documents_keep_every_draw(spark):
     from calibspark.operators import sampling as S
-    monkeypatch.setattr(S, "MAX_TRIES", 2)
     corpus = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
         F.col("doc_id").alias("pos"), "text", F.lit("m").alias("meta"))
     n_tok = {r.pos: r.n for r in corpus.select("pos", F.size(F.split(F.trim("text"), r"\s+")).alias("n")).collect()}
@@ -155,6 +156,33 @@ def test_random_windows_fallback_keeps_every_draw(spark, monkeypatch):
     assert all(r.num_tokens == seqlen for r in out)
 
 
+def test_random_windows_without_eligible_documents(spark):
+    from calibspark.operators import sampling as S
+    corpus = spark.createDataFrame([(i, "a b c", "m") for i in range(5)], "pos long, text string, meta string")
+    assert S.random_windows(corpus, 7, 10).collect() == []
+
+
+def test_duplicate_positions_are_an_error(spark):
+    from calibspark.operators.ordinals import pos_ordinals
+    with pytest.raises(ValueError):
+        pos_ordinals(spark.createDataFrame([(0,), (0,), (2,)], "pos long"))
+
+
+@pytest.mark.parametrize("b, c", [(0, 0), (0, 5), (3, 3), (1, 30), (40, 60), (700, 800), (1500, 1400), (30000, 30500)])
+def test_exact_p_at_every_size(spark, b, c):
+    from fractions import Fraction
+    from math import comb
+    from calibspark.functions.stats import mcnemar_exact_p
+    got = spark.createDataFrame([(b, c)], "b long, c long").select(mcnemar_exact_p(F.col("b"), F.col("c"))).first()[0]
+    n, term, total = b + c, 1, 0
+    term = comb(n, min(b, c))
+    for i in range(min(b, c), max(-1, min(b, c) - 3000), -1):
+        total += term
+        term = term * i // (n - i + 1)
+    want = min(1.0, float(Fraction(2 * total, 2 ** n))) if n else 1.0
+    assert abs(got - want) <= 1e-11 * want
+
+
 @pytest.mark.parametrize("n_buckets", [1, 3, 16])
 def test_bh_two_level_equals_window(spark, n_buckets):
     from calibspark.operators.multiple_testing import bh_adjust_two_level

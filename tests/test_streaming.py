@@ -17,12 +17,23 @@ def test_stream_quota_resumes_after_restart(spark):
     first = code.where(F.col("pos") < 80)
     rest = code.where(F.col("pos") >= 80)
     ST.write_ordered_files(first, src, "pos", 2)
-    part = ST.stream_quota(spark, src, code.schema, 64, 20, ["java", "python"], state, ck).count()
+    part = ST.stream_quota(spark, src, code.schema, 64, 20, ["java", "python"], state, ck, files_per_trigger=4).count()
     assert 0 < part < 40
     # same query again: nothing new, nothing duplicated
-    again = ST.stream_quota(spark, src, code.schema, 64, 20, ["java", "python"], state, ck).count()
+    again = ST.stream_quota(spark, src, code.schema, 64, 20, ["java", "python"], state, ck, files_per_trigger=4).count()
     assert again == part
     ST.write_ordered_files(rest, src, "pos", 3)
-    got = ST.stream_quota(spark, src, code.schema, 64, 20, ["java", "python"], state, ck)
+    got = ST.stream_quota(spark, src, code.schema, 64, 20, ["java", "python"], state, ck, files_per_trigger=4)
     want = S.quota_select(S.code_candidates(code, 64), 20, ["java", "python"])
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("pos", "repo", "language").collect()))
+
+
+def test_stream_out_of_order_is_refused(spark):
+    import pytest
+    code = FX.code_corpus(spark, SF_MID)
+    src, state, ck = (scratch_path(spark, f"{n}-{uuid.uuid4().hex}") for n in ("src", "state", "ck"))
+    ST.write_ordered_files(code.where(F.col("pos") >= 80), src, "pos", 1)
+    ST.stream_quota(spark, src, code.schema, 64, 20, ["java", "python"], state, ck, files_per_trigger=4)
+    ST.write_ordered_files(code.where(F.col("pos") < 80), src, "pos", 1)
+    with pytest.raises(Exception, match="corpus order"):
+        ST.stream_quota(spark, src, code.schema, 64, 20, ["java", "python"], state, ck, files_per_trigger=4)
