@@ -137,13 +137,12 @@ def near_duplicate_labels(docs: DataFrame, m: int = SKETCHES, similarity: float
     """(nodes, labels) of ``docs`` (id, text, key): nodes (key, id) are the
     distinct texts with the smallest id of their copies, labels (node, label)
     the components of linked nodes."""
-    spark = docs.sparkSession
     nodes = materialise(docs.groupBy("key").agg(F.min("id").alias("id")), "nodes")
     sketch = materialise(sketch_table(docs, m), "sketches")
     # a bucket's members: texts in it, its key (the value so far), and the sketch to refine it by
     members = sketch.select("key", "n_words", F.posexplode("sketch").alias("i", "value"))
     members = members.withColumn("bucket", F.xxhash64("i", "value"))
-    labels, used = None, 1
+    later, texts, known, used = None, None, None, 1
     while True:
         # the smallest key is the pivot: texts of one class meet the same pivot in most of their buckets
         pivots = (members.groupBy("bucket").agg(F.min(F.struct("key", "n_words")).alias("p"), F.max("key").alias("hi"))
@@ -151,52 +150,56 @@ def near_duplicate_labels(docs: DataFrame, m: int = SKETCHES, similarity: float
         pivots = materialise(pivots, "pivots")
         met = members.hint("merge").join(pivots, "bucket").where("key <> pivot")
         met = materialise(met.select("bucket", "i", "key", "n_words", "pivot", "pivot_words"), "met")
+        if texts is None:  # all that later rounds need is among the members of the first
+            texts = member_texts(met, docs, nodes)
         fits = F.least("n_words", "pivot_words") >= F.ceil(F.lit(similarity) * F.greatest("n_words", "pivot_words") - 1e-9)
-        pairs = materialise(met.where(fits).select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
-        found = materialise(verify(with_texts(pairs, docs, nodes), similarity), "found")
-        labels = merged_labels(labels, found)
-        own, of = labels.select(F.col("node").alias("key"), F.col("label").alias("own")), labels.select(
+        pairs = met.where(fits).select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
+        found = materialise(verify(with_texts(pairs, texts), similarity), "found")
+        if known is None:
+            known = components(found)
+        else:
+            later = found if later is None else later.unionByName(found)
+        # who is not linked to the pivot, nor in its class by the first round, goes on
+        open_ = met.join(found.withColumnsRenamed({"a": "key", "b": "pivot"}), ["key", "pivot"], "left_anti")
+        own, of = known.select(F.col("node").alias("key"), F.col("label").alias("own")), known.select(
             F.col("node").alias("pivot"), F.col("label").alias("of"))
-        open_ = (met.join(own, "key", "left").join(of, "pivot", "left")
+        open_ = (open_.join(own, "key", "left").join(of, "pivot", "left")
                  .where(F.coalesce("own", "key") != F.coalesce("of", "pivot")).select("bucket", "i", "key", "n_words"))
-        # two at least must be left in a bucket; once all values are used only the pivot changes
-        if used < m:
+        if used < m:  # once all values are used only the pivot changes
             more = range(used, min(m, 2 * used))  # twice as many values each time
             open_ = (open_.join(sketch.select("key", "sketch"), "key")
                      .withColumn("bucket", F.xxhash64("bucket", *[F.get("sketch", F.pmod(F.col("i") + j, F.lit(m))) for j in more]))
                      .drop("sketch"))
             used = min(m, 2 * used)
-        open_ = materialise(open_, "open")
-        again = materialise(open_.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("bucket"), "again")
+        members = materialise(open_, "open")
+        again = members.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
         if again.isEmpty():
-            return nodes, labels
-        members = open_.join(again, "bucket", "left_semi")
+            return nodes, known if later is None else merged_labels(known, later)
 
 
-def merged_labels(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+def merged_labels(labels: DataFrame, found: DataFrame) -> DataFrame:
     """Labels (node, label) after more links: only links between different
     labels are looked at, and only nodes in links have a row."""
-    if labels is None:
-        return components(found)
     a, b = (labels.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in "ab")
     links = found.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
-    links = materialise(links.where("a <> b").distinct(), "new-links")
-    if links.isEmpty():
-        return labels
     moved = components(links).select(F.col("node").alias("label"), F.col("label").alias("to"))
     old = labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
     fresh = moved.select(F.col("label").alias("node"), F.col("to").alias("label")).join(labels.select("node"), "node", "left_anti")
     return materialise(old.unionByName(fresh), "labels")
 
 
-def with_texts(pairs: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with the texts of both; only texts that a pair names move."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
+def member_texts(met: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, text) of the texts that share a bucket with another one."""
+    wanted = met.select("key").union(met.select(F.col("pivot").alias("key"))).distinct()
     none = F.lit(-(1 << 63))
     wanted = materialise(wanted.join(nodes, "key").select("key", F.coalesce("id", none).alias("id")), "wanted")
     # one row of each text: that with the node's id; a plain shuffle at every size
-    rows = docs.select("key", F.coalesce("id", none).alias("id"), "text").hint("merge").join(wanted, ["key", "id"]).select("key", "text")
-    texts = materialise(rows, "texts")
+    rows = docs.select("key", F.coalesce("id", none).alias("id"), "text").hint("merge").join(wanted, ["key", "id"])
+    return materialise(rows.select("key", "text"), "texts")
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) with the texts of both."""
     a = texts.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     return pairs.hint("merge").join(a, "a").hint("merge").join(b, "b")

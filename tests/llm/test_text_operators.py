@@ -75,9 +75,9 @@ def test_chain_feeds_out_of_fold_probabilities(monkeypatch):
 
 def test_gradient_steps_reach_the_optimum():
     rng = np.random.default_rng(3)
-    x = toxicity.Sparse([rng.choice(20, 6, replace=False) for _ in range(200)], 20)
-    y = (x.dot(np.linspace(-2, 2, 20)) + rng.normal(0, 1, 200) > 0).astype(float)
-    w, _, b = toxicity.fit_logistic(x, np.zeros((200, 0)), y, steps=2000)
+    x = toxicity.Sparse([rng.choice(20, 6, replace=False) for _ in range(2000)], 20)
+    y = (x.dot(np.linspace(-2, 2, 20)) + rng.normal(0, 1, 2000) > 0).astype(float)
+    w, _, b = toxicity.fit_logistic(x, np.zeros((2000, 0)), y, steps=5000)
     scale = np.where(toxicity.telling(x, y), toxicity.log_ratio(x, y), 0)
     scale /= np.abs(scale).max()
     err = toxicity.sigmoid(x.dot(w) + b) - y
