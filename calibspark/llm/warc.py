@@ -304,3 +304,17 @@ def op1_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     records = read_records(spark, folder, manifest)
     return resolve_revisits(decode_payloads(reassemble(records), with_payload=False))
+
+
+def oracle() -> str:
+    """The contract in DuckDB: base32 by five hex digits (20 bits) at a time."""
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    group = "CAST('0x' || substr(h, i * 5 + 1, 5) AS BIGINT)"
+    letters = " || ".join(f"substr('{alphabet}', CAST(({group} >> {shift}) & 31 AS INTEGER) + 1, 1)" for shift in (15, 10, 5, 0))
+    return f"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda i: {letters}), '') AS payload_digest,
+  CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < top THEN top END AS refers_to FROM g"""
