@@ -33,6 +33,7 @@ from calibspark.sources import files as IO
 from calibspark.streaming import streams as ST_
 from calibspark.plans import statistics as ST
 from calibspark.sources import fixtures as FX
+from calibspark.sources.tables import table
 
 try:  # the training-data operators are an optional part
     import corpus_pipeline as PIPE
@@ -339,6 +340,21 @@ def q_report_from_csv(spark, sf_dir):
     return _round_doubles(R.paired_report(IO.read_results_csv(spark, path), R.RQ1))
 
 
+def q_corpus_scan(spark, sf_dir):
+    """S10 then S1-S4: documents as JSON lines by language, one subset read back with a schema."""
+    path = _fresh(spark, "corpus")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    IO.write_calibration(docs.withColumn("split", F.when(F.col("doc_id") % 4 == 0, "validation").otherwise("train")), path, fmt="json")
+    return CP.read_corpus(spark, path, pos_col="doc_id", meta_col="source", fmt="json", subset="en", subset_col="lang",
+                          split="train", schema="doc_id long, text string, lang string, source string, split string")
+
+
+def q_keep_until(spark, sf_dir):
+    """lines up to the second, which is cut at its fifth character."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return docs.select("doc_id", TX.keep_until(F.col("text"), F.lit(1), F.lit(5)).alias("kept"))
+
+
 def q_results_csv(spark, sf_dir):
     """S14 then S8: results table through CSV."""
     path = _fresh(spark, "results-csv")
@@ -469,6 +485,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clean_completions_job": q_clean_completions("py"),
         "clean_completions_java": q_clean_completions("java"),
         "report_from_csv": q_report_from_csv,
+        "corpus_scan": q_corpus_scan,
+        "keep_until": q_keep_until,
         "results_csv": q_results_csv,
         "calibration_csv": q_calibration_csv,
         "split_files": q_split_files,

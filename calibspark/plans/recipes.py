@@ -28,7 +28,8 @@ def load_calibration(spark: SparkSession, name: str, corpus: DataFrame | None =
     ``qa``: the Q&A corpus of the mixed recipe.  ``'none'`` gives None; an
     existing path is a pre-tokenized table (first ``nsamples``).  ``tok``
     applies to the document recipes; the stream recipes use the word
-    tokenizer, whose tokens of a concatenation are the concatenated tokens.
+    tokenizer, whose tokens of a concatenation are the concatenated tokens,
+    and refuse any other.
     """
     key = name.lower()
     if key == "none":
@@ -43,6 +44,9 @@ def load_calibration(spark: SparkSession, name: str, corpus: DataFrame | None =
         return S.quota_sample(corpus, nsamples, seqlen, tok=tok)
     if key == "code_technical_language":
         return S.mixed_sample(qa, corpus, nsamples, seqlen, tok=tok)
+    streams = key in STREAM_SEPARATORS or (key == "c4_new" and eval_mode)
+    if streams and tok is not WORDS:
+        raise ValueError(f"{name}: a stream recipe keeps the word tokenizer; its per-document form is exact for that one only")
     if key in STREAM_SEPARATORS:
         sep = STREAM_SEPARATORS[key]
         if eval_mode:
@@ -61,7 +65,7 @@ def load_calibration(spark: SparkSession, name: str, corpus: DataFrame | None =
 
 def build_all(spark: SparkSession, code: DataFrame, qa: DataFrame, random_corpus: DataFrame,
               out_dir: str, nsamples: int = 1024, val_size: int = 128, seqlen: int = 4096,
-              seed: int = 0) -> DataFrame:
+              seed: int = 0, tok: Tokenizer = WORDS) -> DataFrame:
     """The three calibration corpora, each split into train/validation,
     written (binary + decoded) and reused when already there.  Returns the
     sequence and token totals per (recipe, split)."""
@@ -70,7 +74,7 @@ def build_all(spark: SparkSession, code: DataFrame, qa: DataFrame, random_corpus
         corpus = random_corpus if name == "pajama" else code
 
         def build(name=name, corpus=corpus):
-            sample = load_calibration(spark, name, corpus, qa, nsamples, seed, seqlen)
+            sample = load_calibration(spark, name, corpus, qa, nsamples, seed, seqlen, tok=tok)
             return split_train_val(sample, val_size, seed)
 
         path = f"{out_dir.rstrip('/')}/{name}"

@@ -6,18 +6,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibspark.session import written
 from calibspark.sources.tables import table
 
 
-def read_corpus(spark: SparkSession, path: str, text_col: str = "text", pos_col: str = "pos",
+def read_corpus(spark: SparkSession, path: str, text_col: str = "text", pos_col: str | None = "pos",
                 meta_col: str | None = "meta", fmt: str = "parquet", subset: str | None = None,
                 subset_col: str = "subset", split: str | None = None,
-                split_col: str = "split") -> DataFrame:
+                split_col: str = "split", schema=None) -> DataFrame:
     """Scan a corpus; ``subset`` / ``split`` become pushed-down filters
     (partition pruning when the data is laid out by them).  Gzipped JSON-lines
-    shards are read with ``fmt='json'`` (one task per unsplittable shard)."""
+    shards are read with ``fmt='json'`` (one task per unsplittable shard);
+    text formats need a ``schema``, since inferring one reads the whole corpus.
+
+    ``pos_col=None``: the corpus has no order column; the arrival ordinal is
+    made from the file name and the row's place in its file (written once, so
+    that every reader sees the same ordinals)."""
+    if schema is None and fmt in ("json", "csv"):
+        raise ValueError(f"{fmt} corpora need a schema")
     reader = spark.read.format(fmt)
-    df = reader.load(path)
+    df = (reader.schema(schema) if schema is not None else reader).load(path)
+    if pos_col is None:
+        # ids rise with the row's place within a scan's task, which reads a file's block from its start
+        df = written(df.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+                               F.monotonically_increasing_id().alias("__id")), "arrivals")
+        order = ["__file", "__block", "__id"]
+        df = written(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__pos", F.monotonically_increasing_id()),
+                     "ordinals")
+        pos_col = "__pos"
     if subset is not None:
         df = df.where(F.col(subset_col) == subset)
     if split is not None:

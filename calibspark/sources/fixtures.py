@@ -47,8 +47,10 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the shared hash does not depend on the configuration: compute it once
     # per (model, language, problem, attempt), before the configuration explode
     base = h48(F.concat_ws("|", "model", "language", _s("item_id"), _s("attempt")))
+    # spread the few items over tasks before they grow
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df = (
-        table(spark, sf_dir, "benchmark", "item_id")
+        table(spark, sf_dir, "benchmark", "item_id").repartition(tasks, "item_id")
         .withColumn("model", F.explode(F.array(*[F.lit(m) for m in FIXTURE_MODELS])))
         .withColumn("language", F.explode(F.array(*[F.lit(x) for x in FIXTURE_LANGUAGES])))
         .withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(FIXTURE_ATTEMPTS - 1))))

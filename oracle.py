@@ -732,6 +732,10 @@ def job_queries() -> dict[str, str]:
         "split_files": f"SELECT sample_id, raw_data, split FROM ({train_val_sql()})",
         "report_csv": report_sql(R.RQ1),
         "ingest_results": outcome_flag_sql(),
+        "corpus_scan": "SELECT doc_id AS pos, text, source AS meta FROM documents WHERE lang = 'en' AND doc_id % 4 <> 0",
+        "keep_until": ("SELECT doc_id, array_to_string(list_concat(list_slice(ls, 1, least(len(ls), 2) - 1), "
+                       "[substring(ls[least(len(ls), 2)], 1, 5)]), chr(10)) AS kept "
+                       "FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"),
         "clean_completions_job": clean_job_sql(),
         "clean_completions_java": clean_job_sql("java"),
     }

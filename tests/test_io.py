@@ -4,6 +4,7 @@ import json
 import os
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from calibspark.functions import tokens as TK
@@ -115,11 +116,23 @@ def test_read_corpus_json_shards_subset_split(spark):
                  F.when(F.col("doc_id") % 2 == 0, "github").otherwise("stackexchange").alias("subset"),
                  F.when(F.col("doc_id") % 5 == 0, "validation").otherwise("train").alias("split"))
      .repartition(4).write.option("compression", "gzip").json(path))
-    c = read_corpus(spark, path, fmt="json", subset="github", split="train")
+    schema = "pos long, text string, meta string, subset string, split string"
+    c = read_corpus(spark, path, fmt="json", subset="github", split="train", schema=schema)
     got = sorted(r.pos for r in c.collect())
     want = sorted(r.doc_id for r in docs.where("doc_id % 2 = 0 AND doc_id % 5 <> 0").collect())
     assert got == want
     assert c.columns == ["pos", "text", "meta"]
+    with pytest.raises(ValueError):  # no inference pass over a corpus
+        read_corpus(spark, path, fmt="json")
+    # without an order column: unique ordinals that follow the files
+    files = read_corpus(spark, path, fmt="json", schema=schema, pos_col=None).collect()
+    assert len({r.pos for r in files}) == len(files) == docs.count()
+    first = spark.read.schema(schema).json(path).select("text", F.col("_metadata.file_path").alias("f")).collect()
+    of = {}
+    for r in first:
+        of.setdefault(r.text, set()).add(r.f)
+    seen = [next(iter(of[r.text])) for r in sorted(files, key=lambda r: r.pos) if len(of[r.text]) == 1]
+    assert len(set(seen)) == 4 and seen == sorted(seen)
 
 
 def test_completions_keep_unknown_fields_and_compaction(spark):

@@ -21,6 +21,10 @@ def test_dispatch(spark):
     mixed = load_calibration(spark, "code_technical_language", code, qa, nsamples=8, seqlen=16)
     assert sorted(r.part for r in mixed.collect()).count("qa") == 4
     assert load_calibration(spark, "wikitext2", docs, nsamples=5, seqlen=16).count() == 5
+    import pytest
+    from calibspark.functions.tokens import Tokenizer
+    with pytest.raises(ValueError):  # another tokenizer is refused, not ignored
+        load_calibration(spark, "wikitext2", docs, nsamples=5, seqlen=16, tok=object.__new__(Tokenizer))
     chunks = load_calibration(spark, "ptb_new", docs, seqlen=64, eval_mode=True)
     assert chunks.agg(F.max("num_tokens")).first()[0] == 64
     assert load_calibration(spark, "c4", docs, seqlen=16, eval_mode=True).count() == 256
