@@ -135,18 +135,19 @@ def filter_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = S
     """The documents that stay, without their frequent lines; all columns of
     ``docs``, ``n_chars`` counted anew where a line went."""
     removed = removed_by_text(docs, "source", "text", min_docs, share)
-    rows = docs.withColumns({"__host": F.coalesce("source", F.lit("")), "__key": text_key()})
-    rows = base_statistics(rows).where(~F.col("base_failed"))
-    removed = removed.withColumnsRenamed({"host": "__host", "key": "__key"})
-    rows = (rows.join(removed, ["__host", "__key"], "left")
+    # the row travels as one struct, so that no column of it can clash
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("source", F.lit("")).alias("host"),
+                       text_key().alias("key"), F.col("text").alias("text"))
+    rows = (base_statistics(rows).where(~F.col("base_failed")).join(removed, ["host", "key"], "left")
             .withColumn("removed_words", F.coalesce("removed_words", F.lit(0))).where(kept_verdict()))
     gone = F.col("removed_lines")
     left = F.array_join(F.filter(F.split("text", "\n"),
                                  lambda x: ~F.array_contains(gone, F.xxhash64(normal_line(x)))), "\n")
-    rows = rows.withColumn("text", F.when(gone.isNull(), F.col("text")).otherwise(left))
+    rows = rows.withColumn("left", F.when(gone.isNull(), F.col("text")).otherwise(left))
+    new = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(gone.isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.when(gone.isNull(), F.col("row.n_chars")).otherwise(F.length("left").cast("long"))
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -437,22 +437,22 @@ def removable_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
 
 
 def ordered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``docs`` with ``rid``, a long in document order.  Unique ids serve as
+    """``docs`` with ``__rid``, a long in document order.  Unique ids serve as
     they are; else the rows are sorted by id (nulls first) and text over ranges."""
     n, distinct = docs.agg(F.count(F.lit(1)), F.countDistinct(id_col)).first()
     if n == distinct:
-        return docs.withColumn("rid", F.col(id_col).cast("long"))
+        return docs.withColumn("__rid", F.col(id_col).cast("long"))
     keyed = docs.withColumn("__key", F.md5(F.coalesce(F.col(text_col), F.lit(""))))
     order = [F.col(id_col).asc_nulls_first(), F.col("__key")]
     return materialise(keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-                       .withColumn("rid", F.monotonically_increasing_id()).drop("__key"), "ordered")
+                       .withColumn("__rid", F.monotonically_increasing_id()).drop("__key"), "ordered")
 
 
 def with_spans(docs: DataFrame, length: int, anchor: int) -> DataFrame:
-    """``docs`` (with rid) and their removable spans as an array, null for none."""
-    spans = removable_spans(docs, length, anchor)
-    return docs.join(spans.groupBy(F.col("doc").alias("rid")).agg(F.collect_list(F.struct("start", "end")).alias("spans")),
-                     "rid", "left")
+    """``docs`` (with __rid) and their removable spans as an array ``__spans``, null for none."""
+    spans = removable_spans(docs.select(F.col("__rid").alias("rid"), "text"), length, anchor)
+    lists = spans.groupBy(F.col("doc").alias("__rid")).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    return docs.join(lists, "__rid", "left")
 
 
 def cut(data: bytes, spans: list | None) -> tuple[bytes, int]:
@@ -473,7 +473,7 @@ def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, s in zip(b.column("text").to_pylist(), b.column("spans").to_pylist()):
+            for t, s in zip(b.column("text").to_pylist(), b.column("__spans").to_pylist()):
                 data = (t or "").encode("utf-8", "surrogatepass")
                 kept, n = cut(data, s)
                 out.append((len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest()))
@@ -481,7 +481,7 @@ def repeat_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())],
                                              ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_spans(rows, length, anchor).select("doc_id", "text", "spans").mapInArrow(
+    return with_spans(rows, length, anchor).select("doc_id", "text", "__spans").mapInArrow(
         run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
@@ -495,7 +495,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, chars = b.column("text").to_pylist(), b.column("n_chars").to_pylist() if counted else []
-            for i, s in enumerate(b.column("spans").to_pylist()):
+            for i, s in enumerate(b.column("__spans").to_pylist()):
                 if s:
                     texts[i] = cut(texts[i].encode("utf-8", "surrogatepass"), s)[0].decode("utf-8", "ignore")
                     if counted:
@@ -505,7 +505,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) ->
                 own["n_chars"] = pa.array(chars, b.schema.field("n_chars").type)
             yield pa.RecordBatch.from_arrays([own.get(c, b.column(c)) for c in columns], columns)
 
-    return rows.select(*columns, "spans").mapInArrow(run, docs.schema)
+    return rows.select(*columns, "__spans").mapInArrow(run, docs.schema)
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,7 +99,7 @@ def fit_logistic(x: Sparse, dense: np.ndarray, y: np.ndarray, reg: float = REG,
     if not 0 < y.sum() < len(y):
         return np.zeros(x.n_words), np.zeros(dense.shape[1]), 6.0 if len(y) and y.all() else -6.0
     scale = np.where(telling(x, y), log_ratio(x, y), 0)
-    scale = scale / max(np.abs(scale).max(), 1e-9)
+    scale = scale / max(np.abs(scale).max(initial=0), 1e-9)
     used = scale[x.col] != 0
     x = x.columns(used)
     v = np.ones(x.n_words + dense.shape[1] + 1)
