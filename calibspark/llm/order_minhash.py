@@ -6,12 +6,15 @@ k-mers and keeps them in text order; a sketch value is the hash of that ordered
 pick, so it is sensitive to order and thus to edit similarity.  Texts that
 share a value of one function are in one bucket.
 
-In a bucket, members are aligned with one pivot, not with each other.  Members
-that the alignment doesn't put into the pivot's class go on: their bucket is
-refined by the next sketch values (one, two, four ...) and gets a new pivot,
-again and again until no bucket holds two texts of different classes.  Members of one class need no
-further comparison in the bucket.  So candidates grow with rows, not with the
-square of a bucket, and no bucket is collected or capped.
+In a bucket, members are first aligned with one pivot, which finds most classes
+with as many pairs as rows.  Then every two other members that are not known to
+be of one class are compared, linked ones included: a text that is like the
+pivot may also be like texts that are not.  A bucket is never narrowed, so all
+texts that share a value are verified or of one class.  Comparison is by block
+pairs of a bucket, in tasks: lengths and bags of words (``BINS`` counts) give a
+lower bound of the edit distance, and only pairs that it lets pass are aligned.
+No bucket is collected or capped; a bucket of n texts of different classes
+costs n * n / 2 comparisons of bags.
 
 Similar are texts with ``1 - edit distance / longer length >= 0.8`` in words
 (lower-cased runs of letters and digits).  A class is a connected component of
@@ -41,6 +44,8 @@ from calibspark.llm.scratch import materialise
 from calibspark.llm.wordhash import BASE, mix, shingles, text_groups, word_hashes
 
 KMER, SKETCHES, PICKS, SIMILARITY = 5, 32, 2, 0.8
+#: Counts of a bag of words; texts of a block of a bucket; pairs compared together.
+BINS, BLOCK, TOGETHER = 256, 8192, 1 << 14
 
 
 def labelled_kmers(words: np.ndarray, per_text: np.ndarray, k: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -97,8 +102,15 @@ def text_key(col: str = "text"):
     return F.unhex(F.md5(F.coalesce(F.col(col), F.lit(""))))
 
 
+def bags(words: np.ndarray, per_text: np.ndarray) -> np.ndarray:
+    """Each text's words counted in ``BINS`` bins by hash, counts up to 255."""
+    text = np.repeat(np.arange(len(per_text)), per_text)
+    bins = (words >> np.uint64(32)).astype(np.int64) % BINS
+    return np.minimum(np.bincount(text * BINS + bins, minlength=len(per_text) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
+
+
 def sketch_table(docs: DataFrame, m: int = SKETCHES) -> DataFrame:
-    """(key, n_words, sketch) of ``docs`` (key, text); texts without words are left out."""
+    """(key, n_words, bag, sketch) of ``docs`` (key, text); texts without words are left out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("text").to_pylist()
@@ -108,10 +120,97 @@ def sketch_table(docs: DataFrame, m: int = SKETCHES) -> DataFrame:
                 values = sketches(words, per_text, m)
                 yield pa.RecordBatch.from_arrays(
                     [b.column("key").take(pa.array(lo + rows)), pa.array(per_text[rows].astype(np.int64)),
+                     pa.array([x.tobytes() for x in bags(words, per_text)[rows]], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * m),
-                                              pa.array(values.ravel().view(np.int64)))], ["key", "n_words", "sketch"])
+                                              pa.array(values.ravel().view(np.int64)))], ["key", "n_words", "bag", "sketch"])
+
+    return docs.select("key", "text").mapInArrow(run, "key binary, n_words long, bag binary, sketch array<long>")
+
+
+def bags_fit(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether texts with bags ``x`` and ``y`` of nx and ny words can be similar:
+    each edit takes away one surplus word of either bag at most."""
+    low = np.minimum(x, y).sum(axis=1, dtype=np.int32)
+    surplus = np.maximum(x.sum(axis=1, dtype=np.int32) - low, y.sum(axis=1, dtype=np.int32) - low)
+    longer = np.maximum(nx, ny)
+    return surplus <= longer - np.ceil(similarity * longer - 1e-9)
+
+
+def pairs_of_groups(group: np.ndarray, side: np.ndarray, label: np.ndarray, n: np.ndarray, bag: np.ndarray,
+                    similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of one group, of different labels, whose lengths and bags
+    allow the similarity.  ``side`` is 0 for all rows of a group, or 1 and 2 for
+    two blocks, whose pairs with one row of each are wanted."""
+    order = np.lexsort((n, group))
+    group, side, label, n, bag = group[order], side[order], label[order], n[order], bag[order]
+    place = group.astype(np.int64) << 40
+    most = np.floor(n / similarity + 1e-6).astype(np.int64) if similarity > 0 else np.full(len(n), 1 << 39)
+    end = np.searchsorted(place + n, place + most, side="right")
+    partners = np.maximum(end - np.arange(len(n)) - 1, 0)
+    upto = np.cumsum(partners)
+    first = 0
+    while first < len(n):  # rows with about TOGETHER pairs, one row at least
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + TOGETHER, side="right")))
+        count = partners[first:last]
+        a = np.repeat(np.arange(first, last), count)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
+        ok = (label[a] != label[b]) & ((side[a] == 0) | (side[a] != side[b]))
+        a, b = a[ok], b[ok]
+        for lo in range(0, len(a), TOGETHER):
+            x, y = a[lo:lo + TOGETHER], b[lo:lo + TOGETHER]
+            fit = bags_fit(bag[x], bag[y], n[x], n[y], similarity)
+            yield order[x[fit]], order[y[fit]]
+        first = last
+
+
+def block_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of ``rows`` (bucket, x, y, block, key, label, n_words, bag), sorted
+    by bucket, x and y within partitions: pairs of one group that may be similar."""
+    def handle(t: pa.Table) -> pa.RecordBatch:
+        ids = [t.column(c).to_numpy() for c in ("bucket", "x", "y", "block", "n_words")]
+        change = np.zeros(t.num_rows, bool)
+        for c in ids[:3]:
+            change[1:] |= c[1:] != c[:-1]
+        side = np.where(ids[1] == ids[2], 0, np.where(ids[3] == ids[1], 1, 2))
+        keys = t.column("key").combine_chunks()
+        label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        bag = np.frombuffer(b"".join(t.column("bag").to_pylist()), np.uint8).reshape(-1, BINS)
+        found = list(pairs_of_groups(np.cumsum(change), side, label, ids[4], bag, similarity))
+        none = np.zeros(0, np.int64)
+        a, b = (np.concatenate([f[k] for f in found] or [none]) for k in (0, 1))
+        a, b = keys.take(pa.array(a)), keys.take(pa.array(b))
+        return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            held = t if held is None else pa.concat_tables([held, t])
+            ids = [held.column(c).to_numpy() for c in ("bucket", "x", "y")]
+            before = np.flatnonzero((ids[0] != ids[0][-1]) | (ids[1] != ids[1][-1]) | (ids[2] != ids[2][-1]))
+            if len(before):  # the last group may go on in the next batch
+                yield handle(held.slice(0, before[-1] + 1))
+                held = held.slice(before[-1] + 1)
+        if held is not None:
+            yield handle(held)
+
+    return rows.select("bucket", "x", "y", "block", "key", "label", "n_words", "bag").mapInArrow(run, "a binary, b binary")
+
+
+def fitting_pairs(pairs: DataFrame, who: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of those of ``pairs`` (h_a, h_b) whose bags allow the similarity; ``who`` is (h, key, n_words, bag)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("bag_a", "bag_b"))
+            ok = bags_fit(x, y, b.column("n_a").to_numpy(), b.column("n_b").to_numpy(), similarity)
+            yield b.select(["a", "b"]).filter(pa.array(ok))
 
-    return docs.select("key", "text").mapInArrow(run, "key binary, n_words long, sketch array<long>")
+    for c in ("a", "b"):
+        of = who.select(F.col("h").alias(f"h_{c}"), F.col("key").alias(c), F.col("n_words").alias(f"n_{c}"), F.col("bag").alias(f"bag_{c}"))
+        pairs = pairs.hint("merge").join(of, f"h_{c}")
+    return pairs.select("a", "b", "n_a", "n_b", "bag_a", "bag_b").mapInArrow(run, "a binary, b binary")
 
 
 def verify(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -138,43 +237,42 @@ def near_duplicate_labels(docs: DataFrame, m: int = SKETCHES, similarity: float
     distinct texts with the smallest id of their copies, labels (node, label)
     the components of linked nodes."""
     nodes = materialise(docs.groupBy("key").agg(F.min("id").alias("id")), "nodes")
-    sketch = materialise(sketch_table(docs, m), "sketches")
-    # a bucket's members: texts in it, its key (the value so far), and the sketch to refine it by
-    members = sketch.select("key", "n_words", F.posexplode("sketch").alias("i", "value"))
-    members = members.withColumn("bucket", F.xxhash64("i", "value"))
-    later, texts, known, used = None, None, None, 1
-    while True:
-        # the smallest key is the pivot: texts of one class meet the same pivot in most of their buckets
-        pivots = (members.groupBy("bucket").agg(F.min(F.struct("key", "n_words")).alias("p"), F.max("key").alias("hi"))
-                  .where("p.key <> hi").select("bucket", F.col("p.key").alias("pivot"), F.col("p.n_words").alias("pivot_words")))
-        pivots = materialise(pivots, "pivots")
-        met = members.hint("merge").join(pivots, "bucket").where("key <> pivot")
-        met = materialise(met.select("bucket", "i", "key", "n_words", "pivot", "pivot_words"), "met")
-        if texts is None:  # all that later rounds need is among the members of the first
-            texts = member_texts(met, docs, nodes)
-        fits = F.least("n_words", "pivot_words") >= F.ceil(F.lit(similarity) * F.greatest("n_words", "pivot_words") - 1e-9)
-        pairs = met.where(fits).select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct()
-        found = materialise(verify(with_texts(pairs, texts), similarity), "found")
-        if known is None:
-            known = components(found)
-        else:
-            later = found if later is None else later.unionByName(found)
-        # who is not linked to the pivot, nor in its class by the first round, goes on
-        open_ = met.join(found.withColumnsRenamed({"a": "key", "b": "pivot"}), ["key", "pivot"], "left_anti")
-        own, of = known.select(F.col("node").alias("key"), F.col("label").alias("own")), known.select(
-            F.col("node").alias("pivot"), F.col("label").alias("of"))
-        open_ = (open_.join(own, "key", "left").join(of, "pivot", "left")
-                 .where(F.coalesce("own", "key") != F.coalesce("of", "pivot")).select("bucket", "i", "key", "n_words"))
-        if used < m:  # once all values are used only the pivot changes
-            more = range(used, min(m, 2 * used))  # twice as many values each time
-            open_ = (open_.join(sketch.select("key", "sketch"), "key")
-                     .withColumn("bucket", F.xxhash64("bucket", *[F.get("sketch", F.pmod(F.col("i") + j, F.lit(m))) for j in more]))
-                     .drop("sketch"))
-            used = min(m, 2 * used)
-        members = materialise(open_, "open")
-        again = members.groupBy("bucket").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
-        if again.isEmpty():
-            return nodes, known if later is None else merged_labels(known, later)
+    sketch = materialise(sketch_table(docs, m).withColumn("h", F.xxhash64("key")), "sketches")
+    # rows of two longs: the text's hash and the bucket; keys and bags come only to texts that share a bucket
+    members = sketch.select("h", F.explode("sketch").alias("bucket"))
+    # the smallest hash is the pivot: texts of one class meet the same pivot in most of their buckets
+    pivots = members.groupBy("bucket").agg(F.min("h").alias("pivot"), F.max("h").alias("hi")).where("pivot <> hi").select("bucket", "pivot")
+    met = members.hint("merge").join(materialise(pivots, "pivots"), "bucket").where("h <> pivot").distinct()
+    met = materialise(met, "met")
+    shared = met.select("h").union(met.select("pivot")).distinct()
+    who = sketch.select("h", "key", "n_words", "bag").join(shared, "h").dropDuplicates(["key"])
+    who = materialise(who, "who")
+    texts = member_texts(who, docs, nodes)
+    pairs = met.select(F.col("h").alias("h_a"), F.col("pivot").alias("h_b")).distinct()
+    pairs = materialise(fitting_pairs(pairs, who, similarity), "pairs")
+    known = components(materialise(verify(with_texts(pairs, texts), similarity), "found"))
+    more = materialise(open_pairs(met, known, who, similarity), "open-pairs")
+    if more.isEmpty():
+        return nodes, known
+    return nodes, merged_labels(known, materialise(verify(with_texts(more, texts), similarity), "found"))
+
+
+def open_pairs(met: DataFrame, known: DataFrame, who: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a the larger: all pairs of members of one bucket, but those with
+    its pivot, that are not of one class by ``known`` and may be similar."""
+    own = known.select(F.col("node").alias("key"), F.col("label").alias("own"))
+    who = materialise(who.join(own, "key", "left").withColumn("label", F.coalesce("own", "key")).drop("own"), "labelled")
+    rows = met.select("bucket", "h").hint("merge").join(who.select("h", "label"), "h")
+    mixed = (rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+             .where("lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    rows = met.select("bucket", "h").hint("merge").join(materialise(mixed, "mixed"), "bucket")
+    rows = rows.hint("merge").join(who, "h").withColumn("block", F.pmod("h", F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block",
+                       "key", "label", "n_words", "bag")
+    rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    pairs = block_pairs(rows, similarity)
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def merged_labels(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -188,11 +286,10 @@ def merged_labels(labels: DataFrame, found: DataFrame) -> DataFrame:
     return materialise(old.unionByName(fresh), "labels")
 
 
-def member_texts(met: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(key, text) of the texts that share a bucket with another one."""
-    wanted = met.select("key").union(met.select(F.col("pivot").alias("key"))).distinct()
+def member_texts(who: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(key, text) of the texts ``who`` (key), which share a bucket with another one."""
     none = F.lit(-(1 << 63))
-    wanted = materialise(wanted.join(nodes, "key").select("key", F.coalesce("id", none).alias("id")), "wanted")
+    wanted = materialise(who.select("key").join(nodes, "key").select("key", F.coalesce("id", none).alias("id")), "wanted")
     # one row of each text: that with the node's id; a plain shuffle at every size
     rows = docs.select("key", F.coalesce("id", none).alias("id"), "text").hint("merge").join(wanted, ["key", "id"])
     return materialise(rows.select("key", "text"), "texts")

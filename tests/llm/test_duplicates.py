@@ -109,6 +109,33 @@ def test_large_bucket_of_unlike_and_like_texts(spark):
     assert got == brute_classes(texts)
 
 
+def substituted(words, share, rng):
+    out = list(words)
+    for i in rng.sample(range(len(out)), round(share * len(out))):
+        out[i] = f"sub{rng.randrange(10 ** 9)}"
+    return out
+
+
+def classes_and_links(spark, words):
+    """(class by row, rows' sketches) of texts given as words."""
+    texts = [" ".join(w) for w in words]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicate_classes(docs_frame(spark, list(enumerate(texts)))).collect()}
+    hashes, n = word_hashes(texts)
+    return got, order_minhash.sketches(hashes, n)
+
+
+def test_star_of_variants(spark):
+    """1,000 variants of one base at about 0.85: all that share a value with the
+    base and are linked to it are in its class, whatever pivot they met."""
+    rng = random.Random(31)
+    base = prose(4100, 300).replace(".", "").split()
+    words = [base] + [substituted(base, 0.14 + 0.02 * rng.random(), rng) for _ in range(1000)]
+    got, s = classes_and_links(spark, words)
+    want = {i for i in range(1, 1001) if (s[i] == s[0]).any()}  # at most 48 of 300 words differ: all are linked
+    assert len(want) >= 900
+    assert {got[i] for i in want} == {got[0]}
+
+
 def test_order_matters():
     a = prose(5, 200).split()
     chunks = [a[i:i + 8] for i in range(0, 200, 8)]
