@@ -136,6 +136,19 @@ def test_star_of_variants(spark):
     assert {got[i] for i in want} == {got[0]}
 
 
+def test_pairs_around_a_template(spark):
+    """Pairs of documents that are half a common template: all that share a value are found."""
+    rng = random.Random(32)
+    template = prose(4200, 150).replace(".", "").split()
+    words = [template + prose(10_000 + i, 150, 10 ** 6).replace(".", "").split() for i in range(500)]
+    words += [substituted(w, 0.12, rng) for w in words[:200]]
+    got, s = classes_and_links(spark, words)
+    want = [i for i in range(200) if (s[i] == s[500 + i]).any()]
+    assert len(want) >= 195
+    assert [i for i in want if got[i] != got[500 + i]] == []
+    assert len(set(got.values())) >= 500  # and the template alone links nothing
+
+
 def test_order_matters():
     a = prose(5, 200).split()
     chunks = [a[i:i + 8] for i in range(0, 200, 8)]
