@@ -43,7 +43,7 @@ from calibspark.llm.components import components
 from calibspark.llm.scratch import materialise
 from calibspark.llm.wordhash import BASE, mix, shingles, text_groups, word_hashes
 
-KMER, SKETCHES, PICKS, SIMILARITY = 5, 32, 2, 0.8
+KMER, SKETCHES, PICKS, SIMILARITY = 5, 64, 2, 0.8
 #: Counts of a bag of words; texts of a block of a bucket; pairs compared together.
 BINS, BLOCK, TOGETHER = 256, 8192, 1 << 14
 

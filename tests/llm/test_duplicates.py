@@ -149,6 +149,18 @@ def test_pairs_around_a_template(spark):
     assert len(set(got.values())) >= 500  # and the template alone links nothing
 
 
+def test_scattered_edits_at_the_threshold_are_found():
+    """At a similarity of just 0.8, nine of ten isolated pairs share a value."""
+    rng = random.Random(33)
+    found = []
+    for i in range(600):
+        w = prose(20_000 + i, 300, 10 ** 6).replace(".", "").split()
+        hashes, n = word_hashes([" ".join(w), " ".join(substituted(w, 0.2, rng))])
+        s = order_minhash.sketches(hashes, n)
+        found.append(bool((s[0] == s[1]).any()))
+    assert np.mean(found) >= 0.9
+
+
 def test_order_matters():
     a = prose(5, 200).split()
     chunks = [a[i:i + 8] for i in range(0, 200, 8)]
