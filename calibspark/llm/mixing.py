@@ -34,6 +34,8 @@ STEPS = 20
 SEED = 17
 #: No source is repeated more than this often for each time the least repeated one is used.
 MAX_REPEATS = 2.0
+#: Relative rounding allowed for in a budget.
+NEAR = 1e-12
 
 
 def source_tokens(docs: DataFrame) -> DataFrame:
@@ -87,7 +89,11 @@ def mixing_weights(sources: DataFrame, target_entropy: float | None = None,
     share = F.col("tokens") / F.lit(total_tokens(sources) or 1.0)
     weight = F.when(F.col("tokens") > 0, F.pow(share, F.lit(alpha)) / F.lit(z)).otherwise(F.lit(0.0))
     total = F.lit(float(budget) if budget is not None else (once or 0.0) * (z or 0.0))
-    whole = F.floor(weight * total + 1e-6)
+    # a double is off by some units of its last place: a budget that near to whole epochs is whole epochs
+    want = weight * total
+    epochs = F.round(want / F.col("tokens"))
+    near = (epochs >= 1) & (F.abs(want - epochs * F.col("tokens")) <= want * NEAR)
+    whole = F.when(near, epochs.cast("long") * F.col("tokens")).otherwise(F.floor(want * (1 + NEAR)))
     return (sources.withColumn("alpha", F.lit(alpha)).withColumn("weight", weight)
             .withColumn("budget", F.when(F.col("tokens") > 0, whole).otherwise(F.lit(0)).cast("long"))
             .select("source", "tokens", "n_docs", "alpha", "weight", "budget"))
@@ -103,7 +109,7 @@ def block_schedule(docs: DataFrame, weights: DataFrame) -> DataFrame:
     it see every source spread evenly over the whole run."""
     blocks = docs.groupBy("source", "block").agg(F.sum("tokens").alias("block_tokens"))
     rows = blocks.join(weights.select("source", "tokens", "budget"), "source")
-    full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(1)).cast("int")
+    full = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(1)).cast("int")
     rows = rows.withColumn("__full", full).withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("__full"))))
     order = Window.partitionBy("source", "epoch").orderBy(order_of(F.col("source"), F.col("epoch"), F.col("block")), "block")
     rows = rows.withColumn("block_rank", F.row_number().over(order))

@@ -191,6 +191,15 @@ def mix_rows():
     return [(i, prose(i, 20 + i % 7), "hot" if i % 3 == 0 else f"s{i % 5}") for i in range(900)] + [(1000, "", "empty"), (1001, None, None)]
 
 
+@pytest.mark.parametrize("n", [49, 98, 103])
+def test_least_repeated_source_is_whole_at_large_counts(spark, n):
+    """Rounding of doubles takes no token off the source that is used once."""
+    rows = [(f"s{i}", 10 ** 12 + 7 - i, 1) for i in range(n)]
+    sources = spark.createDataFrame(rows, "source string, tokens long, n_docs long")
+    least = mixing.mixing_weights(sources, max_repeats=None).where("source = 's0'").first()
+    assert least.budget == least.tokens == 10 ** 12 + 7
+
+
 def test_exponent_meets_the_limits(spark):
     docs = docs_frame(spark, mix_rows())
     sources = mixing.source_tokens(docs.select(F.coalesce("source", F.lit("")).alias("source"), F.size(F.split("text", " ")).cast("long").alias("tokens")))
