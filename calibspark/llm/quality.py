@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from calibspark.functions.code import let
 from calibspark.llm.scratch import materialise, words
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -40,31 +41,42 @@ def base_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     hashes, and, only where two are equal, sorting (hash, start) once more to
     get the starts; a repeated window covers its three words.
     """
-    empty = F.array().cast("array<bigint>")
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = docs.withColumns({"__w": words(text_col), "__lines": lines})
     w, n = F.col("__w"), F.size("__w")
-    windows = F.when(n >= 3, F.transform(F.arrays_zip(F.slice(w, F.lit(1), n - 2).alias("a"), F.slice(w, F.lit(2), n - 2).alias("b"),
-                                                      F.slice(w, F.lit(3), n - 2).alias("c")),
-                                         lambda s: F.xxhash64(s["a"], s["b"], s["c"]))).otherwise(empty)
     df = df.select(*docs.columns, n.cast("long").alias("n_words"),
                    F.length(F.array_join("__w", "")).cast("long").alias("word_chars"),
                    (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
                    (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-                   windows.alias("__h"))
-    df = df.withColumn("__s", F.size("__h") - F.size(F.array_distinct("__h")))
-    starts = F.when(F.col("__s") > 0, F.array_sort(F.transform("__h", lambda x, i: F.struct(x.alias("h"), i.alias("i")))))
-    df = df.withColumn("__p", starts)
-    p = F.col("__p")
-    twice = F.filter(p, lambda x, i: (F.get(p, i - 1)["h"] == x["h"]) | (F.get(p, i + 1)["h"] == x["h"]))
-    df = df.withColumn("__at", F.sort_array(F.transform(twice, lambda x: x["i"])))
-    covered = F.aggregate("__at", F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
-                          lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")),
-                          lambda a: a["n"])
-    df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
+                   repeat_words(w).cast("long").alias("n_repeat_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return df.drop("__h", "__s", "__p", "__at").withColumn("base_failed", failed)
+    return df.withColumn("base_failed", failed)
+
+
+def repeat_words(words_col: Column) -> Column:
+    """Words in 3-word windows found twice or more.  Every array is bound
+    once (``let``), so that a filter on the result, which the optimizer moves
+    below the projections, doesn't build it again for each window."""
+    empty = F.array().cast("array<bigint>")
+
+    def hashes(w):
+        n = F.size(w)
+        return F.when(n >= 3, F.transform(F.arrays_zip(F.slice(w, F.lit(1), n - 2).alias("a"), F.slice(w, F.lit(2), n - 2).alias("b"),
+                                                       F.slice(w, F.lit(3), n - 2).alias("c")),
+                                          lambda s: F.xxhash64(s["a"], s["b"], s["c"]))).otherwise(empty)
+
+    def covered(p):
+        twice = F.filter(p, lambda x, i: (F.get(p, i - 1)["h"] == x["h"]) | (F.get(p, i + 1)["h"] == x["h"]))
+        return F.aggregate(F.sort_array(F.transform(twice, lambda x: x["i"])), F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
+                           lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")),
+                           lambda a: a["n"])
+
+    def count(h):
+        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        return F.when(F.size(h) > F.size(F.array_distinct(h)), let(pairs, covered)).otherwise(F.lit(0))
+
+    return let(words_col, lambda w: let(hashes(w), count))
 
 
 def normal_line(line: Column) -> Column:
