@@ -4,24 +4,36 @@ A block is a few documents (about ``BLOCK`` bytes of text, one document at
 least) whose tokens are numbers into the block's own list of distinct symbols.
 What is counted or looked up over the whole corpus are the distinct symbols of
 the blocks; the tokens themselves stay as packed arrays in one row per block.
+
+Words are counted and given ids by Spark's aggregates and joins.  Codes (63-bit
+numbers that stand for pairs of ids) are dealt by value into parts of about
+``PART`` entries, whose bounds come from a sample of the blocks' codes: a block
+sends each part one packed slice, a task merges the slices of a part as they
+stream in, and what a part found out goes back to the blocks the same way
+(``ask``).  A part that is asked for much is copied as often as its questions
+need, so a hot code doesn't gather in one task.
 """
 
 from __future__ import annotations
 
 import pickle
 import struct
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from calibspark.llm.scratch import materialise
+from calibspark.llm.scratch import discard, stage
 
 #: Bytes of text in a block.
-BLOCK = 3 << 19
+BLOCK = 8 << 20
+#: Entries of a part, entries that one copy of a part answers, codes for one of the sample.
+PART, QUESTIONS, SAMPLE = 1 << 20, 1 << 21, 1024
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -95,7 +107,6 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text_at: int, size: int = 0) ->
 def map_blocks(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` whose function yields rows as dicts of values and arrays."""
     fields = df.sparkSession.createDataFrame([], schema).schema
-    from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +119,7 @@ def map_blocks(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
 def ranked(df: DataFrame, order: list, out_col: str, name: str) -> DataFrame:
     """Add the 0-based rank in ``order``, which must be unique: sorted ranges,
     written with each row's place in its range, and a table of one row per range."""
-    place = (df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
-    place = materialise(place, name)
+    place = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), name)
     part = F.shiftright("__at", 33)
     sizes = place.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("n")).orderBy("__part").collect()
     base, bases = 0, {}
@@ -117,8 +127,10 @@ def ranked(df: DataFrame, order: list, out_col: str, name: str) -> DataFrame:
         bases[r["__part"]] = base
         base += r.n
     ranges = df.sparkSession.createDataFrame(list(bases.items()), "__part long, __base long")  # one row per range
-    return (place.withColumn("__part", part).join(F.broadcast(ranges), "__part")
-            .withColumn(out_col, F.col("__base") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__part", "__base"))
+    out = stage(place.withColumn("__part", part).join(F.broadcast(ranges), "__part")
+                .withColumn(out_col, F.col("__base") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__at", "__part", "__base"), name)
+    discard(place)
+    return out
 
 
 def symbols(blocks: DataFrame, *columns: str) -> DataFrame:
@@ -144,3 +156,138 @@ def scattered(size: int, at: np.ndarray, values: np.ndarray, default) -> np.ndar
     out = np.full(size, default, np.result_type(values.dtype, type(default)) if len(values) else np.array(default).dtype)
     out[at] = values
     return out
+
+
+# ---------------------------------------------------------------- codes in parts
+Codes = Callable[[pa.RecordBatch, int], tuple]
+
+
+def sample_of(codes: np.ndarray) -> np.ndarray:
+    """Evenly spaced codes of a block's sorted ones, one of ``SAMPLE``."""
+    return codes[min(SAMPLE // 2, len(codes) - 1)::SAMPLE] if len(codes) else codes
+
+
+def part_bounds(blocks: DataFrame) -> np.ndarray:
+    """Lower bounds of the parts, from the columns ``n`` (codes) and ``sample`` of the blocks."""
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return np.zeros(0, np.int64)
+    parts = -(-total // PART)
+    cuts = [i / parts for i in range(1, parts)]
+    codes = blocks.select(F.explode("sample").alias("code"))
+    inner = codes.agg(F.percentile_approx("code", cuts, max(10000, 10 * parts)).alias("c")).first().c if cuts else []
+    return np.concatenate([[0], np.unique(np.array(inner, np.int64))])
+
+
+def slices(bounds: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, first, end) of sorted codes."""
+    if not len(codes):
+        return iter(())
+    part = np.maximum(np.searchsorted(bounds, codes, side="right") - 1, 0)
+    new = np.flatnonzero(np.diff(part, prepend=-1))
+    return zip(part[new].tolist(), new.tolist(), [*new[1:].tolist(), len(codes)])
+
+
+def added(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes with their summed counts."""
+    order = np.argsort(codes, kind="stable")
+    codes, counts = codes[order], counts[order]
+    new = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[new], np.add.reduceat(counts, new) if len(new) else counts
+
+
+def counted_parts(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, finish: Callable, schema: str, add: Callable = added) -> DataFrame:
+    """One row per part with codes: ``finish(part, codes, counts)`` of its
+    distinct codes and their counts over all blocks.  ``codes_of(batch, row)``
+    gives a block's sorted codes and counts; a task merges the slices of a part
+    while they stream in, with ``add``."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            for i in range(b.num_rows):
+                codes, counts = codes_of(b, i)[:2]
+                for part, lo, hi in slices(bounds, codes):
+                    yield {"part": part, "slice": pack(np.diff(codes[lo:hi], prepend=0), counts[lo:hi])}
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        part, held, size = None, [], 0
+
+        def total():
+            return add(*(np.concatenate(x) for x in zip(*held)))
+
+        for b in batches:
+            for p, s in zip(b.column(0).to_pylist(), b.column(1)):
+                if p != part and held:
+                    yield finish(part, *total())
+                    held, size = [], 0
+                part = p
+                deltas, counts = unpack(s.as_py())
+                held.append((np.cumsum(deltas), counts))
+                size += len(counts)
+                if size > 4 * PART:
+                    held = [total()]
+                    size = min(len(held[0][0]), 2 * PART)
+        if held:
+            yield finish(part, *total())
+
+    dealt = map_blocks(blocks, deal, "part long, slice binary")
+    return map_blocks(dealt.repartition("part").sortWithinPartitions("part"), merge, schema)
+
+
+def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFrame, answer: Callable, extra: bool = False) -> DataFrame:
+    """(block, part, found): ``answer(image, part, codes, *arrays)`` for each
+    part's slice of a block's codes and the arrays beside them.  ``images``
+    (part, image) has one row per part that knows something; without one there is no answer."""
+    def volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        total = np.zeros(len(bounds), np.int64)
+        for b in batches:
+            for i in range(b.num_rows):
+                for s, lo, hi in slices(bounds, codes_of(b, i)[0]):
+                    total[s] += hi - lo
+        used = np.flatnonzero(total)
+        yield {"part": used, "size": total[used]}
+
+    got = map_blocks(blocks, volumes, "part array<long>, size array<long>").select(F.explode(F.arrays_zip("part", "size")).alias("s"))
+    copies = np.ones(len(bounds), np.int64)
+    for r in got.groupBy("s.part").agg(F.sum("s.size").alias("size")).collect():  # one row per part
+        copies[r["part"]] = -(-r["size"] // QUESTIONS)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            for i in range(b.num_rows):
+                block, (codes, *arrays) = b.column("block")[i].as_py(), codes_of(b, i)
+                for s, lo, hi in slices(bounds, codes):
+                    packed = pack(np.diff(codes[lo:hi], prepend=0), *(a[lo:hi] for a in arrays if extra))
+                    yield {"part": s, "copy": zlib.crc32(b"%d" % block) % int(copies[s]), "block": block, "asked": packed}
+
+    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            for s, image in zip(b.column("part").to_pylist(), b.column("image")):
+                for c in range(int(copies[s])):
+                    yield {"part": s, "copy": c, "image": image.as_py()}
+
+    def look_up(asked: pa.Table, images: pa.Table) -> pa.Table:
+        out = [[], [], []]
+        if images.num_rows:
+            image = images.column("image")[0].as_buffer()
+            for part, block, packed in zip(asked.column("part").to_pylist(), asked.column("block").to_pylist(), asked.column("asked")):
+                deltas, *arrays = unpack(packed.as_py())
+                for column, value in zip(out, (block, part, answer(image, part, np.cumsum(deltas), *arrays))):
+                    column.append(value)
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "part", "found"), out, (pa.int64(), pa.int64(), pa.binary()))})
+
+    questions = map_blocks(blocks, deal, "part long, copy long, block long, asked binary")
+    known = map_blocks(images.select("part", "image"), copy, "part long, copy long, image binary")
+    keys = ["part", "copy"]
+    return questions.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(look_up, "block long, part long, found binary")
+
+
+def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """The blocks with their answers: ``found``, an array of (part, found)."""
+    return blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("part", "found")).alias("found")), "block", "left")
+
+
+def answered(codes: np.ndarray, bounds: np.ndarray, found: list | None, blank: tuple) -> list[np.ndarray]:
+    """Arrays beside a block's sorted codes: its answers by part, ``blank`` where there is none."""
+    by_part = {x["part"]: unpack(x["found"]) for x in found or []}
+    pieces = [by_part.get(s) or [np.full(hi - lo, v) for v in blank] for s, lo, hi in slices(bounds, codes)]
+    return [np.concatenate(x) for x in zip(*pieces)] if pieces else [np.zeros(0, np.array(v).dtype) for v in blank]

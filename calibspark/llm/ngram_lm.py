@@ -20,13 +20,14 @@ A child is found by a successor search for its number, counted from where its
 parent's children start.  A shard is one flat run of bytes, which a task maps
 as arrays and reads in place.
 
-Work: texts become blocks of token numbers (``blocks.py``).  For each level, the
-blocks' distinct n-grams are counted over the training texts by Spark
-(partial aggregation), sorted into shards, and the blocks send their distinct
-n-grams to the shards that may hold them; a shard that is asked for much is
-copied as often as its questions need (one copy for ``QUESTIONS``), so neither a hot
-word nor a hot phrase gathers in one task.  Answers go back to the blocks.  Only
-the shards' first and last codes (one row for ``SHARD`` nodes) and counts reach
+Work: texts become blocks of token numbers (``blocks.py``).  For each level the
+blocks' distinct training n-grams go, packed, to the part (a range of codes)
+that they belong to, where they are counted and become a shard; then the blocks
+ask the parts for their n-grams.  A part that is asked for much is copied as
+often as its questions need, so neither a hot word nor a hot phrase gathers
+in one task.  At the last level a block sends each token with its lower
+probability (quantised the same way) and document, and gets sums of logarithms by
+document.  Only one row per part (bounds, counts, first and last parent) reaches
 the driver.  The model covers all training texts: nothing is pruned.
 
 Defined results: a null or empty text is its end alone; a null id is the text
@@ -37,7 +38,7 @@ scores are 0; an empty table gives an empty result; only the named columns are r
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,19 +48,17 @@ from pyspark.sql import functions as F
 
 from calibspark.llm import blocks as B
 from calibspark.llm.elias_fano import EliasFano
-from calibspark.llm.scratch import materialise
+from calibspark.llm.scratch import discard, stage
 
 #: Length of the longest n-gram.
 ORDER = 3
-#: Nodes of a shard, n-grams that one copy of a shard answers, steps of a quantised logarithm.
-SHARD, QUESTIONS, STEP = 1 << 20, 1 << 21, 2048
+#: Steps of a quantised logarithm.
+STEP = 2048
 
 TABLE = B.byte_table(b"\t\n\x0b\x0c\r")
 #: The end of a text as a symbol; no word holds a space.
 END = b" "
 
-DOC = "doc array<long>, held array<boolean>, length array<long>, known array<long>, base array<double>"
-
 
 # ---------------------------------------------------------------- trie levels
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -119,155 +118,135 @@ class Shard:
         return node, place, p, weight
 
 
+# ---------------------------------------------------------------- levels
 @dataclass
 class Level:
-    """One level: ``images`` (shard, image), and for each shard, by rising
-    codes, its lower bound, its first node's number, its first parent and the
-    children that this parent has in earlier shards; ``widest``: most children of a parent."""
+    """One level: ``images`` (part, image) of every part, empty for one
+    without nodes; the parts' lower ``bounds``; by part the number of its first
+    node and the children that its first parent has in earlier parts; ``edges``:
+    the first and last parents of parts, sorted, and their quantised weights, since a
+    part may be asked for a parent whose children are all in the parts beside it;
+    ``size``: nodes, ``widest``: most children of a parent."""
 
     images: DataFrame
-    width: int
     bounds: np.ndarray
-    numbers: np.ndarray
-    base: np.ndarray
-    parent: np.ndarray
-    earlier: np.ndarray
+    base: dict
+    earlier: dict
+    edges: tuple[np.ndarray, np.ndarray]
+    size: int
     widest: int
 
 
-def discount(nodes: DataFrame) -> float:
-    """n1 / (n1 + 2 n2) of the numbers of n-grams seen once and twice, within 0.1 and 0.9."""
-    once, twice = nodes.agg(F.count_if(F.col("count") == 1), F.count_if(F.col("count") == 2)).first()
-    return min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
-
-
-def build_level(blocks: DataFrame, width: int, name: str) -> Level:
-    """Count the blocks' training n-grams and build the level's shards."""
-    counted = B.symbols(blocks, "code", "count").where("count > 0").groupBy("code").agg(F.sum("count").alias("count"))
-    nodes = materialise(counted.withColumn("parent", F.expr(f"code div {width}L")), f"nodes-{name}")
-    contexts = materialise(nodes.groupBy("parent").agg(F.sum("count").alias("total"), F.count(F.lit(1)).alias("kinds")), f"contexts-{name}")
-    less = discount(nodes)
-    widest = contexts.agg(F.max("kinds")).first()[0] or 0
-    rows = (nodes.join(contexts, "parent").select("code", ((F.col("count") - less) / F.col("total")).alias("p"),
-                                                  (less * F.col("kinds") / F.col("total")).alias("weight")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        def shard(rows: pa.Table) -> dict:
-            codes, p, weight = (c.to_numpy() for c in rows.columns)
-            parent = codes // width
-            return {"first": codes[0], "last": codes[-1], "n": len(codes), "of_last": int((parent == parent[-1]).sum()),
-                    "image": Shard.build(codes, width, p, weight)}
-        held, size = [], 0
-        for b in batches:
-            while b.num_rows:
-                take = b.slice(0, SHARD - size)
-                held.append(take)
-                size += take.num_rows
-                b = b.slice(take.num_rows)
-                if size == SHARD:
-                    yield shard(pa.Table.from_batches(held))
-                    held, size = [], 0
-        if held:
-            yield shard(pa.Table.from_batches(held))
-
-    ordered = rows.repartitionByRange("code").sortWithinPartitions("code")
-    images = materialise(B.map_blocks(ordered, run, "first long, last long, n long, of_last long, image binary"), f"images-{name}")
-    found = images.select("first", "last", "n", "of_last").orderBy("first").collect()  # one row per SHARD nodes or range
-    first, last, n, of_last = (np.array([r[i] for r in found], np.int64) for i in range(4))
-    parent, until = first // width, last // width
-    goes_on = np.concatenate([[False], parent[1:] == until[:-1]])[:len(found)]
-    earlier = np.zeros(len(found), np.int64)
-    for k in np.flatnonzero(goes_on):
-        earlier[k] = of_last[k - 1] + (earlier[k - 1] if parent[k - 1] == until[k - 1] else 0)
-    return Level(images.select("first", "image"), width, np.where(goes_on, first, parent * width), first,
-                 np.cumsum(n) - n, parent, earlier, widest)
-
-
-def answers(blocks: DataFrame, level: Level) -> DataFrame:
-    """(block, part, found): for each shard (part) that a block asks, the packed
-    node numbers, relative numbers, probabilities and weights of the block's
-    sorted distinct codes that belong to that shard."""
-    bounds, firsts, base, parent, earlier, width = level.bounds, level.numbers, level.base, level.parent, level.earlier, level.width
-    asked = blocks.select("block", "code").where(F.size("code") > 0)
-
-    def slices(codes: np.ndarray):
-        shard = np.maximum(np.searchsorted(bounds, codes, side="right") - 1, 0)
-        new = np.flatnonzero(np.diff(shard, prepend=-1))
-        return zip(shard[new].tolist(), new.tolist(), [*new[1:].tolist(), len(codes)])
-
-    def volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        total = np.zeros(len(bounds), np.int64)
-        for b in batches:
-            for i in range(b.num_rows):
-                for s, lo, hi in slices(B.numbers(b, "code", i)):
-                    total[s] += hi - lo
-        used = np.flatnonzero(total)
-        yield {"shard": used, "size": total[used]}
-
-    got = B.map_blocks(asked, volumes, "shard array<long>, size array<long>").select(F.explode(F.arrays_zip("shard", "size")).alias("s"))
-    sizes = got.groupBy("s.shard").agg(F.sum("s.size").alias("size")).collect()  # one row per shard
-    copies = np.ones(len(bounds), np.int64)
-    for r in sizes:
-        copies[r["shard"]] = -(-r["size"] // QUESTIONS)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            for i in range(b.num_rows):
-                block, codes = b.column("block")[i].as_py(), B.numbers(b, "code", i)
-                for s, lo, hi in slices(codes):
-                    yield {"shard": s, "copy": hash((block, 7)) % int(copies[s]), "block": block, "codes": B.pack(np.diff(codes[lo:hi], prepend=0))}
-
-    def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def parent_stats(parent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first node, total count, children) of each parent in sorted order."""
+    new = np.flatnonzero(np.diff(parent, prepend=-1))
+    return new, np.add.reduceat(counts, new), np.diff(np.append(new, len(parent)))
+
+
+def build_level(blocks: DataFrame, codes_of: B.Codes, width: int, name: str) -> Level:
+    """Count the blocks' training n-grams and build the level's shards.  A
+    parent may have children in several parts: its totals are put together from
+    the parts' first and last parents, one row per part."""
+    bounds = B.part_bounds(blocks)
+
+    def finish(part, codes, counts):
+        parent = codes // width
+        _, totals, kinds = parent_stats(parent, counts)
+        return {"part": part, "n": len(codes), "once": int((counts == 1).sum()), "twice": int((counts == 2).sum()), "widest": int(kinds.max()),
+                "first": parent[0], "first_total": totals[0], "first_kinds": kinds[0],
+                "last": parent[-1], "last_total": totals[-1], "last_kinds": kinds[-1], "nodes": B.pack(np.diff(codes, prepend=0), counts)}
+
+    edges = ("part", "n", "once", "twice", "widest", "first", "first_total", "first_kinds", "last", "last_total", "last_kinds")
+    nodes = stage(B.counted_parts(blocks, codes_of, bounds, finish, ", ".join(f"{c} long" for c in edges) + ", nodes binary"), f"nodes-{name}")
+    parts = nodes.select(*edges).orderBy("part").collect()
+    once, twice = sum(r.once for r in parts), sum(r.twice for r in parts)
+    less = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+    # totals of the parents that go on from one part to the next
+    whole: dict[int, list] = {}
+    base, earlier, size = {}, {}, 0
+    for r in parts:
+        base[r.part], size = size, size + r.n
+        earlier[r.part] = whole[r["first"]][1] if r["first"] in whole else 0
+        for parent, total, kinds in {(r["first"], r.first_total, r.first_kinds), (r["last"], r.last_total, r.last_kinds)}:
+            got = whole.setdefault(parent, [0, 0])
+            got[0] += total
+            got[1] += kinds
+    edge_parents = {r.part: [(p, *whole[p]) for p in {r["first"], r["last"]}] for r in parts}
+    widest = max([0, *(r.widest for r in parts), *(kinds for _, kinds in whole.values())])
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            for first, image in zip(b.column("first").to_pylist(), b.column("image")):
-                s = int(np.searchsorted(firsts, first))
-                for c in range(int(copies[s])):
-                    yield {"shard": s, "copy": c, "image": image.as_py()}
-
-    questions = B.map_blocks(asked, ask, "shard long, copy long, block long, codes binary")
-    images = B.map_blocks(level.images, copy, "shard long, copy long, image binary")
-
-    def look_up(asked: pa.Table, images: pa.Table) -> pa.Table:
-        blocks, shards, found = [], [], []
-        if images.num_rows and asked.num_rows:
-            s = images.column("shard")[0].as_py()
-            shard = Shard(images.column("image")[0].as_buffer())
-            for block, packed in zip(asked.column("block").to_pylist(), asked.column("codes")):
-                codes = np.cumsum(B.unpack(packed.as_py())[0])
-                node, place, p, weight = shard.find(codes)
-                there = node >= 0
-                place = np.where(there & (codes // width == parent[s]), place + earlier[s], place)
-                blocks.append(block)
-                shards.append(s)
-                found.append(B.pack(np.where(there, node + base[s], -1), place, p, weight))
-        return pa.table({"block": pa.array(blocks, pa.int64()), "part": pa.array(shards, pa.int64()), "found": pa.array(found, pa.binary())})
-
-    keys = ["shard", "copy"]
-    return questions.groupBy(*keys).cogroup(images.groupBy(*keys)).applyInArrow(look_up, "block long, part long, found binary")
-
-
-def with_answers(blocks: DataFrame, level: Level, name: str) -> DataFrame:
-    """The blocks with their answers (array ``found`` of part and packed arrays)."""
-    if not len(level.bounds):
-        return blocks.withColumn("found", F.array().cast("array<struct<part:bigint,found:binary>>"))
-    got = materialise(answers(blocks, level), f"answers-{name}")
-    lists = got.groupBy("block").agg(F.collect_list(F.struct("part", "found")).alias("found"))
-    return blocks.join(lists, "block", "left")
-
-
-def joined_answers(found: list | None, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(nodes, relative numbers, probabilities (0: none), weights (1: none)) of a block's codes."""
-    if not found:
-        return np.full(n, -1), np.full(n, -1), np.zeros(n), np.ones(n)
-    parts = [B.unpack(x["found"]) for x in sorted(found, key=lambda x: x["part"])]
-    node, place, p, weight = (np.concatenate(x) for x in zip(*parts))
-    return node, place, np.where(p >= 0, probability(p), 0.0), np.where(weight >= 0, probability(weight), 1.0)
+            for part, packed in zip(b.column(0).to_pylist(), b.column(1)):
+                deltas, counts = B.unpack(packed.as_py())
+                codes = np.cumsum(deltas)
+                parent = codes // width
+                new, totals, kinds = parent_stats(parent, counts)
+                for p, total, number in edge_parents[part]:
+                    at = np.searchsorted(parent[new], p)
+                    totals[at], kinds[at] = total, number
+                runs = np.diff(np.append(new, len(codes)))
+                yield {"part": part, "image": Shard.build(codes, width, (counts - less) / np.repeat(totals, runs),
+                                                          np.repeat(less * kinds / totals, runs))}
+
+    empty = [(p, b"") for p in range(len(bounds)) if p not in base]
+    images = B.map_blocks(nodes.select("part", "nodes"), build, "part long, image binary")
+    images = stage(images.union(nodes.sparkSession.createDataFrame(empty, images.schema)), f"images-{name}")
+    discard(nodes)
+    edge = sorted(whole)
+    edges = np.array(edge, np.int64), quantise(np.array([less * whole[p][1] / whole[p][0] for p in edge], float)).astype(np.int64)
+    return Level(images, bounds, base, earlier, edges, size, widest)
+
+
+#: Sequence states between levels: the columns that every block of n-grams has.
+DOCS = "block long, doc array<long>, held array<boolean>, length array<long>, known array<long>, base array<double>, part_score array<double>"
+NGRAMS = DOCS + ", n long, sample array<long>, state binary"
+
+
+def found_nodes(level: Level, width: int, last: bool) -> Callable:
+    """Answer function of a level, see ``blocks.ask``."""
+    base, earlier, (edge, edge_weight) = level.base, level.earlier, level.edges
+
+    def find(image: pa.Buffer, codes: np.ndarray) -> tuple:
+        if not image.size:
+            first, got = -1, tuple(np.full(len(codes), -1) for _ in range(4))
+        else:
+            shard = Shard(image)
+            first, got = shard.first, shard.find(codes)
+        weight, parent = got[3], codes // width
+        if len(edge):
+            at = np.minimum(np.searchsorted(edge, parent), len(edge) - 1)
+            weight = np.where((weight < 0) & (edge[at] == parent), edge_weight[at], weight)
+        return first, *got[:3], weight
+
+    def nodes(image: pa.Buffer, part: int, codes: np.ndarray) -> bytes:
+        first, node, place, p, weight = find(image, codes)
+        there = node >= 0
+        place = np.where(there & (codes // width == first), place + earlier.get(part, 0), place)
+        return B.pack(np.where(there, node + base.get(part, 0), -1), place, p, weight)
+
+    def scores(image: pa.Buffer, part: int, codes: np.ndarray, lower: np.ndarray, doc: np.ndarray) -> bytes:
+        new = np.flatnonzero(np.diff(codes, prepend=-1))
+        _, _, _, p, weight = find(image, codes[new])
+        runs = np.diff(np.append(new, len(codes)))
+        logs = np.log10(np.repeat(np.where(p >= 0, probability(p), 0.0), runs) + np.repeat(weights(weight), runs) * probability(lower))
+        docs = np.flatnonzero(np.bincount(doc))
+        return B.pack(docs, np.bincount(doc, logs)[docs])
+
+    return scores if last else nodes
+
+
+def weights(q: np.ndarray) -> np.ndarray:
+    return np.where(q >= 0, probability(q), 1.0)
+
+
+def interpolated(p: np.ndarray, weight: np.ndarray, lower) -> np.ndarray:
+    return np.where(p >= 0, probability(p), 0.0) + weights(weight) * lower
 
 
 # ---------------------------------------------------------------- texts
 def token_blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
     """(block, doc, held, length: per document; word, count: distinct tokens
-    and their training counts; seq: token numbers)."""
+    and their training counts; n: their number; seq: token numbers)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for block, rows in B.in_blocks(batches, 2):
             texts = [t for b in rows for t in b.column(2).to_pylist()]
@@ -278,21 +257,12 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column)
             seq = np.insert(number, ends, len(distinct))
             length = np.diff(ends, prepend=0) + 1
             yield {"block": block, "doc": [x for b in rows for x in b.column(0).to_pylist()], "held": held, "length": length,
-                   "word": [*distinct.to_pylist(), END],
+                   "word": [*distinct.to_pylist(), END], "n": len(distinct) + 1,
                    "count": np.bincount(seq[~np.repeat(held, length)], minlength=len(distinct) + 1), "seq": B.pack(seq)}
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), held_out.alias("held"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"))
     return B.map_blocks(rows, run, "block long, doc array<long>, held array<boolean>, length array<long>, word array<binary>, "
-                                   "count array<long>, seq binary")
-
-
-def numbered_ngrams(codes: np.ndarray, valid: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(sorted distinct codes, training counts, number of each token's code or -1)."""
-    at = np.flatnonzero(valid)
-    distinct, number = np.unique(codes[at], return_inverse=True)
-    seq = np.full(len(codes), -1)
-    seq[at] = number
-    return distinct, np.bincount(number, weights=train[at], minlength=len(distinct)).astype(np.int64), seq
+                                   "count array<long>, n long, seq binary")
 
 
 def starts(length: np.ndarray) -> np.ndarray:
@@ -302,108 +272,178 @@ def starts(length: np.ndarray) -> np.ndarray:
     return out
 
 
+def per_document(values: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, np.cumsum(length) - length)
+
+
 def doc_columns(b: pa.RecordBatch, i: int) -> dict:
-    return {c: b.column(c)[i].as_py() for c in ("doc", "held", "length", "known", "base")}
+    return {c: b.column(c)[i].as_py() for c in ("block", "doc", "held", "length", "known", "base", "part_score")}
+
 
+class Bigrams:
+    """The state of a block before level 2: token numbers, their ids and
+    probabilities.  Ids ``kinds`` and ``kinds + 1`` are a text's beginning and an unknown token."""
 
-def bigram_blocks(blocks: DataFrame, n_tokens: int, n_kinds: int) -> DataFrame:
-    """Blocks of pairs of token ids, from blocks with ids and counts of their
-    known tokens.  The ids after the last one are that of a text's beginning
-    and that of an unknown token; per document come its known tokens and base score."""
-    begin, unknown, width, norm = n_kinds, n_kinds + 1, n_kinds + 2, n_tokens + n_kinds + 1
+    def __init__(self, kinds: int):
+        self.kinds, self.width = kinds, kinds + 2
+
+    def tokens(self, b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(code of each token's pair, its lower probability, whether it counts for training)."""
+        seq, ids, p = B.unpack(b.column("state")[i].as_py())
+        length, held = B.numbers(b, "length", i), B.numbers(b, "held", i, bool)
+        here = ids[seq]
+        before = np.roll(here, 1)
+        before[starts(length)] = self.kinds
+        return before * self.width + here, p[seq], ~np.repeat(held, length)
+
+
+class Longer:
+    """The state of a block before a later level, in token order (-1: no code)."""
+
+    def __init__(self, widest: int):
+        self.width = widest + 1
+
+    def tokens(self, b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        codes, lower = B.unpack(b.column("state")[i].as_py())
+        return codes, lower, training(codes, self.width, b, i)
+
+
+def training(codes: np.ndarray, width: int, b: pa.RecordBatch, i: int) -> np.ndarray:
+    """Tokens of training texts; the last number of a parent stands for n-grams that none has."""
+    return ~np.repeat(B.numbers(b, "held", i, bool), B.numbers(b, "length", i)) & (codes % width != width - 1)
+
+
+def trained_codes(kind) -> B.Codes:
+    def codes_of(b, i):
+        codes, _, train = kind.tokens(b, i)
+        return np.unique(codes[train & (codes >= 0)], return_counts=True)
+    return codes_of
+
+
+def asked_codes(kind) -> B.Codes:
+    def codes_of(b, i):
+        codes = kind.tokens(b, i)[0]
+        return (np.unique(codes[codes >= 0]),)
+    return codes_of
+
+
+def bigram_state(blocks: DataFrame, n_tokens: int, n_kinds: int) -> DataFrame:
+    """Blocks with ids and counts (``at``, ``id``, ``c``) of their known tokens, made ready for level 2."""
+    unknown, norm = n_kinds + 1, n_tokens + n_kinds + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for i in range(b.num_rows):
                 n, at = b.column("n")[i].as_py(), B.numbers(b, "at", i)
                 seq = B.unpack(b.column("seq")[i].as_py())[0]
-                ids = B.scattered(n, at, B.numbers(b, "id", i), unknown)[seq]
-                p = ((B.scattered(n, at, B.numbers(b, "c", i), 0) + 1) / norm)
-                length = np.array(b.column("length")[i].as_py())
-                held = np.array(b.column("held")[i].as_py())
-                first = starts(length)
-                context = np.where(first, begin, np.roll(ids, 1))
-                codes, counts, pairs = numbered_ngrams(context * width + ids, np.ones(len(ids), bool), ~np.repeat(held, length))
-                at = np.cumsum(length) - length
-                yield {"block": b.column("block")[i].as_py(), "doc": b.column("doc")[i].as_py(), "held": held, "length": length,
-                       "known": np.add.reduceat((ids != unknown).astype(np.int64), at), "base": np.add.reduceat(np.log10(p)[seq], at),
-                       "code": codes, "count": counts, "state": B.pack(pairs, p, seq)}
-
-    rows = blocks.select("block", "doc", "held", "length", F.size("word").alias("n"), "seq", "at", "id", "c")
-    return B.map_blocks(rows, run, f"block long, {DOC}, code array<long>, count array<long>, state binary")
-
-
-def raised(b: pa.RecordBatch, i: int) -> tuple:
-    """A block's row with its answers, one level up: (node, relative number, probability) of each token."""
-    pairs, table, number = B.unpack(b.column("state")[i].as_py())
-    node, place, p, weight = joined_answers(b.column("found")[i].as_py(), b.column("n")[i].as_py())
-    lower = table[number]
-    has = pairs >= 0
-    at = np.where(has, pairs, 0)
-    if not len(node):
-        return np.full(len(pairs), -1), np.full(len(pairs), -1), lower
-    return np.where(has, node[at], -1), np.where(has, place[at], -1), np.where(has, p[at] + weight[at] * lower, lower)
-
-
-def longer_ngrams(blocks: DataFrame, widest: int) -> DataFrame:
-    """Blocks of one token more: the parent is the node of the tokens before,
-    the child the token's number relative to its shorter context (``widest``: none)."""
+                ids = B.scattered(n, at, B.numbers(b, "id", i), unknown)
+                p = (B.scattered(n, at, B.numbers(b, "c", i), 0) + 1) / norm
+                length = B.numbers(b, "length", i)
+                here = ids[seq]
+                before = np.roll(here, 1)
+                before[starts(length)] = n_kinds
+                codes = np.unique(before * (n_kinds + 2) + here)
+                yield {**{c: b.column(c)[i].as_py() for c in ("block", "doc", "held", "length")}, "known": per_document((here != unknown) * 1, length),
+                       "base": per_document(np.log10(p)[seq], length), "part_score": [0.0] * len(length), "n": len(codes),
+                       "sample": B.sample_of(codes), "state": B.pack(seq, ids, p)}
+
+    return B.map_blocks(blocks.select("block", "doc", "held", "length", "n", "seq", "at", "id", "c"), run, NGRAMS)
+
+
+def next_state(blocks: DataFrame, kind, level: Level, last: bool) -> DataFrame:
+    """One token more, from blocks with their answers (``found``): the parent is
+    the node of the tokens before, the child the token's number relative to
+    its shorter context (``widest``: none).  A token without such a parent keeps
+    its probability, which is added to its document's ``part_score`` at the last
+    level.  The state is in token order, or at the ``last`` level sorted by code
+    with each token's lower probability (quantised) and document."""
+    bounds, widest = level.bounds, level.widest
     width = widest + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for i in range(b.num_rows):
-                docs = doc_columns(b, i)
-                node, place, p = raised(b, i)
-                length = np.array(docs["length"])
+                codes, lower, _ = kind.tokens(b, i)
+                has = np.flatnonzero(codes >= 0)
+                distinct, number = np.unique(codes[has], return_inverse=True)
+                node, place = np.full(len(codes), -1), np.full(len(codes), -1)
+                got = B.answered(distinct, bounds, b.column("found")[i].as_py(), (-1, -1, -1, -1))
+                node[has], place[has] = got[0][number], got[1][number]
+                lower[has] = interpolated(got[2][number], got[3][number], lower[has])
+                length = B.numbers(b, "length", i)
                 parent = np.where(starts(length), -1, np.roll(node, 1))
-                codes, counts, number = numbered_ngrams(parent * width + np.where(place >= 0, place, widest), parent >= 0,
-                                                        ~np.repeat(np.array(docs["held"]), length) & (place >= 0))
-                table, at = np.unique(p, return_inverse=True)
-                yield {"block": b.column("block")[i].as_py(), **docs, "code": codes, "count": counts, "state": B.pack(number, table, at)}
-
-    rows = blocks.select("block", "doc", "held", "length", "known", "base", F.size("code").alias("n"), "state", "found")
-    return B.map_blocks(rows, run, f"block long, {DOC}, code array<long>, count array<long>, state binary")
+                codes = np.where(parent >= 0, parent * width + np.where(place >= 0, place, widest), -1)
+                row = doc_columns(b, i)
+                if last:
+                    row["part_score"] = per_document(np.where(codes < 0, np.log10(lower), 0.0), length)
+                    at = np.flatnonzero(codes >= 0)
+                    at = at[np.argsort(codes[at], kind="stable")]
+                    doc = np.repeat(np.arange(len(length)), length)[at]
+                    train = training(codes, width, b, i)[at]
+                    state = B.pack(np.diff(codes[at], prepend=0), quantise(lower[at]), doc, train)
+                    sample = codes[at]
+                else:
+                    state, sample = B.pack(codes, lower), np.unique(codes[codes >= 0])
+                yield {**row, "n": len(sample), "sample": B.sample_of(sample), "state": state}
+
+    return B.map_blocks(blocks, run, NGRAMS)
+
+
+def sorted_codes(trained: bool) -> B.Codes:
+    """Codes of the last level's state: for counting those of training texts, else all with what goes with them."""
+    def codes_of(b, i):
+        deltas, lower, doc, train = B.unpack(b.column("state")[i].as_py())
+        codes = np.cumsum(deltas)
+        return np.unique(codes[train], return_counts=True) if trained else (codes, lower, doc)
+    return codes_of
 
 
 def document_scores(blocks: DataFrame) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, base_score, score) of each document."""
+    """(doc_id, held_out, n_tokens, n_known, base_score, score) of each
+    document, from blocks with the parts' sums (``found``)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for i in range(b.num_rows):
-                docs = doc_columns(b, i)
-                length = np.array(docs["length"])
-                yield {**docs, "score": np.add.reduceat(np.log10(raised(b, i)[2]), np.cumsum(length) - length)}
-
-    rows = blocks.select("doc", "held", "length", "known", "base", F.size("code").alias("n"), "state", "found")
-    got = B.map_blocks(rows, run, f"{DOC}, score array<double>")
-    names = {"doc": "doc_id", "held": "held_out", "length": "n_tokens", "known": "n_known", "base": "base_score", "score": "score"}
+                row = doc_columns(b, i)
+                score = np.array(row["part_score"], float)
+                for x in sorted(b.column("found")[i].as_py() or [], key=lambda x: x["part"]):
+                    docs, sums = B.unpack(x["found"])
+                    score[docs] += sums
+                yield {**row, "part_score": score}
+
+    names = {"doc": "doc_id", "held": "held_out", "length": "n_tokens", "known": "n_known", "base": "base_score", "part_score": "score"}
+    got = B.map_blocks(blocks, run, DOCS)
     return got.select(F.explode(F.arrays_zip(*names)).alias("s")).select(*[F.col(f"s.{a}").alias(b) for a, b in names.items()])
 
 
 def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """Train on the documents that aren't held out and score all of them; see
-    the module's text.  ``base_score`` is that of single tokens."""
-    if order < 2:
-        raise ValueError("order must be 2 or more")
-    blocks = materialise(token_blocks(docs, id_col, text_col, held_out), "token-blocks")
-    tokens = B.symbols(blocks, "word", "count")
-    known = materialise(tokens.where("count > 0").groupBy("word").agg(F.sum("count").alias("c")), "tokens")
+    the module's text.  ``order`` is 3 or more; ``base_score`` is that of single tokens."""
+    if order < 3:
+        raise ValueError("order must be 3 or more")
+    texts = stage(token_blocks(docs, id_col, text_col, held_out), "token-blocks")
+    tokens = B.symbols(texts, "word", "count")
+    known = stage(tokens.where("count > 0").groupBy("word").agg(F.sum("count").alias("c")), "tokens")
     total, kinds = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ids = B.ranked(known, [F.desc("c"), F.asc("word")], "id", "token-ids")
     found = tokens.select("block", "place", "word").join(ids, "word")
-    width, nodes = kinds + 2, kinds + 2
-    blocks = materialise(bigram_blocks(B.with_values(blocks, found, "id", "c"), total, kinds), "ngrams-2")
+    plain = texts.select("block", "doc", "held", "length", "n", "seq")
+    blocks = stage(bigram_state(B.with_values(plain, found.select("block", "place", "id", "c"), "id", "c"), total, kinds), "ngrams-2")
+    discard(texts, known, ids)
+    kind, parents, last = Bigrams(kinds), kinds + 2, False
     for m in range(2, order + 1):
-        if nodes * width >= 1 << 63:
-            raise OverflowError(f"level {m}: {nodes} contexts with up to {width} followers don't fit a 63-bit code")
-        level = build_level(blocks, width, str(m))
-        blocks = with_answers(blocks, level, str(m))
-        if m < order:
-            nodes = int(level.base[-1] + SHARD) if len(level.base) else 1
-            width = level.widest + 1
-            blocks = materialise(longer_ngrams(blocks, level.widest), f"ngrams-{m + 1}")
-    return document_scores(blocks).withColumn("train_tokens", F.lit(total).cast("long"))
+        if parents * kind.width >= 1 << 63:
+            raise OverflowError(f"level {m}: {parents} contexts with up to {kind.width} followers don't fit a 63-bit code")
+        last = m == order
+        level = build_level(blocks, sorted_codes(True) if last else trained_codes(kind), kind.width, str(m))
+        asked = blocks.select("block", "length", "held", "state")
+        if last:
+            answers = B.ask(asked, sorted_codes(False), level.bounds, level.images, found_nodes(level, kind.width, True), extra=True)
+            return document_scores(B.with_answers(blocks.drop("n", "sample", "state"), answers)).withColumn("train_tokens", F.lit(total).cast("long"))
+        answers = stage(B.ask(asked, asked_codes(kind), level.bounds, level.images, found_nodes(level, kind.width, False)), f"answers-{m}")
+        longer = stage(next_state(B.with_answers(blocks.drop("n", "sample"), answers), kind, level, m + 1 == order), f"ngrams-{m + 1}")
+        discard(blocks, answers, level.images)
+        blocks, kind, parents = longer, Longer(level.widest), level.size
 
 
 def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

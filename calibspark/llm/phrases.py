@@ -12,11 +12,11 @@ Texts are cut into pieces at ``[.,;:!?\\x0A-\\x0D]`` and pieces into words
 ``[^\\x20\\x09]+``; A-Z are lower-cased.  Everything is per language.
 
 Work: the texts are read once and kept as blocks of word numbers
-(``blocks.py``).  At each length, a task counts a block's pairs in tiles; only a
-block's distinct pairs and their counts leave it, which Spark adds up with
-partial aggregation, so a very common pair is one row per task.  The ids of the
-frequent pairs go back to the blocks by a join on the pair.  No vocabulary is
-collected or broadcast but by the planner's own size check.
+(``blocks.py``).  At each length a task counts a block's pairs in tiles; its
+distinct pairs go, packed, to the parts of the matrix that they belong to (runs of
+tiles), where the slices of all blocks are added tile by tile.  The ids of the
+frequent pairs go back to the blocks that asked.  No vocabulary is collected,
+nor broadcast but by the planner's own size check.
 
 Defined results: a null text is empty, a null language is ``und``; pieces
 without two words have no phrases; repeated rows count each time; an empty
@@ -30,11 +30,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calibspark.llm import blocks as B
-from calibspark.llm.scratch import materialise
+from calibspark.llm.scratch import discard, stage
 
 LONGEST, MIN_COUNT, TOP = 4, 30, 2000
 #: A phrase goes where a longer one that holds it has at least this share of its count, in hundredths.
@@ -46,36 +46,45 @@ TABLE = B.byte_table(b"\t", b".,;:!?\n\x0b\x0c\r")
 
 
 # ---------------------------------------------------------------- counting
-def count_pairs(left: np.ndarray, right: np.ndarray, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, counts, code number of each pair) of pairs of ids below 2**31;
-    a code is ``left << 32 | right``."""
-    number = np.zeros(len(left), np.int64)
-    codes, counts, done = [], [], 0
-    grid = (np.minimum(left >> TILE, EDGE) << 6) | np.minimum(right >> TILE, EDGE)
-    filled = np.bincount(grid, minlength=(EDGE + 1) << 6)
-    rest = np.ones(len(left), bool)
+def cell_codes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Codes of pairs of ids below 2**31: tile row, tile column, then row and column in the tile."""
     edge = (1 << TILE) - 1
+    return ((left >> TILE) << 40) | ((right >> TILE) << 18) | ((left & edge) << TILE) | (right & edge)
+
+
+def pair_of(code: Column) -> tuple[Column, Column]:
+    """The two ids of a code."""
+    tile, edge = (1 << 22) - 1, (1 << TILE) - 1
+    left = F.shiftleft(F.shiftright(code, 40), TILE) + F.shiftright(code, TILE).bitwiseAND(edge)
+    return left, F.shiftleft(F.shiftright(code, 18).bitwiseAND(tile), TILE) + code.bitwiseAND(edge)
+
+
+def count_tiles(codes: np.ndarray, counts: np.ndarray | None = None, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and their (summed) counts.  Tiles with ``dense``
+    entries or more are counted by direct address, the others as sorted coordinates."""
+    row, column = codes >> 40, (codes >> 18) & ((1 << 22) - 1)
+    grid = (np.minimum(row, EDGE) << 6) | np.minimum(column, EDGE)
+    filled = np.bincount(grid, minlength=(EDGE + 1) << 6)
+    rest, found = np.ones(len(codes), bool), []
     for tile in np.flatnonzero(filled >= dense):
         if tile >> 6 == EDGE or tile & 63 == EDGE:  # the margin stands for all tiles beyond
             continue
         at = np.flatnonzero(grid == tile)
         rest[at] = False
-        cell = ((left[at] & edge) << TILE) | (right[at] & edge)
-        table = np.bincount(cell, minlength=1 << (2 * TILE))
+        cells = 1 << (2 * TILE)  # weighted sums are doubles: exact up to 2**53
+        table = np.bincount(codes[at] & (cells - 1), None if counts is None else counts[at], cells).astype(np.int64)
         used = np.flatnonzero(table)
-        number[at] = (np.cumsum(table > 0) - 1 + done)[cell]
-        codes.append((((tile >> 6) << TILE) + (used >> TILE)) << 32 | ((tile & 63) << TILE) + (used & edge))
-        counts.append(table[used])
-        done += len(used)
-    at = np.flatnonzero(rest)
-    code, inverse, count = np.unique(left[at] << 32 | right[at], return_inverse=True, return_counts=True)
-    number[at] = inverse + done
-    return np.concatenate([*codes, code]).astype(np.int64), np.concatenate([*counts, count]), number
+        found.append(((int(tile) >> 6 << 40) | ((int(tile) & 63) << 18) | used, table[used]))
+    sparse = codes[rest]
+    found.append(B.added(sparse, np.ones(len(sparse), np.int64) if counts is None else counts[rest]))
+    codes, counts = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(codes, kind="stable")
+    return codes[order], counts[order]
 
 
 def word_blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """(block, lang, word, count: arrays of the distinct words; seq): ``seq``
-    has the word number at each place, -1 between pieces."""
+    """(block, lang, word, count: arrays of the distinct words; n: their number; seq):
+    ``seq`` has the word number at each place, -1 between pieces."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for block, rows in B.in_blocks(batches, 1):
             texts: dict[str, list] = {}
@@ -94,29 +103,87 @@ def word_blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 words += distinct.to_pylist()
                 counts.append(np.bincount(number, minlength=len(distinct)))
                 base += len(distinct)
-            yield {"block": block, "lang": langs, "word": words, "count": np.concatenate(counts), "seq": B.pack(np.concatenate(seq))}
+            yield {"block": block, "lang": langs, "word": words, "count": np.concatenate(counts), "n": base, "seq": B.pack(np.concatenate(seq))}
 
     rows = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"))
-    return B.map_blocks(rows, run, "block long, lang array<string>, word array<binary>, count array<long>, seq binary")
+    return B.map_blocks(rows, run, "block long, lang array<string>, word array<binary>, count array<long>, n long, seq binary")
+
+
+def places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the pairs of neighbouring frequent symbols, their codes)."""
+    at = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
+    return at, cell_codes(ids[at], ids[at + 1])
 
 
-def longer_blocks(blocks: DataFrame, symbols: str) -> DataFrame:
-    """(block, code, count: arrays of the distinct pairs; seq) from blocks with
-    the ids of their frequent symbols (``at``, ``id``); ``symbols`` is the
-    array column that has one entry per symbol."""
+def block_pairs(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct pairs and their counts."""
+    return count_tiles(places(B.unpack(b.column("seq")[i].as_py())[0])[1])
+
+
+def id_row(block: int, ids: np.ndarray) -> dict:
+    codes = count_tiles(places(ids)[1])[0]
+    return {"block": block, "n": len(codes), "sample": B.sample_of(codes), "seq": B.pack(ids)}
+
+
+IDS = "block long, n long, sample array<long>, seq binary"
+
+
+def word_ids(blocks: DataFrame) -> DataFrame:
+    """(block, n: distinct pairs, sample of them, seq: the id of the frequent
+    word at each place, else -1) from word blocks with ``at`` and ``id``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
-            for i in range(b.num_rows):
+            for i in range(b.num_rows):  # the entry beyond the words is read for -1
                 ids = B.scattered(b.column("n")[i].as_py() + 1, B.numbers(b, "at", i), B.numbers(b, "id", i), -1)
-                here = ids[B.unpack(b.column("seq")[i].as_py())[0]]  # -1 reads the last one, which is -1
-                at = np.flatnonzero((here[:-1] >= 0) & (here[1:] >= 0))
-                codes, counts, number = count_pairs(here[at], here[at + 1])
-                seq = np.full(len(here), -1)
-                seq[at] = number
-                yield {"block": b.column("block")[i].as_py(), "code": codes, "count": counts, "seq": B.pack(seq)}
+                yield id_row(b.column("block")[i].as_py(), ids[B.unpack(b.column("seq")[i].as_py())[0]])
+
+    return B.map_blocks(blocks.select("block", "n", "seq", "at", "id"), run, IDS)
+
+
+def longer_ids(blocks: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """The same for phrases of one word more, from blocks with their pairs' ids (``found``)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            for i in range(b.num_rows):
+                here = B.unpack(b.column("seq")[i].as_py())[0]
+                at, codes = places(here)
+                distinct, number = np.unique(codes, return_inverse=True)
+                ids = np.full(len(here), -1)
+                ids[at] = B.answered(distinct, bounds, b.column("found")[i].as_py(), (-1,))[0][number]
+                yield id_row(b.column("block")[i].as_py(), ids)
+
+    return B.map_blocks(blocks.select("block", "seq", "found"), run, IDS)
+
+
+def frequent_pairs(blocks: DataFrame, bounds: np.ndarray, min_count: int) -> DataFrame:
+    """(code, a) of the pairs with ``min_count`` or more occurrences."""
+    def finish(part, codes, counts):
+        often = counts >= min_count
+        return {"code": codes[often], "a": counts[often]}
+    parts = B.counted_parts(blocks, block_pairs, bounds, finish, "code array<long>, a array<long>", count_tiles)
+    return parts.select(F.explode(F.arrays_zip("code", "a")).alias("s")).select("s.code", "s.a")
+
+
+def id_images(ids: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """(part, image): the sorted codes of each part with their ids."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = np.maximum(np.searchsorted(bounds, b.column(0).to_numpy(), side="right") - 1, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(part), *b.columns], ["part", "code", "id"])
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("code")
+        image = B.pack(part.column("code").to_numpy(), part.column("id").to_numpy())
+        return pa.table({"part": part.column("part")[:1], "image": pa.array([image], pa.binary())})
+
+    dealt = ids.select("code", "id").mapInArrow(deal, "part long, code long, id long")
+    return dealt.groupBy("part").applyInArrow(run, "part long, image binary")
+
 
-    rows = blocks.select("block", F.size(symbols).alias("n"), "seq", "at", "id")
-    return B.map_blocks(rows, run, "block long, code array<long>, count array<long>, seq binary")
+def known_ids(image: pa.Buffer, part: int, codes: np.ndarray) -> bytes:
+    known, ids = B.unpack(image)
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return B.pack(np.where(known[at] == codes, ids[at], -1))
 
 
 # ---------------------------------------------------------------- phrases
@@ -127,26 +194,28 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
     left, right: ids of the phrase without its last and first word, firsts and
     lasts: counts of its first and last 1..m words); ``totals`` (lang, n) the
     words of each language."""
-    blocks = materialise(word_blocks(docs, text_col, lang_col), "word-blocks")
-    words = B.symbols(blocks, "lang", "word", "count")
-    counted = materialise(words.groupBy("lang", "word").agg(F.sum("count").alias("a")), "words")
-    totals = counted.groupBy("lang").agg(F.sum("a").alias("n"))
-    frequent = counted.where(F.col("a") >= min_count)
-    ids = checked(B.ranked(frequent, [F.desc("a"), F.asc("lang"), F.asc("word")], "id", "word-ids"))
+    texts = stage(word_blocks(docs, text_col, lang_col), "word-blocks")
+    words = B.symbols(texts, "lang", "word", "count")
+    counted = stage(words.groupBy("lang", "word").agg(F.sum("count").alias("a")), "words")
+    totals = stage(counted.groupBy("lang").agg(F.sum("a").alias("n")), "totals")
+    ids = checked(B.ranked(counted.where(F.col("a") >= min_count), [F.desc("a"), F.asc("lang"), F.asc("word")], "id", "word-ids"))
+    discard(counted)
     level = ids.select("id", "lang", F.col("word").cast("string").alias("phrase"), "a", F.lit(None).cast("long").alias("left"),
                        F.lit(None).cast("long").alias("right"), F.array("a").alias("firsts"), F.array("a").alias("lasts"))
-    levels = [materialise(level, "phrases-1")]
-    found = words.join(ids.select("lang", "word", "id"), ["lang", "word"])
-    key = "word"
+    levels = [stage(level, "phrases-1")]
+    found = words.select("block", "place", "lang", "word").join(ids.select("lang", "word", "id"), ["lang", "word"])
+    blocks = stage(word_ids(B.with_values(texts.select("block", "n", "seq"), found.select("block", "place", "id"), "id")), "ids-1")
+    discard(texts)
     for m in range(2, longest + 1):
-        blocks = materialise(longer_blocks(B.with_values(blocks, found.select("block", "place", "id"), "id"), key), f"pair-blocks-{m}")
-        key = "code"
-        pairs = B.symbols(blocks, "code", "count")
-        frequent = pairs.groupBy("code").agg(F.sum("count").alias("a")).where(F.col("a") >= min_count)
-        ids = checked(B.ranked(frequent, [F.desc("a"), F.asc("code")], "id", f"pair-ids-{m}"))
-        levels.append(materialise(named(ids, levels[-1]), f"phrases-{m}"))
+        bounds = B.part_bounds(blocks)
+        ids = checked(B.ranked(frequent_pairs(blocks, bounds, min_count), [F.desc("a"), F.asc("code")], "id", f"pair-ids-{m}"))
+        levels.append(stage(named(ids, levels[-1]), f"phrases-{m}"))
         if m < longest:
-            found = pairs.join(ids.select("code", "id"), "code")
+            answers = B.ask(blocks, lambda b, i: block_pairs(b, i)[:1], bounds, id_images(ids, bounds), known_ids)
+            longer = stage(longer_ids(B.with_answers(blocks.select("block", "seq"), answers), bounds), f"ids-{m}")
+            discard(blocks)
+            blocks = longer
+    discard(blocks)
     return levels, totals
 
 
@@ -158,7 +227,8 @@ def checked(ids: DataFrame) -> DataFrame:
 
 def named(ids: DataFrame, shorter: DataFrame) -> DataFrame:
     """Phrases from the pairs of overlapping shorter ones."""
-    rows = ids.select("id", "a", F.shiftright("code", 32).alias("left"), F.col("code").bitwiseAND((1 << 32) - 1).alias("right"))
+    left, right = pair_of(F.col("code"))
+    rows = ids.select("id", "a", left.alias("left"), right.alias("right"))
     first = shorter.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("first"), "firsts")
     last = shorter.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("last"), "lasts")
     rows = rows.join(first, "left").join(last, "right")

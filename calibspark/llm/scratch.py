@@ -30,3 +30,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def words(col: str = "text"):
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text column; null has none."""
     return F.filter(F.split(F.coalesce(F.col(col), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+#: Spark's own setting: the shuffle files of a write are removed when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """``materialise`` that also frees the shuffle files it took.  ``df`` itself
+    must not be run again."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        path = scratch_folder(spark, name)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stage`` wrote and nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
