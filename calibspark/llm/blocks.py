@@ -31,26 +31,41 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from calibspark.llm.scratch import discard, stage
 
 #: Bytes of text in a block.
-BLOCK = 8 << 20
+BLOCK = 5 << 20
 #: Entries of a part, entries that one copy of a part answers, codes for one of the sample.
 PART, QUESTIONS, SAMPLE = 1 << 20, 1 << 21, 1024
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as compressed bytes, integers in their smallest type."""
+    """Arrays as compressed bytes: integers in their smallest type, bytes of equal weight together."""
     small = []
     for a in arrays:
         if a.dtype.kind in "iu" and len(a):
             a = a.astype(np.promote_types(np.min_scalar_type(a.min()), np.min_scalar_type(a.max())))
-        small.append(a)
+            small.append((a.dtype.str, a.view(np.uint8).reshape(len(a), -1).T.tobytes()))
+        else:
+            small.append((a.dtype.str, a.tobytes()))
     raw = pickle.dumps(small, protocol=5)
     return struct.pack("<q", len(raw)) + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     size = struct.unpack_from("<q", data)[0]
-    return [a.astype(np.int64) if a.dtype.kind in "iu" else a
-            for a in pickle.loads(pa.decompress(memoryview(data)[8:], size, codec="zstd", asbytes=True))]
+    out = []
+    for kind, raw in pickle.loads(pa.decompress(memoryview(data)[8:], size, codec="zstd", asbytes=True)):
+        dtype = np.dtype(kind)
+        if dtype.kind in "iu":
+            a = np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, -1).T
+            out.append(np.ascontiguousarray(a).view(dtype).ravel().astype(np.int64))
+        else:
+            out.append(np.frombuffer(raw, dtype).copy())
+    return out
+
+
+def distinct(codes: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by sorting."""
+    codes = np.sort(codes)
+    return codes[np.diff(codes, prepend=codes[:1] - 1) != 0]
 
 
 def byte_table(spaces: bytes, ends: bytes = b"") -> bytes:
@@ -75,7 +90,7 @@ def word_array(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     start, end = edge[::2], edge[1::2]
     offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(flat[inside])])
-    return words, start, np.cumsum(line)[start] if len(start) else np.zeros(0, np.int64)
+    return words, start, np.searchsorted(np.flatnonzero(line), start)
 
 
 def numbered(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
@@ -105,13 +120,19 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text_at: int, size: int = 0) ->
 
 
 def map_blocks(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose function yields rows as dicts of values and arrays."""
+    """``mapInArrow`` whose function yields rows as dicts of values and (numpy or Arrow) arrays."""
     fields = df.sparkSession.createDataFrame([], schema).schema
     arrow = to_arrow_schema(fields)
 
+    def column(value, kind: pa.DataType) -> pa.Array:
+        if isinstance(value, (np.ndarray, pa.Array)):
+            value = pa.array(value, kind.value_type) if isinstance(value, np.ndarray) else value.cast(kind.value_type)
+            return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value).cast(kind)
+        return pa.array([value], kind)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in fn(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([column(row[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, fields)
 
@@ -190,7 +211,7 @@ def slices(bounds: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, int, in
 
 def added(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct codes with their summed counts."""
-    order = np.argsort(codes, kind="stable")
+    order = np.argsort(codes)
     codes, counts = codes[order], counts[order]
     new = np.flatnonzero(np.diff(codes, prepend=-1))
     return codes[new], np.add.reduceat(counts, new) if len(new) else counts

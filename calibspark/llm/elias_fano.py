@@ -33,7 +33,8 @@ class EliasFano:
 
     def __init__(self, data: memoryview | bytes):
         self.n, self.shift, low, high = struct.unpack_from("<4q", data)
-        self.low = np.frombuffer(data, np.uint8, low, 32)
+        # eight bytes from any byte on
+        self.windows = np.ndarray((max(low - 7, 0),), np.uint64, data, 32, (1,)) if low > 7 else np.zeros(0, np.uint64)
         self.words = np.frombuffer(data, np.uint64, high, 32 + low)
         self.size = 32 + low + 8 * high
         counts = np.bitwise_count(self.words).astype(np.int64)
@@ -57,7 +58,7 @@ class EliasFano:
         if not self.shift:
             return np.zeros(len(i), np.int64)
         bit = i * self.shift
-        window = self.low[(bit >> 3)[:, None] + np.arange(8)].view(np.uint64).ravel()
+        window = self.windows[bit >> 3]
         return ((window >> (bit & 7).astype(np.uint64)) & np.uint64((1 << self.shift) - 1)).astype(np.int64)
 
     def _select(self, k: np.ndarray, counts: np.ndarray, words: np.ndarray) -> np.ndarray:

@@ -221,14 +221,15 @@ def found_nodes(level: Level, width: int, last: bool) -> Callable:
     def nodes(image: pa.Buffer, part: int, codes: np.ndarray) -> bytes:
         first, node, place, p, weight = find(image, codes)
         there = node >= 0
-        place = np.where(there & (codes // width == first), place + earlier.get(part, 0), place)
-        return B.pack(np.where(there, node + base.get(part, 0), -1), place, p, weight)
+        place = np.where(there & (codes // width == first), place + earlier.get(part, 0), place)[there]
+        node = node[there] + base.get(part, 0)
+        return B.pack(np.packbits(there), np.diff(node, prepend=0), np.diff(node - place, prepend=0), p[there], weight)
 
     def scores(image: pa.Buffer, part: int, codes: np.ndarray, lower: np.ndarray, doc: np.ndarray) -> bytes:
         new = np.flatnonzero(np.diff(codes, prepend=-1))
         _, _, _, p, weight = find(image, codes[new])
-        runs = np.diff(np.append(new, len(codes)))
-        logs = np.log10(np.repeat(np.where(p >= 0, probability(p), 0.0), runs) + np.repeat(weights(weight), runs) * probability(lower))
+        number = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(codes))))
+        logs = np.log10(interpolated(p, weight, number, probability(lower)))
         docs = np.flatnonzero(np.bincount(doc))
         return B.pack(docs, np.bincount(doc, logs)[docs])
 
@@ -239,8 +240,22 @@ def weights(q: np.ndarray) -> np.ndarray:
     return np.where(q >= 0, probability(q), 1.0)
 
 
-def interpolated(p: np.ndarray, weight: np.ndarray, lower) -> np.ndarray:
-    return np.where(p >= 0, probability(p), 0.0) + weights(weight) * lower
+def interpolated(p: np.ndarray, weight: np.ndarray, number: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities of tokens from their n-grams' quantised ones (-1: none) and the lower ones."""
+    return np.where(p >= 0, probability(p), 0.0)[number] + weights(weight)[number] * lower
+
+
+def answered(codes: np.ndarray, bounds: np.ndarray, found: list) -> list[np.ndarray]:
+    """(node, number relative to the context, quantised probability: -1 for
+    none; quantised weight) beside a block's sorted codes.  Every part answers."""
+    by_part = {x["part"]: x["found"] for x in found or []}
+    out = [np.full(len(codes), -1) for _ in range(4)]
+    for part, lo, hi in B.slices(bounds, codes):
+        there, node, first, p, weight = B.unpack(by_part[part])
+        at = lo + np.flatnonzero(np.unpackbits(there.astype(np.uint8), count=hi - lo))
+        node = np.cumsum(node)
+        out[0][at], out[1][at], out[2][at], out[3][lo:hi] = node, node - np.cumsum(first), p, weight
+    return out
 
 
 # ---------------------------------------------------------------- texts
@@ -257,7 +272,7 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column)
             seq = np.insert(number, ends, len(distinct))
             length = np.diff(ends, prepend=0) + 1
             yield {"block": block, "doc": [x for b in rows for x in b.column(0).to_pylist()], "held": held, "length": length,
-                   "word": [*distinct.to_pylist(), END], "n": len(distinct) + 1,
+                   "word": pa.concat_arrays([distinct.cast(pa.binary()), pa.array([END], pa.binary())]), "n": len(distinct) + 1,
                    "count": np.bincount(seq[~np.repeat(held, length)], minlength=len(distinct) + 1), "seq": B.pack(seq)}
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), held_out.alias("held"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"))
@@ -282,19 +297,19 @@ def doc_columns(b: pa.RecordBatch, i: int) -> dict:
 
 class Bigrams:
     """The state of a block before level 2: token numbers, their ids and
-    probabilities.  Ids ``kinds`` and ``kinds + 1`` are a text's beginning and an unknown token."""
+    counts.  Ids ``kinds`` and ``kinds + 1`` are a text's beginning and an unknown token."""
 
-    def __init__(self, kinds: int):
-        self.kinds, self.width = kinds, kinds + 2
+    def __init__(self, kinds: int, total: int):
+        self.kinds, self.width, self.norm = kinds, kinds + 2, total + kinds + 1
 
     def tokens(self, b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(code of each token's pair, its lower probability, whether it counts for training)."""
-        seq, ids, p = B.unpack(b.column("state")[i].as_py())
+        seq, ids, c = B.unpack(b.column("state")[i].as_py())
         length, held = B.numbers(b, "length", i), B.numbers(b, "held", i, bool)
         here = ids[seq]
         before = np.roll(here, 1)
         before[starts(length)] = self.kinds
-        return before * self.width + here, p[seq], ~np.repeat(held, length)
+        return before * self.width + here, ((c + 1) / self.norm)[seq], ~np.repeat(held, length)
 
 
 class Longer:
@@ -323,7 +338,7 @@ def trained_codes(kind) -> B.Codes:
 def asked_codes(kind) -> B.Codes:
     def codes_of(b, i):
         codes = kind.tokens(b, i)[0]
-        return (np.unique(codes[codes >= 0]),)
+        return (B.distinct(codes[codes >= 0]),)
     return codes_of
 
 
@@ -337,15 +352,16 @@ def bigram_state(blocks: DataFrame, n_tokens: int, n_kinds: int) -> DataFrame:
                 n, at = b.column("n")[i].as_py(), B.numbers(b, "at", i)
                 seq = B.unpack(b.column("seq")[i].as_py())[0]
                 ids = B.scattered(n, at, B.numbers(b, "id", i), unknown)
-                p = (B.scattered(n, at, B.numbers(b, "c", i), 0) + 1) / norm
+                c = B.scattered(n, at, B.numbers(b, "c", i), 0)
+                p = (c + 1) / norm
                 length = B.numbers(b, "length", i)
                 here = ids[seq]
                 before = np.roll(here, 1)
                 before[starts(length)] = n_kinds
-                codes = np.unique(before * (n_kinds + 2) + here)
+                codes = B.distinct(before * (n_kinds + 2) + here)
                 yield {**{c: b.column(c)[i].as_py() for c in ("block", "doc", "held", "length")}, "known": per_document((here != unknown) * 1, length),
                        "base": per_document(np.log10(p)[seq], length), "part_score": [0.0] * len(length), "n": len(codes),
-                       "sample": B.sample_of(codes), "state": B.pack(seq, ids, p)}
+                       "sample": B.sample_of(codes), "state": B.pack(seq, ids, c)}
 
     return B.map_blocks(blocks.select("block", "doc", "held", "length", "n", "seq", "at", "id", "c"), run, NGRAMS)
 
@@ -367,9 +383,9 @@ def next_state(blocks: DataFrame, kind, level: Level, last: bool) -> DataFrame:
                 has = np.flatnonzero(codes >= 0)
                 distinct, number = np.unique(codes[has], return_inverse=True)
                 node, place = np.full(len(codes), -1), np.full(len(codes), -1)
-                got = B.answered(distinct, bounds, b.column("found")[i].as_py(), (-1, -1, -1, -1))
+                got = answered(distinct, bounds, b.column("found")[i].as_py())
                 node[has], place[has] = got[0][number], got[1][number]
-                lower[has] = interpolated(got[2][number], got[3][number], lower[has])
+                lower[has] = interpolated(got[2], got[3], number, lower[has])
                 length = B.numbers(b, "length", i)
                 parent = np.where(starts(length), -1, np.roll(node, 1))
                 codes = np.where(parent >= 0, parent * width + np.where(place >= 0, place, widest), -1)
@@ -377,24 +393,27 @@ def next_state(blocks: DataFrame, kind, level: Level, last: bool) -> DataFrame:
                 if last:
                     row["part_score"] = per_document(np.where(codes < 0, np.log10(lower), 0.0), length)
                     at = np.flatnonzero(codes >= 0)
-                    at = at[np.argsort(codes[at], kind="stable")]
+                    at = at[np.argsort(codes[at])]
                     doc = np.repeat(np.arange(len(length)), length)[at]
-                    train = training(codes, width, b, i)[at]
-                    state = B.pack(np.diff(codes[at], prepend=0), quantise(lower[at]), doc, train)
+                    state = B.pack(np.diff(codes[at], prepend=0), quantise(lower[at]), doc)
                     sample = codes[at]
                 else:
-                    state, sample = B.pack(codes, lower), np.unique(codes[codes >= 0])
+                    state, sample = B.pack(codes, lower), B.distinct(codes[codes >= 0])
                 yield {**row, "n": len(sample), "sample": B.sample_of(sample), "state": state}
 
     return B.map_blocks(blocks, run, NGRAMS)
 
 
-def sorted_codes(trained: bool) -> B.Codes:
+def sorted_codes(width: int, trained: bool) -> B.Codes:
     """Codes of the last level's state: for counting those of training texts, else all with what goes with them."""
     def codes_of(b, i):
-        deltas, lower, doc, train = B.unpack(b.column("state")[i].as_py())
+        deltas, lower, doc = B.unpack(b.column("state")[i].as_py())
         codes = np.cumsum(deltas)
-        return np.unique(codes[train], return_counts=True) if trained else (codes, lower, doc)
+        if not trained:
+            return codes, lower, doc
+        codes = codes[~B.numbers(b, "held", i, bool)[doc] & (codes % width != width - 1)]
+        new = np.flatnonzero(np.diff(codes, prepend=-1))
+        return codes[new], np.diff(np.append(new, len(codes)))
     return codes_of
 
 
@@ -430,19 +449,19 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     plain = texts.select("block", "doc", "held", "length", "n", "seq")
     blocks = stage(bigram_state(B.with_values(plain, found.select("block", "place", "id", "c"), "id", "c"), total, kinds), "ngrams-2")
     discard(texts, known, ids)
-    kind, parents, last = Bigrams(kinds), kinds + 2, False
+    kind, parents, last = Bigrams(kinds, total), kinds + 2, False
     for m in range(2, order + 1):
         if parents * kind.width >= 1 << 63:
             raise OverflowError(f"level {m}: {parents} contexts with up to {kind.width} followers don't fit a 63-bit code")
         last = m == order
-        level = build_level(blocks, sorted_codes(True) if last else trained_codes(kind), kind.width, str(m))
+        level = build_level(blocks, sorted_codes(kind.width, True) if last else trained_codes(kind), kind.width, str(m))
         asked = blocks.select("block", "length", "held", "state")
         if last:
-            answers = B.ask(asked, sorted_codes(False), level.bounds, level.images, found_nodes(level, kind.width, True), extra=True)
+            answers = B.ask(asked, sorted_codes(kind.width, False), level.bounds, level.images, found_nodes(level, kind.width, True), extra=True)
             return document_scores(B.with_answers(blocks.drop("n", "sample", "state"), answers)).withColumn("train_tokens", F.lit(total).cast("long"))
-        answers = stage(B.ask(asked, asked_codes(kind), level.bounds, level.images, found_nodes(level, kind.width, False)), f"answers-{m}")
+        answers = B.ask(asked, asked_codes(kind), level.bounds, level.images, found_nodes(level, kind.width, False))
         longer = stage(next_state(B.with_answers(blocks.drop("n", "sample"), answers), kind, level, m + 1 == order), f"ngrams-{m + 1}")
-        discard(blocks, answers, level.images)
+        discard(blocks, level.images)
         blocks, kind, parents = longer, Longer(level.widest), level.size
 
 

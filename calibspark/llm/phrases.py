@@ -78,7 +78,7 @@ def count_tiles(codes: np.ndarray, counts: np.ndarray | None = None, dense: int
     sparse = codes[rest]
     found.append(B.added(sparse, np.ones(len(sparse), np.int64) if counts is None else counts[rest]))
     codes, counts = (np.concatenate(x) for x in zip(*found))
-    order = np.argsort(codes, kind="stable")
+    order = np.argsort(codes)
     return codes[order], counts[order]
 
 
@@ -100,10 +100,10 @@ def word_blocks(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 out[place] = number + base
                 seq.append(out)
                 langs += [lang] * len(distinct)
-                words += distinct.to_pylist()
+                words.append(distinct.cast(pa.binary()))
                 counts.append(np.bincount(number, minlength=len(distinct)))
                 base += len(distinct)
-            yield {"block": block, "lang": langs, "word": words, "count": np.concatenate(counts), "n": base, "seq": B.pack(np.concatenate(seq))}
+            yield {"block": block, "lang": langs, "word": pa.concat_arrays(words), "count": np.concatenate(counts), "n": base, "seq": B.pack(np.concatenate(seq))}
 
     rows = docs.select(F.coalesce(lang_col, F.lit("und")).alias("lang"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"))
     return B.map_blocks(rows, run, "block long, lang array<string>, word array<binary>, count array<long>, n long, seq binary")
