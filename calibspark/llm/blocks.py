@@ -254,10 +254,13 @@ def counted_parts(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, finish
     return map_blocks(dealt.repartition("part").sortWithinPartitions("part"), merge, schema)
 
 
-def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFrame, answer: Callable, extra: bool = False) -> DataFrame:
-    """(block, part, found): ``answer(image, part, codes, *arrays)`` for each
-    part's slice of a block's codes and the arrays beside them.  ``images``
-    (part, image) has one row per part that knows something; without one there is no answer."""
+def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFrame, find: Callable, reply: Callable = pack) -> DataFrame:
+    """(block, part, found) for each part's slice of a block's sorted codes.
+    ``find(image, part, codes)`` gives arrays beside sorted distinct codes, those of
+    all blocks that ask a copy of a part together; ``reply(*arrays, *others)``
+    makes a block's answer from its share of them and the arrays that ``codes_of``
+    gives beside its codes.  ``images`` (part, image) has one row per part that knows
+    something; without one there is no answer."""
     def volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         total = np.zeros(len(bounds), np.int64)
         for b in batches:
@@ -277,7 +280,7 @@ def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFram
             for i in range(b.num_rows):
                 block, (codes, *arrays) = b.column("block")[i].as_py(), codes_of(b, i)
                 for s, lo, hi in slices(bounds, codes):
-                    packed = pack(np.diff(codes[lo:hi], prepend=0), *(a[lo:hi] for a in arrays if extra))
+                    packed = pack(np.diff(codes[lo:hi], prepend=0), *(a[lo:hi] for a in arrays))
                     yield {"part": s, "copy": zlib.crc32(b"%d" % block) % int(copies[s]), "block": block, "asked": packed}
 
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -287,14 +290,17 @@ def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFram
                     yield {"part": s, "copy": c, "image": image.as_py()}
 
     def look_up(asked: pa.Table, images: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if images.num_rows:
-            image = images.column("image")[0].as_buffer()
-            for part, block, packed in zip(asked.column("part").to_pylist(), asked.column("block").to_pylist(), asked.column("asked")):
-                deltas, *arrays = unpack(packed.as_py())
-                for column, value in zip(out, (block, part, answer(image, part, np.cumsum(deltas), *arrays))):
-                    column.append(value)
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "part", "found"), out, (pa.int64(), pa.int64(), pa.binary()))})
+        found = []
+        if images.num_rows and asked.num_rows:
+            rows = [unpack(x.as_py()) for x in asked.column("asked")]
+            codes = [np.cumsum(r.pop(0)) for r in rows]
+            every, number = np.unique(np.concatenate(codes), return_inverse=True)
+            got = find(images.column("image")[0].as_buffer(), images.column("part")[0].as_py(), every)
+            at = np.cumsum([0, *map(len, codes)])
+            found = [reply(*(g[number[lo:hi]] for g in got), *r) for lo, hi, r in zip(at, at[1:], rows)]
+        else:
+            asked = asked.slice(0, 0)
+        return pa.table({"block": asked.column("block"), "part": asked.column("part"), "found": pa.array(found, pa.binary())})
 
     questions = map_blocks(blocks, deal, "part long, copy long, block long, asked binary")
     known = map_blocks(images.select("part", "image"), copy, "part long, copy long, image binary")

@@ -122,12 +122,13 @@ class Shard:
 @dataclass
 class Level:
     """One level: ``images`` (part, image) of every part, empty for one
-    without nodes; the parts' lower ``bounds``; by part the number of its first
+    without nodes, made from the written ``nodes``; the parts' lower ``bounds``; by part the number of its first
     node and the children that its first parent has in earlier parts; ``edges``:
     the first and last parents of parts, sorted, and their quantised weights, since a
     part may be asked for a parent whose children are all in the parts beside it;
     ``size``: nodes, ``widest``: most children of a parent."""
 
+    nodes: DataFrame
     images: DataFrame
     bounds: np.ndarray
     base: dict
@@ -190,11 +191,10 @@ def build_level(blocks: DataFrame, codes_of: B.Codes, width: int, name: str) ->
 
     empty = [(p, b"") for p in range(len(bounds)) if p not in base]
     images = B.map_blocks(nodes.select("part", "nodes"), build, "part long, image binary")
-    images = stage(images.union(nodes.sparkSession.createDataFrame(empty, images.schema)), f"images-{name}")
-    discard(nodes)
+    images = images.union(nodes.sparkSession.createDataFrame(empty, images.schema))
     edge = sorted(whole)
     edges = np.array(edge, np.int64), quantise(np.array([less * whole[p][1] / whole[p][0] for p in edge], float)).astype(np.int64)
-    return Level(images, bounds, base, earlier, edges, size, widest)
+    return Level(nodes, images, bounds, base, earlier, edges, size, widest)
 
 
 #: Sequence states between levels: the columns that every block of n-grams has.
@@ -202,47 +202,48 @@ DOCS = "block long, doc array<long>, held array<boolean>, length array<long>, kn
 NGRAMS = DOCS + ", n long, sample array<long>, state binary"
 
 
-def found_nodes(level: Level, width: int, last: bool) -> Callable:
-    """Answer function of a level, see ``blocks.ask``."""
+def finder(level: Level, width: int) -> Callable:
+    """What a part finds for sorted distinct codes: see ``Shard.find``, with
+    node and relative numbers of the whole level; every code's parent weight."""
     base, earlier, (edge, edge_weight) = level.base, level.earlier, level.edges
 
-    def find(image: pa.Buffer, codes: np.ndarray) -> tuple:
+    def find(image: pa.Buffer, part: int, codes: np.ndarray) -> tuple:
         if not image.size:
-            first, got = -1, tuple(np.full(len(codes), -1) for _ in range(4))
+            node, place, p, weight = (np.full(len(codes), -1) for _ in range(4))
         else:
             shard = Shard(image)
-            first, got = shard.first, shard.find(codes)
-        weight, parent = got[3], codes // width
+            node, place, p, weight = shard.find(codes)
+            there = node >= 0
+            place = np.where(there & (codes // width == shard.first), place + earlier[part], place)
+            node = np.where(there, node + base[part], -1)
         if len(edge):
-            at = np.minimum(np.searchsorted(edge, parent), len(edge) - 1)
-            weight = np.where((weight < 0) & (edge[at] == parent), edge_weight[at], weight)
-        return first, *got[:3], weight
-
-    def nodes(image: pa.Buffer, part: int, codes: np.ndarray) -> bytes:
-        first, node, place, p, weight = find(image, codes)
-        there = node >= 0
-        place = np.where(there & (codes // width == first), place + earlier.get(part, 0), place)[there]
-        node = node[there] + base.get(part, 0)
-        return B.pack(np.packbits(there), np.diff(node, prepend=0), np.diff(node - place, prepend=0), p[there], weight)
-
-    def scores(image: pa.Buffer, part: int, codes: np.ndarray, lower: np.ndarray, doc: np.ndarray) -> bytes:
-        new = np.flatnonzero(np.diff(codes, prepend=-1))
-        _, _, _, p, weight = find(image, codes[new])
-        number = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(codes))))
-        logs = np.log10(interpolated(p, weight, number, probability(lower)))
-        docs = np.flatnonzero(np.bincount(doc))
-        return B.pack(docs, np.bincount(doc, logs)[docs])
+            at = np.minimum(np.searchsorted(edge, codes // width), len(edge) - 1)
+            weight = np.where((weight < 0) & (edge[at] == codes // width), edge_weight[at], weight)
+        return node, place, p, weight
+
+    return find
+
+
+def reply_nodes(node: np.ndarray, place: np.ndarray, p: np.ndarray, weight: np.ndarray) -> bytes:
+    """A block's answer: node numbers and those of their parents' first children rise."""
+    there = node >= 0
+    return B.pack(np.packbits(there), np.diff(node[there], prepend=0), np.diff((node - place)[there], prepend=0), p[there], weight)
+
 
-    return scores if last else nodes
+def reply_scores(node: np.ndarray, place: np.ndarray, p: np.ndarray, weight: np.ndarray, lower: np.ndarray, doc: np.ndarray) -> bytes:
+    """Sums of the tokens' logarithms by document."""
+    logs = np.log10(interpolated(p, weight, probability(lower)))
+    docs = np.flatnonzero(np.bincount(doc))
+    return B.pack(docs, np.bincount(doc, logs)[docs])
 
 
 def weights(q: np.ndarray) -> np.ndarray:
     return np.where(q >= 0, probability(q), 1.0)
 
 
-def interpolated(p: np.ndarray, weight: np.ndarray, number: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Probabilities of tokens from their n-grams' quantised ones (-1: none) and the lower ones."""
-    return np.where(p >= 0, probability(p), 0.0)[number] + weights(weight)[number] * lower
+def interpolated(p: np.ndarray, weight: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Probabilities from quantised ones (-1: none) and the lower ones."""
+    return np.where(p >= 0, probability(p), 0.0) + weights(weight) * lower
 
 
 def answered(codes: np.ndarray, bounds: np.ndarray, found: list) -> list[np.ndarray]:
@@ -385,7 +386,7 @@ def next_state(blocks: DataFrame, kind, level: Level, last: bool) -> DataFrame:
                 node, place = np.full(len(codes), -1), np.full(len(codes), -1)
                 got = answered(distinct, bounds, b.column("found")[i].as_py())
                 node[has], place[has] = got[0][number], got[1][number]
-                lower[has] = interpolated(got[2], got[3], number, lower[has])
+                lower[has] = interpolated(got[2][number], got[3][number], lower[has])
                 length = B.numbers(b, "length", i)
                 parent = np.where(starts(length), -1, np.roll(node, 1))
                 codes = np.where(parent >= 0, parent * width + np.where(place >= 0, place, widest), -1)
@@ -457,11 +458,11 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         level = build_level(blocks, sorted_codes(kind.width, True) if last else trained_codes(kind), kind.width, str(m))
         asked = blocks.select("block", "length", "held", "state")
         if last:
-            answers = B.ask(asked, sorted_codes(kind.width, False), level.bounds, level.images, found_nodes(level, kind.width, True), extra=True)
+            answers = B.ask(asked, sorted_codes(kind.width, False), level.bounds, level.images, finder(level, kind.width), reply_scores)
             return document_scores(B.with_answers(blocks.drop("n", "sample", "state"), answers)).withColumn("train_tokens", F.lit(total).cast("long"))
-        answers = B.ask(asked, asked_codes(kind), level.bounds, level.images, found_nodes(level, kind.width, False))
+        answers = B.ask(asked, asked_codes(kind), level.bounds, level.images, finder(level, kind.width), reply_nodes)
         longer = stage(next_state(B.with_answers(blocks.drop("n", "sample"), answers), kind, level, m + 1 == order), f"ngrams-{m + 1}")
-        discard(blocks, level.images)
+        discard(blocks, level.nodes)
         blocks, kind, parents = longer, Longer(level.widest), level.size
 
 

@@ -180,10 +180,10 @@ def id_images(ids: DataFrame, bounds: np.ndarray) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(run, "part long, image binary")
 
 
-def known_ids(image: pa.Buffer, part: int, codes: np.ndarray) -> bytes:
+def known_ids(image: pa.Buffer, part: int, codes: np.ndarray) -> tuple[np.ndarray]:
     known, ids = B.unpack(image)
     at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-    return B.pack(np.where(known[at] == codes, ids[at], -1))
+    return (np.where(known[at] == codes, ids[at], -1),)
 
 
 # ---------------------------------------------------------------- phrases
