@@ -17,6 +17,7 @@ from calibspark.functions import meta as MT
 from calibspark.functions import text as TX
 from calibspark.functions import tokens as TK
 from calibspark.operators import completions as CM
+from calibspark.operators import ordinals as OR
 from calibspark.operators import validation as VL
 from calibspark.operators import passk as PK
 from calibspark.operators import sampling as S
@@ -166,6 +167,17 @@ def q_random_windows_c4(spark, sf_dir):
     return S.random_windows(_docs_corpus(spark, sf_dir), 40, SEQLEN, seed=1, strict=False)
 
 
+def q_random_windows_sparse(spark, sf_dir):
+    """C1 over positions with gaps, many index blocks of which few are read."""
+    pos = F.col("pos") * 5003 + F.col("pos") % 7
+    return S.random_windows(_docs_corpus(spark, sf_dir).withColumn("pos", pos), 40, SEQLEN, seed=2, strict=True)
+
+
+def q_ordinals_sparse(spark, sf_dir):
+    """W2 over positions that are neither dense nor stored in order."""
+    return OR.pos_ordinals(table(spark, sf_dir, "documents", "doc_id").select((F.col("doc_id") * 37 % 1000003).alias("pos")))
+
+
 def q_validation_windows(spark, sf_dir):
     return S.validation_windows(_docs_corpus(spark, sf_dir), SEQLEN, n=256, seed=0)
 
@@ -349,6 +361,26 @@ def q_corpus_scan(spark, sf_dir):
                           split="train", schema="doc_id long, text string, lang string, source string, split string")
 
 
+def q_corpus_arrival(spark, sf_dir):
+    """Gzipped JSON-lines shards without an order column; ordinals over
+    the whole corpus, then one subset of one split."""
+    path = _fresh(spark, "shards")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    docs = docs.withColumn("split", F.when(F.col("doc_id") % 4 == 0, "validation").otherwise("train"))
+    (docs.repartitionByRange(12, "doc_id").sortWithinPartitions("doc_id").withColumn("doc_id", F.col("doc_id").cast("string"))
+     .write.option("compression", "gzip").json(path))
+    return CP.read_corpus(spark, path, pos_col=None, meta_col="doc_id", fmt="json", subset="en", subset_col="lang",
+                          split="train", schema="doc_id string, text string, lang string, source string, split string")
+
+
+def q_corpus_arrival_parquet(spark, sf_dir):
+    """Ordinals of Parquet files without an order column."""
+    path = _fresh(spark, "parts")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    docs.repartitionByRange(9, "doc_id").sortWithinPartitions("doc_id").write.parquet(path)
+    return CP.read_corpus(spark, path, pos_col=None, meta_col="doc_id")
+
+
 def q_keep_until(spark, sf_dir):
     """lines up to the second, which is cut at its fifth character."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
@@ -391,9 +423,9 @@ def q_report_csv(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- streaming
-def _stream_src(spark, df, name, n_files=3):
+def _stream_src(spark, df, name, n_files=3, shuffle_seed=None):
     src = _fresh(spark, name)
-    ST_.write_ordered_files(df, src, "pos", n_files)
+    ST_.write_ordered_files(df, src, "pos", n_files, shuffle_seed=shuffle_seed)
     return src
 
 
@@ -404,17 +436,22 @@ def q_stream_filter(spark, sf_dir):
     return out.select("pos", "repo", "language", "n_tokens")
 
 
-def q_stream_quota(spark, sf_dir):
-    code = FX.code_corpus(spark, sf_dir)
-    src = _stream_src(spark, code, "code-src")
-    return ST_.stream_quota(spark, src, code.schema, SEQLEN, 20, ["java", "python"],
-                            _fresh(spark, "t2-state"), _fresh(spark, "t2-ck"), files_per_trigger=4)
+def _stream_quota(shuffle_seed, lateness):
+    def run(spark, sf_dir):
+        code = FX.code_corpus(spark, sf_dir)
+        src = _stream_src(spark, code, "code-src", 5, shuffle_seed)
+        return ST_.stream_quota(spark, src, code.schema, SEQLEN, 20, ["java", "python"], _fresh(spark, "t2-state"),
+                                _fresh(spark, "t2-ck"), files_per_trigger=4, lateness=lateness)
+    return run
 
 
-def q_stream_head(spark, sf_dir):
-    qa = FX.qa_corpus(spark, sf_dir)
-    src = _stream_src(spark, qa, "qa-src")
-    return ST_.stream_head(spark, src, qa.schema, 20, SEQLEN, _fresh(spark, "t3-state"), _fresh(spark, "t3-ck"), files_per_trigger=4)
+def _stream_head(shuffle_seed, lateness):
+    def run(spark, sf_dir):
+        qa = FX.qa_corpus(spark, sf_dir)
+        src = _stream_src(spark, qa, "qa-src", 5, shuffle_seed)
+        return ST_.stream_head(spark, src, qa.schema, 20, SEQLEN, _fresh(spark, "t3-state"), _fresh(spark, "t3-ck"),
+                               files_per_trigger=4, lateness=lateness)
+    return run
 
 
 def q_stream_pass_rate(spark, sf_dir):
@@ -456,6 +493,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "head_tokens": q_head_tokens,
         "random_windows": q_random_windows,
         "random_windows_c4": q_random_windows_c4,
+        "random_windows_sparse": q_random_windows_sparse,
+        "ordinals_sparse": q_ordinals_sparse,
         "validation_windows": q_validation_windows,
         "quota_sample": q_quota_sample,
         "qa_head": q_qa_head,
@@ -486,14 +525,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "clean_completions_java": q_clean_completions("java"),
         "report_from_csv": q_report_from_csv,
         "corpus_scan": q_corpus_scan,
+        "corpus_arrival": q_corpus_arrival,
+        "corpus_arrival_parquet": q_corpus_arrival_parquet,
         "keep_until": q_keep_until,
         "results_csv": q_results_csv,
         "calibration_csv": q_calibration_csv,
         "split_files": q_split_files,
         "report_csv": q_report_csv,
         "stream_filter": q_stream_filter,
-        "stream_quota": q_stream_quota,
-        "stream_head": q_stream_head,
+        # late files, then files in order with an early stop
+        "stream_quota": _stream_quota(3, None),
+        "stream_quota_stop": _stream_quota(None, 0),
+        "stream_head": _stream_head(3, None),
+        "stream_head_stop": _stream_head(None, 0),
         "stream_pass_rate": q_stream_pass_rate,
         **(LLM.queries() | {"pipeline": PIPE.run} if LLM else {}),
     }

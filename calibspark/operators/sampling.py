@@ -7,18 +7,19 @@ a broadcast join -- late materialisation instead of shuffling text.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from calibspark.functions.hashing import h48, hkey
 from calibspark.functions.meta import (contains_any, extension, has_key, key_equals,
                                        key_int_at_least, language_from_path, parse_meta)
 from calibspark.functions.tokens import WORDS, Tokenizer, head_tokens, window_tokens
 from calibspark.operators.bounded import broadcast_if_bounded, rows_with_keys
-from calibspark.operators.ordinals import pos_ordinals
 from calibspark.session import written
 
 
@@ -56,18 +57,68 @@ def _fetch(corpus: DataFrame, keys: DataFrame, cols: list, bound_rows: int) -> D
     return rows_with_keys(corpus, keys.select("pos"), "pos", bound_rows).select("pos", *cols)
 
 
+#: Position blocks of an eligibility index at most, and documents for each on average at least.
+INDEX_BLOCKS, INDEX_ROWS = 4096, 64
+
+
+@dataclass
+class EligibleIndex:
+    """The eligible documents of a corpus by position: ``table`` (pos, n_tokens,
+    block), stored by block, and the number of them in each block."""
+
+    table: DataFrame
+    blocks: list[int]
+    before: list[int]
+    total: int
+
+    def at_ranks(self, ranks: DataFrame) -> DataFrame:
+        """(sample_id, pos, n_tokens) of the documents with the given ranks
+        (sample_id, rank: a bounded selection).  Only the blocks that hold one are read."""
+        spark = self.table.sparkSession
+        if not self.total:
+            return spark.createDataFrame([], "sample_id long, pos long, n_tokens int")
+        asked = []
+        for r in ranks.collect():
+            i = bisect_right(self.before, r["rank"]) - 1
+            asked.append((r["sample_id"], self.blocks[i], r["rank"] - self.before[i]))
+        wanted = spark.createDataFrame(asked, "sample_id long, block long, place long")
+        inside = self.table.where(F.col("block").isin(sorted({x[1] for x in asked})))
+        place = F.row_number().over(Window.partitionBy("block").orderBy("pos")) - 1
+        rows = inside.withColumn("place", place.cast("long")).join(_maybe_broadcast(wanted, len(asked)), ["block", "place"])
+        return rows.select("sample_id", "pos", "n_tokens")
+
+
+def eligible_index(corpus: DataFrame, seqlen: int, strict: bool = True, tok: Tokenizer = WORDS) -> EligibleIndex:
+    """W2 for sampling: one scan of the corpus counts tokens; the positions and
+    counts of the documents that pass the length gate are stored by position
+    block.  Equal positions meet in a block and are an error."""
+    lo, hi, n = corpus.agg(F.min("pos"), F.max("pos"), F.count(F.lit(1))).first()
+    if lo is None:
+        return EligibleIndex(corpus.select("pos", F.lit(0).alias("n_tokens"), F.lit(0).cast("long").alias("block")).limit(0), [], [], 0)
+    width = -(-(hi - lo + 1) // min(INDEX_BLOCKS, max(1, n // INDEX_ROWS)))
+    counted = length_gate(corpus.select("pos", tok.count(F.col("text")).alias("n_tokens")), seqlen, strict)
+    block = F.floor((F.col("pos") - F.lit(lo)) / width).cast("long")
+    twice = F.lag("pos").over(Window.partitionBy("block").orderBy("pos")) == F.col("pos")
+    pos = F.when(F.coalesce(twice, F.lit(False)), F.raise_error(F.lit("duplicate position")).cast("long")).otherwise(F.col("pos"))
+    table = written(counted.withColumn("block", block).withColumn("pos", pos), "eligible", partition_by="block")
+    sizes = table.groupBy("block").agg(F.count(F.lit(1)).alias("n")).orderBy("block").collect()  # at most INDEX_BLOCKS rows
+    before, total = [], 0
+    for r in sizes:
+        before.append(total)
+        total += r.n
+    return EligibleIndex(table, [r.block for r in sizes], before, total)
+
+
 def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
-                   strict: bool = True, first_tries: int = 4, tok: Tokenizer = WORDS) -> DataFrame:
+                   strict: bool = True, tok: Tokenizer = WORDS, index: EligibleIndex | None = None) -> DataFrame:
     """C1 (strict) / C7 (inclusive): ``nsamples`` draws with replacement,
     uniform over the eligible documents, each cut at a uniform start in
     ``[0, n - seqlen - 1]`` (``0`` when n == seqlen, inclusive mode only).
 
-    Rejection sampling as in the reference, made deterministic: try ``j`` of
-    draw ``k`` is the document of ordinal ``h48(seed|k|j|doc) mod N`` over
-    *all* documents; the draw takes its first eligible try, however late.
-    Tries run in rounds of growing size; the tried documents' texts are read
-    behind a pushed-down filter, and once tries outnumber the documents, all
-    texts are counted in one scan instead.
+    Draw ``k`` takes the eligible document of rank ``h48(seed|k|doc) mod E`` in
+    position order, E being their number: a block of the index (J1) by the
+    cumulative counts, then the rank in it.  An ``index`` made before for the same
+    corpus, length and gate saves its scan.
 
     corpus: (pos, text, meta).  Output ``SAMPLE_COLUMNS``.
     """
@@ -76,44 +127,15 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
                                       "raw_data string, meta string")
     if nsamples <= 0:
         return empty
-    ords, total, dense, lo = pos_ordinals(corpus.select("pos"))
-    if total == 0:
-        return empty
-    gate = (F.col("n_tokens") > seqlen) if strict else (F.col("n_tokens") >= seqlen)
-    found, resolved, j0, tries, eligible = None, 0, 0, first_tries, None
-    while resolved < nsamples:
-        if eligible is None and nsamples * tries > total:
-            # tries outnumber the documents: count the tokens of all of them once
-            eligible = written(corpus.select("pos", tok.count(F.col("text")).alias("n_tokens")).where(gate), "eligible")
-            if eligible.isEmpty():
-                break
-        k, j = F.col("id") % nsamples, F.lit(j0) + (F.col("id") / nsamples).cast("long")
-        cand = spark.range(nsamples * tries).select(k.alias("sample_id"), j.alias("j"))
-        if found is not None:
-            cand = cand.join(_maybe_broadcast(found.select("sample_id"), nsamples), "sample_id", "left_anti")
-        o = F.pmod(h48(hkey(F.lit(seed), F.col("sample_id"), F.col("j"), F.lit("doc"))), F.lit(total))
-        cand = cand.withColumn("ord", o)
-        if dense:
-            cpos = cand.withColumn("pos", F.col("ord") + F.lit(lo))
-        else:
-            cpos = ords.join(_maybe_broadcast(cand, nsamples * tries), "ord")
-        cpos = cpos.select("sample_id", "j", "pos").persist(StorageLevel.MEMORY_AND_DISK)
-        counts = eligible if eligible is not None else _fetch(
-            corpus, cpos, [tok.count(F.col("text")).alias("n_tokens")], nsamples * tries)
-        ok = counts.join(_maybe_broadcast(cpos, nsamples * tries), "pos").where(gate)
-        best = ok.groupBy("sample_id").agg(F.min(F.struct("j", "pos", "n_tokens")).alias("b")).select(
-            "sample_id", F.col("b.pos").alias("doc_pos"), F.col("b.n_tokens").alias("n_tokens"))
-        best = best.persist(StorageLevel.MEMORY_AND_DISK)
-        found = best if found is None else found.unionByName(best)
-        resolved += best.count()
-        j0 += tries
-        tries *= 2
-    if found is None:
+    index = index or eligible_index(corpus, seqlen, strict, tok)
+    if not index.total:
         return empty
+    k = F.col("id")
+    ranks = spark.range(nsamples).select(k.alias("sample_id"), F.pmod(h48(hkey(F.lit(seed), k, F.lit("doc"))), F.lit(index.total)).alias("rank"))
     span = F.col("n_tokens") - seqlen
     off = F.pmod(h48(hkey(F.lit(seed), F.col("sample_id"), F.lit("off"))), span)
     start = off if strict else F.when(span == 0, F.lit(0)).otherwise(off)
-    picked = found.withColumn("start", start.cast("int"))
+    picked = written(index.at_ranks(ranks).select("sample_id", F.col("pos").alias("doc_pos"), start.cast("int").alias("start")), "picked")
     docs = _fetch(corpus, picked.select(F.col("doc_pos").alias("pos")), ["text", "meta"], nsamples) \
         .withColumnRenamed("pos", "doc_pos")
     joined = docs.join(_maybe_broadcast(picked, nsamples), "doc_pos")
@@ -123,10 +145,10 @@ def random_windows(corpus: DataFrame, nsamples: int, seqlen: int, seed: int = 0,
 
 
 def validation_windows(corpus: DataFrame, seqlen: int, n: int = 256, seed: int = 0,
-                       tok: Tokenizer = WORDS) -> DataFrame:
+                       tok: Tokenizer = WORDS, index: EligibleIndex | None = None) -> DataFrame:
     """``n`` inclusive windows with a fixed seed, laid end to end in draw
     order: ``offset`` is each window's position in the concatenation."""
-    w = random_windows(corpus, n, seqlen, seed, strict=False, tok=tok)
+    w = random_windows(corpus, n, seqlen, seed, strict=False, tok=tok, index=index)
     return w.withColumn("offset", (F.col("sample_id") * seqlen).cast("long"))
 
 
@@ -175,9 +197,10 @@ def quota_select_counts(eligible: DataFrame, quota: int, strata: list[str], key:
 
     Returns ((order, key, stratum, phase), {stratum: accepted in this call}).
     """
-    skinny = eligible.select(order, key, stratum).persist(StorageLevel.MEMORY_AND_DISK)
+    skinny = written(eligible.select(order, key, stratum), "eligible-keys")
     spark = eligible.sparkSession
-    accepted = None
+    schema = StructType([skinny.schema[order], skinny.schema[key], skinny.schema[stratum], StructField("phase", IntegerType())])
+    accepted: list[tuple] = []
     start = {s: (prior_counts or {}).get(s, 0) for s in strata}
     counts = dict(start)
     bound = quota * len(strata)
@@ -191,32 +214,27 @@ def quota_select_counts(eligible: DataFrame, quota: int, strata: list[str], key:
         cand = skinny.where(F.col(stratum).isin(open_strata))
         if t_prev is not None:
             cand = cand.where(F.col(order) > F.lit(t_prev))
-        if accepted is not None:
-            cand = cand.join(_maybe_broadcast(accepted.select(key), bound), key, "left_anti")
+        if accepted:
+            cand = cand.join(_maybe_broadcast(spark.createDataFrame(accepted, schema).select(key), bound), key, "left_anti")
         first = cand.groupBy(key).agg(F.min(F.struct(order, stratum)).alias("f")).select(
             key, F.col("f")[order].alias(order), F.col("f")[stratum].alias(stratum))
         rn = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
         ranked = first.withColumn("__rn", rn).where(F.col("__rn") <= quota)
         rem = F.try_element_at(F.create_map(*[x for s in open_strata
                                               for x in (F.lit(s), F.lit(quota - counts[s]))]), F.col(stratum))
-        kept = ranked.where(F.col("__rn") <= rem).persist(StorageLevel.MEMORY_AND_DISK)
-        rows = kept.select(order, stratum).collect()      # at most quota x strata rows
+        kept = ranked.where(F.col("__rn") <= rem).select(order, key, stratum).collect()      # at most quota x strata rows
         by_stratum: dict[str, list] = {}
-        for r in rows:
-            by_stratum.setdefault(r[1], []).append(r[0])
+        for r in kept:
+            by_stratum.setdefault(r[2], []).append(r[0])
         fills = [max(v) for s, v in by_stratum.items() if len(v) == quota - counts[s]]
         t = min(fills) if fills else None
         for s, v in by_stratum.items():
             counts[s] += sum(1 for x in v if t is None or x <= t)
-        take = kept if t is None else kept.where(F.col(order) <= F.lit(t))
-        take = take.select(order, key, stratum, F.lit(phase).alias("phase"))
-        accepted = take if accepted is None else accepted.unionByName(take)
+        accepted += [(*r, phase) for r in kept if t is None or r[0] <= t]
         if t is None:
             break
         t_prev = t
-    if accepted is None:
-        accepted = spark.createDataFrame([], f"{order} long, {key} string, {stratum} string, phase int")
-    return accepted, {s: counts[s] - start[s] for s in strata}
+    return spark.createDataFrame(accepted, schema), {s: counts[s] - start[s] for s in strata}
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -258,8 +276,7 @@ def quota_sample(corpus: DataFrame, nsamples: int, seqlen: int, quota: int | Non
         prior = _union(parts) if parts else None
         sel, got = quota_select_counts(code_candidates(chunk, seqlen, tok), quota, strata,
                                        prior_keys=prior, prior_counts=counts)
-        # the selection is bounded by quota x strata rows
-        sel = sel.select("pos", "repo", "language").persist(StorageLevel.MEMORY_AND_DISK)
+        sel = sel.select("pos", "repo", "language")
         for s_, n_ in got.items():
             counts[s_] += n_
         parts.append(sel)
@@ -325,7 +342,7 @@ def qa_head(corpus: DataFrame, k: int, seqlen: int, first_span: int | None = Non
     for lo, hi in pos_ranges(corpus, first_span, growth):
         chunk = corpus.where((F.col("pos") >= lo) & (F.col("pos") < hi))
         top = qa_candidates(chunk, seqlen, tok).orderBy("pos").limit(k - found).select("pos")
-        top = top.persist(StorageLevel.MEMORY_AND_DISK)
+        top = written(top, "head")
         found += top.count()
         parts.append(top)
         if found >= k:

@@ -10,25 +10,26 @@ belongs to the next token of the stream.  A window of global tokens
 of the piece tokens inside ``[s, e]`` plus the piece tail when the next
 global token lies inside ``[s, e]``.
 
-Global token offsets are a two-level prefix sum (ranges of ``pos``).  Random windows are matched to pieces by an equi-join on
-token-position bins plus a range predicate (binned range join); regular
-chunks are computed from the piece side directly.  Text is never shuffled
-whole: only per-window fragments are grouped, each bounded by the window.
+Global token offsets are running sums in arrival order, taken in the scan
+tasks themselves (``arrival.py``); ``stream_offsets`` gives them as a table.  Random
+windows are found from the document side by binary search, and regular chunks
+are cut there: a chunk that lies inside one document leaves its scan task
+whole.  Only the fragments at documents' edges are grouped, each bounded by
+the window.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from calibspark.functions.hashing import h48, hkey
-from calibspark.operators.bounded import broadcast_if_bounded, rows_with_keys
 from calibspark.functions.tokens import token_count, tokenize
+from calibspark.operators.arrival import Arrival
+from calibspark.operators.bounded import broadcast_if_bounded
 from calibspark.session import written
 
-
-
 ROWS_PER_BUCKET = 2_000_000
 
 
@@ -66,28 +67,20 @@ def running_offset(df: DataFrame, order_col: str, value_col: str, n_buckets: int
 
 
 class TokenStream:
-    """Per-piece token counts and global offsets of a separator-joined corpus.
-
-    ``pieces``: (pos, w, cum) persisted; ``total``: tokens in the stream.
-    """
+    """The pieces of a separator-joined corpus and their token offsets.
+    ``total``: tokens in the stream."""
 
-    def __init__(self, corpus: DataFrame, sep: str, n_buckets: int | None = None):
-        self.corpus = corpus.select("pos", "text")
+    def __init__(self, corpus: DataFrame, sep: str):
         self.sep = sep
-        # one pass over the text: token counts of every piece, kept skinny
-        skinny = self.corpus.select("pos", token_count(F.col("text")).alias("w")).persist(
-            StorageLevel.MEMORY_AND_DISK)
-        stats = skinny.agg(F.min("pos"), F.count(F.lit(1))).first()
-        self.first_pos, self.n_pieces = stats[0], int(stats[1])
-        self.pieces = running_offset(skinny, "pos", "w", n_buckets, "cum").persist(
-            StorageLevel.MEMORY_AND_DISK)
-        tot = self.pieces.agg(F.sum("w")).first()[0]
-        self.total = int(tot or 0)
-
-    def piece(self, text: Column, pos: Column) -> Column:
-        if self.first_pos is None:
-            return text
-        return F.when(pos == F.lit(self.first_pos), text).otherwise(F.concat(F.lit(self.sep), text))
+        # a missing text is an empty piece
+        self.arrival = Arrival(corpus, F.coalesce(token_count(F.col("text")), F.lit(0)))
+        self.total = self.arrival.total
+
+    def pieces(self, **options) -> DataFrame:
+        """(pos, w, cum, piece, ...) of ``Arrival.located``."""
+        text = F.col("text")
+        piece = F.when(F.col("pos") == F.lit(self.arrival.first_pos), text).otherwise(F.concat(F.lit(self.sep), text))
+        return self.arrival.located(fold=self.sep, **options).withColumn("piece", piece).drop("text")
 
 
 def _tail(tokens: Column, piece: Column) -> Column:
@@ -112,100 +105,81 @@ def _assemble(frags: DataFrame, key: str) -> DataFrame:
     return frags.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x["frag"]), "").alias("raw_data"))
 
 
-def windows_over(stream: TokenStream, windows: DataFrame, key: str, bin_size: int,
-                 bound_rows: int) -> DataFrame:
-    """Text of arbitrary global-token windows ``(key, s, e)`` (binned range join)."""
-    wins = windows.withColumn("__b", F.explode(F.sequence(
-        F.floor(F.col("s") / bin_size).cast("long"), F.floor(F.col("e") / bin_size).cast("long"))))
-    docs = stream.pieces.withColumn("__b", F.explode(F.sequence(
-        F.floor(F.col("cum") / bin_size).cast("long"),
-        F.floor((F.col("cum") + F.col("w")) / bin_size).cast("long"))))
-    wins_j = broadcast_if_bounded(wins, bound_rows)
-    pairs = docs.join(wins_j, "__b").where(
-        (F.col("cum") <= F.col("e")) & (F.col("cum") + F.col("w") >= F.col("s"))
-        # each (window, piece) pair once: on the first bin both share
-        & (F.col("__b") == F.greatest(F.floor(F.col("s") / bin_size), F.floor(F.col("cum") / bin_size))))
-    pairs = pairs.select(key, "s", "e", "pos", "cum", "w").persist(StorageLevel.MEMORY_AND_DISK)
-    # only the pieces under some window are read with text (IN filter or semi
-    # join), never a join that would shuffle the whole corpus
-    n_pairs = pairs.count()
-    text = rows_with_keys(stream.corpus, pairs, "pos", n_pairs).join(
-        broadcast_if_bounded(pairs, n_pairs), "pos")
-    piece = stream.piece(F.col("text"), F.col("pos"))
-    t = text.select(key, "pos", "cum", "w", "s", "e", piece.alias("piece")).withColumn(
-        "toks", tokenize(F.col("piece")))
-    frag = _fragment(F.col("toks"), _tail(F.col("toks"), F.col("piece")), F.col("cum"), F.col("w"),
-                     F.col("s"), F.col("e"))
-    return _assemble(t.select(key, "pos", frag.alias("frag")), key)
-
-
-def stream_windows(corpus: DataFrame, nsamples: int, seqlen: int, sep: str = "\n\n",
-                   seed: int = 0, n_buckets: int | None = None) -> DataFrame:
+def _with_tokens(pieces: DataFrame) -> DataFrame:
+    return pieces.withColumn("toks", tokenize(F.col("piece"))).withColumn("tail", _tail(F.col("toks"), F.col("piece")))
+
+
+def stream_windows(corpus: DataFrame, nsamples: int, seqlen: int, sep: str = "\n\n", seed: int = 0) -> DataFrame:
     """``nsamples`` random windows of ``seqlen`` tokens over the whole
-    separator-joined corpus; start uniform in ``[0, total - seqlen - 1]``."""
-    stream = TokenStream(corpus, sep, n_buckets)
+    separator-joined corpus; start uniform in ``[0, total - seqlen - 1]``.
+    The windows' starts (``nsamples`` of them) go to the scan tasks as one sorted array."""
+    stream = TokenStream(corpus, sep)
     spark = corpus.sparkSession
     span = stream.total - seqlen
-    if span <= 0:
+    if span <= 0 or nsamples <= 0:
         return spark.createDataFrame([], "sample_id long, start long, num_tokens int, raw_data string")
     k = F.col("id")
     s = F.pmod(h48(hkey(F.lit(seed), k, F.lit("off"))), F.lit(span))
-    wins = spark.range(nsamples).select(k.alias("sample_id"), s.alias("s"), (s + seqlen - 1).alias("e"))
-    # bins as wide as the windows lie apart: a piece lies in few of them
-    out = windows_over(stream, wins, "sample_id", max(seqlen, stream.total // max(nsamples, 1), 1), nsamples * 2)
+    wins = spark.range(nsamples).select(k.alias("sample_id"), s.alias("start"))
+    drawn = sorted((r.start, r.sample_id) for r in wins.collect())  # nsamples rows
+    starts, ids = (np.array([x[i] for x in drawn], np.int64) for i in (0, 1))
+    touched = _with_tokens(stream.pieces(windows=(ids, starts), length=seqlen))
+    rows = touched.select("pos", "cum", "w", "toks", "tail", F.inline(F.arrays_zip("ids", "starts")))
+    frag = _fragment(F.col("toks"), F.col("tail"), F.col("cum"), F.col("w"), F.col("starts"), F.col("starts") + seqlen - 1)
+    out = _assemble(rows.select(F.col("ids").alias("sample_id"), "pos", frag.alias("frag")), "sample_id")
     return (out.join(broadcast_if_bounded(wins, nsamples), "sample_id")
-            .select("sample_id", F.col("s").alias("start"),
-                    F.size(tokenize(F.col("raw_data"))).alias("num_tokens"), "raw_data"))
+            .select("sample_id", "start", F.lit(seqlen).alias("num_tokens"), "raw_data"))
 
 
 def _chunks(stream: TokenStream, seqlen: int, limit_tokens: int) -> DataFrame:
-    """Regular chunks ``[c*seqlen, min((c+1)*seqlen, limit) - 1]`` computed from
-    the piece side: each piece lists the chunks it touches (no broadcast)."""
+    """Regular chunks ``[c*seqlen, min((c+1)*seqlen, limit) - 1]``: (chunk_id,
+    num_tokens, raw_data).  A chunk inside one piece, not at its start (where white
+    space of the piece before belongs to the token), is cut in the scan task; the
+    others are put together from the pieces' edges."""
     total = min(stream.total, limit_tokens)
     if total <= 0:
-        return stream.corpus.sparkSession.createDataFrame([], "chunk_id long, raw_data string")
-    last = (total - 1) // seqlen
-    p = stream.pieces.where(F.col("cum") <= F.lit(total - 1))
-    c0 = F.floor(F.col("cum") / seqlen).cast("long")
-    c1 = F.least(F.floor((F.col("cum") + F.col("w")) / seqlen), F.lit(last)).cast("long")
-    # the skinny piece table is broadcast while its row count is within the
-    # bound, so the text is moved only once, by the chunk assembly
-    text = stream.corpus.join(broadcast_if_bounded(p, stream.n_pieces), "pos")
-    piece = stream.piece(F.col("text"), F.col("pos"))
-    # tokenize each piece once, then cut one fragment per chunk it touches
-    per_piece = (text.select("pos", "cum", "w", c0.alias("c0"), c1.alias("c1"), piece.alias("piece"))
-                 .withColumn("toks", tokenize(F.col("piece")))
-                 .withColumn("tail", _tail(F.col("toks"), F.col("piece"))))
-
-    def one(c):
+        return stream.arrival.corpus.sparkSession.createDataFrame([], "chunk_id long, num_tokens int, raw_data string")
+    pieces = stream.pieces().where(F.col("cum") <= F.lit(total - 1))
+    cum, w, first = F.col("cum"), F.col("w"), F.col("pos") == F.lit(stream.arrival.first_pos)
+    # the chunks inside the piece: none if they end before they begin
+    begin = F.floor((cum + F.when(first, seqlen - 1).otherwise(seqlen)) / seqlen)
+    end = F.least(F.floor((cum + w) / seqlen), F.lit(total // seqlen)) - 1
+    pieces = pieces.withColumns({"c0": begin.cast("long"), "c1": end.cast("long")})
+    c0, c1 = F.col("c0"), F.col("c1")
+    inside = _with_tokens(pieces.where(c1 >= c0)).select(F.inline(F.transform(F.sequence(c0, c1), lambda c: F.struct(
+        c.alias("chunk_id"), F.lit(seqlen).alias("num_tokens"),
+        F.array_join(F.slice(F.col("toks"), (c * seqlen - cum + 1).cast("int"), F.lit(seqlen)), "").alias("raw_data")))))
+    a, b = F.floor(cum / seqlen).cast("long"), F.least(F.floor((cum + w) / seqlen), F.lit((total - 1) // seqlen)).cast("long")
+    # the chunks that the piece touches but for those inside
+    outer = F.when(c1 < c0, F.sequence(a, b)).otherwise(F.concat(
+        F.when(a < c0, F.sequence(a, c0 - 1)).otherwise(F.array().cast("array<bigint>")),
+        F.when(b > c1, F.sequence(c1 + 1, b)).otherwise(F.array().cast("array<bigint>"))))
+
+    def edge(c):
         s = c * seqlen
-        e = F.least(s + seqlen, F.lit(total)) - 1
-        return F.struct(c.alias("chunk_id"), _fragment(F.col("toks"), F.col("tail"), F.col("cum"),
-                                                       F.col("w"), s, e).alias("frag"))
+        return F.struct(c.alias("chunk_id"), _fragment(F.col("toks"), F.col("tail"), cum, w, s, F.least(s + seqlen, F.lit(total)) - 1).alias("frag"))
 
-    frags = per_piece.select("pos", F.inline(F.transform(F.sequence(F.col("c0"), F.col("c1")), one)))
-    return _assemble(frags, "chunk_id")
+    edges = _with_tokens(pieces.where(a <= b).withColumn("outer", outer).where(F.size("outer") > 0)).select(
+        "pos", F.inline(F.transform(F.col("outer"), edge)))
+    n = F.least(F.lit(seqlen), F.lit(total) - F.col("chunk_id") * seqlen).cast("int")
+    return inside.unionByName(_assemble(edges, "chunk_id").select("chunk_id", n.alias("num_tokens"), "raw_data"))
 
 
-def encode_stream(corpus: DataFrame, seqlen: int, sep: str = "\n\n", n_buckets: int | None = None) -> DataFrame:
+def encode_stream(corpus: DataFrame, seqlen: int, sep: str = "\n\n") -> DataFrame:
     """The whole stream as consecutive ``seqlen``-token chunks (last one
     may be shorter): (chunk_id, num_tokens, raw_data)."""
-    stream = TokenStream(corpus, sep, n_buckets)
-    out = _chunks(stream, seqlen, stream.total)
-    return out.select("chunk_id", F.size(tokenize(F.col("raw_data"))).alias("num_tokens"), "raw_data")
+    stream = TokenStream(corpus, sep)
+    return _chunks(stream, seqlen, stream.total)
 
 
-def token_budget(corpus: DataFrame, seqlen: int, ndocs: int = 1100, n_chunks: int = 256,
-                 sep: str = " ", n_buckets: int | None = None) -> DataFrame:
+def token_budget(corpus: DataFrame, seqlen: int, ndocs: int = 1100, n_chunks: int = 256, sep: str = " ") -> DataFrame:
     """The first ``ndocs`` documents joined by ``sep``, cut to the first
     ``n_chunks * seqlen`` tokens, as chunks (chunk_id, num_tokens, raw_data).
     The head is found on the ``pos`` column alone (a top-k); its text is then
     read through a range filter that reaches the scan."""
     cut = corpus.select("pos").orderBy("pos").limit(ndocs).agg(F.max("pos")).first()[0]
     head = corpus.where(F.col("pos") <= F.lit(cut)) if cut is not None else corpus.limit(0)
-    stream = TokenStream(head, sep, n_buckets)
-    out = _chunks(stream, seqlen, n_chunks * seqlen)
-    return out.select("chunk_id", F.size(tokenize(F.col("raw_data"))).alias("num_tokens"), "raw_data")
+    return _chunks(TokenStream(head, sep), seqlen, n_chunks * seqlen)
 
 
 def stream_offsets(corpus: DataFrame, n_buckets: int | None = None) -> DataFrame:

@@ -1,16 +1,21 @@
 """Incremental operators on Structured Streaming.
 
-Sources are file streams.  The stateful selections need their batches in
-corpus order; file times alone don't promise that, so a batch that holds a
-position below one already seen is refused with an error instead of giving
-another selection.  Stateful selection uses ``foreachBatch`` with an explicit state
-table in the shared checkpoint folder: each batch writes its accepted rows
-under ``batch=<id>`` with overwrite, so a retried batch rewrites the same
-folder (idempotent), and a restarted query resumes from the state.
+Sources are file streams whose files may come in any order.  The selections
+keep mergeable state in the shared checkpoint folder: each batch writes what
+it adds under its own id with overwrite, so a retried batch rewrites the same
+folder, and a restarted query goes on from the state; every ``COMPACT`` batches the
+state is written anew as one.  The result is selected from the state, so a
+late file changes it to what the batch operator gives on all files.
+
+Where positions come at most ``lateness`` behind the largest one seen, the
+selection is final once it is full and lies further back: from then on no
+batch is read.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -25,24 +30,64 @@ def _run(query_builder, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def _state(spark: SparkSession, state_dir: str, schema: str) -> DataFrame:
-    if path_exists(spark, state_dir):
-        return spark.read.schema(schema + ", batch long").parquet(state_dir)
-    return spark.createDataFrame([], schema)
+#: Batches after which the state is written anew as one.
+COMPACT = 16
 
 
-def _in_order(spark: SparkSession, state_dir: str, batch: DataFrame, batch_id: int) -> None:
-    """Refuse a batch that starts before the end of an earlier one; note this batch's end."""
-    lo, hi = batch.agg(F.min("pos"), F.max("pos")).first()
-    if lo is None:
-        return
-    seen_dir = state_dir.rstrip("/") + "-seen"
-    seen = _state(spark, seen_dir, "hi long")
-    seen = seen.where(F.col("batch") < batch_id) if "batch" in seen.columns else seen
-    last = seen.agg(F.max("hi")).first()[0]
-    if last is not None and lo <= last:
-        raise ValueError(f"batch {batch_id} starts at position {lo}, but {last} was already seen: files must arrive in corpus order")
-    spark.createDataFrame([(hi,)], "hi long").write.mode("overwrite").parquet(f"{seen_dir}/batch={batch_id}")
+class Selection:
+    """State of a selection that goes on over batches.
+
+    ``candidates(batch)`` gives a batch's candidate rows, ``merge(rows)`` the ones
+    of them that matter (equal to merging in any order), ``select(rows)`` the
+    result, and ``full(result)`` its last position once nothing more can be taken, else None."""
+
+    def __init__(self, spark: SparkSession, state_dir: str, schema: str, candidates, merge, select, full, lateness: int | None):
+        self.spark, self.dir, self.schema = spark, state_dir.rstrip("/"), schema
+        self.candidates, self.merge, self.select, self.full, self.lateness = candidates, merge, select, full, lateness
+
+    def _read(self, kind: str, schema: str) -> DataFrame:
+        if path_exists(self.spark, f"{self.dir}/{kind}"):
+            return self.spark.read.schema(schema + ", batch long").parquet(f"{self.dir}/{kind}")
+        return self.spark.createDataFrame([], schema + ", batch long")
+
+    def rows(self, before: int | None = None) -> DataFrame:
+        """Merged rows of the batches (those before one)."""
+        whole, added = self._read("whole", self.schema), self._read("added", self.schema)
+        if before is not None:
+            whole, added = whole.where(F.col("batch") < before), added.where(F.col("batch") < before)
+        last = whole.agg(F.max("batch")).first()[0]
+        if last is not None:  # a whole state holds the batches up to its own
+            added = added.where(F.col("batch") > last).unionByName(whole.where(F.col("batch") == last))
+        return self.merge(added.drop("batch"))
+
+    def result(self) -> DataFrame:
+        return self.select(self.rows())
+
+    @property
+    def done(self) -> bool:
+        return path_exists(self.spark, f"{self.dir}/done")
+
+    def on_batch(self, batch: DataFrame, batch_id: int) -> None:
+        if self.done:
+            return  # the batch isn't read
+        self.merge(self.candidates(batch)).write.mode("overwrite").parquet(f"{self.dir}/added/batch={batch_id}")
+        if batch_id % COMPACT == COMPACT - 1:
+            self.rows(batch_id + 1).write.mode("overwrite").parquet(f"{self.dir}/whole/batch={batch_id}")
+        if self.lateness is None:
+            return
+        batch.agg(F.max("pos").alias("hi")).write.mode("overwrite").parquet(f"{self.dir}/seen/batch={batch_id}")
+        hi, last = self._read("seen", "hi long").agg(F.max("hi")).first()[0], self.full(self.result())
+        if last is not None and hi is not None and hi - self.lateness > last:
+            self.spark.createDataFrame([(last,)], "last long").write.mode("overwrite").parquet(f"{self.dir}/done")
+
+    def run(self, source: DataFrame, checkpoint: str) -> DataFrame:
+        """Take in what has come, up to where the selection is final: the
+        batches after that are let through unread, and later runs don't start a stream."""
+        if not self.done:
+            query = (source.writeStream.foreachBatch(self.on_batch).option("checkpointLocation", checkpoint)
+                     .trigger(availableNow=True).start())
+            query.awaitTermination()
+        return self.result()
 
 
 def stream_code_candidates(spark: SparkSession, src: str, schema: StructType | str, seqlen: int,
@@ -54,47 +99,46 @@ def stream_code_candidates(spark: SparkSession, src: str, schema: StructType | s
     return spark.read.parquet(out)
 
 
-def stream_quota(spark: SparkSession, src: str, schema: StructType | str, seqlen: int, quota: int,
-                 strata: list[str], state_dir: str, checkpoint: str, files_per_trigger: int = 1) -> DataFrame:
-    """Incremental quota sampling; equals the batch selection when files
-    arrive in corpus order.  Stops accepting once every stratum is full."""
-    sch = "pos long, repo string, language string"
+def _source(spark: SparkSession, src: str, schema: StructType | str, files_per_trigger: int) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        _in_order(spark, state_dir, batch, batch_id)
-        prior = _state(spark, state_dir, sch)
-        prior = prior.where(F.col("batch") < batch_id) if "batch" in prior.columns else prior
-        counts = {r[0]: r[1] for r in prior.groupBy("language").count().collect()}
-        if all(counts.get(s, 0) >= quota for s in strata):
-            return
-        sel = quota_select(code_candidates(batch, seqlen), quota, strata,
-                           prior_keys=prior.select("repo"), prior_counts=counts)
-        (sel.select("pos", "repo", "language").write.mode("overwrite")
-         .parquet(f"{state_dir}/batch={batch_id}"))
 
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
-    _run(s.writeStream.foreachBatch(on_batch), checkpoint)
-    return _state(spark, state_dir, sch).select("pos", "repo", "language")
+def stream_quota(spark: SparkSession, src: str, schema: StructType | str, seqlen: int, quota: int, strata: list[str],
+                 state_dir: str, checkpoint: str, files_per_trigger: int = 1, lateness: int | None = None) -> DataFrame:
+    """Incremental quota sampling; equals the batch selection over the
+    files seen, in whatever order they came.
 
+    The state is the smallest position of each repository in each stratum.
+    That is enough: a repository that isn't taken while a stratum is open has no
+    earlier row in it, so only its first row of each stratum can ever be taken."""
+    def merge(rows):
+        return rows.groupBy("repo", "language").agg(F.min("pos").alias("pos")).select("pos", "repo", "language")
 
-def stream_head(spark: SparkSession, src: str, schema: StructType | str, k: int, seqlen: int,
-                state_dir: str, checkpoint: str, files_per_trigger: int = 1) -> DataFrame:
-    """First ``k`` eligible Q&A rows, incrementally (remaining-count state)."""
-    sch = "pos long"
+    def select(rows):
+        return quota_select(rows, quota, strata).select("pos", "repo", "language")
 
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        _in_order(spark, state_dir, batch, batch_id)
-        prior = _state(spark, state_dir, sch)
-        prior = prior.where(F.col("batch") < batch_id) if "batch" in prior.columns else prior
-        remaining = k - prior.count()
-        if remaining <= 0:
-            return
-        top = qa_candidates(batch, seqlen).orderBy("pos").limit(remaining).select("pos")
-        top.write.mode("overwrite").parquet(f"{state_dir}/batch={batch_id}")
+    def full(result):
+        taken = {r.language: r for r in result.groupBy("language").agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last")).collect()}
+        return max(r["last"] for r in taken.values()) if all(s in taken and taken[s].n >= quota for s in strata) else None
 
-    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(src)
-    _run(s.writeStream.foreachBatch(on_batch), checkpoint)
-    return _state(spark, state_dir, sch).select("pos")
+    state = Selection(spark, state_dir, "pos long, repo string, language string", lambda b: code_candidates(b, seqlen).select("pos", "repo", "language"),
+                      merge, select, full, lateness)
+    return state.run(_source(spark, src, schema, files_per_trigger), checkpoint)
+
+
+def stream_head(spark: SparkSession, src: str, schema: StructType | str, k: int, seqlen: int, state_dir: str, checkpoint: str,
+                files_per_trigger: int = 1, lateness: int | None = None) -> DataFrame:
+    """First ``k`` eligible Q&A rows, incrementally; the state is the ``k``
+    smallest eligible positions seen."""
+    def smallest(rows):
+        return rows.select("pos").orderBy("pos").limit(k)
+
+    def full(result):
+        n, last = result.agg(F.count(F.lit(1)), F.max("pos")).first()
+        return last if n >= k > 0 else None
+
+    state = Selection(spark, state_dir, "pos long", lambda b: qa_candidates(b, seqlen), smallest, smallest, full, lateness)
+    return state.run(_source(spark, src, schema, files_per_trigger), checkpoint)
 
 
 def stream_pass_rate(spark: SparkSession, root: str, out: str, checkpoint: str,
@@ -125,17 +169,19 @@ def stream_pass_rate(spark: SparkSession, root: str, out: str, checkpoint: str,
     return spark.read.parquet(out)
 
 
-def write_ordered_files(df: DataFrame, dest: str, order_col: str, n_steps: int, files: int = 4) -> None:
+def write_ordered_files(df: DataFrame, dest: str, order_col: str, n_steps: int, files: int = 4, shuffle_seed: int | None = None) -> None:
     """Lay a table down in ``n_steps`` steps of ``order_col`` order, each of
-    ``files`` parquet files written by as many tasks, one step after another:
-    a file stream of ``files`` files per trigger sees a step per batch."""
-    import time
+    ``files`` parquet files written by as many tasks, one step after another (with a
+    ``shuffle_seed``, in a random order of the steps): a file stream of ``files``
+    files per trigger sees a step per batch."""
     lo, hi = df.agg(F.min(order_col), F.max(order_col)).first()
     if lo is None:
         return
     width = (hi - lo) // n_steps + 1
-    for i in range(n_steps):
+    steps = list(range(n_steps))
+    if shuffle_seed is not None:
+        random.Random(shuffle_seed).shuffle(steps)
+    for i in steps:
         a = lo + i * width
         part = df.where((F.col(order_col) >= a) & (F.col(order_col) < a + width))
         part.repartition(files).write.mode("append").parquet(dest)
-        time.sleep(0.05)

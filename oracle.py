@@ -434,20 +434,16 @@ def head_tokens_sql(seqlen=64) -> str:
 FROM documents WHERE {ntok()} > {seqlen}"""
 
 
-def random_windows_sql(nsamples=40, seqlen=64, seed=0, strict=True, max_tries=4096) -> str:
-    """Brute force: every try of every draw, first eligible try wins."""
+def random_windows_sql(nsamples=40, seqlen=64, seed=0, strict=True, pos="doc_id") -> str:
+    """Ranks over all eligible documents by a plain window."""
     op = ">" if strict else ">="
     start = f"{h48(f'concat_ws(chr(124), {seed}, k, ' + chr(39) + 'off' + chr(39) + ')')} % (n_tokens - {seqlen})"
     if not strict:
         start = f"CASE WHEN n_tokens = {seqlen} THEN 0 ELSE {start} END"
-    return f"""WITH o AS (SELECT doc_id AS pos, row_number() OVER (ORDER BY doc_id) - 1 AS ord, {ntok()} AS n_tokens,
-                    text, source FROM documents),
-n AS (SELECT count(*) AS total FROM documents),
-t AS (SELECT k, j, {h48(f"concat_ws(chr(124), {seed}, k, j, 'doc')")} % total AS ord
-      FROM range(0, {nsamples}) a(k), range(0, {max_tries}) b(j), n),
-e AS (SELECT t.k, t.j, o.pos, o.n_tokens, o.text, o.source FROM t JOIN o USING (ord) WHERE o.n_tokens {op} {seqlen}),
-p AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY j) AS r FROM e),
-w AS (SELECT k, pos, {start} AS st, text, source FROM p WHERE r = 1)
+    return f"""WITH d AS (SELECT {pos} AS pos, {ntok()} AS n_tokens, text, source FROM documents),
+e AS (SELECT *, row_number() OVER (ORDER BY pos) - 1 AS r, count(*) OVER () AS total FROM d WHERE n_tokens {op} {seqlen}),
+w AS (SELECT k, pos, {start} AS st, text, source FROM range(0, {nsamples}) a(k)
+      JOIN e ON e.r = {h48(f"concat_ws(chr(124), {seed}, k, 'doc')")} % total)
 SELECT k AS sample_id, pos AS doc_pos, cast(st as integer) AS start,
        cast(len(list_slice({toks()}, st + 1, st + {seqlen})) as integer) AS num_tokens,
        array_to_string(list_slice({toks()}, st + 1, st + {seqlen}), '') AS raw_data, source AS meta FROM w"""
@@ -488,6 +484,8 @@ def corpus_queries() -> dict[str, str]:
         "head_tokens": head_tokens_sql(),
         "random_windows": random_windows_sql(40, 64, 0, True),
         "random_windows_c4": random_windows_sql(40, 64, 1, False),
+        "random_windows_sparse": random_windows_sql(40, 64, 2, True, "doc_id * 5003 + doc_id % 7"),
+        "ordinals_sparse": "SELECT doc_id * 37 % 1000003 AS pos, row_number() OVER (ORDER BY doc_id * 37 % 1000003) - 1 AS ord FROM documents",
         "validation_windows": validation_windows_sql(),
         "quota_sample": quota_sample_sql(),
         "qa_head": qa_head_sql(),
@@ -733,6 +731,10 @@ def job_queries() -> dict[str, str]:
         "report_csv": report_sql(R.RQ1),
         "ingest_results": outcome_flag_sql(),
         "corpus_scan": "SELECT doc_id AS pos, text, source AS meta FROM documents WHERE lang = 'en' AND doc_id % 4 <> 0",
+        "corpus_arrival": ("SELECT pos, text, meta FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, text, "
+                           "CAST(doc_id AS VARCHAR) AS meta, lang, doc_id FROM documents) WHERE lang = 'en' AND doc_id % 4 <> 0"),
+        "corpus_arrival_parquet": ("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, text, CAST(doc_id AS VARCHAR) AS meta "
+                                   "FROM documents"),
         "keep_until": ("SELECT doc_id, array_to_string(list_concat(list_slice(ls, 1, least(len(ls), 2) - 1), "
                        "[substring(ls[least(len(ls), 2)], 1, 5)]), chr(10)) AS kept "
                        "FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"),
@@ -742,13 +744,15 @@ def job_queries() -> dict[str, str]:
 
 
 def stream_queries_sql() -> dict[str, str]:
+    quota = f"WITH RECURSIVE {CODE_CORPUS},\n{greedy_quota_cte(64, 20)}\nSELECT pos, repo, language FROM chosen"
+    head = f"WITH {QA_CORPUS},\n{QA_FILTERED}\nSELECT pos FROM qa_f WHERE {ntok()} > 64 ORDER BY pos LIMIT 20"
     return {
         "stream_filter": (f"WITH {CODE_CORPUS}, {CODE_ELIGIBLE.format(seqlen=64)} "
                           f"SELECT e.pos, e.repo, e.language, {ntok('c.text')} AS n_tokens "
                           f"FROM code_e e JOIN code c ON c.pos = e.pos"),
-        "stream_quota": (f"WITH RECURSIVE {CODE_CORPUS},\n{greedy_quota_cte(64, 20)}\n"
-                         "SELECT pos, repo, language FROM chosen"),
-        "stream_head": (f"WITH {QA_CORPUS},\n{QA_FILTERED}\n"
-                        f"SELECT pos FROM qa_f WHERE {ntok()} > 64 ORDER BY pos LIMIT 20"),
+        "stream_quota": quota,
+        "stream_quota_stop": quota,
+        "stream_head": head,
+        "stream_head_stop": head,
         "stream_pass_rate": pass_rate_sql(),
     }

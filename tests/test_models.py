@@ -131,16 +131,10 @@ def test_random_windows_sparse_positions_against_python(spark, strict):
            for r in S.random_windows(corpus, n, seqlen, seed=seed, strict=strict).collect()}
     by_ord = sorted(rows)
     toks = {p: re.findall(r"\s*\S+", t) for p, t, _ in rows}
-    total = len(by_ord)
+    eligible = [p for p, _, _ in by_ord if (len(toks[p]) > seqlen if strict else len(toks[p]) >= seqlen)]
     for k in range(n):
-        j = 0
-        while True:
-            p = by_ord[_h48(f"{seed}|{k}|{j}|doc") % total][0]
-            m = len(toks[p])
-            if (m > seqlen) if strict else (m >= seqlen):
-                break
-            j += 1
-        span = m - seqlen
+        p = eligible[_h48(f"{seed}|{k}|doc") % len(eligible)]
+        span = len(toks[p]) - seqlen
         st = 0 if span == 0 else _h48(f"{seed}|{k}|off") % span
         assert got[k] == (p, st, "".join(toks[p][st:st + seqlen]))
 
@@ -151,7 +145,7 @@ def test_random_windows_rare_documents_keep_every_draw(spark):
         F.col("doc_id").alias("pos"), "text", F.lit("m").alias("meta"))
     n_tok = {r.pos: r.n for r in corpus.select("pos", F.size(F.split(F.trim("text"), r"\s+")).alias("n")).collect()}
     seqlen = sorted(n_tok.values())[-5]  # only a handful of documents qualify
-    out = S.random_windows(corpus, 25, seqlen, seed=2, strict=False, first_tries=1).collect()
+    out = S.random_windows(corpus, 25, seqlen, seed=2, strict=False).collect()
     assert sorted(r.sample_id for r in out) == list(range(25))
     assert all(r.num_tokens == seqlen for r in out)
 
@@ -163,9 +157,24 @@ def test_random_windows_without_eligible_documents(spark):
 
 
 def test_duplicate_positions_are_an_error(spark):
+    from calibspark.operators import sampling as S
     from calibspark.operators.ordinals import pos_ordinals
-    with pytest.raises(ValueError):
-        pos_ordinals(spark.createDataFrame([(0,), (0,), (2,)], "pos long"))
+    for rows in ([(0,), (0,), (2,)], [(None,), (1,)]):
+        with pytest.raises(Exception, match="unique"):
+            pos_ordinals(spark.createDataFrame(rows, "pos long"))
+    with pytest.raises(Exception, match="duplicate position"):
+        S.eligible_index(spark.createDataFrame([(0, "a b"), (0, "c d")], "pos long, text string"), 1)
+
+
+def test_index_is_used_again_and_read_by_block(spark):
+    from calibspark.operators import sampling as S
+    corpus = spark.createDataFrame([(i * 5000, "a b c d " * (i % 3), "m") for i in range(300)], "pos long, text string, meta string")
+    index = S.eligible_index(corpus, 4)
+    assert index.total == 100 and len(index.blocks) == 4
+    again = sorted(map(tuple, S.random_windows(corpus, 5, 4, seed=1, index=index).collect()))
+    assert again == sorted(map(tuple, S.random_windows(corpus, 5, 4, seed=1).collect()))
+    plan = index.at_ranks(spark.createDataFrame([(0, 7), (1, 99)], "sample_id long, rank long"))._jdf.queryExecution().toString()
+    assert "PartitionFilters: [block" in plan and "IN" in plan
 
 
 @pytest.mark.parametrize("b, c", [(0, 0), (0, 5), (3, 3), (1, 30), (40, 60), (700, 800), (1500, 1400), (30000, 30500)])
