@@ -28,6 +28,7 @@ from calibspark.operators.ordering import with_sort_position
 from calibspark.operators.paired import Comparison
 from calibspark.plans import cleaning as CL
 from calibspark.plans import ingest as IG
+from calibspark.plans import recipes as RC
 from calibspark.plans import reports as R
 from calibspark.session import scratch_path
 from calibspark.sources import files as IO
@@ -404,6 +405,26 @@ def q_calibration_csv(spark, sf_dir):
             .option("multiLine", True).csv(path))
 
 
+def q_pass_report(spark, sf_dir):
+    """pass@k reports under their names, read back."""
+    path = _fresh(spark, "pass-report")
+    IO.write_pass_report(_round_doubles(PK.pass_at_k_table(_att(spark, sf_dir), [1, 10])), path)
+    return IO.read_pass_report(spark, path, "model string, quantization string, language string, num_problems long, "
+                               "min_completions int, max_completions int, k int, pass_at_k double")
+
+
+def q_batch_job(spark, sf_dir):
+    """The three recipes; then with another seed, whose outputs
+    must be built anew, and once more, whose outputs are used again."""
+    out = _fresh(spark, "batch")
+    args = (spark, FX.code_corpus(spark, sf_dir), FX.qa_corpus(spark, sf_dir), _docs_corpus(spark, sf_dir), out)
+    for seed in (0, 1, 1):
+        totals = RC.build_all(*args, nsamples=40, val_size=8, seqlen=SEQLEN, seed=seed)
+    chosen = IO.reuse_or_build(spark, f"{out}/pajama/split", lambda: spark.sql("SELECT raise_error('built again')"),
+                               parameters=IO.stored_parameters(spark, f"{out}/pajama/split"))
+    return chosen.join(totals.where("recipe = 'pajama'"), "split")
+
+
 def q_split_files(spark, sf_dir):
     """Split sample and decoded text, read back from their folders."""
     path = _fresh(spark, "split")
@@ -457,7 +478,7 @@ def _stream_head(shuffle_seed, lateness):
 def q_stream_pass_rate(spark, sf_dir):
     root = _fresh(spark, "results")
     IG.write_result_tree(FX.attempts(spark, sf_dir), root)
-    out = ST_.stream_pass_rate(spark, root, _fresh(spark, "t4-out"), _fresh(spark, "t4-ck"))
+    out = ST_.stream_pass_rate(spark, root, _fresh(spark, "t4-store"), _fresh(spark, "t4-out"), _fresh(spark, "t4-ck"))
     return _round_doubles(out)
 
 
@@ -530,6 +551,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "keep_until": q_keep_until,
         "results_csv": q_results_csv,
         "calibration_csv": q_calibration_csv,
+        "pass_report": q_pass_report,
+        "batch_job": q_batch_job,
         "split_files": q_split_files,
         "report_csv": q_report_csv,
         "stream_filter": q_stream_filter,

@@ -2,34 +2,67 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibspark.functions.outcomes import pass_flag, path_dimensions
-from calibspark.sources.files import read_results, write_object_tree
+from calibspark.operators.bounded import broadcast_if_bounded
+from calibspark.session import scratch_path
+from calibspark.sources.files import list_objects, path_exists, read_results, small_files, write_object_tree
+
+ATTEMPTS = "model string, quantization string, language string, problem string, attempt int, status string, exit_code int, pass int"
+FILES = "rel_path string, length long, modified timestamp"
 
 
-def ingest_results(spark: SparkSession, root: str) -> DataFrame:
-    """S7 -> F9/F10 on the relative path -> X5 posexplode -> P11."""
-    res = read_results(spark, root)
+def attempts_of(results: DataFrame) -> DataFrame:
+    """F9/F10 on the relative path -> X5 posexplode -> P11."""
     model, quant, lang = path_dimensions(F.col("rel_path"))
-    return res.select(model.alias("model"), quant.alias("quantization"), lang.alias("language"),
-                      F.col("name").alias("problem"),
-                      F.posexplode("results").alias("attempt", "r")).select(
+    return results.select(model.alias("model"), quant.alias("quantization"), lang.alias("language"),
+                          F.col("name").alias("problem"),
+                          F.posexplode("results").alias("attempt", "r")).select(
         "model", "quantization", "language", "problem", F.col("attempt").cast("int").alias("attempt"),
         F.col("r.status").alias("status"), F.col("r.exit_code").alias("exit_code"),
         pass_flag(F.col("r.status"), F.col("r.exit_code")).alias("pass"))
 
 
-def compact_results(spark: SparkSession, root: str, out: str) -> DataFrame:
-    """R1 once: ingest the small gz files and keep the attempts as Parquet
-    (partitioned by configuration); later calls read the Parquet table."""
-    from calibspark.sources.files import reuse_or_build
+def compact_results(spark: SparkSession, root: str, store: str) -> DataFrame:
+    """Take the result files below ``root`` into ``store``, each exactly
+    once, and return all attempts there.
+
+    A batch is first noted: the files that no earlier batch has (a listing without
+    opening them).  Then it is read, many files to a task by their bytes, and its
+    attempts are written to the batch's own folder.  A batch that was noted
+    but whose attempts aren't complete is done again from its note, with overwrite."""
+    with small_files(spark):
+        _compact(spark, root, f"{store}/files", f"{store}/attempts")
+    return spark.read.schema(ATTEMPTS + ", batch long").parquet(f"{store}/attempts").drop("batch")
+
+
+def _compact(spark: SparkSession, root: str, notes: str, rows: str) -> None:
+    def noted() -> DataFrame:
+        return spark.read.schema(FILES + ", batch long").parquet(notes)
+
+    last = noted().agg(F.max("batch")).first()[0] if path_exists(spark, notes) else None
+    if last is None or path_exists(spark, f"{rows}/batch={last}/_SUCCESS"):
+        new = list_objects(spark, root, "*.results.json.gz")
+        if last is not None:
+            new = new.join(noted().select("rel_path"), "rel_path", "left_anti")
+        batch = 0 if last is None else last + 1
+        if last is None or not new.isEmpty():
+            new.write.parquet(f"{notes}/batch={batch}")
+            last = batch
+    if not path_exists(spark, f"{rows}/batch={last}/_SUCCESS"):
+        files = spark.read.schema(FILES).parquet(f"{notes}/batch={last}")
+        n, since = files.agg(F.count(F.lit(1)), F.min("modified")).first()
+        results = read_results(spark, root, since).join(broadcast_if_bounded(files.select("rel_path"), n), "rel_path", "left_semi")
+        attempts_of(results).write.mode("overwrite").parquet(f"{rows}/batch={last}")
 
-    def build():
-        return ingest_results(spark, root).repartition("model", "quantization", "language")
 
-    return reuse_or_build(spark, out, build)
+def ingest_results(spark: SparkSession, root: str, store: str | None = None) -> DataFrame:
+    """All attempts below ``root``, kept in ``store`` (default: a new folder)."""
+    return compact_results(spark, root, store or scratch_path(spark, f"attempts-{uuid.uuid4().hex}"))
 
 
 def write_result_tree(attempts: DataFrame, root: str, converted_every: int = 3) -> None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import uuid
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from calibspark.functions.tokens import WORDS, Tokenizer
 from calibspark.operators import sampling as S
 from calibspark.operators import stream_windows as SW
 from calibspark.operators.split import pretokenized_head, split_token_totals, split_train_val
-from calibspark.sources.files import path_exists, reuse_or_build, write_decoded
+from calibspark.sources.files import input_identity, path_exists, reuse_or_build
 
 # fixed values: recipe names; train-only ones reject eval mode
 TRAIN_ONLY = {"pajama", "github_code", "code_technical_language"}
@@ -65,24 +67,26 @@ def load_calibration(spark: SparkSession, name: str, corpus: DataFrame | None =
 
 def build_all(spark: SparkSession, code: DataFrame, qa: DataFrame, random_corpus: DataFrame,
               out_dir: str, nsamples: int = 1024, val_size: int = 128, seqlen: int = 4096,
-              seed: int = 0, tok: Tokenizer = WORDS) -> DataFrame:
+              seed: int = 0, tok: Tokenizer = WORDS, tokenizer_name: str | None = None) -> DataFrame:
     """The three calibration corpora, each split into train/validation,
-    written (binary + decoded) and reused when already there.  Returns the
-    sequence and token totals per (recipe, split)."""
+    written (binary + decoded) and reused when there for the same parameters
+    and inputs (a tokenizer of one's own needs a ``tokenizer_name`` for that).
+    Returns the sequence and token totals per (recipe, split)."""
     totals = []
     for name in JOB_RECIPES:
         corpus = random_corpus if name == "pajama" else code
+        inputs = [corpus, qa] if name == "code_technical_language" else [corpus]
+        # an output is used again only for the same parameters, tokenizer and input files
+        parameters = {"recipe": name, "nsamples": nsamples, "val_size": val_size, "seqlen": seqlen, "seed": seed,
+                      "tokenizer": tokenizer_name or ("words" if tok is WORDS else uuid.uuid4().hex), "inputs": input_identity(*inputs)}
 
         def build(name=name, corpus=corpus):
             sample = load_calibration(spark, name, corpus, qa, nsamples, seed, seqlen, tok=tok)
             return split_train_val(sample, val_size, seed)
 
         path = f"{out_dir.rstrip('/')}/{name}"
-        split = reuse_or_build(spark, f"{path}/split", build).persist(StorageLevel.MEMORY_AND_DISK)
-        if not path_exists(spark, f"{path}/decoded/_SUCCESS"):
-            write_decoded(split, f"{path}/decoded")
+        split = reuse_or_build(spark, f"{path}/split", build, parameters=parameters)
+        decoded = lambda split=split: split.select("split", "sample_id", "raw_data")
+        reuse_or_build(spark, f"{path}/decoded", decoded, "json", parameters)
         totals.append(split_token_totals(split).withColumn("recipe", F.lit(name)))
-    out = totals[0]
-    for t in totals[1:]:
-        out = out.unionByName(t)
-    return out
+    return reduce(DataFrame.unionByName, totals)

@@ -1,17 +1,23 @@
 """File sources and sinks.
 
 Completion and result files are gzipped single-object JSON files in nested
-folders.  They are read with the JSON source in multi-line mode over a
-recursive listing; gz files are unsplittable, so each file is one input
-split -- many small files are bundled per task by ``maxPartitionBytes`` /
-``openCostInBytes``, and ingest compacts them to Parquet once.
+folders.  They are read as whole texts over a recursive listing; ``small_files``
+lets Spark deal them to tasks by their bytes, with a small allowance for
+opening one, so that a task reads a bundle of many.
 """
 
 from __future__ import annotations
 
+import gzip
+import json
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from calibspark.functions.outcomes import pass_report_name, safe_name
 from pyspark.sql.types import (ArrayType, IntegerType, StringType, StructField, StructType)
 
 RESULTS_SCHEMA = StructType([
@@ -20,15 +26,6 @@ RESULTS_SCHEMA = StructType([
         StructField("status", StringType()), StructField("exit_code", IntegerType())]))),
 ])
 
-COMPLETIONS_SCHEMA = StructType([
-    StructField("name", StringType()),
-    StructField("prompt", StringType()),
-    StructField("completions", ArrayType(StringType())),
-    StructField("language", StringType()),
-    StructField("stop_tokens", ArrayType(StringType())),
-])
-
-
 def _root_uri(spark: SparkSession, root: str) -> str:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(root)
@@ -39,35 +36,55 @@ def _root_uri(spark: SparkSession, root: str) -> str:
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
 
 
-def relative_path(spark: SparkSession, root: str) -> Column:
-    """Path of the current file relative to ``root`` (from ``_metadata``);
+def relative_path(spark: SparkSession, root: str, path: str = "_metadata.file_path") -> Column:
+    """A file's path (by default the current one's) relative to ``root``;
     scheme and authority are ignored on both sides (``file:/`` vs ``file:///``)."""
     import re
     prefix = re.sub(_SCHEME, "", _root_uri(spark, root))
-    full = F.regexp_replace(F.col("_metadata.file_path"), _SCHEME, "")
+    full = F.regexp_replace(F.col(path), _SCHEME, "")
     return F.when(full.startswith(prefix), F.substr(full, F.lit(len(prefix) + 1))).otherwise(full)
 
 
-def read_results(spark: SparkSession, root: str) -> DataFrame:
-    """Every ``*.results.json.gz`` below ``root``: (rel_path, name, results)."""
-    df = (spark.read.schema(RESULTS_SCHEMA).option("multiLine", True)
-          .option("recursiveFileLookup", True).option("pathGlobFilter", "*.results.json.gz")
-          .json(root))
-    return df.select(relative_path(spark, root).alias("rel_path"), "name", "results")
-
-
-def read_completions(spark: SparkSession, root: str, schema: StructType | str | None = None) -> DataFrame:
-    """Every ``*.gz`` below ``root`` except result files:
-    (rel_path, <object fields>).  ``schema='infer'`` keeps every field the
-    files carry (one extra pass to infer it); the default schema reads the
-    known fields only."""
-    reader = (spark.read.option("multiLine", True).option("recursiveFileLookup", True)
-              .option("pathGlobFilter", "*.gz"))
-    if schema != "infer":
-        reader = reader.schema(schema or COMPLETIONS_SCHEMA)
-    df = reader.json(root)
-    df = df.where(~F.col("_metadata.file_name").endswith("results.json.gz"))
-    return df.select(relative_path(spark, root).alias("rel_path"), *df.columns)
+#: Bytes that opening a file counts for when files are dealt to tasks.
+OPEN_COST = 16 << 10
+
+
+@contextmanager
+def small_files(spark: SparkSession) -> Iterator[None]:
+    """Jobs run inside deal files to tasks by bytes: bundles of many small files."""
+    key = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(OPEN_COST))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def list_objects(spark: SparkSession, root: str, glob: str) -> DataFrame:
+    """(rel_path, length, modified) of the files below ``root``; none is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    return files.select(relative_path(spark, root, "path").alias("rel_path"), "length", F.col("modificationTime").alias("modified"))
+
+
+def gunzip(content: Column) -> Column:
+    """Text of gzipped bytes (Arrow batches; the bytes of many small files are read
+    faster as they are than through a text reader for each)."""
+    def texts(batch: pd.Series) -> pd.Series:
+        return batch.map(lambda b: gzip.decompress(b).decode("utf-8"))
+
+    return F.pandas_udf(texts, "string")(content)
+
+
+def read_results(spark: SparkSession, root: str, modified_since=None) -> DataFrame:
+    """Every ``*.results.json.gz`` below ``root``: (rel_path, name, results);
+    files last changed before ``modified_since`` aren't opened."""
+    df = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
+          .option("pathGlobFilter", "*.results.json.gz").load(root))
+    if modified_since is not None:
+        df = df.where(F.col("modificationTime") >= F.lit(modified_since))
+    body = F.from_json(gunzip(F.col("content")), RESULTS_SCHEMA)
+    return df.select(relative_path(spark, root, "path").alias("rel_path"), body.alias("o")).select("rel_path", "o.name", "o.results")
 
 
 def read_completion_objects(spark: SparkSession, root: str) -> DataFrame:
@@ -130,9 +147,17 @@ def write_report(df: DataFrame, path: str, order_col: str = "report_pos") -> Non
     df.orderBy(order_col).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_pass_report(df: DataFrame, path: str) -> None:
-    """pass@k table as CSV (one file; one row per configuration and k)."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_pass_report(df: DataFrame, folder: str, temperature: float = 0.2) -> None:
+    """pass@k rows (bounded by configurations and k) as CSV, under the
+    report name of each row's language, model and quantization (F16)."""
+    label = safe_name(F.concat_ws("-", "model", "quantization"))
+    named = df.withColumn("report", pass_report_name(label, F.col("language"), F.lit(temperature)))
+    named.repartition("report").write.mode("overwrite").partitionBy("report").option("header", True).csv(folder)
+
+
+def read_pass_report(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """S16 back: the rows with the name of their report."""
+    return spark.read.schema(f"{schema}, report string").option("header", True).csv(folder)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -141,12 +166,49 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def reuse_or_build(spark: SparkSession, path: str, build, fmt: str = "parquet") -> DataFrame:
-    """Read ``path`` when a finished output is there, else build, write
-    and read it back (the written table also cuts the lineage)."""
-    if not path_exists(spark, path.rstrip("/") + "/_SUCCESS"):
-        build().write.mode("overwrite").format(fmt).save(path)
-    return spark.read.format(fmt).load(path)
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under another name, then move it to its own: readers see all of it or nothing."""
+    jvm = spark.sparkContext._jvm
+    target, draft = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if fs.exists(target):
+        fs.delete(target, False)
+    fs.rename(draft, target)
+
+
+def _read_text(spark: SparkSession, path: str) -> str | None:
+    return "".join(r[0] for r in spark.read.text(path, wholetext=True).collect()) if path_exists(spark, path) else None
+
+
+def input_identity(*inputs: DataFrame) -> list:
+    """What a cached output depends on: the tables' input files, schemas and plans."""
+    return [[sorted(d.inputFiles()), d.schema.json(), d.semanticHash()] for d in inputs]
+
+
+def reuse_or_build(spark: SparkSession, path: str, build, fmt: str = "parquet", parameters: dict | None = None) -> DataFrame:
+    """Read the finished output at ``path`` if it was built with the same
+    ``parameters`` (values that JSON can hold), else build and publish it.
+
+    Each build has a folder of its own; a manifest with its name and parameters is moved
+    into place once the folder is complete, so a reader sees a whole output, and
+    one that is being read stays as it is."""
+    manifest, asked = f"{path.rstrip('/')}/manifest.json", json.loads(json.dumps(parameters or {}, sort_keys=True))
+    text = _read_text(spark, manifest)
+    known = json.loads(text) if text else None
+    if known is None or known["parameters"] != asked or known["format"] != fmt:
+        known = {"build": f"build-{uuid.uuid4().hex}", "format": fmt, "parameters": asked}
+        build().write.format(fmt).save(f"{path.rstrip('/')}/{known['build']}")
+        _write_text(spark, manifest, json.dumps(known, sort_keys=True))
+    return spark.read.format(fmt).load(f"{path.rstrip('/')}/{known['build']}")
+
+
+def stored_parameters(spark: SparkSession, path: str) -> dict | None:
+    """Parameters that the output at ``path`` was built with."""
+    text = _read_text(spark, f"{path.rstrip('/')}/manifest.json")
+    return json.loads(text)["parameters"] if text else None
 
 
 # ---------------------------------------------------------------- fixture trees

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from calibspark.operators.sampling import code_candidates, qa_candidates, quota_select
-from calibspark.sources.files import RESULTS_SCHEMA, path_exists, relative_path
-from calibspark.functions.outcomes import pass_flag, path_dimensions
+from calibspark.plans.ingest import ATTEMPTS, compact_results
+from calibspark.sources.files import path_exists
 
 
 def _run(query_builder, checkpoint: str) -> None:
@@ -141,26 +141,16 @@ def stream_head(spark: SparkSession, src: str, schema: StructType | str, k: int,
     return state.run(_source(spark, src, schema, files_per_trigger), checkpoint)
 
 
-def stream_pass_rate(spark: SparkSession, root: str, out: str, checkpoint: str,
-                     files_per_trigger: int = 20000, archive_dir: str | None = None) -> DataFrame:
-    """T4: result files as they appear -> running pass rate per configuration
-    (complete mode; each batch overwrites the result table, whose state is
-    one row per configuration).  ``archive_dir`` moves processed files out of
-    the watched tree (``cleanSource=archive``) so listings stay small when the
-    tree keeps growing."""
-    reader = (spark.readStream.schema(RESULTS_SCHEMA).option("multiLine", True)
-              .option("recursiveFileLookup", True).option("pathGlobFilter", "*.results.json.gz")
-              .option("maxFilesPerTrigger", files_per_trigger))
-    if archive_dir:
-        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive_dir)
-    s = reader.json(root)
-    model, quant, lang = path_dimensions(relative_path(spark, root))
-    rows = s.select(model.alias("model"), quant.alias("quantization"), lang.alias("language"),
-                    F.explode("results").alias("r"))
-    flag = pass_flag(F.col("r.status"), F.col("r.exit_code"))
-    agg = rows.groupBy("model", "quantization", "language").agg(
-        F.count(F.lit(1)).alias("n_attempts"), F.sum(flag).cast("long").alias("n_pass"),
-        F.avg(flag.cast("double")).alias("pass_rate"))
+def stream_pass_rate(spark: SparkSession, root: str, store: str, out: str, checkpoint: str, files_per_trigger: int = 1000) -> DataFrame:
+    """T4: result files as they appear -> running pass rate per configuration.
+
+    The files that are new are first taken into ``store``, exactly once and many to a
+    task (``plans.ingest.compact_results``); the stream is over the few Parquet files
+    there (complete mode: each batch overwrites the result, one row per configuration)."""
+    compact_results(spark, root, store)
+    s = spark.readStream.schema(ATTEMPTS + ", batch long").option("maxFilesPerTrigger", files_per_trigger).parquet(f"{store}/attempts")
+    agg = s.groupBy("model", "quantization", "language").agg(
+        F.count(F.lit(1)).alias("n_attempts"), F.sum("pass").cast("long").alias("n_pass"), F.avg(F.col("pass").cast("double")).alias("pass_rate"))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out)

@@ -735,6 +735,13 @@ def job_queries() -> dict[str, str]:
                            "CAST(doc_id AS VARCHAR) AS meta, lang, doc_id FROM documents) WHERE lang = 'en' AND doc_id % 4 <> 0"),
         "corpus_arrival_parquet": ("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, text, CAST(doc_id AS VARCHAR) AS meta "
                                    "FROM documents"),
+        "pass_report": ("SELECT *, 'pass_result_temp_0_2_' || language || '_' || translate(model || '-' || quantization, '/-', '__') || '.csv' "
+                        f"AS report FROM (({pass_at_k_sql(1)}) UNION ALL ({pass_at_k_sql(10)}))"),
+        "batch_job": (f"WITH s AS ({random_windows_sql(40, 64, 1, True)}), "
+                      f"v AS (SELECT sample_id FROM s ORDER BY {h48('concat_ws(chr(124), 1, sample_id)')}, sample_id LIMIT 8), "
+                      "t AS (SELECT s.*, CASE WHEN v.sample_id IS NULL THEN 'train' ELSE 'val' END AS split FROM s LEFT JOIN v USING (sample_id)) "
+                      "SELECT t.*, count(*) OVER (PARTITION BY split) AS n_sequences, "
+                      "cast(sum(num_tokens) OVER (PARTITION BY split) as bigint) AS total_tokens, 'pajama' AS recipe FROM t"),
         "keep_until": ("SELECT doc_id, array_to_string(list_concat(list_slice(ls, 1, least(len(ls), 2) - 1), "
                        "[substring(ls[least(len(ls), 2)], 1, 5)]), chr(10)) AS kept "
                        "FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"),

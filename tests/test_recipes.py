@@ -1,5 +1,6 @@
 """Recipe registry and batch job."""
 
+import os
 import uuid
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from calibspark.plans.recipes import build_all, load_calibration
 from calibspark.session import scratch_path
+from calibspark.sources import files as IO
 from calibspark.sources import fixtures as FX
 from calibspark.sources.corpus import document_corpus
 from tests.conftest import SF_SMALL
@@ -50,3 +52,18 @@ def test_build_all_reuses_outputs(spark):
     t2 = {(r.recipe, r.split): (r.n_sequences, r.total_tokens)
           for r in build_all(spark, code, qa, docs, out, nsamples=8, val_size=2, seqlen=16).collect()}
     assert t1 == t2
+
+
+def test_build_all_builds_anew_for_other_parameters(spark):
+    """Another seed or another corpus isn't served from an older output; the older one stays whole for its readers."""
+    docs = document_corpus(spark, SF_SMALL)
+    code, qa = FX.code_corpus(spark, SF_SMALL), FX.qa_corpus(spark, SF_SMALL)
+    out = scratch_path(spark, f"build-{uuid.uuid4().hex}")
+    rows = []
+    for seed, corpus in ((0, docs), (5, docs), (5, docs.where("pos < 100")), (5, docs.where("pos < 100"))):
+        build_all(spark, code, qa, corpus, out, nsamples=8, val_size=2, seqlen=16, seed=seed).collect()
+        made = spark.read.parquet(IO.reuse_or_build(spark, f"{out}/pajama/split", None, parameters=IO.stored_parameters(
+            spark, f"{out}/pajama/split")).inputFiles()[0].rsplit("/", 1)[0])
+        rows.append(sorted(map(tuple, made.collect())))
+    assert rows[0] != rows[1] and rows[1] != rows[2] and rows[2] == rows[3]
+    assert len([f for f in os.listdir(f"{out}/pajama/split") if f.startswith("build-")]) == 3
