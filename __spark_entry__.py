@@ -9,8 +9,9 @@ same name in both.
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib.util import find_spec
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calibspark.functions import meta as MT
@@ -19,6 +20,7 @@ from calibspark.functions import tokens as TK
 from calibspark.operators import completions as CM
 from calibspark.operators import ordinals as OR
 from calibspark.operators import validation as VL
+from calibspark.operators import padding as PD
 from calibspark.operators import passk as PK
 from calibspark.operators import sampling as S
 from calibspark.operators import split as SP
@@ -37,11 +39,10 @@ from calibspark.plans import statistics as ST
 from calibspark.sources import fixtures as FX
 from calibspark.sources.tables import table
 
-try:  # the training-data operators are an optional part
+LLM = PIPE = None
+if find_spec("calibspark.llm") and find_spec("corpus_pipeline"):  # the training-data operators are an optional part
     import corpus_pipeline as PIPE
     from calibspark.llm import registry as LLM
-except ImportError:
-    LLM = PIPE = None
 
 DIGITS = 9
 SF_SMOKE = "/root/testdata/sf0.001"
@@ -103,6 +104,10 @@ def q_custom_sort(spark, sf_dir):
     return _round_doubles(with_sort_position(PK.pass_rate(_att(spark, sf_dir)), CUSTOM_SORT_SPEC, "model"))
 
 
+def q_label_families(spark, sf_dir):
+    return ST.label_families(_att(spark, sf_dir), ["3bit", "2bit"])
+
+
 def q_experiment_grid(spark, sf_dir):
     return ST.experiment_grid(FX.attempts(spark, sf_dir), R.RQ2.comparisons)
 
@@ -263,9 +268,7 @@ def q_stop_truncate(spark, sf_dir):
 
 
 def q_left_pad(spark, sf_dir):
-    tr = FX.token_rows(spark, sf_dir)
-    w = F.max(F.size("ids")).over(Window.partitionBy(F.floor(F.col("doc_id") / 8)))
-    tr = tr.withColumn("width", w)
+    tr = PD.with_batch_width(FX.token_rows(spark, sf_dir), "doc_id", "ids", 8)
     return tr.select("doc_id", "width", F.array_join(TK.left_pad(F.col("ids"), 0, F.col("width")), ",").alias("padded"))
 
 
@@ -502,6 +505,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "path_dimensions": q_path_dimensions,
         "run_labels": q_run_labels,
         "custom_sort": q_custom_sort,
+        "label_families": q_label_families,
         "experiment_grid": q_experiment_grid,
         "completion_cap": q_completion_cap,
         "paired_labels": q_paired_labels,

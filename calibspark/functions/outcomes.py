@@ -71,3 +71,23 @@ def pass_report_name(label: Column, language: Column, temperature: Column) -> Co
     """``pass_result_temp_<t>_<lang>_<label>.csv``."""
     return F.concat(F.lit("pass_result_temp_"), temperature_tag(temperature), F.lit("_"),
                     language, F.lit("_"), label, F.lit(".csv"))
+
+
+def label_startswith(label: Column, prefix: str) -> Column:
+    """The label begins with ``prefix``."""
+    return label.startswith(prefix)
+
+
+def prefix_family(label: Column, prefixes: list[str]) -> Column:
+    """The first of ``prefixes`` that the label begins with, else the empty text."""
+    return F.coalesce(*[F.when(label_startswith(label, p), F.lit(p)) for p in prefixes], F.lit(""))
+
+
+def precision_label(bits: Column, recipe: Column | None = None, finetuned: Column | None = None) -> Column:
+    """``<bits>bit[-<recipe>][-finetuned]``; a null or empty recipe is left out."""
+    label = F.concat(bits.cast("string"), F.lit("bit"))
+    if recipe is not None:
+        label = F.concat(label, F.when(F.coalesce(recipe, F.lit("")) == "", "").otherwise(F.concat(F.lit("-"), recipe)))
+    if finetuned is not None:
+        label = F.concat(label, F.when(finetuned, "-finetuned").otherwise(""))
+    return label

@@ -26,6 +26,29 @@ from calibspark.session import written
 _KEYS = ["__pid", "__file", "__block"]
 
 
+def with_block(rows: DataFrame) -> DataFrame:
+    """Add the scan's task and file block of each row."""
+    return rows.select("*", F.spark_partition_id().alias("__pid"), F.input_file_name().alias("__file"), F.input_file_block_start().alias("__block"))
+
+
+def rises(rows: DataFrame, pos: str, strict: bool = True) -> bool:
+    """No row of a block comes after one with a larger position (or an equal one)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict = {}
+        bad = False
+        for b in batches:
+            at, key = b.column(0).to_numpy(), b.column(1).dictionary_encode()
+            for code, name in enumerate(key.dictionary.to_pylist()):
+                own = at[key.indices.to_numpy() == code]
+                bad |= bool((np.diff(own, prepend=last.get(name, own[0] - 1)) < int(strict)).any())
+                last[name] = own[-1]
+        if bad:
+            yield pa.RecordBatch.from_pydict({"bad": [1]})
+
+    key = F.concat_ws("|", "__file", F.col("__block").cast("string")).alias("key")
+    return rows.select(F.col(pos).cast("long"), key).mapInArrow(run, "bad long").isEmpty()
+
+
 class Arrival:
     """A corpus (pos, text) with a weight per row, in arrival order.
 
@@ -47,8 +70,7 @@ class Arrival:
 
     def _scan(self, corpus: DataFrame) -> None:
         self.corpus = corpus
-        self.rows = corpus.select("pos", "text", self.weight.cast("long").alias("w"), F.spark_partition_id().alias("__pid"),
-                                  F.input_file_name().alias("__file"), F.input_file_block_start().alias("__block"))
+        self.rows = with_block(corpus.select("pos", "text", self.weight.cast("long").alias("w")))
         got = self.rows.groupBy(*_KEYS).agg(F.min("pos").alias("lo"), F.max("pos").alias("hi"), F.count(F.lit(1)).alias("n"),
                                             F.count("pos").alias("m"), F.sum("w").alias("w")).collect()  # one row per file block
         if any(r.n != r.m for r in got):
@@ -57,24 +79,7 @@ class Arrival:
 
     def _in_order(self) -> bool:
         """The rows come from files, and their blocks follow each other."""
-        return all(r["__file"] for r in self.blocks) and all(a.hi < b.lo for a, b in zip(self.blocks, self.blocks[1:])) and self._rising()
-
-    def _rising(self) -> bool:
-        """No row of a block comes after one with a larger or equal position."""
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            last: dict = {}
-            bad = False
-            for b in batches:
-                pos, key = b.column(0).to_numpy(), b.column(1).dictionary_encode()
-                for code, name in enumerate(key.dictionary.to_pylist()):
-                    own = pos[key.indices.to_numpy() == code]
-                    bad |= bool((np.diff(own, prepend=last.get(name, own[0] - 1)) <= 0).any())
-                    last[name] = own[-1]
-            if bad:
-                yield pa.RecordBatch.from_pydict({"bad": [1]})
-
-        key = F.concat_ws("|", "__file", F.col("__block").cast("string")).alias("key")
-        return self.rows.select("pos", key).mapInArrow(run, "bad long").isEmpty()
+        return all(r["__file"] for r in self.blocks) and all(a.hi < b.lo for a, b in zip(self.blocks, self.blocks[1:])) and rises(self.rows, "pos")
 
     def located(self, windows: tuple[np.ndarray, np.ndarray] | None = None, length: int = 0, fold: str | None = None) -> DataFrame:
         """(pos, text, w, cum): ``cum`` is the sum of the weights before the row.

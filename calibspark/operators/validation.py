@@ -19,9 +19,9 @@ RECIPE_OF_SUFFIX = {"-rnd": "pajama", "-mixed": "code_technical_language", "-cod
 
 
 def validate_in(df: DataFrame, col: str, allowed: list[str], field: str | None = None) -> DataFrame:
-    """Distinct values of ``col`` with a ``valid`` flag."""
-    return df.select(F.lit(field or col).alias("field"), F.col(col).alias("value")).distinct() \
-        .withColumn("valid", F.col("value").isin(*allowed))
+    """The values of ``col`` with their rows and a ``valid`` flag."""
+    return (df.groupBy(F.lit(field or col).alias("field"), F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+            .withColumn("valid", F.col("value").isin(*allowed)))
 
 
 def recipe_of(quantization: Column) -> Column:
@@ -43,9 +43,9 @@ def validate_names(attempts: DataFrame) -> DataFrame:
 def tokenizer_configs(attempts: DataFrame) -> DataFrame:
     """One tokenizer configuration per model seen in the data (pad id missing
     for one family, to exercise the fallback)."""
-    m = attempts.select("model").distinct()
+    m = attempts.groupBy("model").agg(F.count(F.lit(1)).alias("n_attempts"))
     h = h48(F.col("model"))
-    return m.select("model",
+    return m.select("model", "n_attempts",
                     F.when(F.col("model").startswith("codellama"), F.lit(None)).otherwise(h % 7).alias("pad_id"),
                     (F.lit(2) + h % 5).alias("eos_id"),
                     F.array(*[F.lit(i) for i in range(7)]).cast("array<bigint>").alias("specials"))
@@ -54,7 +54,7 @@ def tokenizer_configs(attempts: DataFrame) -> DataFrame:
 def tokenizer_checks(cfg: DataFrame) -> DataFrame:
     """F24 pad falls back to eos; F25 special-id sanity flags."""
     pad = F.coalesce(F.col("pad_id"), F.col("eos_id")).cast("bigint")
-    return cfg.select("model", pad.alias("pad_id"), F.col("eos_id").cast("bigint").alias("eos_id"),
+    return cfg.select("model", "n_attempts", pad.alias("pad_id"), F.col("eos_id").cast("bigint").alias("eos_id"),
                       (F.size("specials") >= 1).alias("has_specials"),
                       F.array_contains("specials", pad).alias("pad_is_special"),
                       F.array_contains("specials", F.col("eos_id")).alias("eos_is_special"))

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from calibspark.functions.outcomes import prefix_family
 from calibspark.functions.stats import mcnemar_exact_p, or_infinite, paired_odds_ratio
 from calibspark.operators.multiple_testing import bh_adjust
 from calibspark.operators.ordering import with_sort_position
@@ -25,6 +26,7 @@ class ReportSpec:
     comparisons: list[Comparison]          # per (model, language) cell, in insertion order
     family: list[str] | None               # BH family columns; None = no adjustment
     sort: list[tuple] = field(default_factory=list)
+    family_prefixes: list[str] = field(default_factory=list)  # family_tag: the prefix of both labels (P16)
 
 
 # ---- fixed values: the study grids, comparison lists and sort lists --------
@@ -52,10 +54,10 @@ RQ1_FINETUNED = ReportSpec(
 RQ2 = ReportSpec(
     models=_MODELS_7B, languages=_LANGS,
     comparisons=[c for q in _BITS for c in (
-        Comparison(q + "-rnd", q + "-mixed", first="base", family_tag=q),
-        Comparison(q + "-rnd", q + "-code", first="base", family_tag=q),
-        Comparison(q + "-mixed", q + "-code", first="base", family_tag=q))],
-    family=["model", "lng", "family_tag"],
+        Comparison(q + "-rnd", q + "-mixed", first="base"),
+        Comparison(q + "-rnd", q + "-code", first="base"),
+        Comparison(q + "-mixed", q + "-code", first="base"))],
+    family=["model", "lng", "family_tag"], family_prefixes=_BITS,
     sort=[("rank", "model", _SORT_MODELS_7B), ("text", "lng"),
           ("rank", "base_precision", ["8bit-rnd", "8bit-mixed", "8bit-code", "4bit-rnd",
                                       "4bit-mixed", "4bit-code", "3bit-rnd", "3bit-mixed",
@@ -106,6 +108,8 @@ def paired_report(attempts: DataFrame, spec: ReportSpec, on_unpaired: str = "err
     rep = cont.select(row_id.alias("row_id"), F.col("base").alias("base_precision"),
                       F.col("other").alias("quant_precision"), F.col("language").alias("lng"),
                       "model", "family_tag", "n_pairs", "b", "c")
+    if spec.family_prefixes:
+        rep = rep.withColumn("family_tag", prefix_family(F.col("base_precision"), spec.family_prefixes))
     rep = with_test_statistics(rep)
     rep = bh_adjust(rep, "p_value", spec.family, "p_adj", tiebreak=["row_id"])
     rep = with_sort_position(rep, spec.sort, "row_id")

@@ -38,18 +38,17 @@ def per_problem_tests(attempts: DataFrame, base: str, other: str) -> DataFrame:
 
 
 def experiment_grid(attempts: DataFrame, comparisons: list[Comparison]) -> DataFrame:
-    """Every (model, language) cell present in the data crossed with the
-    comparison list (a literal explode, not a join), flagged by whether both
-    configurations have outcomes."""
-    cfgs = sorted({x for c in comparisons for x in (c.base, c.other)})
-    present = attempts.where(F.col("quantization").isin(cfgs)).groupBy("model", "language").agg(
-        F.collect_set("quantization").alias("cfgs"))
+    """Every (model, language) cell present in the data with each
+    comparison (a literal explode, not a join), the outcomes that either side
+    has, and whether both have some."""
+    sizes = attempts.groupBy("model", "language", "quantization").agg(F.count(F.lit(1)).alias("n"))
+    cells = sizes.groupBy("model", "language").agg(F.map_from_entries(F.collect_list(F.struct("quantization", "n"))).alias("sizes"))
     cmp = F.array(*[F.struct(F.lit(c.base).alias("base_precision"), F.lit(c.other).alias("quant_precision"))
                     for c in comparisons])
-    return (present.select("model", "language", "cfgs", F.inline(cmp))
-            .select("model", "language", "base_precision", "quant_precision",
-                    (F.array_contains("cfgs", F.col("base_precision"))
-                     & F.array_contains("cfgs", F.col("quant_precision"))).alias("testable")))
+    n = lambda c: F.coalesce(F.try_element_at("sizes", F.col(c)), F.lit(0))
+    return (cells.select("model", "language", "sizes", F.inline(cmp))
+            .select("model", "language", "base_precision", "quant_precision", n("base_precision").alias("n_base"),
+                    n("quant_precision").alias("n_quant"), ((n("base_precision") > 0) & (n("quant_precision") > 0)).alias("testable")))
 
 
 def result_paths(attempts: DataFrame, converted_every: int = 3) -> DataFrame:
@@ -85,3 +84,16 @@ def run_labels(attempts: DataFrame, temperature: str = "0.2") -> DataFrame:
         O.safe_name(hub).alias("safe_name"), run.alias("run_dir"), path.alias("completion_path"),
         O.cleaned_path(path).alias("cleaned_path"),
         O.pass_report_name(label, F.col("language"), F.lit(temperature)).alias("pass_report"))
+
+
+def label_families(attempts: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Attempts and passes of each label that begins with one of
+    ``prefixes``, with its parts and the label built from them again."""
+    label = F.col("quantization")
+    bits = F.regexp_extract(label, r"^(\d+)bit", 1).cast("int")
+    recipe = F.regexp_extract(label, r"^\d+bit-(rnd|mixed|code)", 1)
+    tuned = label.endswith("-finetuned")
+    rows = attempts.select("model", "language", "pass", O.prefix_family(label, prefixes).alias("family"),
+                           O.precision_label(bits, recipe, tuned).alias("label")).where(F.col("family") != "")
+    return rows.groupBy("family", "label", "model", "language").agg(
+        F.count(F.lit(1)).alias("n_attempts"), F.sum("pass").cast("long").alias("n_pass"))

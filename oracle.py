@@ -8,11 +8,46 @@ comparison checks the Spark operators, not a transliteration.
 
 from __future__ import annotations
 
-from calibspark.plans import reports as R
-from calibspark.sources import fixtures as FX
+from typing import NamedTuple
 
 DIGITS = 9
 
+# ---- fixed values, written down here on their own: the attempts view, the study reports
+MODELS = ["deepseekcoder-1b", "codellama-7b", "deepseekcoder-7b", "codellama-13b", "deepseekcoder-33b", "codellama-34b"]
+THRESHOLDS = [
+    ("16bit", 420), ("8bit", 418), ("4bit", 400), ("3bit", 340), ("2bit", 220), ("3bit-finetuned", 360), ("2bit-finetuned", 300),
+    ("8bit-rnd", 418), ("8bit-mixed", 419), ("8bit-code", 420), ("4bit-rnd", 400), ("4bit-mixed", 405), ("4bit-code", 403),
+    ("3bit-rnd", 340), ("3bit-mixed", 370), ("3bit-code", 372), ("2bit-rnd", 220), ("2bit-mixed", 290), ("2bit-code", 285),
+    ("2bit-mixed-finetuned", 330)]
+ATTEMPTS = 20
+
+
+class Report(NamedTuple):
+    """comparisons: (base, other, first argument, second argument, family tag)."""
+    models: list
+    comparisons: list
+    family: list | None
+    sort: list
+
+
+SORT_7B = ("rank", "model", ["deepseekcoder-7b", "codellama-7b"])
+RQ1 = Report(["codellama-7b", "deepseekcoder-7b"],
+             [("16bit", "8bit", "8bit", "16bit", ""), ("16bit", "4bit", "4bit", "16bit", ""),
+              ("16bit", "3bit", "3bit", "16bit", ""), ("16bit", "2bit", "2bit", "16bit", "")], ["model", "lng"],
+             [SORT_7B, ("text", "lng"), ("text", "base_precision"), ("rank", "quant_precision", ["16bit", "8bit", "4bit", "3bit", "2bit"])])
+RQ1_FINETUNED = Report(["codellama-7b", "deepseekcoder-7b"],
+                       [("3bit", "3bit-finetuned", "3bit", "3bit-finetuned", ""), ("2bit", "2bit-finetuned", "2bit", "2bit-finetuned", "")],
+                       None, [SORT_7B, ("text", "lng"), ("text", "base_precision"), ("rank", "quant_precision", ["3bit", "2bit"])])
+RQ2 = Report(["codellama-7b", "deepseekcoder-7b"],
+             [(f"{b}-{x}", f"{b}-{y}", f"{b}-{x}", f"{b}-{y}", b) for b in ("8bit", "4bit", "3bit", "2bit")
+              for x, y in (("rnd", "mixed"), ("rnd", "code"), ("mixed", "code"))], ["model", "lng", "family_tag"],
+             [SORT_7B, ("text", "lng"), ("rank", "base_precision", [f"{b}-{x}" for b in ("8bit", "4bit", "3bit", "2bit")
+                                                                    for x in ("rnd", "mixed", "code")])])
+RQ3 = Report(MODELS, [("16bit", "2bit-mixed", "2bit-mixed", "16bit", ""), ("16bit", "2bit-mixed-finetuned", "2bit-mixed-finetuned", "16bit", "")],
+             ["model", "lng"],
+             [("rank", "model", ["deepseekcoder-1_3b", "codellama-7b", "deepseekcoder-7b", "codellama-13b", "deepseekcoder-33b", "codellama-34b"]),
+              ("text", "lng"), ("text", "base_precision"), ("rank", "quant_precision", ["16bit", "2bit-mixed", "2bit-mixed-finetuned"])])
+
 
 def h48(x: str) -> str:
     return f"cast('0x' || substr(md5({x}), 1, 12) as bigint)"
@@ -32,16 +67,16 @@ def _list(values) -> str:
 
 
 def attempts_cte() -> str:
-    models = _vals(FX.FIXTURE_MODELS)
-    langs = _vals(FX.FIXTURE_LANGUAGES)
-    cfgs = _vals(FX.FIXTURE_THRESHOLDS)
+    models = _vals(MODELS)
+    langs = _vals(["py", "java"])
+    cfgs = _vals(THRESHOLDS)
     key_h = "concat_ws('|', m.model, c.quantization, l.language, cast(b.item_id as varchar), cast(a.attempt as varchar))"
     key_b = "concat_ws('|', m.model, l.language, cast(b.item_id as varchar), cast(a.attempt as varchar))"
     return f"""attempts_raw AS (
   SELECT b.item_id, m.model, c.quantization, l.language, cast(a.attempt as integer) AS attempt, c.thr,
          {h48(key_h)} AS h, {h48(key_b)} AS hb
   FROM benchmark b, (VALUES {models}) m(model), (VALUES {langs}) l(language),
-       (VALUES {cfgs}) c(quantization, thr), range(0, {FX.FIXTURE_ATTEMPTS}) a(attempt)
+       (VALUES {cfgs}) c(quantization, thr), range(0, {ATTEMPTS}) a(attempt)
 ), attempts AS (
   SELECT model, quantization, language, 'P_' || cast(item_id as varchar) AS problem, attempt,
          CASE WHEN (hb % 800) + (h % 200) < thr THEN 'OK' WHEN h % 3 = 0 THEN 'Exception'
@@ -74,10 +109,9 @@ def _sort_sql(spec) -> str:
     return ", ".join(keys)
 
 
-def report_sql(spec: R.ReportSpec) -> str:
-    cmps = _vals([(j, c.base, c.other, c.first_config, c.second_config, c.family_tag)
-                  for j, c in enumerate(spec.comparisons)])
-    n_l, n_c = len(spec.languages), len(spec.comparisons)
+def report_sql(spec: Report) -> str:
+    cmps = _vals([(j, *c) for j, c in enumerate(spec.comparisons)])
+    n_l, n_c = 2, len(spec.comparisons)
     fam = spec.family
     if fam is None:
         adj = "p_value AS p_adj"
@@ -89,7 +123,7 @@ def report_sql(spec: R.ReportSpec) -> str:
             FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY p_value, row_id) AS rk,
                          count(*) OVER (PARTITION BY {part}) AS n_fam FROM stats)"""
     return f"""WITH {attempts_cte()},
-att AS (SELECT * FROM attempts_pass WHERE model IN ({_vals(spec.models)}) AND language IN ({_vals(spec.languages)})),
+att AS (SELECT * FROM attempts_pass WHERE model IN ({_vals(spec.models)}) AND language IN ({_vals(['py', 'java'])})),
 cmp(cmp_idx, base, other, first_cfg, second_cfg, family_tag) AS (VALUES {cmps}),
 pairs AS (
   SELECT f.model, f.language, cmp.cmp_idx, cmp.base, cmp.other, cmp.family_tag, f.pass AS fp, s.pass AS sp
@@ -103,7 +137,7 @@ cont AS (
   FROM pairs GROUP BY ALL),
 stats AS (
   SELECT *, cast((list_position({_list(spec.models)}, model) - 1) * {n_l * n_c}
-               + (list_position({_list(spec.languages)}, lng) - 1) * {n_c} + cmp_idx + 1 as integer) AS row_id,
+               + (list_position({_list(['py', 'java'])}, lng) - 1) * {n_c} + cmp_idx + 1 as integer) AS row_id,
          {exact_p_sql('b', 'c')} AS p_value, {odds_sql('b', 'c')} AS odds_ratio, (c = 0 AND b > 0) AS or_infinite
   FROM cont),
 adj AS ({bh})
@@ -116,10 +150,10 @@ FROM adj"""
 
 def oracle_queries() -> dict[str, str]:
     return {
-        "report_rq1": report_sql(R.RQ1),
-        "report_rq1_finetuned": report_sql(R.RQ1_FINETUNED),
-        "report_rq2": report_sql(R.RQ2),
-        "report_rq3": report_sql(R.RQ3),
+        "report_rq1": report_sql(RQ1),
+        "report_rq1_finetuned": report_sql(RQ1_FINETUNED),
+        "report_rq2": report_sql(RQ2),
+        "report_rq3": report_sql(RQ3),
         **stats_queries(),
         **corpus_queries(),
         **stream_queries(),
@@ -138,7 +172,7 @@ def _stats_cols(b="b", c="c") -> str:
 
 
 def contingency_sql() -> str:
-    others = [q for q, _ in FX.FIXTURE_THRESHOLDS if q != "16bit"]
+    others = [q for q, _ in THRESHOLDS if q != "16bit"]
     cmps = _vals([(q,) for q in others])
     return f"""WITH {attempts_cte()},
 cmp(other) AS (VALUES {cmps})
@@ -223,7 +257,7 @@ FROM i"""
 CUSTOM_SORT_SPEC = [("rank", "model", ["deepseekcoder-1_3b", "codellama-7b", "deepseekcoder-7b",
                                        "codellama-13b", "deepseekcoder-33b", "codellama-34b"]),
                     ("text", "language"),
-                    ("rank", "quantization", [q for q, _ in FX.FIXTURE_THRESHOLDS])]
+                    ("rank", "quantization", [q for q, _ in THRESHOLDS])]
 
 
 def custom_sort_sql() -> str:
@@ -234,15 +268,22 @@ SELECT *, cast(row_number() OVER (ORDER BY {_sort_sql(CUSTOM_SORT_SPEC)}, model)
 
 
 def experiment_grid_sql() -> str:
-    cmps = _vals([(c.base, c.other) for c in R.RQ2.comparisons])
-    cfgs = _vals(sorted({x for c in R.RQ2.comparisons for x in (c.base, c.other)}))
+    cmps = _vals([c[:2] for c in RQ2.comparisons])
     return f"""WITH {attempts_cte()},
-cells AS (SELECT model, language, list(DISTINCT quantization) AS cfgs FROM attempts
-          WHERE quantization IN ({cfgs}) GROUP BY ALL),
+cells AS (SELECT DISTINCT model, language FROM attempts),
+n AS (SELECT model, language, quantization, count(*) AS n FROM attempts GROUP BY ALL),
 cmp(base_precision, quant_precision) AS (VALUES {cmps})
-SELECT model, language, base_precision, quant_precision,
-       list_contains(cfgs, base_precision) AND list_contains(cfgs, quant_precision) AS testable
-FROM cells, cmp"""
+SELECT c.model, c.language, base_precision, quant_precision, coalesce(b.n, 0) AS n_base, coalesce(q.n, 0) AS n_quant,
+       coalesce(b.n, 0) > 0 AND coalesce(q.n, 0) > 0 AS testable
+FROM cells c CROSS JOIN cmp
+LEFT JOIN n b ON b.model = c.model AND b.language = c.language AND b.quantization = base_precision
+LEFT JOIN n q ON q.model = c.model AND q.language = c.language AND q.quantization = quant_precision"""
+
+
+def label_families_sql() -> str:
+    return f"""WITH {attempts_cte()}
+SELECT left(quantization, 4) AS family, quantization AS label, model, language, count(*) AS n_attempts, cast(sum(pass) as bigint) AS n_pass
+FROM attempts_pass WHERE regexp_matches(quantization, '^[23]bit') GROUP BY ALL"""
 
 
 def completion_cap_sql(n=10) -> str:
@@ -276,6 +317,7 @@ def stats_queries() -> dict[str, str]:
         "run_labels": run_labels_sql(),
         "custom_sort": custom_sort_sql(),
         "experiment_grid": experiment_grid_sql(),
+        "label_families": label_families_sql(),
         "completion_cap": completion_cap_sql(),
         "paired_labels": paired_labels_sql(),
     }
@@ -675,22 +717,22 @@ def regroup_sql() -> str:
 
 def validate_names_sql() -> str:
     return f"""WITH {attempts_cte()},
-v AS (SELECT DISTINCT 'language' AS field, language AS value FROM attempts
-      UNION SELECT DISTINCT 'recipe' AS field,
+v AS (SELECT 'language' AS field, language AS value FROM attempts
+      UNION ALL SELECT 'recipe' AS field,
         CASE WHEN ends_with(quantization, '-rnd') THEN 'pajama' WHEN ends_with(quantization, '-mixed') THEN 'code_technical_language'
              WHEN ends_with(quantization, '-code') THEN 'github_code' ELSE 'none' END AS value FROM attempts)
-SELECT field, value,
+SELECT field, value, count(*) AS n_rows,
   CASE WHEN field = 'language' THEN value IN ('java', 'py') ELSE value IN ('pajama', 'github_code', 'code_technical_language') END AS valid
-FROM v"""
+FROM v GROUP BY ALL"""
 
 
 def tokenizer_checks_sql() -> str:
     h = h48("model")
     return f"""WITH {attempts_cte()},
-m AS (SELECT DISTINCT model FROM attempts),
-t AS (SELECT model, CASE WHEN starts_with(model, 'codellama') THEN NULL ELSE {h} % 7 END AS pad_raw,
+m AS (SELECT model, count(*) AS n_attempts FROM attempts GROUP BY ALL),
+t AS (SELECT model, n_attempts, CASE WHEN starts_with(model, 'codellama') THEN NULL ELSE {h} % 7 END AS pad_raw,
              2 + {h} % 5 AS eos_id, [0, 1, 2, 3, 4, 5, 6] AS specials FROM m)
-SELECT model, cast(coalesce(pad_raw, eos_id) as bigint) AS pad_id, cast(eos_id as bigint) AS eos_id,
+SELECT model, n_attempts, cast(coalesce(pad_raw, eos_id) as bigint) AS pad_id, cast(eos_id as bigint) AS eos_id,
   len(specials) >= 1 AS has_specials, list_contains(specials, coalesce(pad_raw, eos_id)) AS pad_is_special,
   list_contains(specials, eos_id) AS eos_is_special
 FROM t"""
@@ -725,10 +767,10 @@ def clean_job_sql(language: str = "py") -> str:
 def job_queries() -> dict[str, str]:
     return {
         "results_csv": f"WITH {attempts_cte()} SELECT model, quantization, language, problem, attempt, pass FROM attempts_pass",
-        "report_from_csv": report_sql(R.RQ1),
+        "report_from_csv": report_sql(RQ1),
         "calibration_csv": quota_sample_sql(),
         "split_files": f"SELECT sample_id, raw_data, split FROM ({train_val_sql()})",
-        "report_csv": report_sql(R.RQ1),
+        "report_csv": report_sql(RQ1),
         "ingest_results": outcome_flag_sql(),
         "corpus_scan": "SELECT doc_id AS pos, text, source AS meta FROM documents WHERE lang = 'en' AND doc_id % 4 <> 0",
         "corpus_arrival": ("SELECT pos, text, meta FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, text, "

@@ -109,3 +109,34 @@ def test_ordinals_of_split_files(spark):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [r.pos for r in got] == list(range(5000)) and [int(r.meta) for r in got] == list(range(5000))
+
+
+@pytest.mark.parametrize("files,shuffled", [(1, False), (7, False), (3, True)])
+def test_batch_widths(spark, files, shuffled):
+    """Batches that go over files, rows out of order, and no shuffle of arrays for rows in order."""
+    from calibspark.operators.padding import with_batch_width
+    rng = random.Random(files)
+    rows = [(i, [1] * rng.randrange(9)) for i in range(203)]
+    path = fresh(spark, "ids")
+    df = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    laid = df.repartition(files, "ids") if shuffled else df.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
+    laid.write.parquet(path)
+    want = {b: max(len(x) for i, x in rows if i // 8 == b) for b in range(26)}
+    out = with_batch_width(spark.read.parquet(path), "doc_id", "ids", 8)
+    assert sorted((r.doc_id, r.ids, r.width) for r in out.collect()) == [(i, x, want[i // 8]) for i, x in rows]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_configurations_share_bits(spark):
+    """Over 62 configurations: two longs, every comparison right."""
+    from calibspark.operators.paired import Comparison, paired_contingency
+    rng = random.Random(0)
+    configs = [f"c{i:03d}" for i in range(70)]
+    rows = [("m", p, c, rng.randrange(2)) for p in range(30) for c in configs]
+    comparisons = [Comparison(a, b, first=rng.choice(["base", "other"])) for a, b in ((rng.sample(configs, 2)) for _ in range(25))]
+    got = paired_contingency(spark.createDataFrame(rows, "model string, p int, q string, pass int"), ["p"], ["model"], "q", "pass", comparisons)
+    by = {(p, c): o for _, p, c, o in rows}
+    for r in got.collect():
+        c = comparisons[r.cmp_idx]
+        cells = [(by[p, c.first_config], by[p, c.second_config]) for p in range(30)]
+        assert (r.n_pairs, r.a, r.b, r.c, r.d) == (30, *[cells.count(x) for x in ((0, 0), (0, 1), (1, 0), (1, 1))])
