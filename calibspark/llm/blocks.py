@@ -31,9 +31,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from calibspark.llm.scratch import discard, stage
 
 #: Bytes of text in a block.
-BLOCK = 5 << 20
-#: Entries of a part, entries that one copy of a part answers, codes for one of the sample.
-PART, QUESTIONS, SAMPLE = 1 << 20, 1 << 21, 1024
+BLOCK = 4 << 20
+#: Entries of a part, entries that one copy of a part answers, codes for one of the sample, codes looked up at a time.
+PART, QUESTIONS, SAMPLE, LOOK = 1 << 20, 1 << 21, 1024, 1 << 17
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -244,9 +244,9 @@ def counted_parts(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, finish
                 deltas, counts = unpack(s.as_py())
                 held.append((np.cumsum(deltas), counts))
                 size += len(counts)
-                if size > 4 * PART:
+                if size > 2 * PART:
                     held = [total()]
-                    size = min(len(held[0][0]), 2 * PART)
+                    size = min(len(held[0][0]), PART)
         if held:
             yield finish(part, *total())
 
@@ -295,7 +295,8 @@ def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFram
             rows = [unpack(x.as_py()) for x in asked.column("asked")]
             codes = [np.cumsum(r.pop(0)) for r in rows]
             every, number = np.unique(np.concatenate(codes), return_inverse=True)
-            got = find(images.column("image")[0].as_buffer(), images.column("part")[0].as_py(), every)
+            image, part = images.column("image")[0].as_buffer(), images.column("part")[0].as_py()
+            got = [np.concatenate(x) for x in zip(*[find(image, part, every[i:i + LOOK]) for i in range(0, len(every), LOOK)])]
             at = np.cumsum([0, *map(len, codes)])
             found = [reply(*(g[number[lo:hi]] for g in got), *r) for lo, hi, r in zip(at, at[1:], rows)]
         else:

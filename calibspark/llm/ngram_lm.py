@@ -219,7 +219,7 @@ def finder(level: Level, width: int) -> Callable:
         if len(edge):
             at = np.minimum(np.searchsorted(edge, codes // width), len(edge) - 1)
             weight = np.where((weight < 0) & (edge[at] == codes // width), edge_weight[at], weight)
-        return node, place, p, weight
+        return node, place, p.astype(np.int32), weight.astype(np.int32)
 
     return find
 
