@@ -160,11 +160,19 @@ def symbols(blocks: DataFrame, *columns: str) -> DataFrame:
     return blocks.select("block", F.posexplode(zipped).alias("place", "s")).select("block", "place", *[F.col(f"s.{c}").alias(c) for c in columns])
 
 
+def with_lists(blocks: DataFrame, rows: DataFrame, lists: list, name: str) -> DataFrame:
+    """The blocks with ``lists`` (aggregates by block) of ``rows``.  They are
+    written first, which frees the shuffles behind them; ``discard`` the result to delete them."""
+    made = stage(rows.groupBy("block").agg(*lists), name)
+    out = blocks.join(made, "block", "left")
+    out._scratch = made._scratch
+    return out
+
+
 def with_values(blocks: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     """The blocks with arrays ``at`` (places of the symbols in ``found``) and
     ``columns`` (their values); null arrays where none was found."""
-    lists = found.groupBy("block").agg(F.collect_list("place").alias("at"), *[F.collect_list(c).alias(c) for c in columns])
-    return blocks.join(lists, "block", "left")
+    return with_lists(blocks, found, [F.collect_list("place").alias("at"), *[F.collect_list(c).alias(c) for c in columns]], "values")
 
 
 def numbers(batch: pa.RecordBatch, name: str, row: int, dtype=np.int64) -> np.ndarray:
@@ -254,13 +262,14 @@ def counted_parts(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, finish
     return map_blocks(dealt.repartition("part").sortWithinPartitions("part"), merge, schema)
 
 
-def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFrame, find: Callable, reply: Callable = pack) -> DataFrame:
+def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFrame, find: Callable, reply: Callable = pack,
+        prepare: Callable | None = None) -> DataFrame:
     """(block, part, found) for each part's slice of a block's sorted codes.
     ``find(image, part, codes)`` gives arrays beside sorted distinct codes, those of
     all blocks that ask a copy of a part together; ``reply(*arrays, *others)``
     makes a block's answer from its share of them and the arrays that ``codes_of``
     gives beside its codes.  ``images`` (part, image) has one row per part that knows
-    something; without one there is no answer."""
+    something (``prepare(part, image)`` makes the real image); without one there is no answer."""
     def volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         total = np.zeros(len(bounds), np.int64)
         for b in batches:
@@ -286,8 +295,9 @@ def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFram
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for s, image in zip(b.column("part").to_pylist(), b.column("image")):
+                image = prepare(s, image.as_py()) if prepare else image.as_py()
                 for c in range(int(copies[s])):
-                    yield {"part": s, "copy": c, "image": image.as_py()}
+                    yield {"part": s, "copy": c, "image": image}
 
     def look_up(asked: pa.Table, images: pa.Table) -> pa.Table:
         found = []
@@ -311,7 +321,7 @@ def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFram
 
 def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:
     """The blocks with their answers: ``found``, an array of (part, found)."""
-    return blocks.join(answers.groupBy("block").agg(F.collect_list(F.struct("part", "found")).alias("found")), "block", "left")
+    return with_lists(blocks, answers, [F.collect_list(F.struct("part", "found")).alias("found")], "answers")
 
 
 def answered(codes: np.ndarray, bounds: np.ndarray, found: list | None, blank: tuple) -> list[np.ndarray]:

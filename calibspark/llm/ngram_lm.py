@@ -122,7 +122,7 @@ class Shard:
 @dataclass
 class Level:
     """One level: ``images`` (part, image) of every part, empty for one
-    without nodes, made from the written ``nodes``; the parts' lower ``bounds``; by part the number of its first
+    without nodes, as written in ``nodes``, of which ``prepare`` makes the shard; the parts' lower ``bounds``; by part the number of its first
     node and the children that its first parent has in earlier parts; ``edges``:
     the first and last parents of parts, sorted, and their quantised weights, since a
     part may be asked for a parent whose children are all in the parts beside it;
@@ -130,6 +130,7 @@ class Level:
 
     nodes: DataFrame
     images: DataFrame
+    prepare: Callable
     bounds: np.ndarray
     base: dict
     earlier: dict
@@ -175,26 +176,25 @@ def build_level(blocks: DataFrame, codes_of: B.Codes, width: int, name: str) ->
     edge_parents = {r.part: [(p, *whole[p]) for p in {r["first"], r["last"]}] for r in parts}
     widest = max([0, *(r.widest for r in parts), *(kinds for _, kinds in whole.values())])
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for b in batches:
-            for part, packed in zip(b.column(0).to_pylist(), b.column(1)):
-                deltas, counts = B.unpack(packed.as_py())
-                codes = np.cumsum(deltas)
-                parent = codes // width
-                new, totals, kinds = parent_stats(parent, counts)
-                for p, total, number in edge_parents[part]:
-                    at = np.searchsorted(parent[new], p)
-                    totals[at], kinds[at] = total, number
-                runs = np.diff(np.append(new, len(codes)))
-                yield {"part": part, "image": Shard.build(codes, width, (counts - less) / np.repeat(totals, runs),
-                                                          np.repeat(less * kinds / totals, runs))}
+    def prepare(part: int, packed: bytes) -> bytes:
+        if not packed:
+            return b""
+        deltas, counts = B.unpack(packed)
+        codes = np.cumsum(deltas)
+        parent = codes // width
+        new, totals, kinds = parent_stats(parent, counts)
+        for p, total, number in edge_parents[part]:
+            at = np.searchsorted(parent[new], p)
+            totals[at], kinds[at] = total, number
+        runs = np.diff(np.append(new, len(codes)))
+        return Shard.build(codes, width, (counts - less) / np.repeat(totals, runs), np.repeat(less * kinds / totals, runs))
 
     empty = [(p, b"") for p in range(len(bounds)) if p not in base]
-    images = B.map_blocks(nodes.select("part", "nodes"), build, "part long, image binary")
+    images = nodes.select("part", F.col("nodes").alias("image"))
     images = images.union(nodes.sparkSession.createDataFrame(empty, images.schema))
     edge = sorted(whole)
     edges = np.array(edge, np.int64), quantise(np.array([less * whole[p][1] / whole[p][0] for p in edge], float)).astype(np.int64)
-    return Level(nodes, images, bounds, base, earlier, edges, size, widest)
+    return Level(nodes, images, prepare, bounds, base, earlier, edges, size, widest)
 
 
 #: Sequence states between levels: the columns that every block of n-grams has.
@@ -448,8 +448,9 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     ids = B.ranked(known, [F.desc("c"), F.asc("word")], "id", "token-ids")
     found = tokens.select("block", "place", "word").join(ids, "word")
     plain = texts.select("block", "doc", "held", "length", "n", "seq")
-    blocks = stage(bigram_state(B.with_values(plain, found.select("block", "place", "id", "c"), "id", "c"), total, kinds), "ngrams-2")
-    discard(texts, known, ids)
+    valued = B.with_values(plain, found.select("block", "place", "id", "c"), "id", "c")
+    blocks = stage(bigram_state(valued, total, kinds), "ngrams-2")
+    discard(texts, known, ids, valued)
     kind, parents, last = Bigrams(kinds, total), kinds + 2, False
     for m in range(2, order + 1):
         if parents * kind.width >= 1 << 63:
@@ -458,11 +459,12 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         level = build_level(blocks, sorted_codes(kind.width, True) if last else trained_codes(kind), kind.width, str(m))
         asked = blocks.select("block", "length", "held", "state")
         if last:
-            answers = B.ask(asked, sorted_codes(kind.width, False), level.bounds, level.images, finder(level, kind.width), reply_scores)
+            answers = B.ask(asked, sorted_codes(kind.width, False), level.bounds, level.images, finder(level, kind.width), reply_scores, level.prepare)
             return document_scores(B.with_answers(blocks.drop("n", "sample", "state"), answers)).withColumn("train_tokens", F.lit(total).cast("long"))
-        answers = B.ask(asked, asked_codes(kind), level.bounds, level.images, finder(level, kind.width), reply_nodes)
-        longer = stage(next_state(B.with_answers(blocks.drop("n", "sample"), answers), kind, level, m + 1 == order), f"ngrams-{m + 1}")
-        discard(blocks, level.nodes)
+        answers = B.ask(asked, asked_codes(kind), level.bounds, level.images, finder(level, kind.width), reply_nodes, level.prepare)
+        found = B.with_answers(blocks.drop("n", "sample"), answers)
+        longer = stage(next_state(found, kind, level, m + 1 == order), f"ngrams-{m + 1}")
+        discard(blocks, level.nodes, found)
         blocks, kind, parents = longer, Longer(level.widest), level.size
 
 

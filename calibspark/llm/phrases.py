@@ -204,16 +204,18 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
                        F.lit(None).cast("long").alias("right"), F.array("a").alias("firsts"), F.array("a").alias("lasts"))
     levels = [stage(level, "phrases-1")]
     found = words.select("block", "place", "lang", "word").join(ids.select("lang", "word", "id"), ["lang", "word"])
-    blocks = stage(word_ids(B.with_values(texts.select("block", "n", "seq"), found.select("block", "place", "id"), "id")), "ids-1")
-    discard(texts)
+    valued = B.with_values(texts.select("block", "n", "seq"), found.select("block", "place", "id"), "id")
+    blocks = stage(word_ids(valued), "ids-1")
+    discard(texts, valued)
     for m in range(2, longest + 1):
         bounds = B.part_bounds(blocks)
         ids = checked(B.ranked(frequent_pairs(blocks, bounds, min_count), [F.desc("a"), F.asc("code")], "id", f"pair-ids-{m}"))
         levels.append(stage(named(ids, levels[-1]), f"phrases-{m}"))
         if m < longest:
             answers = B.ask(blocks, lambda b, i: block_pairs(b, i)[:1], bounds, id_images(ids, bounds), known_ids)
-            longer = stage(longer_ids(B.with_answers(blocks.select("block", "seq"), answers), bounds), f"ids-{m}")
-            discard(blocks)
+            answered = B.with_answers(blocks.select("block", "seq"), answers)
+            longer = stage(longer_ids(answered, bounds), f"ids-{m}")
+            discard(blocks, answered)
             blocks = longer
     discard(blocks)
     return levels, totals
