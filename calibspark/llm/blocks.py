@@ -295,9 +295,8 @@ def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFram
     def copy(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for s, image in zip(b.column("part").to_pylist(), b.column("image")):
-                image = prepare(s, image.as_py()) if prepare else image.as_py()
                 for c in range(int(copies[s])):
-                    yield {"part": s, "copy": c, "image": image}
+                    yield {"part": s, "copy": c, "image": image.as_py()}
 
     def look_up(asked: pa.Table, images: pa.Table) -> pa.Table:
         found = []
@@ -306,6 +305,7 @@ def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFram
             codes = [np.cumsum(r.pop(0)) for r in rows]
             every, number = np.unique(np.concatenate(codes), return_inverse=True)
             image, part = images.column("image")[0].as_buffer(), images.column("part")[0].as_py()
+            image = pa.py_buffer(prepare(part, image.to_pybytes())) if prepare else image
             got = [np.concatenate(x) for x in zip(*[find(image, part, every[i:i + LOOK]) for i in range(0, len(every), LOOK)])]
             at = np.cumsum([0, *map(len, codes)])
             found = [reply(*(g[number[lo:hi]] for g in got), *r) for lo, hi, r in zip(at, at[1:], rows)]

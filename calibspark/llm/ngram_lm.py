@@ -122,7 +122,7 @@ class Shard:
 @dataclass
 class Level:
     """One level: ``images`` (part, image) of every part, empty for one
-    without nodes, as written in ``nodes``, of which ``prepare`` makes the shard; the parts' lower ``bounds``; by part the number of its first
+    without nodes, as written in ``nodes`` (packed), of which ``prepare`` makes the shard in the task that reads it; the parts' lower ``bounds``; by part the number of its first
     node and the children that its first parent has in earlier parts; ``edges``:
     the first and last parents of parts, sorted, and their quantised weights, since a
     part may be asked for a parent whose children are all in the parts beside it;
