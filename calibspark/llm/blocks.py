@@ -31,7 +31,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from calibspark.llm.scratch import discard, stage
 
 #: Bytes of text in a block.
-BLOCK = 4 << 20
+BLOCK = 3 << 20
 #: Entries of a part, entries that one copy of a part answers, codes for one of the sample, codes looked up at a time.
 PART, QUESTIONS, SAMPLE, LOOK = 1 << 20, 1 << 21, 1024, 1 << 17
 

@@ -180,8 +180,13 @@ def id_images(ids: DataFrame, bounds: np.ndarray) -> DataFrame:
     return dealt.groupBy("part").applyInArrow(run, "part long, image binary")
 
 
+def unpacked_image(part: int, image: bytes) -> bytes:
+    """Sorted codes, then their ids, as plain longs."""
+    return np.concatenate(B.unpack(image)).astype(np.int64).tobytes()
+
+
 def known_ids(image: pa.Buffer, part: int, codes: np.ndarray) -> tuple[np.ndarray]:
-    known, ids = B.unpack(image)
+    known, ids = np.frombuffer(image, np.int64).reshape(2, -1)
     at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
     return (np.where(known[at] == codes, ids[at], -1),)
 
@@ -212,7 +217,7 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         ids = checked(B.ranked(frequent_pairs(blocks, bounds, min_count), [F.desc("a"), F.asc("code")], "id", f"pair-ids-{m}"))
         levels.append(stage(named(ids, levels[-1]), f"phrases-{m}"))
         if m < longest:
-            answers = B.ask(blocks, lambda b, i: block_pairs(b, i)[:1], bounds, id_images(ids, bounds), known_ids)
+            answers = B.ask(blocks, lambda b, i: block_pairs(b, i)[:1], bounds, id_images(ids, bounds), known_ids, prepare=unpacked_image)
             answered = B.with_answers(blocks.select("block", "seq"), answers)
             longer = stage(longer_ids(answered, bounds), f"ids-{m}")
             discard(blocks, answered)
