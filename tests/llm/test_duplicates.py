@@ -244,6 +244,73 @@ def test_passages_at_any_place_and_altered(spark):
     assert clean.dtypes == docs.dtypes and {r.doc_id for r in clean.collect()} == {r[0] for r in rows} - {d for d, _ in got}
 
 
+def planted_items(opening, own, families=2, size=100):
+    """Items of ``families`` openings, each common to ``size`` items."""
+    return [(f * size + k, prose(7000 + f, opening) + " " + prose(8000 + f * size + k, own)) for f in range(families) for k in range(size)]
+
+
+def test_items_with_common_openings_are_found():
+    items = planted_items(18, 42)
+    index = decontaminate.ItemIndex(*map(list, zip(*items)))
+    weight = {}
+    for _, t in items:
+        w = word_hashes([t])[0].tolist()
+        for g in {tuple(w[i:i + 5]) for i in range(len(w) - 4)}:
+            weight[g] = weight.get(g, 0) + 1
+    weight = {g: 1 / n for g, n in weight.items()}
+    want = found = 0
+    for i, t in items:  # the body behind the other family's opening
+        other = items[(i + 100) % 200][1].split()[:18]
+        text = " ".join([prose(9000 + i, 70), *other, *t.split()[18:], prose(9500 + i, 40)])
+        w, item = word_hashes([text])[0].tolist(), word_hashes([t])[0].tolist()
+        best = max(leak_similarity(w[p:p + 60], item, weight) for p in range(len(w) - 59))
+        got = {x: score for _, x, _, _, score in index.search([text])}
+        assert set(got) <= {i} and (i not in got or abs(got[i] - best) < 1e-9)
+        want += best >= 0.8
+        found += i in got
+    assert want == 200 and found >= 0.9 * want
+
+
+def test_own_half_of_an_item_is_found():
+    items = planted_items(30, 30)
+    index = decontaminate.ItemIndex(*map(list, zip(*items)))
+    got = [{x for _, x, *_ in index.search([" ".join(t.split()[30:])])} for _, t in items]
+    assert all(g <= {i} for g, (i, _) in zip(got, items)) and sum(len(g) for g in got) >= 0.9 * len(items)
+
+
+def test_verification_counts_repeated_shingles():
+    rng = random.Random(5)
+    for _ in range(60):
+        words = [["red", "blue", "green"][rng.randrange(3)] for _ in range(rng.randrange(5, 80))]
+        item = [["red", "blue", "green"][rng.randrange(3)] for _ in range(rng.randrange(5, 40))]
+        index = decontaminate.ItemIndex([1], [" ".join(item)])
+        w, i = (word_hashes([" ".join(x)])[0] for x in (words, item))
+        number, weight = index.look_up(decontaminate.shingles(w, 5))
+        score, place = index.verify(number, weight, len(w), 0)
+        n, w, i = len(i), w.tolist(), i.tolist()
+        every = [leak_similarity(w[p:p + n], i, {}) for p in range(max(1, len(w) - n + 1))]
+        assert abs(score - max(every)) < 1e-9 and abs(every[place] - score) < 1e-9
+
+
+def test_neighbouring_texts_do_not_matter():
+    items = [(i, prose(5000 + i, 30)) for i in range(8)]
+    index = decontaminate.ItemIndex(*map(list, zip(*items)))
+    half = items[3][1].split()
+    apart = [" ".join(half[:14]), " ".join(half[14:]), prose(1, 3)]
+    assert not list(index.search(apart))
+    texts = [prose(4, 90) + " " + items[2][1], None, "", items[5][1] + " " + prose(6, 2)]
+    alone = [(r, *x[1:]) for r, t in enumerate(texts) for x in index.search([t])]
+    assert list(index.search(texts)) == alone and {x[1] for x in alone} == {2, 5}
+
+
+def test_long_items_do_not_wrap():
+    item = prose(1, 70_000)
+    index = decontaminate.ItemIndex([1], [item])
+    words = item.split()
+    words[10::50] = ["other"] * len(words[10::50])
+    assert [x[:2] for x in index.search([prose(2, 40_000) + " " + " ".join(words)])] == [(0, 1)]
+
+
 def test_long_texts_are_searched_to_the_end(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "PIECE", 500)
     items = [(i, prose(5000 + i, 30)) for i in range(8)]
