@@ -6,13 +6,18 @@ k-mers and keeps them in text order; a sketch value is the hash of that ordered
 pick, so it is sensitive to order and thus to edit similarity.  Texts that
 share a value of one function are in one bucket.
 
-In a bucket, members are first aligned with one pivot, which finds most classes
-with as many pairs as rows.  Then every two other members that are not known to
-be of one class are compared, linked ones included: a text that is like the
-pivot may also be like texts that are not.  A bucket is never narrowed, so all
-texts that share a value are verified or of one class.  Comparison is by block
-pairs of a bucket, in tasks: lengths and bags of words (``BINS`` counts) give a
-lower bound of the edit distance, and only pairs that it lets pass are aligned.
+In a bucket, members are first compared with one pivot: each text is aligned
+with one of its pivots, which finds most classes with as many pairs as texts,
+and then with those of its other pivots that are not known to be of its class.
+Then every two other members that are not known to be of one class are
+compared, linked ones included: a text that is like the pivot may also be like
+texts that are not.  A bucket is never narrowed, so all texts that share a
+value are verified or of one class.  Comparison is by block pairs of a bucket,
+in tasks: lengths and bags of words (``BINS`` counts) give a lower bound of the
+edit distance, and only pairs that it lets pass are aligned.  That is done in
+the largest bucket of a pair, in groups of at most about two times ``ALIGN``
+texts, to which each text goes once; classes that are joined on the way are not
+aligned again, and only the links that join them are kept.
 No bucket is collected or capped; a bucket of n texts of different classes
 costs n * n / 2 comparisons of bags.
 
@@ -46,6 +51,8 @@ from calibspark.llm.wordhash import BASE, mix, shingles, text_groups, word_hashe
 KMER, SKETCHES, PICKS, SIMILARITY = 5, 64, 2, 0.8
 #: Counts of a bag of words; texts of a block of a bucket; pairs compared together.
 BINS, BLOCK, TOGETHER = 256, 8192, 1 << 14
+#: Texts of a block of a bucket whose pairs are aligned in one group; words of pairs that are aligned together.
+ALIGN, ALIGN_WORDS = 256, 1 << 19
 
 
 def labelled_kmers(words: np.ndarray, per_text: np.ndarray, k: int = KMER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,8 +171,8 @@ def pairs_of_groups(group: np.ndarray, side: np.ndarray, label: np.ndarray, n: n
 
 
 def block_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of ``rows`` (bucket, x, y, block, key, label, n_words, bag), sorted
-    by bucket, x and y within partitions: pairs of one group that may be similar."""
+    """(bucket, members, a, b, label_a, label_b) of ``rows`` (bucket, members, x, y, block, key, label, n_words,
+    bag), sorted by bucket, x and y within partitions: pairs of one group that may be similar."""
     def handle(t: pa.Table) -> pa.RecordBatch:
         ids = [t.column(c).to_numpy() for c in ("bucket", "x", "y", "block", "n_words")]
         change = np.zeros(t.num_rows, bool)
@@ -173,30 +180,38 @@ def block_pairs(rows: DataFrame, similarity: float) -> DataFrame:
             change[1:] |= c[1:] != c[:-1]
         side = np.where(ids[1] == ids[2], 0, np.where(ids[3] == ids[1], 1, 2))
         keys = t.column("key").combine_chunks()
-        label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        labels = t.column("label").combine_chunks()
+        label = labels.dictionary_encode().indices.to_numpy()
         bag = np.frombuffer(b"".join(t.column("bag").to_pylist()), np.uint8).reshape(-1, BINS)
         found = list(pairs_of_groups(np.cumsum(change), side, label, ids[4], bag, similarity))
         none = np.zeros(0, np.int64)
-        a, b = (np.concatenate([f[k] for f in found] or [none]) for k in (0, 1))
-        a, b = keys.take(pa.array(a)), keys.take(pa.array(b))
-        return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+        a, b = (pa.array(np.concatenate([f[k] for f in found] or [none])) for k in (0, 1))
+        of = [t.column(c).combine_chunks().take(a) for c in ("bucket", "members")]
+        return pa.RecordBatch.from_arrays([*of, keys.take(a), keys.take(b), labels.take(a), labels.take(b)],
+                                          ["bucket", "members", "a", "b", "label_a", "label_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            held = t if held is None else pa.concat_tables([held, t])
-            ids = [held.column(c).to_numpy() for c in ("bucket", "x", "y")]
-            before = np.flatnonzero((ids[0] != ids[0][-1]) | (ids[1] != ids[1][-1]) | (ids[2] != ids[2][-1]))
-            if len(before):  # the last group may go on in the next batch
-                yield handle(held.slice(0, before[-1] + 1))
-                held = held.slice(before[-1] + 1)
-        if held is not None:
-            yield handle(held)
+        return map(handle, whole_groups(batches))
+
+    return (rows.select("bucket", "members", "x", "y", "block", "key", "label", "n_words", "bag")
+            .mapInArrow(run, "bucket long, members long, a binary, b binary, label_a binary, label_b binary"))
 
-    return rows.select("bucket", "x", "y", "block", "key", "label", "n_words", "bag").mapInArrow(run, "a binary, b binary")
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by bucket, x and y, in tables that hold whole groups."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        ids = [held.column(c).to_numpy() for c in ("bucket", "x", "y")]
+        before = np.flatnonzero((ids[0] != ids[0][-1]) | (ids[1] != ids[1][-1]) | (ids[2] != ids[2][-1]))
+        if len(before):  # the last group may go on in the next batch
+            yield held.slice(0, before[-1] + 1)
+            held = held.slice(before[-1] + 1)
+    if held is not None:
+        yield held
 
 
 def fitting_pairs(pairs: DataFrame, who: DataFrame, similarity: float) -> DataFrame:
@@ -232,6 +247,87 @@ def verify(pairs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
+def joining_links(words: list[np.ndarray], a: np.ndarray, b: np.ndarray, label_a: np.ndarray, label_b: np.ndarray,
+                  similarity: float = SIMILARITY) -> np.ndarray:
+    """Numbers of pairs (a, b), of texts ``words``, that are similar and join
+    classes (``label_a``, ``label_b``) not yet joined by the others.  A few pairs
+    of each two classes are aligned first, then more; all of those that stay apart."""
+    parent: dict = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    def roots(x: np.ndarray) -> np.ndarray:
+        values, at = np.unique(x, return_inverse=True)
+        return np.array([root(v) for v in values.tolist()], np.int64)[at]
+
+    size = np.array([len(w) for w in words], np.int64)
+    todo, most, links = np.arange(len(a)), 1, []
+    while len(todo):
+        x, y = roots(label_a[todo]), roots(label_b[todo])
+        apart = x != y
+        todo, lo, hi = todo[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        order = np.lexsort((todo, hi, lo))
+        todo, lo, hi = todo[order], lo[order], hi[order]
+        new = np.ones(len(todo), bool)
+        new[1:] = (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+        first = np.flatnonzero(new)
+        nth = np.arange(len(todo)) - np.repeat(first, np.diff(np.append(first, len(todo))))
+        now, todo = todo[nth < most], todo[nth >= most]
+        part = np.cumsum(size[a[now]] + size[b[now]]) // ALIGN_WORDS
+        for group in np.split(now, np.flatnonzero(np.diff(part)) + 1):
+            longer = np.maximum(size[a[group]], size[b[group]])
+            limits = (longer - np.ceil(similarity * longer - 1e-9)).astype(np.int64).tolist()
+            ok = within([(words[i], words[j]) for i, j in zip(a[group].tolist(), b[group].tolist())], limits)
+            for k in group[ok].tolist():
+                x, y = root(int(label_a[k])), root(int(label_b[k]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    links.append(k)
+        most *= 4
+    return np.array(sorted(links), np.int64)
+
+
+def block_links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) among ``pairs`` (bucket, x, y, a, b, label_a, label_b) that
+    join classes of their groups.  A text goes once to each group that asks for it."""
+    def handle(t: pa.Table) -> pa.RecordBatch:
+        ids = [t.column(c).to_numpy() for c in ("bucket", "x", "y")]
+        change = np.zeros(t.num_rows, bool)
+        for c in ids:
+            change[1:] |= c[1:] != c[:-1]
+        group = np.cumsum(change)
+        told = t.column("text").combine_chunks()
+        is_text = told.is_valid().to_numpy(zero_copy_only=False)
+        rows, of = np.flatnonzero(is_text), np.flatnonzero(~is_text)
+        texts, words = told.take(pa.array(rows)).to_pylist(), []
+        for lo, hi in text_groups(texts):
+            hashes, per_text = word_hashes(texts[lo:hi])
+            words += [w.copy() for w in np.split(hashes, np.cumsum(per_text)[:-1])]
+        a, b = (t.column(c).combine_chunks() for c in ("a", "b"))
+        keys = pa.concat_arrays([a, b.take(pa.array(of))]).dictionary_encode().indices.to_numpy().astype(np.int64)
+        kinds = int(keys.max()) + 1
+        place = group[rows] * kinds + keys[rows]
+        order = np.argsort(place)
+        x = order[np.searchsorted(place[order], group[of] * kinds + keys[of])]
+        y = order[np.searchsorted(place[order], group[of] * kinds + keys[t.num_rows:])]
+        label = pa.concat_arrays([t.column(c).combine_chunks().take(pa.array(of)) for c in ("label_a", "label_b")])
+        label = label.dictionary_encode().indices.to_numpy().astype(np.int64)
+        links = pa.array(of[joining_links(words, x, y, label[:len(of)], label[len(of):], similarity)])
+        return pa.RecordBatch.from_arrays([a.take(links), b.take(links)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(handle, whole_groups(batches))
+
+    asked = pairs.select("bucket", "x", "y", F.col("a").alias("key")).union(pairs.select("bucket", "x", "y", "b")).distinct()
+    held = asked.hint("merge").join(texts, "key").withColumnRenamed("key", "a")
+    rows = pairs.unionByName(held, allowMissingColumns=True).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return rows.select("bucket", "x", "y", "a", "b", "label_a", "label_b", "text").mapInArrow(run, "a binary, b binary")
+
+
 def near_duplicate_labels(docs: DataFrame, m: int = SKETCHES, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(nodes, labels) of ``docs`` (id, text, key): nodes (key, id) are the
     distinct texts with the smallest id of their copies, labels (node, label)
@@ -250,29 +346,47 @@ def near_duplicate_labels(docs: DataFrame, m: int = SKETCHES, similarity: float
     texts = member_texts(who, docs, nodes)
     pairs = met.select(F.col("h").alias("h_a"), F.col("pivot").alias("h_b")).distinct()
     pairs = materialise(fitting_pairs(pairs, who, similarity), "pairs")
-    known = components(materialise(verify(with_texts(pairs, texts), similarity), "found"))
+    # one pivot of each text first: most of its other pivots are then known to be of its class
+    first = materialise(pairs.groupBy("a").agg(F.min("b").alias("b")), "first-pairs")
+    known = components(materialise(verify(with_texts(first, texts), similarity), "found"))
+    rest = materialise(pairs_apart(pairs.join(first, ["a", "b"], "left_anti"), known), "other-pairs")
+    known = merged_labels(known, materialise(verify(with_texts(rest, texts), similarity), "found"))
     more = materialise(open_pairs(met, known, who, similarity), "open-pairs")
     if more.isEmpty():
         return nodes, known
-    return nodes, merged_labels(known, materialise(verify(with_texts(more, texts), similarity), "found"))
+    return nodes, merged_labels(known, materialise(block_links(more, texts, similarity), "found"))
+
+
+def pairs_apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are not of one class by ``known`` (node, label)."""
+    a, b = (known.select(F.col("node").alias(c), F.col("label").alias(f"of_{c}")) for c in "ab")
+    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
 def open_pairs(met: DataFrame, known: DataFrame, who: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a the larger: all pairs of members of one bucket, but those with
-    its pivot, that are not of one class by ``known`` and may be similar."""
+    """(bucket, x, y, a, b, label_a, label_b): all pairs of members of one bucket,
+    but those with its pivot, that are not of one class by ``known`` and may be
+    similar, each in its largest bucket, with the blocks x <= y of that bucket
+    in which they are to be aligned."""
     own = known.select(F.col("node").alias("key"), F.col("label").alias("own"))
     who = materialise(who.join(own, "key", "left").withColumn("label", F.coalesce("own", "key")).drop("own"), "labelled")
     rows = met.select("bucket", "h").hint("merge").join(who.select("h", "label"), "h")
-    mixed = (rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
-             .where("lo <> hi").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    mixed = (rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"))
+             .where("lo <> hi").select("bucket", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
     rows = met.select("bucket", "h").hint("merge").join(materialise(mixed, "mixed"), "bucket")
     rows = rows.hint("merge").join(who, "h").withColumn("block", F.pmod("h", F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block",
+    rows = rows.select("bucket", "members", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block",
                        "key", "label", "n_words", "bag")
     rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
     pairs = block_pairs(rows, similarity)
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    ab, ba = (F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.col(f"label_{x}").alias("label_a"), F.col(f"label_{y}").alias("label_b"))
+             for x, y in ("ab", "ba"))
+    pairs = pairs.select("bucket", "members", F.when(F.col("a") > F.col("b"), ab).otherwise(ba).alias("p"))
+    pairs = pairs.groupBy("p").agg(F.max(F.struct("members", "bucket")).alias("at")).select("p.*", "at.*")
+    blocks = F.ceil(F.col("members") / ALIGN)
+    x, y = (F.pmod(F.xxhash64(c), blocks).cast("int") for c in "ab")
+    return pairs.select("bucket", F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), "a", "b", "label_a", "label_b")
 
 
 def merged_labels(labels: DataFrame, found: DataFrame) -> DataFrame:

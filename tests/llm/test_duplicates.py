@@ -149,6 +149,41 @@ def test_pairs_around_a_template(spark):
     assert len(set(got.values())) >= 500  # and the template alone links nothing
 
 
+def test_joining_links_join_as_all_links_do(monkeypatch):
+    """Links of a block join the classes that all its similar pairs join, and no more than needed."""
+    monkeypatch.setattr(order_minhash, "ALIGN_WORDS", 500)
+    rng = random.Random(34)
+    for trial in range(20):
+        bases = [[f"w{trial}x{i}y{k}" for k in range(40)] for i in range(4)]
+        words = [np.array([hash(w) & (1 << 62) - 1 for w in altered(bases[rng.randrange(4)], 0.2, rng)], np.uint64) for _ in range(40)]
+        pairs = np.array([(x, y) for x in range(40) for y in range(x) if rng.random() < 0.7])
+        label = np.array([rng.randrange(15) if rng.random() < 0.5 else 100 + i for i in range(40)])
+        got = order_minhash.joining_links(words, pairs[:, 0], pairs[:, 1], label[pairs[:, 0]], label[pairs[:, 1]])
+        want = [k for k, (x, y) in enumerate(pairs)
+                if levenshtein(words[x].tolist(), words[y].tolist()) <= max(len(words[x]), len(words[y])) * 0.2 + 1e-9]
+
+        def classes(links):
+            of = {v: v for v in label.tolist()}
+            for k in links:
+                x, y = (of[v] for v in label[pairs[k]].tolist())
+                of = {v: min(x, y) if c in (x, y) else c for v, c in of.items()}
+            return of
+
+        assert set(got.tolist()) <= set(want) and classes(got) == classes(want)
+        assert len(got) == len(set(label.tolist())) - len(set(classes(got).values()))
+
+
+@pytest.mark.parametrize("align", [3, 256])
+def test_blocks_of_a_bucket_give_all_classes(spark, monkeypatch, align):
+    monkeypatch.setattr(order_minhash, "ALIGN", align)
+    monkeypatch.setattr(order_minhash, "BLOCK", 16)
+    rng = random.Random(35)
+    base = prose(4300, 120).split()
+    texts = [" ".join(altered(base, 0.05 + 0.1 * rng.random(), rng)) for _ in range(80)]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicate_classes(docs_frame(spark, list(enumerate(texts)))).collect()}
+    assert got == brute_classes(texts)
+
+
 def test_scattered_edits_at_the_threshold_are_found():
     """At a similarity of just 0.8, nine of ten isolated pairs share a value."""
     rng = random.Random(33)
