@@ -94,9 +94,13 @@ def word_array(data: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 
 
 def numbered(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
-    """(number of each word, distinct words)."""
+    """(number of each word, distinct words), the frequent ones first, whose numbers pack well."""
     got = words.dictionary_encode()
-    return got.indices.to_numpy(zero_copy_only=False).astype(np.int64), got.dictionary
+    number = got.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    order = np.argsort(-np.bincount(number, minlength=len(got.dictionary)), kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return rank[number], got.dictionary.take(pa.array(order))
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], text_at: int, size: int = 0) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -268,18 +272,19 @@ def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFram
     ``find(image, part, codes)`` gives arrays beside sorted distinct codes, those of
     all blocks that ask a copy of a part together; ``reply(*arrays, *others)``
     makes a block's answer from its share of them and the arrays that ``codes_of``
-    gives beside its codes.  ``images`` (part, image) has one row per part that knows
+    gives beside its codes.  The blocks' column ``sample`` tells about how much each part is
+    asked for, and so its copies.  ``images`` (part, image) has one row per part that knows
     something (``prepare(part, image)`` makes the real image); without one there is no answer."""
     def volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         total = np.zeros(len(bounds), np.int64)
         for b in batches:
             for i in range(b.num_rows):
-                for s, lo, hi in slices(bounds, codes_of(b, i)[0]):
-                    total[s] += hi - lo
+                for s, lo, hi in slices(bounds, numbers(b, "sample", i)):
+                    total[s] += (hi - lo) * SAMPLE
         used = np.flatnonzero(total)
         yield {"part": used, "size": total[used]}
 
-    got = map_blocks(blocks, volumes, "part array<long>, size array<long>").select(F.explode(F.arrays_zip("part", "size")).alias("s"))
+    got = map_blocks(blocks.select("sample"), volumes, "part array<long>, size array<long>").select(F.explode(F.arrays_zip("part", "size")).alias("s"))
     copies = np.ones(len(bounds), np.int64)
     for r in got.groupBy("s.part").agg(F.sum("s.size").alias("size")).collect():  # one row per part
         copies[r["part"]] = -(-r["size"] // QUESTIONS)
@@ -313,7 +318,7 @@ def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFram
             asked = asked.slice(0, 0)
         return pa.table({"block": asked.column("block"), "part": asked.column("part"), "found": pa.array(found, pa.binary())})
 
-    questions = map_blocks(blocks, deal, "part long, copy long, block long, asked binary")
+    questions = map_blocks(blocks.drop("sample"), deal, "part long, copy long, block long, asked binary")
     known = map_blocks(images.select("part", "image"), copy, "part long, copy long, image binary")
     keys = ["part", "copy"]
     return questions.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(look_up, "block long, part long, found binary")

@@ -225,9 +225,19 @@ def finder(level: Level, width: int) -> Callable:
 
 
 def reply_nodes(node: np.ndarray, place: np.ndarray, p: np.ndarray, weight: np.ndarray) -> bytes:
-    """A block's answer: node numbers and those of their parents' first children rise."""
+    """A block's answer: the nodes of parents' first children rise, and so do the
+    places below one parent."""
     there = node >= 0
-    return B.pack(np.packbits(there), np.diff(node[there], prepend=0), np.diff((node - place)[there], prepend=0), p[there], weight)
+    first, place = (node - place)[there], place[there]
+    new = np.diff(first, prepend=-1) != 0
+    return B.pack(np.packbits(there), np.diff(first, prepend=0), np.where(new, place, np.diff(place, prepend=0)), p[there], weight)
+
+
+def places(first: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """The places of an answer from their steps below each parent."""
+    new = np.diff(first, prepend=-1) != 0
+    total = np.cumsum(steps)
+    return total - (total - steps)[new][np.cumsum(new) - 1]
 
 
 def reply_scores(node: np.ndarray, place: np.ndarray, p: np.ndarray, weight: np.ndarray, lower: np.ndarray, doc: np.ndarray) -> bytes:
@@ -252,10 +262,11 @@ def answered(codes: np.ndarray, bounds: np.ndarray, found: list) -> list[np.ndar
     by_part = {x["part"]: x["found"] for x in found or []}
     out = [np.full(len(codes), -1) for _ in range(4)]
     for part, lo, hi in B.slices(bounds, codes):
-        there, node, first, p, weight = B.unpack(by_part[part])
+        there, first, steps, p, weight = B.unpack(by_part[part])
         at = lo + np.flatnonzero(np.unpackbits(there.astype(np.uint8), count=hi - lo))
-        node = np.cumsum(node)
-        out[0][at], out[1][at], out[2][at], out[3][lo:hi] = node, node - np.cumsum(first), p, weight
+        first = np.cumsum(first)
+        place = places(first, steps)
+        out[0][at], out[1][at], out[2][at], out[3][lo:hi] = first + place, place, p, weight
     return out
 
 
@@ -306,6 +317,7 @@ class Bigrams:
     def tokens(self, b: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(code of each token's pair, its lower probability, whether it counts for training)."""
         seq, ids, c = B.unpack(b.column("state")[i].as_py())
+        ids = np.cumsum(ids)
         length, held = B.numbers(b, "length", i), B.numbers(b, "held", i, bool)
         here = ids[seq]
         before = np.roll(here, 1)
@@ -354,6 +366,8 @@ def bigram_state(blocks: DataFrame, n_tokens: int, n_kinds: int) -> DataFrame:
                 seq = B.unpack(b.column("seq")[i].as_py())[0]
                 ids = B.scattered(n, at, B.numbers(b, "id", i), unknown)
                 c = B.scattered(n, at, B.numbers(b, "c", i), 0)
+                ids, one, number = np.unique(ids, return_index=True, return_inverse=True)  # unknown tokens become one
+                seq, c = number[seq], c[one]
                 p = (c + 1) / norm
                 length = B.numbers(b, "length", i)
                 here = ids[seq]
@@ -362,7 +376,7 @@ def bigram_state(blocks: DataFrame, n_tokens: int, n_kinds: int) -> DataFrame:
                 codes = B.distinct(before * (n_kinds + 2) + here)
                 yield {**{c: b.column(c)[i].as_py() for c in ("block", "doc", "held", "length")}, "known": per_document((here != unknown) * 1, length),
                        "base": per_document(np.log10(p)[seq], length), "part_score": [0.0] * len(length), "n": len(codes),
-                       "sample": B.sample_of(codes), "state": B.pack(seq, ids, c)}
+                       "sample": B.sample_of(codes), "state": B.pack(seq, np.diff(ids, prepend=0), c)}
 
     return B.map_blocks(blocks.select("block", "doc", "held", "length", "n", "seq", "at", "id", "c"), run, NGRAMS)
 
@@ -446,25 +460,28 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     known = stage(tokens.where("count > 0").groupBy("word").agg(F.sum("count").alias("c")), "tokens")
     total, kinds = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     ids = B.ranked(known, [F.desc("c"), F.asc("word")], "id", "token-ids")
-    found = tokens.select("block", "place", "word").join(ids, "word")
-    plain = texts.select("block", "doc", "held", "length", "n", "seq")
-    valued = B.with_values(plain, found.select("block", "place", "id", "c"), "id", "c")
+    discard(known)
+    found = stage(tokens.select("block", "place", "word").join(ids, "word").select("block", "place", "id", "c"), "found")
+    discard(ids)
+    valued = B.with_values(texts.select("block", "doc", "held", "length", "n", "seq"), found, "id", "c")
+    discard(found)
     blocks = stage(bigram_state(valued, total, kinds), "ngrams-2")
-    discard(texts, known, ids, valued)
+    discard(texts, valued)
     kind, parents, last = Bigrams(kinds, total), kinds + 2, False
     for m in range(2, order + 1):
         if parents * kind.width >= 1 << 63:
             raise OverflowError(f"level {m}: {parents} contexts with up to {kind.width} followers don't fit a 63-bit code")
         last = m == order
         level = build_level(blocks, sorted_codes(kind.width, True) if last else trained_codes(kind), kind.width, str(m))
-        asked = blocks.select("block", "length", "held", "state")
+        asked = blocks.select("block", "length", "held", "sample", "state")
         if last:
             answers = B.ask(asked, sorted_codes(kind.width, False), level.bounds, level.images, finder(level, kind.width), reply_scores, level.prepare)
             return document_scores(B.with_answers(blocks.drop("n", "sample", "state"), answers)).withColumn("train_tokens", F.lit(total).cast("long"))
         answers = B.ask(asked, asked_codes(kind), level.bounds, level.images, finder(level, kind.width), reply_nodes, level.prepare)
         found = B.with_answers(blocks.drop("n", "sample"), answers)
+        discard(level.nodes)
         longer = stage(next_state(found, kind, level, m + 1 == order), f"ngrams-{m + 1}")
-        discard(blocks, level.nodes, found)
+        discard(blocks, found)
         blocks, kind, parents = longer, Longer(level.widest), level.size
 
 
