@@ -27,8 +27,9 @@ from calibspark.llm.scratch import materialise, words
 
 SPACE = r"[\x20\x09-\x0D]"
 
-#: A line is removed where over MIN_DOCS distinct documents of its host, and over SHARE of them, hold it.
-MIN_DOCS, SHARE = 20, 0.1
+#: A line is removed where over MIN_DOCS distinct documents of its host hold it, and these are over SHARE of
+#: them or over MAX_DOCS: on a host of millions a line in a tenth of the documents less one is boilerplate too.
+MIN_DOCS, SHARE, MAX_DOCS = 20, 0.1, 100_000
 #: A document is depleted with fewer than MIN_WORDS words left, or less than KEEP of its words.
 MIN_WORDS, KEEP = 50, 0.5
 
@@ -90,7 +91,7 @@ def text_key(col: str = "text") -> Column:
 
 
 def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS,
-                   share: float = SHARE) -> tuple[DataFrame, DataFrame]:
+                   share: float = SHARE, max_docs: int = MAX_DOCS) -> tuple[DataFrame, DataFrame]:
     """(lines, frequent): ``lines`` (host, key, line, words) is each distinct
     text's distinct lines with the words they hold, ``frequent`` (host, line,
     n_docs) the lines above the limit of their host."""
@@ -105,7 +106,8 @@ def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "t
     lines = materialise(summed, "lines")
     per_host = copies.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     counted = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") > min_docs)
-    frequent = materialise(counted.join(per_host, "host").where(F.col("n_docs") > share * F.col("host_docs"))
+    frequent = materialise(counted.join(per_host, "host")
+                           .where((F.col("n_docs") > share * F.col("host_docs")) | (F.col("n_docs") > max_docs))
                            .select("host", "line", "n_docs"), "frequent")
     hit = (lines.join(frequent, ["host", "line"], "left_semi")
            .join(copies, ["host", "key"])
@@ -114,10 +116,10 @@ def frequent_lines(docs: DataFrame, host_col: str = "source", text_col: str = "t
 
 
 def removed_by_text(docs: DataFrame, host_col: str = "source", text_col: str = "text", min_docs: int = MIN_DOCS,
-                    share: float = SHARE) -> DataFrame:
+                    share: float = SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """(host, key, removed_words, removed_lines): what each text loses;
     ``removed_lines`` is an array of line hashes, no longer than the text has lines."""
-    hit, _ = frequent_lines(docs, host_col, text_col, min_docs, share)
+    hit, _ = frequent_lines(docs, host_col, text_col, min_docs, share, max_docs)
     return materialise(hit.groupBy("host", "key").agg(F.sum("words").alias("removed_words"),
                                                       F.collect_list("line").alias("removed_lines")), "removed")
 
@@ -130,10 +132,10 @@ def kept_verdict(min_words: int = MIN_WORDS, keep: float = KEEP) -> Column:
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text",
                      min_docs: int = MIN_DOCS, share: float = SHARE, min_words: int = MIN_WORDS,
-                     keep: float = KEEP) -> DataFrame:
+                     keep: float = KEEP, max_docs: int = MAX_DOCS) -> DataFrame:
     """One row per row of ``docs``: base statistics, words removed with
     frequent lines, and the verdict."""
-    removed = removed_by_text(docs, host_col, text_col, min_docs, share).drop("removed_lines")
+    removed = removed_by_text(docs, host_col, text_col, min_docs, share, max_docs).drop("removed_lines")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(host_col), F.lit("")).alias("host"),
                        F.col(text_col).alias("text"), text_key(text_col).alias("key"))
     rows = base_statistics(rows).drop("text")
@@ -143,10 +145,10 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", host_col: str = "s
                     "removed_words", kept_verdict(min_words, keep).alias("kept")))
 
 
-def filter_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE) -> DataFrame:
+def filter_documents(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = SHARE, max_docs: int = MAX_DOCS) -> DataFrame:
     """The documents that stay, without their frequent lines; all columns of
     ``docs``, ``n_chars`` counted anew where a line went."""
-    removed = removed_by_text(docs, "source", "text", min_docs, share)
+    removed = removed_by_text(docs, "source", "text", min_docs, share, max_docs)
     # the row travels as one struct, so that no column of it can clash
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("source", F.lit("")).alias("host"),
                        text_key().alias("key"), F.col("text").alias("text"))
@@ -166,7 +168,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-def oracle(min_docs: int = MIN_DOCS, share: float = SHARE, min_words: int = MIN_WORDS, keep: float = KEEP) -> str:
+def oracle(min_docs: int = MIN_DOCS, share: float = SHARE, min_words: int = MIN_WORDS, keep: float = KEEP,
+           max_docs: int = MAX_DOCS) -> str:
     sp = r"[\x20\x09-\x0D]"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
@@ -183,7 +186,7 @@ raw AS (SELECT host, t, unnest(string_split(t, chr(10))) AS l FROM texts),
 lines AS (SELECT host, t, lower(trim(regexp_replace(l, '{sp}+', ' ', 'g'))) AS line,
       len(list_filter(regexp_split_to_array(l, '{sp}+'), lambda x: x <> '')) AS n FROM raw),
 freq AS (SELECT host, line FROM (SELECT host, line, count(DISTINCT t) AS n FROM lines WHERE n > 0 GROUP BY ALL)
-      JOIN (SELECT host, count(*) AS h FROM texts GROUP BY host) USING (host) WHERE n > {min_docs} AND n > {share} * h),
+      JOIN (SELECT host, count(*) AS h FROM texts GROUP BY host) USING (host) WHERE n > {min_docs} AND (n > {share} * h OR n > {max_docs})),
 gone AS (SELECT host, t, sum(n) AS g FROM lines SEMI JOIN freq USING (host, line) GROUP BY ALL),
 j AS (SELECT base.*, coalesce(g, 0) AS removed_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
       FROM base LEFT JOIN gone USING (host, t))

@@ -1,8 +1,10 @@
 """Licences, toxicity, URL filter, quality rules, mixing, token counts."""
 
 import math
+import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +118,28 @@ def test_url_parts_and_rules(spark, url, host, path, rule, verdict):
     assert tuple(df.select("h", "p", r, v).first()) == (host, path, rule, verdict)
 
 
+def test_query_equals_sql_where_a_rule_fits(spark):
+    """Host, path, rule and the rules' verdicts of the whole query, by SQL of its own."""
+    got = {r.page_id: r for r in url_filter.op6_url_filter(spark, SF_MID).collect()}
+    want = duckdb.sql(f"""
+        WITH u AS (SELECT page_id, coalesce(url, '') AS url FROM '{SF_MID}/pages.parquet'),
+        r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM u),
+        h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r),
+        p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+              regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+        rules(rh, rp, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+              ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+        fit AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS v FROM p, rules
+              WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+        SELECT page_id, host, path, rule, v FROM p LEFT JOIN fit USING (page_id)""").fetchall()
+    assert len(want) == len(got)
+    for page, host, path, rule, verdict in want:
+        row = got[page]
+        assert (row.host, row.path, row.rule) == (host, path, rule)
+        assert row.verdict == verdict if rule else row.verdict == ("block" if row.p_block >= 0.5 else "allow")
+    assert len({r[3] for r in want}) > 3 and {"allow", "block"} == {r[4] for r in want if r[4]}
+
+
 def test_url_model_on_held_out_urls_and_by_brute_force(spark):
     labelled = url_filter.labelled_urls(spark)
     model = url_filter.fit_url_model(labelled)
@@ -178,6 +202,32 @@ def test_frequent_lines_and_depletion(spark):
     assert all(out[i].kept and not out[i].removed_words for i in [*range(200, 240), *range(300, 340), *range(400, 405)])
 
 
+def test_limit_of_large_hosts(spark):
+    """A line below the share goes above the absolute limit, and only there."""
+    menu = "one line of words that a few documents of a large host share"
+    rows = [(i, menu + "\n" + prose(i, 45), "big") for i in range(25)] + [(100 + i, prose(500 + i, 60), "big") for i in range(275)]
+    docs = docs_frame(spark, rows)
+    at = {n: {r.doc_id: r for r in quality.quality_verdicts(docs, max_docs=n).collect()} for n in (24, 25)}
+    assert all(at[24][i].removed_words == 13 and not at[24][i].kept for i in range(25))
+    assert all(at[25][i].removed_words == 0 and at[25][i].kept for i in range(25))
+    assert all(at[n][100 + i].kept for n in at for i in range(275))
+
+
+@pytest.mark.parametrize("max_docs", [24, 25, 100_000])
+def test_verdicts_equal_sql_where_lines_go(spark, max_docs):
+    rows = quality_rows() + [(1000 + i, "a line that fewer documents of the host than its share hold\n" + prose(4000 + i, 45), "wide") for i in range(25)]
+    rows += [(2000 + i, prose(5000 + i, 60), "wide") for i in range(275)]
+    docs = docs_frame(spark, rows)
+    got = quality.quality_verdicts(docs, max_docs=max_docs).toPandas()
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    want = db.execute(quality.oracle(max_docs=max_docs)).df()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    assert sorted(map(tuple, got[columns].values.tolist())) == sorted(map(tuple, want[columns].values.tolist()))
+    assert (got.removed_words > 0).sum() == 80 + 25 * (max_docs == 24) and not got.kept.all()
+
+
 def test_filter_applies_the_verdicts(spark):
     docs = docs_frame(spark, quality_rows())
     kept = {r.doc_id: r for r in quality.filter_documents(docs).collect()}
@@ -237,6 +287,52 @@ def test_budgets_are_met_by_whole_blocks_and_nothing_is_lost(spark):
     assert len(first) == len(mix_rows()) and all(0 <= r.mix_key < 1 for r in out)
 
 
+def test_query_by_brute_force(spark):
+    """Exponent, weights, budgets and every drawn (document, epoch, block, rank) of the whole query."""
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    got = sorted(map(tuple, mixing.op7_temperature_mix(spark, SF_MID).select("doc_id", "source", "epoch", "block", "block_rank").collect()))
+    block = F.pmod(mixing.order_of(F.col("doc_id")), F.lit(mixing.BLOCKS)).cast("int")
+    rows = [(d, s, b, len([w for w in re.split("[\\x20\\x09-\\x0D]+", t or "") if w]))
+            for d, s, b, t in docs.select("doc_id", F.coalesce("source", F.lit("")), block, "text").collect()]
+    tokens, size = Counter(), Counter()
+    for _, s, b, n in rows:
+        tokens[s] += n
+        size[s, b] += n
+    total = sum(tokens.values())
+
+    def power(alpha):
+        return {s: (n / total) ** alpha for s, n in tokens.items() if n}
+
+    steps = 1 << mixing.STEPS
+    fits = [k for k in (0, *range(1, steps, steps // 4096), steps)
+            if max(p / tokens[s] for s, p in power(k / steps).items()) <= mixing.MAX_REPEATS * min(p / tokens[s] for s, p in power(k / steps).items())]
+    counted = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count(F.lit(1)).alias("n_docs"))
+    sources = spark.createDataFrame([(s, n) for s, n in tokens.items()], "source string, tokens long").join(counted, "source")
+    weights = {r.source: r for r in mixing.mixing_weights(sources).collect()}
+    alpha = next(iter(weights.values())).alpha
+    assert fits[0] - steps // 4096 <= alpha * steps <= fits[0]
+    p = power(alpha)
+    most = max(tokens[s] / x for s, x in p.items())
+    want = []
+    keys = [(s, e, b) for s, b in size for e in range(4)]
+    order = {tuple(r)[:3]: r.k for r in spark.createDataFrame(keys, "s string, e int, b int")
+             .select("s", "e", "b", mixing.order_of(F.col("s"), F.col("e"), F.col("b")).alias("k")).collect()}
+    by_block = {}
+    for d, s, b, _ in rows:
+        by_block.setdefault((s, b), []).append(d)
+    for s, n in tokens.items():
+        budget = weights[s].budget
+        if n:
+            assert abs(budget - p[s] * most) <= 1 and abs(weights[s].weight - p[s] / sum(p.values())) < 1e-12
+        for epoch in range(budget // n + 1 if n else 1):
+            spent = epoch * n
+            for rank, b in enumerate(sorted((b for x, b in size if x == s), key=lambda b: (order[s, epoch, b], b)), 1):
+                spent += size[s, b]
+                if not n or epoch < budget // n or spent <= budget:
+                    want += [(d, s, epoch, b, rank) for d in by_block[s, b]]
+    assert got == sorted(want) and len({r[1] for r in want}) > 5
+
+
 def test_small_budget_and_other_limits(spark):
     docs = docs_frame(spark, mix_rows()[:900])
     out = mixing.temperature_mix(docs, budget=3000, blocks=64).collect()
