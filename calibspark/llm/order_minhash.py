@@ -14,10 +14,12 @@ compared, linked ones included: a text that is like the pivot may also be like
 texts that are not.  A bucket is never narrowed, so all texts that share a
 value are verified or of one class.  Comparison is by block pairs of a bucket,
 in tasks: lengths and bags of words (``BINS`` counts) give a lower bound of the
-edit distance, and only pairs that it lets pass are aligned.  That is done in
-the largest bucket of a pair, in groups of at most about two times ``ALIGN``
-texts, to which each text goes once; classes that are joined on the way are not
-aligned again, and only the links that join them are kept.
+edit distance, and only pairs that it lets pass are aligned.  A pair belongs to
+the first bucket that its texts share and is never a row: a bucket's tasks tell
+only which texts have a partner, and in which groups of two times ``ALIGN`` texts
+at most; a text goes once to each of its groups, where its pairs are made
+again and aligned.  Classes that are joined on the way are not aligned again,
+and only the links that join them are kept.
 No bucket is collected or capped; a bucket of n texts of different classes
 costs n * n / 2 comparisons of bags.
 
@@ -143,13 +145,34 @@ def bags_fit(x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, simil
     return surplus <= longer - np.ceil(similarity * longer - 1e-9)
 
 
-def pairs_of_groups(group: np.ndarray, side: np.ndarray, label: np.ndarray, n: np.ndarray, bag: np.ndarray,
+def new_groups(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each row's group; 0 for rows of a group of one block, 1 and 2 for those of two blocks)."""
+    bucket, x, y, block = (t.column(c).to_numpy() for c in ("bucket", "x", "y", "block"))
+    change = np.zeros(t.num_rows, bool)
+    for c in (bucket, x, y):
+        change[1:] |= c[1:] != c[:-1]
+    return np.cumsum(change), np.where(x == y, 0, np.where(block == x, 1, 2))
+
+
+def earlier_values(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(sketch values before the group's bucket, one row for each text, filled up with zeros; their number)."""
+    lists = t.column("earlier").combine_chunks()
+    number = np.diff(lists.offsets.to_numpy())
+    out = np.zeros((len(number), int(number.max(initial=0))), np.int64)
+    out[np.arange(out.shape[1]) < number[:, None]] = lists.flatten().to_numpy()
+    return out, number
+
+
+def pairs_of_groups(group: np.ndarray, side: np.ndarray, label: np.ndarray, n: np.ndarray, bag: np.ndarray, earlier: np.ndarray,
                     similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of one group, of different labels, whose lengths and bags
-    allow the similarity.  ``side`` is 0 for all rows of a group, or 1 and 2 for
-    two blocks, whose pairs with one row of each are wanted."""
+    """Pairs of rows of one group, of different labels and without a common value
+    ``earlier``, whose lengths and bags allow the similarity.  ``side`` is 0 for all rows of a
+    group, or 1 and 2 for two blocks, whose pairs with one row of each are wanted.
+    ``earlier`` has a row's sketch values before that of the group, as many in each
+    row of a group, and zeros."""
+    values, number = earlier
     order = np.lexsort((n, group))
-    group, side, label, n, bag = group[order], side[order], label[order], n[order], bag[order]
+    group, side, label, n, bag, values, number = (x[order] for x in (group, side, label, n, bag, values, number))
     place = group.astype(np.int64) << 40
     most = np.floor(n / similarity + 1e-6).astype(np.int64) if similarity > 0 else np.full(len(n), 1 << 39)
     end = np.searchsorted(place + n, place + most, side="right")
@@ -166,35 +189,45 @@ def pairs_of_groups(group: np.ndarray, side: np.ndarray, label: np.ndarray, n: n
         for lo in range(0, len(a), TOGETHER):
             x, y = a[lo:lo + TOGETHER], b[lo:lo + TOGETHER]
             fit = bags_fit(bag[x], bag[y], n[x], n[y], similarity)
-            yield order[x[fit]], order[y[fit]]
+            x, y = x[fit], y[fit]
+            own = ~((values[x] == values[y]) & (np.arange(values.shape[1]) < number[x][:, None])).any(axis=1)
+            yield order[x[own]], order[y[own]]
         first = last
 
 
-def block_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, members, a, b, label_a, label_b) of ``rows`` (bucket, members, x, y, block, key, label, n_words,
-    bag), sorted by bucket, x and y within partitions: pairs of one group that may be similar."""
+def partnered(rows: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, x, y, block, key, label, earlier) of ``rows`` (the same, n_words, bag), sorted
+    by bucket, x and y within partitions: the texts that have a partner, with pairs x <= y
+    of smaller blocks, of at most about ``ALIGN`` texts of like length, for each such pair once."""
     def handle(t: pa.Table) -> pa.RecordBatch:
-        ids = [t.column(c).to_numpy() for c in ("bucket", "x", "y", "block", "n_words")]
-        change = np.zeros(t.num_rows, bool)
-        for c in ids[:3]:
-            change[1:] |= c[1:] != c[:-1]
-        side = np.where(ids[1] == ids[2], 0, np.where(ids[3] == ids[1], 1, 2))
-        keys = t.column("key").combine_chunks()
-        labels = t.column("label").combine_chunks()
-        label = labels.dictionary_encode().indices.to_numpy()
+        group, side = new_groups(t)
+        n = t.column("n_words").to_numpy()
         bag = np.frombuffer(b"".join(t.column("bag").to_pylist()), np.uint8).reshape(-1, BINS)
-        found = list(pairs_of_groups(np.cumsum(change), side, label, ids[4], bag, similarity))
-        none = np.zeros(0, np.int64)
-        a, b = (pa.array(np.concatenate([f[k] for f in found] or [none])) for k in (0, 1))
-        of = [t.column(c).combine_chunks().take(a) for c in ("bucket", "members")]
-        return pa.RecordBatch.from_arrays([*of, keys.take(a), keys.take(b), labels.take(a), labels.take(b)],
-                                          ["bucket", "members", "a", "b", "label_a", "label_b"])
+        label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+        # blocks of neighbours by length on each side of a group
+        order = np.lexsort((n, side, group))
+        part = group[order] * 3 + side[order]
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        small = np.empty(t.num_rows, np.int64)
+        small[order] = (np.arange(t.num_rows) - np.repeat(first, np.diff(np.append(first, t.num_rows)))) // ALIGN
+        wanted = np.zeros((t.num_rows, int(small.max()) + 1), bool)
+        for a, b in pairs_of_groups(group, side, label, n, bag, earlier_values(t), similarity):
+            wanted[a, small[b]] = True
+            wanted[b, small[a]] = True
+        row, other = np.nonzero(wanted)
+        x, y, block = (t.column(c).to_numpy().astype(np.int64) for c in ("x", "y", "block"))
+        own = (block << 32 | small)[row]
+        other |= (x + y - block)[row] << 32
+        at = pa.array(row)
+        bucket, *same = (t.column(c).combine_chunks().take(at) for c in ("bucket", "key", "label", "earlier"))
+        return pa.RecordBatch.from_arrays([bucket, *map(pa.array, (np.minimum(own, other), np.maximum(own, other), own)), *same],
+                                          ["bucket", "x", "y", "block", "key", "label", "earlier"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return map(handle, whole_groups(batches))
 
-    return (rows.select("bucket", "members", "x", "y", "block", "key", "label", "n_words", "bag")
-            .mapInArrow(run, "bucket long, members long, a binary, b binary, label_a binary, label_b binary"))
+    return (rows.select("bucket", "x", "y", "block", "key", "label", "n_words", "bag", "earlier")
+            .mapInArrow(run, "bucket long, x long, y long, block long, key binary, label binary, earlier array<long>"))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -291,41 +324,29 @@ def joining_links(words: list[np.ndarray], a: np.ndarray, b: np.ndarray, label_a
     return np.array(sorted(links), np.int64)
 
 
-def block_links(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) among ``pairs`` (bucket, x, y, a, b, label_a, label_b) that
-    join classes of their groups.  A text goes once to each group that asks for it."""
+def block_links(rows: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that join classes among the texts of each group of ``rows``
+    (see ``partnered``).  A text goes once to each of its groups."""
     def handle(t: pa.Table) -> pa.RecordBatch:
-        ids = [t.column(c).to_numpy() for c in ("bucket", "x", "y")]
-        change = np.zeros(t.num_rows, bool)
-        for c in ids:
-            change[1:] |= c[1:] != c[:-1]
-        group = np.cumsum(change)
-        told = t.column("text").combine_chunks()
-        is_text = told.is_valid().to_numpy(zero_copy_only=False)
-        rows, of = np.flatnonzero(is_text), np.flatnonzero(~is_text)
-        texts, words = told.take(pa.array(rows)).to_pylist(), []
+        group, side = new_groups(t)
+        texts, words, bag = t.column("text").to_pylist(), [], []
         for lo, hi in text_groups(texts):
             hashes, per_text = word_hashes(texts[lo:hi])
             words += [w.copy() for w in np.split(hashes, np.cumsum(per_text)[:-1])]
-        a, b = (t.column(c).combine_chunks() for c in ("a", "b"))
-        keys = pa.concat_arrays([a, b.take(pa.array(of))]).dictionary_encode().indices.to_numpy().astype(np.int64)
-        kinds = int(keys.max()) + 1
-        place = group[rows] * kinds + keys[rows]
-        order = np.argsort(place)
-        x = order[np.searchsorted(place[order], group[of] * kinds + keys[of])]
-        y = order[np.searchsorted(place[order], group[of] * kinds + keys[t.num_rows:])]
-        label = pa.concat_arrays([t.column(c).combine_chunks().take(pa.array(of)) for c in ("label_a", "label_b")])
-        label = label.dictionary_encode().indices.to_numpy().astype(np.int64)
-        links = pa.array(of[joining_links(words, x, y, label[:len(of)], label[len(of):], similarity)])
-        return pa.RecordBatch.from_arrays([a.take(links), b.take(links)], ["a", "b"])
+            bag.append(bags(hashes, per_text))
+        n = np.array([len(w) for w in words], np.int64)
+        key = t.column("key").combine_chunks()
+        label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+        found = list(pairs_of_groups(group, side, label, n, np.concatenate(bag), earlier_values(t), similarity))
+        a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        links = joining_links(words, a, b, label[a], label[b], similarity)
+        return pa.RecordBatch.from_arrays([key.take(pa.array(a[links])), key.take(pa.array(b[links]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return map(handle, whole_groups(batches))
 
-    asked = pairs.select("bucket", "x", "y", F.col("a").alias("key")).union(pairs.select("bucket", "x", "y", "b")).distinct()
-    held = asked.hint("merge").join(texts, "key").withColumnRenamed("key", "a")
-    rows = pairs.unionByName(held, allowMissingColumns=True).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return rows.select("bucket", "x", "y", "a", "b", "label_a", "label_b", "text").mapInArrow(run, "a binary, b binary")
+    rows = rows.hint("merge").join(texts, "key").repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return rows.select("bucket", "x", "y", "block", "key", "label", "earlier", "text").mapInArrow(run, "a binary, b binary")
 
 
 def near_duplicate_labels(docs: DataFrame, m: int = SKETCHES, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -341,7 +362,7 @@ def near_duplicate_labels(docs: DataFrame, m: int = SKETCHES, similarity: float
     met = members.hint("merge").join(materialise(pivots, "pivots"), "bucket").where("h <> pivot").distinct()
     met = materialise(met, "met")
     shared = met.select("h").union(met.select("pivot")).distinct()
-    who = sketch.select("h", "key", "n_words", "bag").join(shared, "h").dropDuplicates(["key"])
+    who = sketch.join(shared, "h").dropDuplicates(["key"])
     who = materialise(who, "who")
     texts = member_texts(who, docs, nodes)
     pairs = met.select(F.col("h").alias("h_a"), F.col("pivot").alias("h_b")).distinct()
@@ -351,7 +372,7 @@ def near_duplicate_labels(docs: DataFrame, m: int = SKETCHES, similarity: float
     known = components(materialise(verify(with_texts(first, texts), similarity), "found"))
     rest = materialise(pairs_apart(pairs.join(first, ["a", "b"], "left_anti"), known), "other-pairs")
     known = merged_labels(known, materialise(verify(with_texts(rest, texts), similarity), "found"))
-    more = materialise(open_pairs(met, known, who, similarity), "open-pairs")
+    more = materialise(partnered(open_rows(met, known, who), similarity), "partnered")
     if more.isEmpty():
         return nodes, known
     return nodes, merged_labels(known, materialise(block_links(more, texts, similarity), "found"))
@@ -363,30 +384,24 @@ def pairs_apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
 
-def open_pairs(met: DataFrame, known: DataFrame, who: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, x, y, a, b, label_a, label_b): all pairs of members of one bucket,
-    but those with its pivot, that are not of one class by ``known`` and may be
-    similar, each in its largest bucket, with the blocks x <= y of that bucket
-    in which they are to be aligned."""
+def open_rows(met: DataFrame, known: DataFrame, who: DataFrame) -> DataFrame:
+    """(bucket, x, y, block, key, label, n_words, bag, earlier): the members, but the
+    pivot, of the buckets that are not of one class by ``known``, sorted by bucket, x and
+    y within partitions.  Of blocks of a bucket each two, x <= y, are a group.  ``earlier`` are
+    the sketch values before the bucket: two texts that share one of them are compared
+    there, or were, if one of them is its pivot."""
     own = known.select(F.col("node").alias("key"), F.col("label").alias("own"))
     who = materialise(who.join(own, "key", "left").withColumn("label", F.coalesce("own", "key")).drop("own"), "labelled")
     rows = met.select("bucket", "h").hint("merge").join(who.select("h", "label"), "h")
     mixed = (rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members"))
-             .where("lo <> hi").select("bucket", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
+             .where("lo <> hi").select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")))
     rows = met.select("bucket", "h").hint("merge").join(materialise(mixed, "mixed"), "bucket")
     rows = rows.hint("merge").join(who, "h").withColumn("block", F.pmod("h", F.col("blocks")).cast("int"))
+    rows = rows.withColumn("earlier", F.slice("sketch", F.lit(1), F.array_position("sketch", F.col("bucket")).cast("int") - 1))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", "members", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block",
-                       "key", "label", "n_words", "bag")
-    rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    pairs = block_pairs(rows, similarity)
-    ab, ba = (F.struct(F.col(x).alias("a"), F.col(y).alias("b"), F.col(f"label_{x}").alias("label_a"), F.col(f"label_{y}").alias("label_b"))
-             for x, y in ("ab", "ba"))
-    pairs = pairs.select("bucket", "members", F.when(F.col("a") > F.col("b"), ab).otherwise(ba).alias("p"))
-    pairs = pairs.groupBy("p").agg(F.max(F.struct("members", "bucket")).alias("at")).select("p.*", "at.*")
-    blocks = F.ceil(F.col("members") / ALIGN)
-    x, y = (F.pmod(F.xxhash64(c), blocks).cast("int") for c in "ab")
-    return pairs.select("bucket", F.least(x, y).alias("x"), F.greatest(x, y).alias("y"), "a", "b", "label_a", "label_b")
+    rows = rows.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block",
+                       "key", "label", "n_words", "bag", "earlier")
+    return rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
 
 
 def merged_labels(labels: DataFrame, found: DataFrame) -> DataFrame:

@@ -149,6 +149,43 @@ def test_pairs_around_a_template(spark):
     assert len(set(got.values())) >= 500  # and the template alone links nothing
 
 
+def test_open_pairs_are_not_rows(spark, monkeypatch):
+    """Texts that share buckets and a bag of words, but not its order: every pair is
+    aligned, and the tables between stay in proportion to the texts."""
+    rows, write = {}, order_minhash.materialise
+
+    def counted(df, name):
+        out = write(df, name)
+        if name not in ("links", "labels", "step"):
+            rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(order_minhash, "materialise", counted)
+    rng = random.Random(36)
+    template, own = prose(4400, 60).replace(".", "").split(), prose(4401, 60).replace(".", "").split()
+    words = [template + rng.sample(own, len(own)) for _ in range(200)]
+    words += [substituted(words[i], 0.05, rng) for i in range(5)]
+    got, s = classes_and_links(spark, words)
+    assert all(got[200 + i] == got[i] for i in range(5) if (s[i] == s[200 + i]).any()) and len(set(got.values())) == 200
+    assert 0 < rows["met"] and all(n <= 64 * 205 for n in rows.values())  # no more than texts have values
+    assert rows["partnered"] <= 20 * 205
+
+
+def test_a_pair_belongs_to_one_bucket():
+    """Over all buckets that two texts share, their pair is made once."""
+    rng = np.random.default_rng(37)
+    sketch = rng.integers(1, 4, (40, 6)) + 10 * np.arange(6)
+    bag, n, made = np.ones((40, order_minhash.BINS), np.uint8), np.full(40, 300), []
+    for i in range(6):
+        for value in np.unique(sketch[:, i]):
+            at = np.flatnonzero(sketch[:, i] == value)
+            earlier = sketch[at, :i], np.full(len(at), i)
+            none = np.zeros(len(at), np.int64)
+            for a, b in order_minhash.pairs_of_groups(none, none, at, n[at], bag[at], earlier, 0.8):
+                made += [(min(x, y), max(x, y)) for x, y in zip(at[a].tolist(), at[b].tolist())]
+    assert sorted(made) == [(x, y) for x in range(40) for y in range(x + 1, 40) if (sketch[x] == sketch[y]).any()]
+
+
 def test_joining_links_join_as_all_links_do(monkeypatch):
     """Links of a block join the classes that all its similar pairs join, and no more than needed."""
     monkeypatch.setattr(order_minhash, "ALIGN_WORDS", 500)
