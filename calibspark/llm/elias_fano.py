@@ -47,7 +47,8 @@ class EliasFano:
         n = len(values)
         top = int(values[-1]) + 1 if n else 1
         shift = max(0, int(np.log2(top / n))) if n and top > n else 0
-        low = np.packbits(((values[:, None] >> np.arange(shift)) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes() if shift else b""
+        octets = np.ascontiguousarray(values, np.int64).astype("<i8", copy=False).view(np.uint8).reshape(n, 8)[:, :-(-shift // 8)]
+        low = np.packbits(np.unpackbits(octets, axis=1, count=shift, bitorder="little"), bitorder="little").tobytes() if shift else b""
         low += bytes(8 + -len(low) % 8)  # a read of eight bytes stays inside
         bits = np.zeros((n + (top >> shift) + 2 + 63) // 64 * 64, np.uint8)
         bits[(values >> shift) + np.arange(n)] = 1

@@ -69,6 +69,22 @@ def probability(q: np.ndarray) -> np.ndarray:
     return 10.0 ** (q.astype(float) / -STEP)
 
 
+class Steps:
+    """``probability`` by a table, made by the task that first asks; -1 gives ``none``."""
+
+    def __init__(self, none: float):
+        self.none, self.table = none, None
+
+    def __call__(self, q: np.ndarray) -> np.ndarray:
+        if self.table is None:
+            self.table = np.append(probability(np.arange(65536)), self.none)
+        return self.table[q]
+
+
+#: Of a child's quantised probability, and of its parent's weight.
+CHILD, WEIGHT = Steps(0.0), Steps(1.0)
+
+
 class Shard:
     """A run of consecutive nodes of a level."""
 
@@ -242,18 +258,14 @@ def places(first: np.ndarray, steps: np.ndarray) -> np.ndarray:
 
 def reply_scores(node: np.ndarray, place: np.ndarray, p: np.ndarray, weight: np.ndarray, lower: np.ndarray, doc: np.ndarray) -> bytes:
     """Sums of the tokens' logarithms by document."""
-    logs = np.log10(interpolated(p, weight, probability(lower)))
+    logs = np.log10(interpolated(p, weight, CHILD(lower)))
     docs = np.flatnonzero(np.bincount(doc))
     return B.pack(docs, np.bincount(doc, logs)[docs])
 
 
-def weights(q: np.ndarray) -> np.ndarray:
-    return np.where(q >= 0, probability(q), 1.0)
-
-
 def interpolated(p: np.ndarray, weight: np.ndarray, lower: np.ndarray) -> np.ndarray:
     """Probabilities from quantised ones (-1: none) and the lower ones."""
-    return np.where(p >= 0, probability(p), 0.0) + weights(weight) * lower
+    return CHILD(p) + WEIGHT(weight) * lower
 
 
 def answered(codes: np.ndarray, bounds: np.ndarray, found: list) -> list[np.ndarray]:

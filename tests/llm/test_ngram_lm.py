@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -28,6 +29,23 @@ def test_elias_fano(n, top):
     assert (place == np.searchsorted(values, asked)).all() and (equal == np.isin(asked, values)).all()
 
 
+def test_elias_fano_is_built_in_little_memory():
+    """Low bits are cut from the values' bytes, not spread over wide integers."""
+    values = np.cumsum(np.random.default_rng(3).integers(0, 1 << 21, 1 << 16))
+    tracemalloc.start()
+    data = EliasFano.build(values)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 * len(values)
+    assert (EliasFano(data).access(np.arange(len(values))) == values).all()
+
+
+def test_table_of_probabilities():
+    q = np.arange(-1, 65536)
+    assert (L.CHILD(q) == np.where(q >= 0, L.probability(q), 0.0)).all()
+    assert (L.WEIGHT(q) == np.where(q >= 0, L.probability(q), 1.0)).all()
+
+
 def test_shard_finds_its_nodes():
     rng = np.random.default_rng(1)
     width = 50
