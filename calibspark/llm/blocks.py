@@ -5,7 +5,8 @@ least) whose tokens are numbers into the block's own list of distinct symbols.
 What is counted or looked up over the whole corpus are the distinct symbols of
 the blocks; the tokens themselves stay as packed arrays in one row per block.
 
-Words are counted and given ids by Spark's aggregates and joins.  Codes (63-bit
+Words are counted and given ids by Spark's aggregates and joins, or dealt by hash
+into parts that number them (``word_numbers``).  Codes (63-bit
 numbers that stand for pairs of ids) are dealt by value into parts of about
 ``PART`` entries, whose bounds come from a sample of the blocks' codes: a block
 sends each part one packed slice, a task merges the slices of a part as they
@@ -20,6 +21,7 @@ import pickle
 import struct
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +31,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from calibspark.llm.scratch import discard, stage
+from calibspark.llm.wordhash import mix, prefix_sums, span_hashes
 
 #: Bytes of text in a block.
 BLOCK = 3 << 20
+#: Bytes of small rows that travel together.
+BATCH = 1 << 20
 #: Entries of a part, entries that one copy of a part answers, codes for one of the sample, codes looked up at a time.
 PART, QUESTIONS, SAMPLE, LOOK = 1 << 20, 1 << 21, 1024, 1 << 17
 
@@ -42,7 +47,8 @@ def pack(*arrays: np.ndarray) -> bytes:
     for a in arrays:
         if a.dtype.kind in "iu" and len(a):
             a = a.astype(np.promote_types(np.min_scalar_type(a.min()), np.min_scalar_type(a.max())))
-            small.append((a.dtype.str, a.view(np.uint8).reshape(len(a), -1).T.tobytes()))
+            planes = a.view(np.uint8).reshape(len(a), -1)
+            small.append((a.dtype.str, b"".join(np.ascontiguousarray(planes[:, k]) for k in range(a.dtype.itemsize))))
         else:
             small.append((a.dtype.str, a.tobytes()))
     raw = pickle.dumps(small, protocol=5)
@@ -55,8 +61,11 @@ def unpack(data: bytes) -> list[np.ndarray]:
     for kind, raw in pickle.loads(pa.decompress(memoryview(data)[8:], size, codec="zstd", asbytes=True)):
         dtype = np.dtype(kind)
         if dtype.kind in "iu":
-            a = np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, -1).T
-            out.append(np.ascontiguousarray(a).view(dtype).ravel().astype(np.int64))
+            planes = np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, -1)
+            a = np.empty(planes.shape[::-1], np.uint8)
+            for k, plane in enumerate(planes):
+                a[:, k] = plane
+            out.append(a.view(dtype).ravel().astype(np.int64))
         else:
             out.append(np.frombuffer(raw, dtype).copy())
     return out
@@ -124,7 +133,8 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text_at: int, size: int = 0) ->
 
 
 def map_blocks(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` whose function yields rows as dicts of values and (numpy or Arrow) arrays."""
+    """``mapInArrow`` whose function yields rows as dicts of values and (numpy
+    or Arrow) arrays, or lists of rows of values only, which travel together."""
     fields = df.sparkSession.createDataFrame([], schema).schema
     arrow = to_arrow_schema(fields)
 
@@ -136,11 +146,28 @@ def map_blocks(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in fn(batches):
-            yield pa.RecordBatch.from_arrays([column(row[f.name], f.type) for f in arrow], schema=arrow)
+            if isinstance(row, list):
+                columns = [pa.array([r[f.name] for r in row], f.type) for f in arrow]
+            else:
+                columns = [column(row[f.name], f.type) for f in arrow]
+            yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, fields)
 
 
+def together(rows: Iterator[dict], column: str) -> Iterator[list]:
+    """Rows for ``map_blocks`` in lists of about ``BATCH`` bytes of a ``column``."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[column] or b"")
+        if size >= BATCH:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def ranked(df: DataFrame, order: list, out_col: str, name: str) -> DataFrame:
     """Add the 0-based rank in ``order``, which must be unique: sorted ranges,
     written with each row's place in its range, and a table of one row per range."""
@@ -191,6 +218,123 @@ def scattered(size: int, at: np.ndarray, values: np.ndarray, default) -> np.ndar
     return out
 
 
+# ---------------------------------------------------------------- words in parts
+def binary_buffers(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a binary array."""
+    offsets = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+    data = words.buffers()[2]
+    return offsets, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+
+
+def words_by_part(words: pa.Array, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(part of each, place of each: words in the order of their parts, by hash,
+    first place first; their lengths; all their bytes)."""
+    offsets, data = binary_buffers(words)
+    data = data[offsets[0]:offsets[-1]]
+    start, end = offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    part = (mix(span_hashes(prefix_sums(data), start, end) + (end - start).astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    at = np.argsort(part.astype(np.min_scalar_type(parts)), kind="stable")
+    offsets, data = binary_buffers(words.take(pa.array(at)))
+    return part[at], at, np.diff(offsets), data[offsets[0]:offsets[-1]]
+
+
+def count_class(counts: np.ndarray) -> np.ndarray:
+    """Classes that rise with the count (at least 1), four to each doubling."""
+    double = np.frexp(counts)[1].astype(np.int64) - 1
+    return 4 * double + ((4 * counts >> double) & 3)
+
+
+@dataclass
+class WordNumbers:
+    """``answers`` (block, part, found): by part of words the packed places in the
+    block, numbers in the part and counts; ``shift`` by part: what the numbers of
+    a count's class lack of the words' ids; ``total``: sum of counts, ``kinds``:
+    number of words with a count."""
+
+    answers: DataFrame
+    shift: dict[int, np.ndarray]
+    total: int
+    kinds: int
+
+
+
+def word_ids(shift: dict[int, np.ndarray], size: int, found: list | None, unknown: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, count) of a block's ``size`` symbols from its answers; ``unknown`` and 0 for those without a count."""
+    ids, counts = np.full(size, unknown, np.int64), np.zeros(size, np.int64)
+    for x in found or []:
+        steps, number, c = unpack(x["found"])
+        at = np.cumsum(steps)
+        counts[at] = c
+        known = c > 0
+        ids[at[known]] = number[known] + shift[x["part"]][count_class(c[known])]
+    return ids, counts
+
+
+def word_numbers(blocks: DataFrame, name: str) -> WordNumbers:
+    """Count the blocks' distinct symbols (``word``, ``count``; ``n`` of them, of
+    ``size`` bytes) over all blocks and give those with a count ids from 0 on, by
+    falling class of counts.  A block sends each part one packed slice of its
+    words, the part numbers them by falling count and answers at once; only the
+    sizes of a part's classes reach the driver, which tells where they begin."""
+    n, size = blocks.agg(F.sum("n"), F.sum("size")).first()
+    parts = max(1, -(-(n or 0) // PART), -(-(size or 0) // (16 * PART)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for b in batches:
+            for i in range(b.num_rows):
+                block, counts = b.column("block")[i].as_py(), numbers(b, "count", i)
+                part, at, length, data = words_by_part(b.column("word")[i].values, parts)
+                first = np.concatenate([[0], np.cumsum(length)])
+                new = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+                for lo, hi in zip(new, [*new[1:], len(at)]):
+                    packed = pack(np.diff(at[lo:hi], prepend=0), length[lo:hi], counts[at[lo:hi]], data[first[lo]:first[hi]].view("S1"))
+                    yield {"part": int(part[lo]), "block": block, "slice": packed}
+
+    def finish(part: int, names: list, slices_: list) -> Iterator[dict]:
+        length = np.concatenate([s[1] for s in slices_])
+        offsets = np.concatenate([[0], np.cumsum(length)])
+        words = pa.Array.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(offsets), pa.py_buffer(b"".join(s[3].tobytes() for s in slices_))])
+        number = words.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        counts = np.bincount(number, np.concatenate([s[2] for s in slices_])).astype(np.int64)
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        counts_of, number, lo = counts[number], rank[number], 0
+        known = counts[counts > 0]
+        yield {"block": None, "part": part, "found": None, "sizes": np.bincount(count_class(known)).tolist(), "tokens": int(known.sum())}
+        for block, (steps, *_) in zip(names, slices_):
+            hi = lo + len(steps)
+            yield {"block": block, "part": part, "found": pack(steps, number[lo:hi], counts_of[lo:hi]), "sizes": None, "tokens": None}
+            lo = hi
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        part, names, held = None, [], []
+        for b in batches:
+            for p, block, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if p != part and held:
+                    yield from finish(part, names, held)
+                    names, held = [], []
+                part = p
+                names.append(block)
+                held.append(unpack(s.as_py()))
+        if held:
+            yield from finish(part, names, held)
+
+    dealt = map_blocks(blocks.select("block", "word", "count"), lambda b: together(deal(b), "slice"), "part long, block long, slice binary")
+    got = stage(map_blocks(dealt.repartition("part").sortWithinPartitions("part", "block"), lambda b: together(merge(b), "found"),
+                           "block long, part long, found binary, sizes array<long>, tokens long"), name)
+    sizes = got.where("block is null").select("part", "sizes", "tokens").orderBy("part").collect()  # one row per part
+    by_class = np.zeros((max([0, *(len(r.sizes) for r in sizes)]), len(sizes)), np.int64)
+    for k, r in enumerate(sizes):
+        by_class[:len(r.sizes), k] = r.sizes
+    down = by_class[::-1]  # frequent words first
+    id_of = (np.cumsum(down) - down.ravel()).reshape(down.shape)
+    shift = (id_of - (np.cumsum(down, axis=0) - down))[::-1]
+    answers = got.where("block is not null").select("block", "part", "found")
+    answers._scratch = got._scratch
+    return WordNumbers(answers, {r["part"]: shift[:, k].copy() for k, r in enumerate(sizes)}, sum(r.tokens for r in sizes), int(by_class.sum()))
+
+
 # ---------------------------------------------------------------- codes in parts
 Codes = Callable[[pa.RecordBatch, int], tuple]
 
@@ -262,19 +406,27 @@ def counted_parts(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, finish
         if held:
             yield finish(part, *total())
 
-    dealt = map_blocks(blocks, deal, "part long, slice binary")
+    dealt = map_blocks(blocks, lambda b: together(deal(b), "slice"), "part long, slice binary")
     return map_blocks(dealt.repartition("part").sortWithinPartitions("part"), merge, schema)
 
 
 def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFrame, find: Callable, reply: Callable = pack,
         prepare: Callable | None = None) -> DataFrame:
+    """``ask_in_turns`` in one turn."""
+    return ask_in_turns(blocks, codes_of, bounds, images, find, reply, prepare, 1)[0]
+
+
+def ask_in_turns(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFrame, find: Callable, reply: Callable,
+                 prepare: Callable | None, turns: int) -> list[DataFrame]:
     """(block, part, found) for each part's slice of a block's sorted codes.
     ``find(image, part, codes)`` gives arrays beside sorted distinct codes, those of
     all blocks that ask a copy of a part together; ``reply(*arrays, *others)``
     makes a block's answer from its share of them and the arrays that ``codes_of``
     gives beside its codes.  The blocks' column ``sample`` tells about how much each part is
     asked for, and so its copies.  ``images`` (part, image) has one row per part that knows
-    something (``prepare(part, image)`` makes the real image); without one there is no answer."""
+    something (``prepare(part, image)`` makes the real image); without one there is no answer.
+    Each table returned has the answers of every ``turns``-th part: written one after
+    another they need room for the questions of one turn only."""
     def volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         total = np.zeros(len(bounds), np.int64)
         for b in batches:
@@ -289,11 +441,13 @@ def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFram
     for r in got.groupBy("s.part").agg(F.sum("s.size").alias("size")).collect():  # one row per part
         copies[r["part"]] = -(-r["size"] // QUESTIONS)
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    def deal(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[dict]:
         for b in batches:
             for i in range(b.num_rows):
                 block, (codes, *arrays) = b.column("block")[i].as_py(), codes_of(b, i)
                 for s, lo, hi in slices(bounds, codes):
+                    if s % turns != turn:
+                        continue
                     packed = pack(np.diff(codes[lo:hi], prepend=0), *(a[lo:hi] for a in arrays))
                     yield {"part": s, "copy": zlib.crc32(b"%d" % block) % int(copies[s]), "block": block, "asked": packed}
 
@@ -318,10 +472,13 @@ def ask(blocks: DataFrame, codes_of: Codes, bounds: np.ndarray, images: DataFram
             asked = asked.slice(0, 0)
         return pa.table({"block": asked.column("block"), "part": asked.column("part"), "found": pa.array(found, pa.binary())})
 
-    questions = map_blocks(blocks.drop("sample"), deal, "part long, copy long, block long, asked binary")
-    known = map_blocks(images.select("part", "image"), copy, "part long, copy long, image binary")
-    keys = ["part", "copy"]
-    return questions.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(look_up, "block long, part long, found binary")
+    def answers(turn: int) -> DataFrame:
+        questions = map_blocks(blocks.drop("sample"), lambda b: together(deal(b, turn), "asked"), "part long, copy long, block long, asked binary")
+        known = map_blocks(images.where(F.col("part") % turns == turn).select("part", "image"), copy, "part long, copy long, image binary")
+        keys = ["part", "copy"]
+        return questions.groupBy(*keys).cogroup(known.groupBy(*keys)).applyInArrow(look_up, "block long, part long, found binary")
+
+    return [answers(turn) for turn in range(turns)]
 
 
 def with_answers(blocks: DataFrame, answers: DataFrame) -> DataFrame:

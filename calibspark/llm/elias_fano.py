@@ -11,6 +11,9 @@ import struct
 
 import numpy as np
 
+_U = np.uint64
+#: 1 and 128 in each byte of a word.
+EACH, HIGH = _U(0x0101010101010101), _U(0x8080808080808080)
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.uint8)
 #: Position of the r-th one in a byte.
 SELECT = np.full((256, 8), 8, np.uint8)
@@ -21,11 +24,14 @@ for _byte in range(256):
 
 def select_in_word(words: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Position of the r-th (from 0) one of each 64-bit word."""
-    octets = words.view(np.uint8).reshape(-1, 8)
-    ones = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.uint8)
-    at = (ones <= r[:, None]).sum(1)
-    before = np.where(at > 0, ones[np.arange(len(at)), np.maximum(at, 1) - 1], 0)
-    return at * 8 + SELECT[octets[np.arange(len(at)), np.minimum(at, 7)], r - before]
+    ones = words - ((words >> _U(1)) & _U(0x5555555555555555))
+    ones = (ones & _U(0x3333333333333333)) + ((ones >> _U(2)) & _U(0x3333333333333333))
+    ones = ((ones + (ones >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * EACH  # of each byte and those below it
+    r = r.astype(np.uint64)
+    at = np.bitwise_count((r * EACH + HIGH - ones) & HIGH).astype(np.uint64) * _U(8)  # bytes whose sum is at most r
+    before = ((ones << _U(8)) >> at) & _U(255)
+    octet = (words >> at) & _U(255)
+    return (at + SELECT.ravel()[((octet << _U(3)) + r - before).astype(np.int64)]).astype(np.int64)
 
 
 class EliasFano:
@@ -80,13 +86,16 @@ class EliasFano:
         some = np.flatnonzero(b > 0)
         start[some] = self._select(b[some] - 1, self.zeros, ~self.words) - (b[some] - 1)
         start, end = np.where(inside, start, np.where(bucket < 0, 0, self.n)), np.where(inside, end, np.where(bucket < 0, 0, self.n))
-        left, right = start, end.copy()
-        while len(open_ := np.flatnonzero(left < right)):
-            middle = (left[open_] + right[open_]) >> 1
+        place, open_ = start.copy(), np.flatnonzero(start < end)
+        left, right = start[open_], end[open_]
+        while len(open_):
+            middle = (left + right) >> 1
             less = self._low(middle) < low[open_]
-            left[open_] = np.where(less, middle + 1, left[open_])
-            right[open_] = np.where(less, right[open_], middle)
-        equal = np.zeros(len(left), bool)
-        hit = np.flatnonzero(left < end)
-        equal[hit] = self._low(left[hit]) == low[hit]
-        return left, equal
+            left, right = np.where(less, middle + 1, left), np.where(less, right, middle)
+            place[open_] = left
+            still = np.flatnonzero(left < right)
+            open_, left, right = open_[still], left[still], right[still]
+        equal = np.zeros(len(place), bool)
+        hit = np.flatnonzero(place < end)
+        equal[hit] = self._low(place[hit]) == low[hit]
+        return place, equal

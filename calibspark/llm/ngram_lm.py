@@ -48,12 +48,14 @@ from pyspark.sql import functions as F
 
 from calibspark.llm import blocks as B
 from calibspark.llm.elias_fano import EliasFano
-from calibspark.llm.scratch import discard, stage
+from calibspark.llm.scratch import discard, stage, stage_all
 
 #: Length of the longest n-gram.
 ORDER = 3
 #: Steps of a quantised logarithm.
 STEP = 2048
+#: Turns in which answers reach the blocks, and in which the last level is asked: less disk at a time.
+TURNS = 2
 
 TABLE = B.byte_table(b"\t\n\x0b\x0c\r")
 #: The end of a text as a symbol; no word holds a space.
@@ -285,7 +287,7 @@ def answered(codes: np.ndarray, bounds: np.ndarray, found: list) -> list[np.ndar
 # ---------------------------------------------------------------- texts
 def token_blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column) -> DataFrame:
     """(block, doc, held, length: per document; word, count: distinct tokens
-    and their training counts; n: their number; seq: token numbers)."""
+    and their training counts; n, size: their number and bytes; seq: token numbers)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for block, rows in B.in_blocks(batches, 2):
             texts = [t for b in rows for t in b.column(2).to_pylist()]
@@ -297,11 +299,11 @@ def token_blocks(docs: DataFrame, id_col: str, text_col: str, held_out: Column)
             length = np.diff(ends, prepend=0) + 1
             yield {"block": block, "doc": [x for b in rows for x in b.column(0).to_pylist()], "held": held, "length": length,
                    "word": pa.concat_arrays([distinct.cast(pa.binary()), pa.array([END], pa.binary())]), "n": len(distinct) + 1,
-                   "count": np.bincount(seq[~np.repeat(held, length)], minlength=len(distinct) + 1), "seq": B.pack(seq)}
+                   "size": len(END) + sum(b.size for b in distinct.buffers()[2:]), "count": np.bincount(seq[~np.repeat(held, length)], minlength=len(distinct) + 1), "seq": B.pack(seq)}
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), held_out.alias("held"), F.coalesce(text_col, F.lit("")).cast("binary").alias("text"))
     return B.map_blocks(rows, run, "block long, doc array<long>, held array<boolean>, length array<long>, word array<binary>, "
-                                   "count array<long>, n long, seq binary")
+                                   "size long, count array<long>, n long, seq binary")
 
 
 def starts(length: np.ndarray) -> np.ndarray:
@@ -367,17 +369,15 @@ def asked_codes(kind) -> B.Codes:
     return codes_of
 
 
-def bigram_state(blocks: DataFrame, n_tokens: int, n_kinds: int) -> DataFrame:
-    """Blocks with ids and counts (``at``, ``id``, ``c``) of their known tokens, made ready for level 2."""
+def bigram_state(blocks: DataFrame, shift: dict[int, np.ndarray], n_tokens: int, n_kinds: int) -> DataFrame:
+    """Blocks with the answers of ``word_numbers`` (``found``), made ready for level 2."""
     unknown, norm = n_kinds + 1, n_tokens + n_kinds + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for b in batches:
             for i in range(b.num_rows):
-                n, at = b.column("n")[i].as_py(), B.numbers(b, "at", i)
                 seq = B.unpack(b.column("seq")[i].as_py())[0]
-                ids = B.scattered(n, at, B.numbers(b, "id", i), unknown)
-                c = B.scattered(n, at, B.numbers(b, "c", i), 0)
+                ids, c = B.word_ids(shift, b.column("n")[i].as_py(), b.column("found")[i].as_py(), unknown)
                 ids, one, number = np.unique(ids, return_index=True, return_inverse=True)  # unknown tokens become one
                 seq, c = number[seq], c[one]
                 p = (c + 1) / norm
@@ -390,7 +390,7 @@ def bigram_state(blocks: DataFrame, n_tokens: int, n_kinds: int) -> DataFrame:
                        "base": per_document(np.log10(p)[seq], length), "part_score": [0.0] * len(length), "n": len(codes),
                        "sample": B.sample_of(codes), "state": B.pack(seq, np.diff(ids, prepend=0), c)}
 
-    return B.map_blocks(blocks.select("block", "doc", "held", "length", "n", "seq", "at", "id", "c"), run, NGRAMS)
+    return B.map_blocks(blocks.select("block", "doc", "held", "length", "n", "seq", "found"), run, NGRAMS)
 
 
 def next_state(blocks: DataFrame, kind, level: Level, last: bool) -> DataFrame:
@@ -468,16 +468,11 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
     if order < 3:
         raise ValueError("order must be 3 or more")
     texts = stage(token_blocks(docs, id_col, text_col, held_out), "token-blocks")
-    tokens = B.symbols(texts, "word", "count")
-    known = stage(tokens.where("count > 0").groupBy("word").agg(F.sum("count").alias("c")), "tokens")
-    total, kinds = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    ids = B.ranked(known, [F.desc("c"), F.asc("word")], "id", "token-ids")
-    discard(known)
-    found = stage(tokens.select("block", "place", "word").join(ids, "word").select("block", "place", "id", "c"), "found")
-    discard(ids)
-    valued = B.with_values(texts.select("block", "doc", "held", "length", "n", "seq"), found, "id", "c")
-    discard(found)
-    blocks = stage(bigram_state(valued, total, kinds), "ngrams-2")
+    words = B.word_numbers(texts, "tokens")
+    total, kinds = words.total, words.kinds
+    valued = B.with_answers(texts.select("block", "doc", "held", "length", "n", "seq"), words.answers)
+    discard(words.answers)
+    blocks = stage(bigram_state(valued, words.shift, total, kinds), "ngrams-2")
     discard(texts, valued)
     kind, parents, last = Bigrams(kinds, total), kinds + 2, False
     for m in range(2, order + 1):
@@ -487,12 +482,15 @@ def score_documents(docs: DataFrame, held_out: Column, id_col: str = "doc_id", t
         level = build_level(blocks, sorted_codes(kind.width, True) if last else trained_codes(kind), kind.width, str(m))
         asked = blocks.select("block", "length", "held", "sample", "state")
         if last:
-            answers = B.ask(asked, sorted_codes(kind.width, False), level.bounds, level.images, finder(level, kind.width), reply_scores, level.prepare)
+            answers = stage_all(B.ask_in_turns(asked, sorted_codes(kind.width, False), level.bounds, level.images, finder(level, kind.width),
+                                                reply_scores, level.prepare, TURNS), "sums")
+            discard(level.nodes)
             return document_scores(B.with_answers(blocks.drop("n", "sample", "state"), answers)).withColumn("train_tokens", F.lit(total).cast("long"))
         answers = B.ask(asked, asked_codes(kind), level.bounds, level.images, finder(level, kind.width), reply_nodes, level.prepare)
         found = B.with_answers(blocks.drop("n", "sample"), answers)
         discard(level.nodes)
-        longer = stage(next_state(found, kind, level, m + 1 == order), f"ngrams-{m + 1}")
+        turns = [found.where(F.pmod(F.xxhash64("block"), F.lit(TURNS)) == turn) for turn in range(TURNS)]
+        longer = stage_all([next_state(turn, kind, level, m + 1 == order) for turn in turns], f"ngrams-{m + 1}")
         discard(blocks, found)
         blocks, kind, parents = longer, Longer(level.widest), level.size
 

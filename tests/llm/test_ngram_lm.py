@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from calibspark.llm import blocks as B
 from calibspark.llm import ngram_lm as L
-from calibspark.llm.elias_fano import EliasFano
+from calibspark.llm.elias_fano import EliasFano, select_in_word
+from calibspark.llm.scratch import discard, stage_all
 from tests.conftest import SF_SMALL
 from tests.llm.helpers import docs_frame, edge_rows, prose
 
@@ -40,6 +41,15 @@ def test_elias_fano_is_built_in_little_memory():
     assert (EliasFano(data).access(np.arange(len(values))) == values).all()
 
 
+def test_select_in_word():
+    rng = np.random.default_rng(4)
+    words = np.concatenate([rng.integers(1, 1 << 64, 500, np.uint64), [np.uint64(1 << 63), ~np.uint64(0), np.uint64(1)]])
+    for r in range(64):
+        some = words[np.bitwise_count(words) > r]
+        want = [[i for i in range(64) if int(w) >> i & 1][r] for w in some]
+        assert select_in_word(some, np.full(len(some), r)).tolist() == want
+
+
 def test_table_of_probabilities():
     q = np.arange(-1, 65536)
     assert (L.CHILD(q) == np.where(q >= 0, L.probability(q), 0.0)).all()
@@ -69,6 +79,56 @@ def test_pack():
         assert (got == a).all() and len(got) == len(a)
 
 
+@pytest.mark.parametrize("part", [1 << 20, 40])
+def test_words_are_numbered_in_parts(spark, monkeypatch, part):
+    """Few packed rows go between blocks and parts, not one for each symbol of a block."""
+    monkeypatch.setattr(B, "PART", part)
+    rng = np.random.default_rng(6)
+    kinds = [b" ", b"", "\u00e9\u4e2d".encode(), b"\x00", *[b"w%d" % i for i in range(200)], b"x" * 5000]
+    blocks = []
+    for block in range(12):
+        word = [kinds[i] for i in rng.permutation(len(kinds))[:60]]
+        blocks.append((block << 32, word, [int(c) for c in rng.integers(0, 3, 60) ** 3 * (block + 1)], 60, sum(map(len, word))))
+    blocks.append((99, [], [], 0, 0))
+    frame = spark.createDataFrame(blocks, "block long, word array<binary>, count array<long>, n long, size long").repartition(3)
+    got = B.word_numbers(frame, "words")
+    total = Counter()
+    for _, word, count, *_ in blocks:
+        total.update(dict(zip(word, count)))
+    known = {w: c for w, c in total.items() if c}
+    rows = got.answers.collect()
+    assert got.total == sum(known.values()) and got.kinds == len(known)
+    assert len({(r.block, r.part) for r in rows}) == len(rows) and (part < 100 or len(rows) == 12)
+    ids = {}
+    for block, word, count, n, _ in blocks:
+        found = [r.asDict() for r in rows if r.block == block]
+        for w, i, c in zip(word, *(x.tolist() for x in B.word_ids(got.shift, n, found, -5))):
+            assert c == total[w] and ids.setdefault(w, i) == i
+    assert all((i == -5) == (w not in known) for w, i in ids.items())
+    assert sorted(ids[w] for w in known) == list(range(len(known)))
+    in_order = sorted(known, key=ids.get)
+    assert (np.diff(B.count_class(np.array([known[w] for w in in_order]))) <= 0).all()
+    discard(got.answers)
+
+
+def test_words_of_nothing(spark):
+    got = B.word_numbers(spark.createDataFrame([], "block long, word array<binary>, count array<long>, n long, size long"), "words")
+    assert (got.total, got.kinds, got.answers.count()) == (0, 0, 0)
+
+
+def test_tables_written_in_turns(spark):
+    got = stage_all([spark.range(5), spark.range(5, 5), spark.range(3, 9)], "turns")
+    assert sorted(r.id for r in got.collect()) == [0, 1, 2, 3, 3, 4, 4, 5, 6, 7, 8]
+    discard(got)
+
+
+def test_rows_that_travel_together(monkeypatch):
+    monkeypatch.setattr(B, "BATCH", 10)
+    rows = [{"x": bytes(n)} for n in (3, 0, 9, 25, 1)] + [{"x": None}]
+    got = list(B.together(iter(rows), "x"))
+    assert [len(g) for g in got] == [3, 1, 2] and [r for g in got for r in g] == rows
+
+
 def tokens(text):
     text = (text or "").translate({i: i + 32 for i in range(65, 91)})
     return re.findall(r"[^\x20\x09-\x0D]+", text) + [" "]
